@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.llm import mixing, tokens
+from benchloom.llm import mixing, quantiles, tokens
 from benchloom.session import table
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.percentiles(table(spark, sf_dir, "sample_results"), table(spark, sf_dir, "category_aliases"))
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries themselves, to be kept and merged later."""
+    return quantiles.daily(table(spark, sf_dir, "sample_results"), table(spark, sf_dir, "category_aliases"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -24,5 +33,5 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_report, p7_selection)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p6_ids, p7_found, p7_report, p7_selection)}
 ORACLE_SQL: dict[str, str] = {}
