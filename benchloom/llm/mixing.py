@@ -67,9 +67,15 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         state = state.join(reached, ["mix_id", "source"], "left")
         full = F.coalesce((F.col("b") + 1) * width, F.col("threshold"))
         # The bucket in which the budget ends is the first non-empty one after the last that fits.
-        nxt = state.withColumn("full", full).join(sums, "source").where((F.col("bucket") * width >= F.col("full")) & (F.col("bucket") * width < F.col("threshold") + width * (1 << BITS))).groupBy("mix_id", "source").agg(F.min(F.col("bucket") * width).alias("edge"))
+        # At the last level it is taken too if that comes closer to the budget.
+        nxt = state.withColumn("full", full).join(sums, "source").where((F.col("bucket") * width >= F.col("full")) & (F.col("bucket") * width < F.col("threshold") + width * (1 << BITS))).groupBy("mix_id", "source").agg(F.min(F.col("bucket") * width).alias("edge"), F.min_by("in_bucket", "bucket").alias("next"))
         state = state.withColumn("below", F.coalesce("r", "below")).withColumn("full", full).join(nxt, ["mix_id", "source"], "left")
-        state = state.withColumn("threshold", F.coalesce("edge", "full") if level < LEVELS - 1 else F.col("full")).drop("r", "b", "full", "edge")
+        if level < LEVELS - 1:
+            state = state.withColumn("threshold", F.coalesce("edge", "full"))
+        else:
+            closer = F.coalesce(F.abs(F.col("below") + F.col("next") - F.col("rest")) < F.abs(F.col("below") - F.col("rest")), F.lit(False))
+            state = state.withColumn("threshold", F.when(closer, F.col("edge") + width).otherwise(F.col("full"))).withColumn("below", F.col("below") + F.when(closer, F.col("next")).otherwise(F.lit(0)))
+        state = state.drop("r", "b", "full", "edge", "next")
         state = cut(state)
     return state
 

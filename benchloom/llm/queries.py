@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.llm import mixing, quantiles, tokens
+from benchloom.llm import mixing, quantiles, sampling, tokens
 from benchloom.session import table
 
 
@@ -17,6 +17,22 @@ def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.daily(table(spark, sf_dir, "sample_results"), table(spark, sf_dir, "category_aliases"))
 
 
+def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "samples"), table(spark, sf_dir, "sampling_plans"), table(spark, sf_dir, "category_aliases")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.found(*_plans(spark, sf_dir))
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(*_plans(spark, sf_dir))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.cell_report(*_plans(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -33,5 +49,5 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p6_ids, p7_found, p7_report, p7_selection)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p6_ids, p7_found, p7_report, p7_selection)}
 ORACLE_SQL: dict[str, str] = {}
