@@ -7,7 +7,9 @@ session names in ``spark.checkpoint.dir``; a private folder is chosen only for a
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a context; they need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_benchloom_shipped", False):
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="benchloom-")
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        sc._benchloom_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, set on whatever session is given."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
