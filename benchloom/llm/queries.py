@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.llm import mixing, quantiles, sampling, tokens
+from benchloom.llm import mixing, nearpairs, quantiles, sampling, tokens
 from benchloom.session import table
 
 
@@ -33,6 +33,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cell_report(*_plans(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearpairs.found(table(spark, sf_dir, "samples"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearpairs.groups(table(spark, sf_dir, "samples"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p6_ids, p7_found, p7_report, p7_selection)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection)}
 ORACLE_SQL: dict[str, str] = {}
