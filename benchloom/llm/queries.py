@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.llm import mixing, nearpairs, quantiles, sampling, tokens
+from benchloom.llm import mixing, nearpairs, quantiles, sampling, sentences, tokens
 from benchloom.session import table
 
 
@@ -57,5 +57,9 @@ def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection, p8_found)}
 ORACLE_SQL: dict[str, str] = {}
