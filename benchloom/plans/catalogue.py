@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.plans import problems
+from benchloom.plans import oracle, problems
+from benchloom.plans import queries as reference
 from benchloom.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,8 @@ def prepared(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: prepared(q) for name, q in problems.QUERIES.items()}
+    return {name: prepared(q) for name, q in (reference.QUERIES | problems.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
