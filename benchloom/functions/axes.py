@@ -78,7 +78,7 @@ def rif(*axes: Column) -> Column:
 
 def rif_gate(value: Column, motion: Column) -> Column:
     """Null for a static clip; an unknown motion does not gate."""
-    return F.when(F.greatest(motion, F.lit(0.0)) < R.STATIC, F.lit(None)).otherwise(value)
+    return F.when(motion < R.STATIC, F.lit(None)).otherwise(value)
 
 
 def gate_multiplier(*motion_scores: Column) -> Column:
@@ -163,4 +163,4 @@ def curation_status(width: Column, height: Column) -> Column:
 
 
 def one_decimal(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f", x), F.lit("-"))
+    return F.coalesce(F.format_string("%.1f", F.round(x, 1)), F.lit("-"))

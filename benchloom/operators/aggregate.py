@@ -37,7 +37,7 @@ def _finish(rows: DataFrame, keys: list[str]) -> DataFrame:
     means = {s: A.floored(axis, F.col(s)) for s, axis in zip(SHORT, R.AXES)}
     rows = rows.withColumns(means).withColumn("rif", A.rif(F.col("logic"), F.col("geometry"), F.col("reference")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    static = F.greatest(F.col("mean_motion"), F.lit(0.0)) < R.STATIC
+    static = F.col("mean_motion") < R.STATIC
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select(
         *keys,
@@ -83,7 +83,7 @@ def low_fidelity(broken_down: DataFrame) -> DataFrame:
 
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """Ranked by gated score, then name; no shared ranks."""
-    order = Window.orderBy(F.round("overall", 6).desc(), "model_name", "model_id")
+    order = Window.orderBy(F.round(F.col("overall") + 1e-9, 6).desc(), "model_name", "model_id")
     return metrics.withColumn("rank", F.row_number().over(order))
 
 

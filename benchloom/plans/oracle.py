@@ -1 +1,280 @@
-SQL = {}
+"""DuckDB counterparts of the queries, written on their own from the rules."""
+
+from __future__ import annotations
+
+from benchloom import registry as R
+
+SHORT = ("logic", "geometry", "physics", "temporal", "reference")
+RAW = dict(zip(SHORT, (f"{R.LOGIC}_score", f"{R.GEOMETRY}_score", f"{R.PHYSICS}_score", f"{R.TEMPORAL}_score", f"{R.REFERENCE}_score")))
+AXIS = dict(zip(SHORT, R.AXES))
+
+
+def text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def clean(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) OR {c} = -1 THEN NULL ELSE {c} END"
+
+
+def tidy(c: str) -> str:
+    return f"nullif(regexp_replace(lower(trim({c})), '[\\s-]+', '_', 'g'), '')"
+
+
+def mapped(c: str, values: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in values.items()) + f" ELSE {c} END"
+
+
+def clamp(c: str, top: float = 100) -> str:
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE greatest(0.0::DOUBLE, least({top}::DOUBLE, {c})) END"
+
+
+def weight(short: str) -> str:
+    i = SHORT.index(short)
+    return "CASE task_category " + " ".join(f"WHEN {text(t)} THEN {w[i]}::DOUBLE" for t, w in R.TASK_WEIGHTS.items()) + f" ELSE {R.TASK_WEIGHTS[R.DEFAULT_TASK][i]}::DOUBLE END"
+
+
+FLOOR = {s: R.FLOORS[a] for s, a in AXIS.items()}
+DONE = "WHERE NOT skipped"
+MEASURED = f"""m AS (SELECT result_id, model_id, task_id, coalesce(skipped, false) AS skipped, {mapped(tidy('domain'), R.LEGACY_DOMAINS)} AS domain, {mapped(tidy('task_category'), R.LEGACY_TASKS)} AS task_category,
+ {tidy('motion_type')} AS motion_type, {', '.join(f'{clean(c)} AS {s}' for s, c in RAW.items())}, {clean('viewpoint_motion_score')} AS motion,
+ CASE WHEN len(industrial_constraint_details.invariants_checked) > 0 THEN greatest(0.0::DOUBLE, 1.0 - len(industrial_constraint_details.violations)::DOUBLE / len(industrial_constraint_details.invariants_checked)) END AS "constraint",
+ industrial_constraint_details.violations AS violations, industrial_constraint_details.invariants_checked AS invariants FROM sample_results)"""
+FOLDED = f"""k AS (SELECT *, {clamp('motion')} AS cm, {clamp('CASE WHEN "constraint" <= 1 THEN "constraint" * 100 ELSE "constraint" END')} AS cc FROM m),
+ f AS (SELECT * REPLACE (CASE WHEN cm IS NULL THEN reference WHEN reference IS NULL THEN cm ELSE 0.7::DOUBLE * reference + 0.3::DOUBLE * cm END AS reference,
+ CASE WHEN geometry IS NOT NULL AND cc IS NOT NULL THEN 0.7::DOUBLE * geometry + 0.3::DOUBLE * cc ELSE geometry END AS geometry) FROM k),
+ g AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {s} IS NOT NULL THEN greatest({FLOOR[s]}::DOUBLE, {s}) END AS {s}' for s in SHORT)}) FROM f)"""
+
+
+def rif(a: str = "logic", b: str = "geometry", c: str = "reference") -> str:
+    n = f"(({a} IS NOT NULL)::INT + ({b} IS NOT NULL)::INT + ({c} IS NOT NULL)::INT)"
+    product = " * ".join(f"(CASE WHEN {x} IS NULL THEN 1::DOUBLE ELSE greatest({x}, 0::DOUBLE) END)" for x in (a, b, c))
+    return f"CASE WHEN {n} >= 2 THEN pow({product}, 1.0::DOUBLE / {n}) END"
+
+
+SCORED = f"""WITH {MEASURED}, {FOLDED},
+ h AS (SELECT *, {' + '.join(f'({s} IS NOT NULL)::INT' for s in SHORT)} AS num_axes, {' + '.join(f'coalesce({s} * ({weight(s)}), 0)' for s in SHORT)} AS total, {' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE ({weight(s)}) END' for s in SHORT)} AS weights, {rif()} AS rif FROM g),
+ scored AS (SELECT *, coalesce(total / nullif(weights, 0), 0) AS weighted_score, CASE WHEN greatest(motion, 0) < 0.05 AND motion IS NOT NULL THEN NULL ELSE rif END AS rif_gated,
+ num_axes > 0 AND {' AND '.join(f'coalesce({s} >= 60, true)' for s in SHORT)} AS strict, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(motion, 100) / 100)) AS gate FROM h)"""
+LONG = "long AS (" + " UNION ALL ".join(f"SELECT result_id, task_id, domain, task_category, {text(a)} AS axis, {i} AS ord, {s} AS score FROM scored WHERE NOT skipped AND {s} IS NOT NULL" for i, (s, a) in enumerate(AXIS.items())) + ")"
+TIER = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} < 5 THEN 'none' WHEN {0} < 20 THEN 'weak' WHEN {0} < 60 THEN 'moderate' ELSE 'full' END"
+METRICS = f"""count(*) AS num_samples_total, count(*) FILTER (WHERE NOT skipped) AS num_samples_completed, count(*) FILTER (WHERE skipped) AS num_samples_skipped,
+ avg(weighted_score) FILTER (WHERE NOT skipped) AS relax_score, avg(strict::INT::DOUBLE) FILTER (WHERE NOT skipped) AS strict_pass_rate, avg(weighted_score * gate) FILTER (WHERE NOT skipped) AS gated_score,
+ avg(motion) FILTER (WHERE NOT skipped) AS mean_motion, {', '.join(f'avg({s}) FILTER (WHERE NOT skipped) AS {s}' for s in SHORT)}"""
+
+
+def finish(keys: str, source: str, extra: str = "") -> str:
+    floors = ", ".join(f"CASE WHEN {s} IS NOT NULL THEN greatest({FLOOR[s]}::DOUBLE, {s}) END AS {s}" for s in SHORT)
+    return f"""fl AS (SELECT * REPLACE ({floors}) FROM {source}), fi AS (SELECT *, {rif()} AS rif FROM fl),
+ metrics AS (SELECT {keys}, coalesce(num_samples_total, 0) AS num_samples_total, coalesce(num_samples_completed, 0) AS num_samples_completed, coalesce(num_samples_skipped, 0) AS num_samples_skipped,
+ coalesce(relax_score, 0) AS relax_score, coalesce(strict_pass_rate, 0) AS strict_pass_rate, coalesce(gated_score, 0) AS gated_score, coalesce(gated_score, 0) AS overall, {', '.join(SHORT)}, {TIER.format('mean_motion')} AS motion_tier,
+ rif, CASE WHEN mean_motion < 0.05 THEN NULL ELSE rif END AS rif_gated, CASE WHEN mean_motion < 0.05 THEN 'rotation_integrity_factor_excluded_static_video' END AS rif_note,
+ CASE WHEN coalesce(num_samples_completed, 0) = 0 THEN 'no_completed_samples' END AS note{extra} FROM fi)"""
+
+
+def r6(*cols: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+
+
+NUM = ("relax_score", "strict_pass_rate", "gated_score", "overall", *SHORT, "rif", "rif_gated")
+MODELS = f"""{SCORED}, a AS (SELECT model_id, {METRICS} FROM scored GROUP BY 1), j AS (SELECT models.model_id, model_name, a.* EXCLUDE (model_id) FROM models LEFT JOIN a ON models.model_id = a.model_id), {finish('model_id, model_name', 'j')}"""
+RANKED = f"{MODELS}, ranked AS (SELECT *, row_number() OVER (ORDER BY round(overall, 6) DESC, model_name, model_id) AS rank FROM metrics)"
+SETS = f"""{SCORED}, a0 AS (SELECT model_id, domain, task_category, grouping(domain) AS gd, grouping(task_category) AS gt, {METRICS} FROM scored GROUP BY GROUPING SETS ((model_id), (model_id, domain), (model_id, task_category))),
+ a AS (SELECT *, CASE WHEN gd = 0 THEN 'domain' WHEN gt = 0 THEN 'task_category' ELSE 'model' END AS level FROM a0), b AS (SELECT * FROM a WHERE level = 'model' OR coalesce(domain, task_category) IS NOT NULL),
+ {finish('model_id, level, domain, task_category', 'b', ', coalesce(physics, 100) < 35 AS physics_low, coalesce(geometry, 100) < 35 AS geometry_low')}"""
+DEC1 = "coalesce(printf('%.1f', round(round({0}, 6), 1)), '-')"
+LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS rn FROM samples WHERE task_id IS NOT NULL) WHERE rn = 1)"
+FRAMES = "WITH fr AS (SELECT user_id AS video, value, event_id, event_id % 5 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS frames FROM events)"
+VECTORS = "WITH v AS (SELECT label AS video, embedding::DOUBLE[] AS vector, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings), w AS (SELECT *, lag(vector) OVER (PARTITION BY video ORDER BY frame) AS previous FROM v)"
+CLIPS = """WITH c0 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN (o_custkey % 900) / 10.0::DOUBLE END AS motion, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 120)::DOUBLE END AS target FROM orders),
+ clips AS (SELECT *, CASE WHEN motion IS NOT NULL AND target IS NOT NULL THEN round(100 * greatest(0.0::DOUBLE, 1 - abs(motion - target) / 45), 4) END AS fidelity FROM c0)"""
+ASKED = "asked AS (SELECT row_id, task_id, i AS pos, q.id AS qid, q.text AS question, q.answer AS expected, coalesce(nullif(q.weakness_target, ''), 'untagged') AS tag FROM (SELECT row_id, task_id, unnest(industrial_logic_questions) AS q, generate_subscripts(industrial_logic_questions, 1) AS i FROM samples))"
+
+
+def verdict(c: str) -> str:
+    w = f"regexp_extract(trim(lower({c})), '^\\S*')"
+    return f"CASE WHEN starts_with({w}, 'y') THEN 'yes' WHEN starts_with({w}, 'n') THEN 'no' END"
+
+
+def any_of(c: str, words: tuple[str, ...]) -> str:
+    return f"coalesce(({' OR '.join(f'contains(lower({c}), {text(w)})' for w in words)}), false)"
+
+
+def any_term(c: str, terms: tuple[str, ...]) -> str:
+    return f"regexp_matches({c}, {text('(^|[^a-z0-9])(' + '|'.join(terms) + ')([^a-z0-9]|$)')})"
+
+
+ANSWERS = f"""answers AS (SELECT row_id, pos, ['Yes.', 'no', '  YES it remains intact', 'not sure', ''][((row_id * 7 + pos * 3) % 5 + 1)::INT] AS answer, CASE WHEN row_id % 3 = 0 THEN 'No cracking: the frame is structurally sound.' ELSE '' END AS reasoning FROM asked WHERE (row_id + pos) % 7 <> 0),
+ joined AS (SELECT asked.*, coalesce(answer, '') AS answer, coalesce(reasoning, '') AS reasoning FROM asked LEFT JOIN answers USING (row_id, pos)),
+ outcomes AS (SELECT *, CASE WHEN ({verdict('expected')}) = ({verdict('answer')}) THEN 'correct' WHEN ({verdict('expected')}) = 'no' AND ({verdict('answer')}) = 'yes' AND {any_of('question', R.FAILURE_WORDS)} AND {any_of("coalesce(nullif(reasoning, ''), answer)", R.CORRECTNESS_PHRASES)} THEN 'superlative' ELSE 'wrong' END AS outcome FROM joined)"""
+QA = f"WITH {ASKED}, {ANSWERS}"
+
+
+def calibration(bucket: str, score: str) -> str:
+    return f"""{SCORED}, {LATEST}, t AS (SELECT task_id, {bucket} AS bucket FROM latest WHERE cardinality(difficulty_profile) > 0), b AS (SELECT bucket, avg({score}) AS mean, count({score}) AS n FROM scored JOIN t USING (task_id) {DONE} GROUP BY 1),
+ g2 AS (SELECT * FROM (VALUES {', '.join(f'({text(k)}, {v}::DOUBLE)' for k, v in R.BUCKET_TARGETS.items())}) AS x(bucket, target)) SELECT bucket, round(target, 6) AS target, round(coalesce(mean, 0), 6) AS mean, coalesce(n, 0) AS n, coalesce(mean, 0) > target AS above_target FROM g2 LEFT JOIN b USING (bucket)"""
+
+
+LEVELS = "list_transform(map_values(difficulty_profile), lambda v: lower(trim(v)))"
+WORST = "CASE " + " ".join(f"WHEN list_contains({LEVELS}, '{b}') THEN '{b}'" for b in ("adversarial", "hard", "medium", "easy")) + " ELSE 'medium' END"
+
+
+def checker_rows() -> str:
+    rows = ", ".join(f"({text(d)}, {text(t)}, {text(','.join(f'{c}:{a}' for c, a in cs))})" for (d, t), cs in R.CHECKERS.items())
+    other = ", ".join(f"({text(t)}, {text(','.join(f'{c}:{a}' for c, a in cs))})" for t, cs in R.FALLBACK_CHECKERS.items())
+    return f"ck AS (SELECT * FROM (VALUES {rows}) AS x(domain, topology, names)), fb AS (SELECT * FROM (VALUES {other}) AS y(task_category, other))"
+
+
+SEARCH = "concat_ws(' ', CASE WHEN starts_with(lower(coalesce(prompt, '')), 'task objective:') THEN '' ELSE lower(coalesce(prompt, '')) END, regexp_extract(lower(coalesce(image_path, '')), '[^/\\\\]*$'), lower(coalesce(task_id, '')))"
+INFERRED = f"""inf0 AS (SELECT *, {SEARCH} AS words, {mapped(tidy('task_category'), R.LEGACY_TASKS)} AS declared, coalesce({mapped(tidy('domain'), R.LEGACY_DOMAINS)}, '') AS dom, coalesce(nullif(primary_topology, ''), topology_type, '') AS topo, coalesce({tidy('motion_type')}, '') AS mo FROM samples),
+ inferred AS (SELECT *, CASE WHEN declared IN ({', '.join(map(text, R.TASK_WEIGHTS))}) THEN declared WHEN dom = 'visual_security' OR {any_term('words', R.LOGIC_TERMS)} THEN 'industrial_logic_and_compliance'
+ WHEN {any_term('words', R.FLUID_TERMS)} THEN 'fluid_dynamics_and_thermodynamics' WHEN {any_term('words', R.FAILURE_TERMS)} OR coalesce(sub_topology, '') IN ('2d_planar', 'rotational') OR topo = 'lattice' THEN 'topology_mutation_and_failure'
+ WHEN ({any_term('words', R.VIEWPOINT_TERMS)} OR mo IN ('orbit', 'pan', 'dolly', 'crane', 'tilt')) AND NOT {any_term('words', R.RIGID_TERMS)} THEN 'spatial_exploration_and_viewpoint'
+ WHEN {any_term('words', R.RIGID_TERMS)} OR topo IN ('kinematic', 'flexible') THEN 'rigid_body_kinematics_and_coupling' ELSE CASE dom {' '.join(f'WHEN {text(k)} THEN {text(v)}' for k, v in R.DOMAIN_TASKS.items())} ELSE {text(R.DEFAULT_TASK)} END END AS inferred_task FROM inf0)"""
+
+
+def score_of(t: str, strip: str) -> str:
+    cut = f"rtrim(w, {text(strip)})" if strip else "w"
+    return f"list_filter(list_transform(regexp_split_to_array(trim({t}), '\\s+'), lambda w: CASE WHEN regexp_matches({cut}, '^[0-9]{{1,9}}$') THEN {cut}::INT END), lambda n: n BETWEEN 0 AND 100)[1]"
+
+
+RESPONSE = "[(event_id % 137)::VARCHAR || chr(10) || 'minor issue', (event_id % 137)::VARCHAR || '% sure', 'score ' || (event_id % 137)::VARCHAR || ' then 70.', '', '  ', 'Fine.' || chr(10) || 'I say ' || (event_id % 137)::VARCHAR || ';', 'no score', '(' || (event_id % 137)::VARCHAR || ') 12'][event_id % 8 + 1]"
+
+
+def violation_rules() -> str:
+    rows = [(f, "required", f"{f} IS NULL") for f in ("task_id", "domain", "topology_type", "image_path", "prompt", "video_generation_prompt", "motion_type", "viewpoint_motion_target", "difficulty_profile", "constraint_annotations", "industrial_logic_questions", "sensitivity_variants")]
+    rows += [(f, "enum", f"{f} NOT IN ({', '.join(map(text, v))})") for f, v in R.ENUMS.items()]
+    rows += [("difficulty_profile", "enum", f"len(list_filter(map_values(difficulty_profile), lambda v: v NOT IN ({', '.join(map(text, R.BUCKET_TARGETS))}))) > 0")]
+    rows += [("task_id", "pattern", "NOT regexp_matches(task_id, '^[a-z]{2,8}(_[a-z]+){0,2}_[0-9]{3}$|^S[A-Z][0-9]{2}$')"), ("image_path", "pattern", "NOT regexp_matches(image_path, '^dataset[\\\\/]images(_hq)?[\\\\/]')")]
+    rows += [(f, "minLength", f"length({f}) < {n}") for f, n in (("prompt", 50), ("video_generation_prompt", 50), ("application_value", 20))]
+    rows += [("axis_weights", "minimum", "list_min(map_values(axis_weights)) < 0"), ("industrial_logic_questions", "minItems", "len(industrial_logic_questions) < 3")]
+    rows += [("industrial_logic_questions.answer", "enum", "len(list_filter(industrial_logic_questions, lambda q: q.answer NOT IN ('yes', 'no'))) > 0"), ("industrial_logic_questions.weakness_target", "pattern", "len(list_filter(industrial_logic_questions, lambda q: NOT regexp_matches(q.weakness_target, '^W[2-7]$'))) > 0")]
+    return " UNION ALL ".join(f"SELECT row_id, task_id, {text(p)} AS path, {text(r)} AS rule FROM samples WHERE {bad}" for p, r, bad in rows)
+
+
+CLAUSE = "trim(regexp_extract(prompt, '(?is)(?:motion requirement|camera|viewpoint)\\s*:\\s*(.*?)(?:[.;]\\s+[A-Z]|[.;]?\\s*$)', 1))"
+SUBJECT = "trim(regexp_extract(prompt, '(?is)reference subject\\s*:\\s*(.*?)(?:[.;]\\s|[.;]?\\s*$)', 1))"
+MOVING = "mo IN ('orbit', 'pan', 'dolly')"
+HAS_UNIT = f"({any_of('cl', R.UNIT_MARKERS)} OR coalesce(mo = 'dolly' AND regexp_matches(cl, '\\b\\d+(\\.\\d+)?x\\b'), false) OR coalesce(mo IN ('orbit', 'pan') AND regexp_matches(cl, '\\b\\d+(\\.\\d+)?\\s*(°|deg|degree)'), false) OR {any_of('target', R.UNIT_MARKERS)})"
+AUDIT_RULES = (
+    ("unexpected_motion_type", "mo NOT IN ('orbit', 'pan', 'dolly', 'crane')", 3),
+    ("motion_type_not_in_clause", "mo IN ('orbit', 'pan', 'dolly', 'crane') AND NOT contains(cl, mo)", 3),
+    ("crane_without_crane_verb", "mo = 'crane' AND NOT contains(cl, 'crane')", 3),
+    ("subject_names_crane", f"{MOVING} AND contains(cl, mo) AND contains(lower(subject), 'crane')", 3),
+    ("no_unit", f"{MOVING} AND NOT {HAS_UNIT}", 2),
+    ("no_structure", f"{MOVING} AND NOT {any_of('cl', R.STRUCTURE_MARKERS)}", 2),
+    ("buried_verb", f"{MOVING} AND starts_with(cl, 'perform a controlled')", 1),
+    ("pan_tied_to_leak", "mo = 'pan' AND contains(cl, 'follows the evolving leak')", 1),
+)
+AUDIT = f"""WITH a0 AS (SELECT row_id, task_id, {tidy('motion_type')} AS motion, coalesce({tidy('motion_type')}, '') AS mo, lower(coalesce({CLAUSE}, '')) AS cl, coalesce({SUBJECT}, '') AS subject, viewpoint_motion_target AS target FROM samples),
+ a1 AS (SELECT row_id, motion, mo, CASE WHEN mo = 'static' THEN [] ELSE list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in AUDIT_RULES)}], lambda x: x IS NOT NULL) END AS issues,
+ greatest({', '.join(f'CASE WHEN {c} THEN {r} ELSE 1 END' for _, c, r in AUDIT_RULES)}) AS rank FROM a0), audit AS (SELECT *, CASE WHEN mo = 'static' THEN 'none' ELSE ['low', 'medium', 'high'][rank] END AS severity FROM a1)"""
+
+SQL: dict[str, str] = {
+    "leaderboard": f"{RANKED} SELECT rank, model_id, model_name, {r6('overall', 'relax_score', 'strict_pass_rate', 'gated_score', *SHORT)}, motion_tier, num_samples_completed FROM ranked",
+    "leaderboard_markdown": f"{RANKED} SELECT rank, '| ' || rank::VARCHAR || ' | ' || coalesce(model_name || ' | ', '') || {' || chr(32) || chr(124) || chr(32) || '.join(DEC1.format(c) for c in ('overall', 'relax_score', *SHORT))} || ' |' AS line FROM ranked",
+    "sample_scores": f'{SCORED} SELECT result_id, {r6(*SHORT, "motion")}, round("constraint", 6) AS "constraint", num_axes::BIGINT AS num_axes, {r6("weighted_score", "rif", "rif_gated")}, strict, round(gate, 6) AS gate FROM scored',
+    "axis_long_canonical": " UNION ALL ".join(f"SELECT result_id, {text(a)} AS axis, round(score, 6) AS score FROM (SELECT result_id, {clean(c)} AS score FROM sample_results) WHERE score IS NOT NULL" for a, c in [*((AXIS[s], c) for s, c in RAW.items()), (R.MOTION, "viewpoint_motion_score")]),
+    "axis_floors": " UNION ALL ".join(f"SELECT result_id, {text(a)} AS axis, round(greatest(score, {R.FLOORS[a]}::DOUBLE), 6) AS score FROM (SELECT result_id, {clean(c)} AS score FROM sample_results) WHERE score IS NOT NULL" for a, c in [*((AXIS[s], c) for s, c in RAW.items()), (R.MOTION, "viewpoint_motion_score")]),
+    "axis_floor_nan": f"SELECT * FROM (SELECT result_id, round(CASE WHEN {RAW['geometry']} IS NULL THEN NULL WHEN isnan({RAW['geometry']}) THEN 8 ELSE greatest(8::DOUBLE, {RAW['geometry']}) END, 6) AS geometry, round(CASE WHEN {RAW['logic']} IS NULL THEN NULL WHEN isnan({RAW['logic']}) THEN 5 ELSE greatest(5::DOUBLE, {RAW['logic']}) END, 6) AS logic FROM sample_results) WHERE coalesce(geometry, 0) < 'inf'::DOUBLE AND coalesce(logic, 0) < 'inf'::DOUBLE",
+    "sanitize_nan": f"SELECT result_id, {', '.join(f'round(CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END, 6) AS {s}' for s, c in RAW.items())}, round(CASE WHEN isnan(scored.weighted_score) OR isinf(scored.weighted_score) THEN NULL ELSE scored.weighted_score END, 6) AS weighted FROM sample_results",
+    "target_parse": "SELECT row_id, round(CASE WHEN regexp_matches(trim(viewpoint_motion_target), '^(orbit_cw|orbit_ccw|crane_up)_.*deg$') THEN try_cast(replace(split_part(trim(viewpoint_motion_target), '_', -1), 'deg', '') AS DOUBLE) ELSE try_cast(trim(viewpoint_motion_target) AS DOUBLE) END, 6) AS target FROM samples",
+    "motion_fidelity": f"{CLIPS} SELECT o_orderkey, round(fidelity, 3) AS fidelity, {TIER.format('motion')} AS tier, round(degrees(atan2(abs(motion), 540 / tan(radians(30)))), 6) AS crane, motion < CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.8 END AS static FROM clips",
+    "motion_diagnostics": f"{CLIPS} SELECT count(abs(motion - target)) AS targeted, round(avg(abs(motion - target)), 6) AS mean_abs_error, round(median(abs(motion - target)), 6) AS median_abs_error, count(*) FILTER (WHERE motion IS NULL) AS uncalculable, count(*) FILTER (WHERE motion < 0.05) AS static, count(*) FILTER (WHERE fidelity < 60) AS low FROM clips",
+    "model_aggregate": f"{MODELS} SELECT * REPLACE ({r6(*NUM)}) FROM metrics",
+    "breakdown_sets": f"{SETS} SELECT * REPLACE ({r6(*NUM)}) FROM metrics",
+    "low_fidelity_domains": f"{SETS} SELECT model_id, coalesce(string_agg(domain, ',' ORDER BY domain) FILTER (WHERE physics_low), '') AS physics_low_domains, coalesce(string_agg(domain, ',' ORDER BY domain) FILTER (WHERE geometry_low), '') AS geometry_low_domains FROM metrics WHERE level = 'domain' GROUP BY 1",
+    "rif_by_model": f"{SCORED} SELECT model_id, round(avg(rif), 6) AS mean_rif, count(rif) AS with_rif, count(rif_gated) AS with_gated, round(avg(rif_gated), 6) AS mean_gated FROM scored {DONE} GROUP BY 1",
+    "axis_statistics": f"{SCORED}, {LONG} SELECT axis, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(min(score), 6) AS min, round(max(score), 6) AS max, count(*) AS n, round(avg((score < 60)::INT::DOUBLE), 6) AS low_rate FROM long GROUP BY 1",
+    "weakest_axes": f"{SCORED}, {LONG} SELECT axis, round(avg(score), 6) AS mean FROM long GROUP BY 1 ORDER BY avg(score), axis LIMIT 5",
+    "group_scores": f"{SCORED}, p AS (SELECT 'domain' AS property, domain AS value, weighted_score AS ws FROM scored {DONE} UNION ALL SELECT 'task_category', task_category, weighted_score FROM scored {DONE} UNION ALL SELECT 'motion_type', motion_type, weighted_score FROM scored {DONE} UNION ALL SELECT 'profile_level', CASE WHEN num_axes = 5 THEN 'full' ELSE 'partial' END, weighted_score FROM scored {DONE}) SELECT property, value, count(*) AS n, round(avg(ws), 6) AS mean_weighted_score, round(avg((ws < 60)::INT::DOUBLE), 6) AS low_rate FROM p WHERE value IS NOT NULL GROUP BY 1, 2",
+    "constraint_counts": f"{SCORED}, e AS (SELECT result_id, 'checker' AS kind, unnest(invariants) AS name FROM scored {DONE} UNION ALL SELECT result_id, 'violation', split_part(unnest(violations), ':', 1) FROM scored {DONE}), c AS (SELECT kind, name, count(*) AS n, min(result_id) AS first_seen FROM e GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, first_seen, name) AS position FROM c",
+    "constraint_summary": f'{SCORED} SELECT round(avg("constraint" * 100), 6) AS mean_constraint, count("constraint") AS with_constraint FROM scored {DONE}',
+    "ability_failures": f"{SCORED}, {LONG}, w AS (SELECT axis, avg(score) AS mean, count(*) FILTER (WHERE score < 60) AS low_count, avg((score < 60)::INT::DOUBLE) AS low_rate FROM long GROUP BY 1), d AS (SELECT axis, domain AS k, count(*) AS n FROM long WHERE score < 60 AND domain IS NOT NULL GROUP BY 1, 2), t AS (SELECT axis, task_category AS k, count(*) AS n FROM long WHERE score < 60 AND task_category IS NOT NULL GROUP BY 1, 2), d2 AS (SELECT axis, string_agg(k || '=' || n::VARCHAR, ',' ORDER BY n DESC, k) AS by_domain FROM d GROUP BY 1), t2 AS (SELECT axis, string_agg(k || '=' || n::VARCHAR, ',' ORDER BY n DESC, k) AS by_task_category FROM t GROUP BY 1) SELECT axis, round(mean, 6) AS mean, low_count, round(low_rate, 6) AS low_rate, by_domain, by_task_category FROM w LEFT JOIN d2 USING (axis) LEFT JOIN t2 USING (axis)",
+    "worst_samples": f"{SCORED}, x AS (SELECT * REPLACE (round(weighted_score, 6) AS weighted_score) FROM scored {DONE} ORDER BY round(weighted_score, 6), result_id LIMIT 12), y AS (SELECT *, list_sort(list_filter([{', '.join(f'CASE WHEN {s} IS NOT NULL THEN {{v: {s}, o: {i}, a: {text(AXIS[s])}}} END' for i, s in enumerate(SHORT))}], lambda e: e IS NOT NULL))[1] AS low FROM x) SELECT result_id, task_id, domain, motion_type, weighted_score, low.a AS weakest_axis, round(low.v, 6) AS weakest_score, round(motion, 6) AS motion FROM y",
+    "worst_per_axis": f"{SCORED}, {LONG}, o AS (SELECT result_id, task_id, domain, task_category, axis, round(score, 6) AS score, row_number() OVER (PARTITION BY axis ORDER BY round(score, 6), result_id) AS position FROM long) SELECT * FROM o WHERE position <= 8",
+    "weakest_axis_per_sample": f"{SCORED}, y AS (SELECT result_id, list_sort(list_filter([{', '.join(f'CASE WHEN {s} IS NOT NULL THEN {{v: round({s}, 6), o: {i}, a: {text(AXIS[s])}}} END' for i, s in enumerate(SHORT))}], lambda e: e IS NOT NULL))[1] AS low FROM scored {DONE}) SELECT result_id, low.a AS weakest_axis, low.v AS weakest_score FROM y",
+    "difficulty_calibration": calibration(WORST, "weighted_score"),
+    "axis_calibration": calibration(f"coalesce(lower(trim(difficulty_profile[{text(R.GEOMETRY)}])), 'medium')", "geometry"),
+    "checker_dispatch": f"WITH {checker_rows()}, s AS (SELECT row_id, {tidy('domain')} AS domain, topology_type AS topology, {mapped(tidy('task_category'), R.LEGACY_TASKS)} AS task_category FROM samples) SELECT row_id, coalesce(names, other) AS checkers FROM s LEFT JOIN ck USING (domain, topology) LEFT JOIN fb USING (task_category)",
+    "infer_task_category": f"WITH {INFERRED} SELECT row_id, inferred_task FROM inferred",
+    "effective_weights": f"WITH {INFERRED}, own AS (SELECT row_id, {mapped('k', R.AXIS_ALIASES)} AS axis, w AS weight FROM (SELECT row_id, unnest(map_keys(axis_weights)) AS k, unnest(map_values(axis_weights)) AS w FROM samples)), prof AS (SELECT * FROM (VALUES {', '.join(f'({text(t)}, {text(a)}, {w}::DOUBLE)' for t, ws in R.TASK_WEIGHTS.items() for a, w in zip(R.AXES, ws))}) AS p(inferred_task, axis, weight)), big AS (SELECT row_id, axis, weight, 1 AS pri FROM own UNION ALL SELECT row_id, axis, weight, 2 FROM inferred JOIN prof USING (inferred_task)) SELECT row_id, axis, round(arg_max(weight, pri), 6) AS weight FROM big GROUP BY 1, 2",
+    "question_scores": f"{QA} SELECT row_id, count(*) AS total, count(*) FILTER (WHERE outcome <> 'wrong') AS correct, count(*) FILTER (WHERE outcome = 'superlative') AS superlative, round(avg((outcome <> 'wrong')::INT::DOUBLE), 6) AS accuracy FROM outcomes GROUP BY 1",
+    "weakness_accuracy": f"{QA} SELECT tag, count(*) AS total, count(*) FILTER (WHERE outcome <> 'wrong') AS correct, round(avg((outcome <> 'wrong')::INT::DOUBLE), 6) AS accuracy FROM outcomes GROUP BY 1",
+    "answer_join": f"{QA} SELECT row_id, pos::BIGINT AS pos, qid, expected, answer, outcome FROM outcomes",
+    "positional_join": f"WITH {ASKED} SELECT row_id, pos::BIGINT AS pos, CASE row_id % 4 WHEN 0 THEN CASE pos WHEN 1 THEN 'yes' ELSE 'no' END WHEN 2 THEN CASE pos WHEN 1 THEN 'yes' ELSE 'no' END ELSE 'no' END AS answer FROM asked",
+    "score_parse": f"WITH t AS (SELECT event_id, trim({RESPONSE}, ' ' || chr(9) || chr(10) || chr(13)) AS t, {RESPONSE} AS raw FROM events) SELECT event_id, coalesce({score_of('t', '')}, 50)::BIGINT AS plain, coalesce({score_of('t', '.,;:)')}, 50)::BIGINT AS marks, coalesce({score_of('split_part(t, chr(10), 1)', '.,;:)%')}, {score_of('t', '.,;:)%')}, 50)::BIGINT AS lines, {verdict('raw')} AS verdict FROM t",
+    "score_sources": "WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS j, CASE WHEN event_id % 4 <> 0 THEN value / 2 END AS m FROM events) SELECT event_id, CASE WHEN j IS NOT NULL THEN 'judge' WHEN m IS NOT NULL THEN 'measured' ELSE 'absent' END AS source, round(coalesce(j, m), 6) AS score, round(CASE WHEN j IS NOT NULL THEN 0.4 * m + 0.6 * j ELSE m END, 6) AS temporal, round(CASE WHEN j IS NOT NULL THEN 0.5 * (0.6 * m + 0.4 * 75) + 0.5 * j ELSE 0.6 * m + 0.4 * 75 END, 6) AS fidelity, round(0.6 * j + 0.4 * m, 6) AS kinematic FROM e",
+    "schema_violations": violation_rules(),
+    "motion_audit": f"{AUDIT} SELECT row_id, motion, array_to_string(issues, ',') AS issues, severity FROM audit",
+    "issue_counts": f"{AUDIT}, u AS (SELECT 'issue' AS kind, unnest(issues) AS name FROM audit WHERE severity <> 'none' UNION ALL SELECT 'severity', severity FROM audit WHERE severity <> 'none' AND len(issues) > 0 UNION ALL SELECT 'motion', coalesce(motion, 'none') FROM audit WHERE severity <> 'none' AND len(issues) > 0) SELECT kind, name, count(*) AS n FROM u GROUP BY 1, 2",
+    "issue_index": f"{AUDIT}, u AS (SELECT row_id, unnest(issues) AS issue FROM audit) SELECT issue, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM u GROUP BY 1",
+    "prompt_rules": f"""WITH n AS (SELECT *, {tidy('motion_type')} AS mo, regexp_extract(prompt, 'target motion value (\\d+(?:\\.\\d+)?)', 1) AS num, regexp_extract(prompt, 'target motion value (\\d+(?:\\.\\d+)?)([\\d.]*[\\dx°])?', 2) AS tail FROM samples),
+ o AS (SELECT *, num <> '' AND tail = '' AS ok, coalesce(mo = 'dolly' OR (NOT coalesce(mo IN ('orbit', 'pan'), false) AND try_cast(num AS DOUBLE) < 10), false) AS ratio FROM n)
+ SELECT row_id, md5(CASE WHEN video_generation_prompt LIKE '%No zoom.' THEN video_generation_prompt WHEN video_generation_prompt LIKE '%No zoom' THEN video_generation_prompt || '.' ELSE video_generation_prompt || ' No zoom.' END) AS closed,
+ md5(CASE WHEN ok THEN replace(prompt, 'target motion value ' || num, 'target motion value ' || CASE WHEN ratio THEN num || 'x' ELSE regexp_replace(num, '\\.0+$', '') || '°' END) ELSE prompt END) AS completed, regexp_replace(regexp_extract(image_path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '') AS stem FROM o""",
+    "variant_flags": f"WITH s AS (SELECT row_id, {tidy('motion_type')} AS motion, video_generation_prompt AS t, sensitivity_variants AS vs FROM samples), u AS (SELECT row_id, motion, unnest(vs) AS v FROM s), f AS (SELECT 'missing_no_zoom_suffix' AS flag FROM s WHERE t NOT LIKE '%No zoom.' UNION ALL SELECT 'variant_' || coalesce(v.difficulty, 'any') || '_mentions_orbit_but_motion_is_' || motion FROM u WHERE contains(lower(v.prompt_delta), 'orbit') AND motion <> 'orbit') SELECT flag, count(*) AS n FROM f GROUP BY 1",
+    "prompt_export": f"WITH {LATEST} SELECT task_id, domain, task_category, image_path, motion_type, viewpoint_motion_target, coalesce(video_generation_prompt, prompt) AS video_generation_prompt, prompt FROM latest",
+    "prompt_headers": f"WITH {LATEST}, o AS (SELECT task_id, coalesce(domain, '') AS d, coalesce(task_category, '') AS c FROM latest) SELECT task_id, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY c, task_id) = 1 THEN '## ' || d END AS domain_header, CASE WHEN row_number() OVER (PARTITION BY d, c ORDER BY task_id) = 1 THEN '### ' || c END AS task_header FROM o",
+    "reuse_counts": "SELECT image_path, row_id, task_id, CASE WHEN image_path IS NOT NULL THEN count(*) OVER (PARTITION BY image_path) END AS reuse FROM samples",
+    "dedupe_keep_first": "WITH h AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL) SELECT doc_id, hash, count(*) OVER (PARTITION BY hash) AS copies, min(doc_id) OVER (PARTITION BY hash) AS kept, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY hash) THEN 'keep' ELSE 'delete' END AS action FROM h",
+    "token_candidates": f"""WITH q AS (SELECT DISTINCT p_partkey AS query, unnest(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9]+')) AS token FROM part), i AS (SELECT DISTINCT asset_id AS item, unnest(regexp_split_to_array(lower(concat_ws(' ', asset_name, domain)), '[^a-z0-9]+')) AS token FROM assets),
+ sc AS (SELECT query, item, count(*) AS s FROM q JOIN i USING (token) WHERE length(token) >= 3 AND token NOT IN ({', '.join(map(text, R.STOP_TOKENS))}) GROUP BY 1, 2 UNION ALL SELECT p_partkey, asset_id, 3 FROM part JOIN assets ON asset_id = p_partkey % 400 + 1), t AS (SELECT query, item, sum(s)::BIGINT AS score FROM sc GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS position FROM t) SELECT * FROM r WHERE position <= 5""",
+    "sourcing_plan": f"WITH {LATEST}, n AS (SELECT image_path, count(*) AS reuse FROM samples WHERE image_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT image_path, 'yes' AS image_exists FROM samples WHERE row_id % 3 <> 0 AND image_path IS NOT NULL) SELECT task_id, latest.image_path AS image_path, coalesce(reuse, 0) AS reuse, coalesce(image_exists, 'no') AS image_exists FROM latest LEFT JOIN n ON latest.image_path = n.image_path LEFT JOIN p ON latest.image_path = p.image_path",
+    "image_sizes": "WITH p AS (SELECT p_partkey, p_size * 100 AS w, p_partkey % 40 * 90 + 200 AS h FROM part), s AS (SELECT *, least(1.0::DOUBLE, 1600.0::DOUBLE / greatest(w, h)) AS side FROM p), t AS (SELECT *, CASE WHEN w * h * side * side > 2250000 THEN sqrt(2250000.0::DOUBLE / (w * h)) ELSE side END AS scale FROM s) SELECT p_partkey, greatest(1, floor(w * scale))::BIGINT AS width, greatest(1, floor(h * scale))::BIGINT AS height, CASE WHEN least(w, h) < 700 THEN 'removed_too_small' ELSE 'kept' END AS status FROM t",
+    "integrity_counts": "WITH h AS (SELECT DISTINCT task_id, true AS there FROM sample_results WHERE task_id IS NOT NULL) SELECT count(*) AS total, count(there) AS found, count(*) - count(there) AS missing FROM samples LEFT JOIN h USING (task_id) WHERE task_id IS NOT NULL",
+    "missing_assets": "SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "keyed_samples": f"WITH {LATEST} SELECT task_id, row_id FROM latest",
+    "flow_kinematic": f"{FRAMES}, s AS (SELECT video, avg(abs(value)) AS mean_flow, quantile_cont(abs(value), 0.8) AS p80 FROM fr GROUP BY 1) SELECT video, round(mean_flow, 6) AS mean_flow, round(p80, 6) AS p80, round(coalesce(CASE WHEN p80 <= 0 THEN 1 ELSE greatest(0.1, 1 - least(mean_flow / (p80 * 5), 1)) END, 1), 6) AS score, mean_flow < CASE WHEN mean_flow < 20 THEN 0.5 ELSE 0.8 END AS static FROM s",
+    "count_invariant": f"{FRAMES}, n AS (SELECT video, greatest(1, round_even(median(n), 0)) AS nominal FROM fr GROUP BY 1), s AS (SELECT video, any_value(nominal) AS nominal, max(n) AS most, min(n) AS least, avg(greatest(0.1, 1 - 2 * abs(n - nominal) / nominal)) AS mean FROM fr JOIN n USING (video) GROUP BY 1) SELECT video, round(nominal::DOUBLE, 6) AS nominal, round(CASE WHEN most = 0 THEN 0.1 ELSE greatest(0.1, least(1, mean)) END, 5) AS score, most = least AND most > 0 AS stable FROM s",
+    "merge_fraction": f"{FRAMES} SELECT video, round(avg((n < 2)::INT::DOUBLE), 6) AS merge_fraction, round(1 - avg((n < 2)::INT::DOUBLE), 6) AS score FROM fr GROUP BY 1",
+    "coupling_cv": f"{FRAMES}, s AS (SELECT video, stddev_pop(value) / (avg(value) + 1e-8) AS cv FROM fr GROUP BY 1) SELECT video, round(cv, 6) AS cv, round(greatest(0.1, 1 - cv * 5), 6) AS score FROM s",
+    "direction_consistency": f"{FRAMES}, a AS (SELECT *, value - lag(value) OVER (PARTITION BY video ORDER BY frame) AS d FROM fr), b AS (SELECT *, (sign(d) <> sign(lag(d) OVER (PARTITION BY video ORDER BY frame)))::INT AS turn FROM a), c AS (SELECT video, coalesce(sum(turn), 0)::BIGINT AS turns, count(d) AS steps, bool_and(d >= 0) AS up, bool_and(d <= 0) AS down FROM b GROUP BY 1) SELECT video, turns, steps, turns <= 0.15 * steps AS consistent, coalesce(up OR down, true) AS monotonic FROM c",
+    "moving_average": f"{FRAMES} SELECT video, frame::BIGINT AS frame, round(sum(value) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) / 13, 6) AS smooth FROM fr",
+    "peak_gap_merge": f"{FRAMES.replace('WITH', 'WITH RECURSIVE')}, p AS (SELECT video, frame FROM fr WHERE value > 20), k AS (SELECT video, min(frame) AS frame FROM p GROUP BY 1 UNION ALL SELECT k.video, (SELECT min(p.frame) FROM p WHERE p.video = k.video AND p.frame - k.frame > 5) FROM k WHERE k.frame IS NOT NULL) SELECT video, count(frame) AS groups, string_agg(frame::VARCHAR, ',' ORDER BY frame) AS kept FROM k WHERE frame IS NOT NULL GROUP BY 1",
+    "anchor_pair": f'{FRAMES} SELECT video, round(arg_min(value, frame), 6) AS "first", round(arg_max(value, frame), 6) AS "last", round(arg_max(value, frame) FILTER (WHERE frame < frames - 1), 6) AS second_last FROM fr GROUP BY 1',
+    "adjacent_pairs": f"{FRAMES}, a AS (SELECT video, frame::BIGINT AS frame, lag(value) OVER (PARTITION BY video ORDER BY frame) AS previous, value FROM fr) SELECT video, frame, round(previous, 6) AS previous, round(value, 6) AS value FROM a WHERE previous IS NOT NULL",
+    "stride_sample": f"{FRAMES} SELECT video, frame::BIGINT AS frame FROM fr WHERE frame % greatest(1, frames // 8) = 0 OR frame = frames - 1",
+    "even_sample": f"{FRAMES}, i AS (SELECT unnest(range(8)) AS i), p AS (SELECT DISTINCT video, round_even(i * (frames - 1) / 7.0::DOUBLE, 0)::BIGINT AS frame FROM fr, i) SELECT video, frame::BIGINT AS frame FROM fr WHERE frames <= 8 OR (video, frame) IN (SELECT (video, frame) FROM p)",
+    "thirds_sample": f"{FRAMES} SELECT video, frame::BIGINT AS frame FROM fr WHERE frame IN (0, frames // 3, 2 * frames // 3, frames - 1)",
+    "first_middle_last": f"{FRAMES} SELECT video, frame::BIGINT AS frame FROM fr WHERE frame IN (0, frames // 2, frames - 1)",
+    "adjacent_cosine": f"{VECTORS} SELECT video::BIGINT AS video, round(avg(list_cosine_similarity(previous, vector)), 4) AS similarity, count(*) AS pairs FROM w WHERE previous IS NOT NULL GROUP BY 1",
+    "nn_chamfer": f"""{VECTORS}, i AS (SELECT unnest(range(32)) AS i), a AS (SELECT video, frame, i, previous[2 * i + 1] AS x, previous[2 * i + 2] AS y FROM w, i WHERE previous IS NOT NULL), b AS (SELECT video, frame, i, vector[2 * i + 1] AS x, vector[2 * i + 2] AS y FROM w, i WHERE previous IS NOT NULL),
+ d AS (SELECT a.video, a.frame, a.i AS ai, b.i AS bi, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM a JOIN b ON a.video = b.video AND a.frame = b.frame), l AS (SELECT video, frame, avg(m) AS v FROM (SELECT video, frame, ai, min(dist) AS m FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2), r AS (SELECT video, frame, avg(m) AS v FROM (SELECT video, frame, bi, min(dist) AS m FROM d GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT l.video::BIGINT AS video, l.frame::BIGINT AS frame, round((l.v + r.v) / 2, 4) AS chamfer, round(greatest(0.1, 1 - (l.v + r.v) / 2), 4) AS score FROM l JOIN r ON l.video = r.video AND l.frame = r.frame""",
+    "ratio_match": f"""{VECTORS}, i AS (SELECT unnest(range(8)) AS i), a AS (SELECT video, frame, i, previous[8 * i + 1 : 8 * i + 8] AS p FROM w, i WHERE previous IS NOT NULL), b AS (SELECT video, frame, i, vector[8 * i + 1 : 8 * i + 8] AS p FROM w, i WHERE previous IS NOT NULL),
+ d AS (SELECT a.video, a.frame, a.i, list_distance(a.p, b.p) AS dist, row_number() OVER (PARTITION BY a.video, a.frame, a.i ORDER BY list_distance(a.p, b.p)) AS k FROM a JOIN b ON a.video = b.video AND a.frame = b.frame), t AS (SELECT video, frame, i, max(dist) FILTER (WHERE k = 1) AS d1, max(dist) FILTER (WHERE k = 2) AS d2 FROM d GROUP BY 1, 2, 3), m AS (SELECT video, frame, count(*) FILTER (WHERE d1 < 0.75 * d2) AS matches FROM t GROUP BY 1, 2)
+ SELECT video::BIGINT AS video, frame::BIGINT AS frame, matches, round((CASE WHEN matches < 5 THEN 0.1 WHEN matches < 20 THEN 0.25 ELSE matches / 8.0 END)::DOUBLE, 4) AS score FROM m""",
+    "pairwise_dist": f"{VECTORS}, p AS (SELECT unnest(range(4)) AS i), q AS (SELECT a.i AS i, b.i AS j FROM p a, p b WHERE a.i < b.i) SELECT video::BIGINT AS video, frame::BIGINT AS frame, i::BIGINT AS i, j::BIGINT AS j, round(sqrt(pow(vector[2 * i + 1] - vector[2 * j + 1], 2) + pow(vector[2 * i + 2] - vector[2 * j + 2], 2)), 4) AS length FROM v, q",
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
+}
+SQL["sourcing_review"] = f"SELECT task_id, reuse, image_exists FROM ({SQL['sourcing_plan']}) WHERE reuse > 1 OR image_exists = 'no'"
+SQL["resolve_images"] = """WITH p AS (SELECT DISTINCT path FROM (SELECT CASE WHEN row_id % 2 = 0 THEN regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' ELSE image_path END AS path FROM samples) WHERE path IS NOT NULL),
+ c AS (SELECT row_id, 1 AS k, regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' AS path FROM samples UNION ALL SELECT row_id, 2, replace(image_path, '/images/', '/images_hq/') FROM samples UNION ALL SELECT row_id, 3, image_path FROM samples),
+ h AS (SELECT row_id, arg_min(path, k) AS resolved FROM c JOIN p USING (path) GROUP BY 1) SELECT row_id, image_path, resolved FROM samples LEFT JOIN h USING (row_id)"""
+SQL["kernel_bilateral_symmetry"] = """WITH v AS (SELECT label::BIGINT AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda x: greatest(0, least(255, round(x * 400 + 128)::INT))) AS p FROM embeddings), i AS (SELECT unnest(range(64)) AS i),
+ d AS (SELECT video, frame, abs(p[i + 1] - p[i // 8 * 8 + 7 - i % 8 + 1]) AS a, abs(p[i + 1] - p[(7 - i // 8) * 8 + i % 8 + 1]) AS b, abs(p[i + 1] - p[i % 8 * 8 + i // 8 + 1]) AS c FROM v, i),
+ s AS (SELECT video, frame, 1 - least(avg(a), avg(b), avg(c)) / 255 AS best FROM d GROUP BY 1, 2) SELECT video, frame, round(CASE WHEN best >= 0.25 THEN best ELSE 'nan'::DOUBLE END, 6) AS value FROM s"""
+
+
+def steady(sql: str) -> str:
+    """``round(x, 5 or 6)`` with a billionth added, so that ties fall alike in both engines."""
+    out, i = [], 0
+    while (at := sql.find("round(", i)) >= 0:
+        if at and (sql[at - 1].isalnum() or sql[at - 1] == "_"):
+            out.append(sql[i : at + 6])
+            i = at + 6
+            continue
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = steady(sql[at + 6 : end - 1])
+        body, _, digits = inner.rpartition(",")
+        out.append(sql[i:at] + (f"round(({body}) + 1e-9,{digits})" if digits.strip() in ("5", "6") else f"round({inner})"))
+        i = end
+    return "".join(out) + sql[i:]
+
+
+SQL = {name: steady(sql) for name, sql in SQL.items()}

@@ -29,9 +29,9 @@ def query(f):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, counts as bigint, for comparison between engines."""
+    """Doubles rounded (ties upwards), counts as bigint, for comparison between engines."""
     kinds = dict(df.dtypes)
-    return df.select(*(F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("bigint").alias(c) if kinds[c] == "int" else F.col(c) for c in df.columns))
+    return df.select(*((F.round(F.col(c) + 1e-9, digits) if digits > 4 else F.round(c, digits)).alias(c) if kinds[c] == "double" else F.col(c).cast("bigint").alias(c) if kinds[c] == "int" else F.col(c) for c in df.columns))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def leaderboard(spark, d):
 @query
 def leaderboard_markdown(spark, d):
     ranked = G.leaderboard(G.model_metrics(_scored(spark, d), table(spark, d, "models")))
-    return rounded(G.leaderboard_markdown(ranked.withColumns({c: F.round(c, 6) for c in ("overall", "relax_score", *S.SHORT)})))
+    return rounded(G.leaderboard_markdown(ranked.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("overall", "relax_score", *S.SHORT)})))
 
 
 @query
@@ -186,19 +186,19 @@ def ability_failures(spark, d):
 
 @query
 def worst_samples(spark, d):
-    rows = _scored(spark, d).withColumn("weighted_score", F.round("weighted_score", 6))
+    rows = _scored(spark, d).withColumn("weighted_score", F.round(F.col("weighted_score") + 1e-9, 6))
     return rounded(G.worst_samples(rows))
 
 
 @query
 def worst_per_axis(spark, d):
-    rows = _scored(spark, d).withColumns({s: F.round(s, 6) for s in S.SHORT})
+    rows = _scored(spark, d).withColumns({s: F.round(F.col(s) + 1e-9, 6) for s in S.SHORT})
     return rounded(G.worst_per_axis(rows))
 
 
 @query
 def weakest_axis_per_sample(spark, d):
-    rows = _scored(spark, d).withColumns({s: F.round(s, 6) for s in S.SHORT})
+    rows = _scored(spark, d).withColumns({s: F.round(F.col(s) + 1e-9, 6) for s in S.SHORT})
     return rounded(G.weakest_axis(S.completed(rows)))
 
 
@@ -396,7 +396,7 @@ def flow_kinematic(spark, d):
 
 @query
 def count_invariant(spark, d):
-    return rounded(X.count_invariant(_frames(spark, d)))
+    return rounded(X.count_invariant(_frames(spark, d)), 5)
 
 
 @query
@@ -487,7 +487,7 @@ def _kernel(name: str):
     def run(spark, d):
         from benchloom.kernels import apply_kernel
 
-        return apply_kernel(_pixels(spark, d), name)
+        return rounded(apply_kernel(_pixels(spark, d), name))
 
     run.__name__ = f"kernel_{name}"
     return query(run)
