@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL
+    return oracle.SQL | problems.ORACLE_SQL

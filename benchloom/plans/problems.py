@@ -36,3 +36,14 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_targets, p5_found, p5_scripts, p5_table)}
+
+#: The changes of top-level fields, by windows over JSON keys.
+P5_SQL = """WITH lines AS (SELECT file_id, payload AS p FROM raw_results WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'), keys AS (SELECT DISTINCT file_id, k, json_type(p, '$."' || k || '"') AS t FROM (SELECT file_id, p, unnest(json_keys(p)) AS k FROM lines)),
+ names AS (SELECT regexp_replace(lower(alias), '[^a-z0-9]', '', 'g') AS key, canonical FROM field_aliases UNION SELECT regexp_replace(lower(canonical), '[^a-z0-9]', '', 'g'), canonical FROM field_aliases),
+ fields AS (SELECT file_id, coalesce(canonical, k) AS field, string_agg(DISTINCT k, '|' ORDER BY k) AS written, string_agg(DISTINCT CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'NULL' THEN NULL ELSE lower(t) END, '|') AS kind FROM keys LEFT JOIN names ON key = regexp_replace(lower(k), '[^a-z0-9]', '', 'g') GROUP BY 1, 2),
+ placed AS (SELECT file_id, stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY file_seq, file_id) AS pos FROM result_files),
+ runs AS (SELECT f.*, stream_id, pos, pos - row_number() OVER (PARTITION BY stream_id, field ORDER BY pos) AS run FROM fields f JOIN placed USING (file_id) WHERE field NOT IN ('task_id', 'domain', 'task_category')),
+ known AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY stream_id, field, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(written) OVER (PARTITION BY stream_id, field, run ORDER BY pos) AS old, row_number() OVER (PARTITION BY stream_id, field, run ORDER BY pos) AS nth FROM runs)
+ SELECT file_id, field AS field_name, 'added' AS change_kind FROM known WHERE nth = 1 AND pos > 1 UNION ALL SELECT file_id, field, 'renamed' FROM known WHERE nth > 1 AND written <> old UNION ALL SELECT file_id, field, 'retyped' FROM known WHERE kind <> before UNION ALL
+ SELECT placed.file_id, r.field, 'removed' FROM runs r JOIN placed ON placed.stream_id = r.stream_id AND placed.pos = r.pos + 1 WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.stream_id = r.stream_id AND o.field = r.field AND o.pos = r.pos + 1)"""
+ORACLE_SQL = {"p5_found": P5_SQL}
