@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchloom.llm import mixing, nearpairs, quantiles, sampling, sentences, tokens
+from benchloom.llm import mixing, nearpairs, oracle, quantiles, sampling, sentences, tokens
 from benchloom.session import table
 
 
@@ -62,4 +62,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection, p8_found)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL
