@@ -13,6 +13,15 @@ SHORT = ("logic", "geometry", "physics", "temporal", "reference")
 COLUMNS = (f"{R.LOGIC}_score", f"{R.GEOMETRY}_score", f"{R.PHYSICS}_score", f"{R.TEMPORAL}_score", f"{R.REFERENCE}_score")
 
 
+def settle(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator that yields each once.
+
+    Columns that later expressions use many times are computed before it, once; without it the
+    optimizer would merge the projections and repeat their expressions in every use.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def constraint_score(details: str = "industrial_constraint_details") -> Column:
     """Share of the invariants checked that were not violated, 0..1; null where none was checked."""
     checked, broken = F.size(f"{details}.invariants_checked"), F.size(f"{details}.violations")
@@ -21,7 +30,7 @@ def constraint_score(details: str = "industrial_constraint_details") -> Column:
 
 def measurements(results: DataFrame) -> DataFrame:
     """One row a delivered result: names in canonical form, axes as measured or null."""
-    return results.select(
+    rows = results.select(
         "result_id",
         "model_id",
         "task_id",
@@ -37,12 +46,13 @@ def measurements(results: DataFrame) -> DataFrame:
         F.col("industrial_constraint_details.violations").alias("violations"),
         F.col("industrial_constraint_details.invariants_checked").alias("invariants"),
     )
+    return settle(rows)
 
 
 def folded(rows: DataFrame) -> DataFrame:
     """Motion folded into reference, constraints into geometry, and floors applied."""
     rows = rows.withColumns({"reference": A.fold_motion(F.col("reference"), F.col("motion")), "geometry": A.fold_constraint(F.col("geometry"), F.col("constraint"))})
-    return rows.withColumns({s: A.floored(axis, F.col(s)) for s, axis in zip(SHORT, R.AXES)})
+    return settle(rows.withColumns({s: A.floored(axis, F.col(s)) for s, axis in zip(SHORT, R.AXES)}))
 
 
 def score_samples(rows: DataFrame) -> DataFrame:
@@ -58,8 +68,9 @@ def score_samples(rows: DataFrame) -> DataFrame:
     weight = sum((F.when(F.col(s).isNotNull(), F.col(f"w_{s}")).otherwise(0.0) for s in SHORT[1:]), F.when(F.col("logic").isNotNull(), F.col("w_logic")).otherwise(0.0))
     rif = A.rif(F.col("logic"), F.col("geometry"), F.col("reference"))
     rows = rows.withColumns({"num_axes": sum(present[1:], present[0]), "weighted_score": F.coalesce(F.try_divide(total, weight), F.lit(0.0)), "rif": rif})
+    rows = settle(rows.drop("profile", *(f"w_{s}" for s in SHORT)))
     rows = rows.withColumns({"rif_gated": A.rif_gate(F.col("rif"), F.col("motion")), "strict": A.strict_pass(*(F.col(s) for s in SHORT)), "gate": A.gate_multiplier(F.col("motion"))})
-    return rows.drop("profile", *(f"w_{s}" for s in SHORT))
+    return rows
 
 
 def scored(results: DataFrame) -> DataFrame:
