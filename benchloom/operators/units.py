@@ -60,7 +60,7 @@ FILLERS = {"of", "the", "by", "about", "around", "roughly", "approximately", "ap
 #: Largest weighted edit distance, per character of the longer spelling, that still maps.
 MAX_DISTANCE = 0.25
 NUMBER = r"(?:\d+(?:\.\d+)?|\.\d+)"
-WRITTEN = r"(?:\d[\d\u00a0\u2009\u202f ,.]*|[.,]\d+)"
+WRITTEN = r"(?:\d+(?:[\u00a0\u2009\u202f ]\d{3}(?!\d))*(?:[.,]\d+)*|[.,]\d+)"
 
 
 def weighted_distance(a: str, b: str) -> float:
@@ -171,7 +171,7 @@ def readings(samples: DataFrame, sources: DataFrame) -> DataFrame:
         "source_id",
         motion_kind(F.col("motion_type"), F.col("constraint_annotations")).alias("kind"),
         _folded(F.col("viewpoint_motion_target")).alias("t"),
-        F.regexp_extract(F.col("prompt"), written + r"(?<=[\d\s])(?:\s*\([^)]*\)|,\s*expressed\s+in\s+[a-z]+|\s*(?:arc\s+minutes?|[^\s\d.,;:()]+))", 0).alias("clause"),
+        F.regexp_extract(F.col("prompt"), written + r"(?:\s*\([^)]*\)|,\s*expressed\s+in\s+[a-z]+|\s*(?:arc\s+minutes?|[^\s\d.,;:()]+))", 0).alias("clause"),
     ).where(F.col("kind").isin(*KINDS) & (F.col("t") != ""))
     rows = join_dimension(rows, sources, ["source_id"])
     t = F.col("t")
