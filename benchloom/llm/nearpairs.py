@@ -14,7 +14,12 @@ found in either.  Sets are never compared all with all:
    never exceed the words in which the sets differ, so this filter loses nothing.  Buckets
    above ``cap`` are cut into blocks, and all pairs of blocks are compared, each as a task of
    its own: slower, but complete.
-4. Candidates are verified on the sets themselves.
+4. A group of near copies so large that all its shared words are common would slip through
+   rare words.  A bounded sample of records (``sample``) shows such groups: a record near at
+   least ``hot`` of the sample is a pivot, and every record within twice the distance of the
+   threshold from a pivot also chooses the pivot's path.  By the triangle inequality that
+   bucket holds every near pair one of whose records is near the pivot; it is compared in blocks.
+5. Candidates are verified on the sets themselves.
 
 Runs with fresh clocks repeat until the recall asked for: ``runs_for`` gives their number
 from the recall of one run.  Tests and the README hold measured recall against brute force.
@@ -56,6 +61,9 @@ class Plan:
     depth: int = 4
     bucket: int = 32
     cap: int = 1024
+    sample: int = 512
+    hot: float = 0.01
+    power: float = 3.0
 
 
 def runs_for(recall: float, one_run: float) -> int:
@@ -85,32 +93,64 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
 
-def survey(sets: DataFrame) -> DataFrame:
-    """One pass: (0, field, hi, lo, row_id) for each text and (1, -, bucket, count, -) of the histogram."""
+def survey(sets: DataFrame, plan: Plan) -> DataFrame:
+    """One pass: (0, field, hi, lo, row_id) for each text, (1, -, bucket, count, -) of the histogram and (2, ..., words) of a sample."""
+    keep = math.ceil(8 * plan.sample / max(1, sets.rdd.getNumPartitions())) + 8
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histogram = np.zeros(1 << HISTOGRAM_BITS, np.int64)
 
-        def out(kind: int, field: np.ndarray, hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), kind, np.int8)), pa.array(field, pa.int8()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(row, pa.int64())], names=["kind", "field", "hi", "lo", "row_id"])
+        names = ["kind", "field", "hi", "lo", "row_id", "words"]
+        picked: list[tuple[int, int, int, int, int, np.ndarray]] = []
+
+        def out(kind: int, field: np.ndarray, hi: np.ndarray, lo: np.ndarray, row: np.ndarray, words: list | None = None) -> pa.RecordBatch:
+            lists = pa.array(words, pa.list_(pa.int64())) if words is not None else pa.nulls(len(hi), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), kind, np.int8)), pa.array(field, pa.int8()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(row, pa.int64()), lists], names=names)
 
         for b in batches:
             if not b.num_rows:
                 continue
             words, offsets = flat(b.column("words"))
             histogram += np.bincount((mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64), minlength=1 << HISTOGRAM_BITS)
-            hi, lo = np.add.reduceat(mix(words, 2), offsets[:-1]), np.add.reduceat(mix(words, 3), offsets[:-1])
-            yield out(0, b.column("field").to_numpy(), hi.view(np.int64), lo.view(np.int64), b.column("row_id").to_numpy())
+            hi, lo = np.add.reduceat(mix(words, 2), offsets[:-1]).view(np.int64), np.add.reduceat(mix(words, 3), offsets[:-1]).view(np.int64)
+            field, row = b.column("field").to_numpy(), b.column("row_id").to_numpy()
+            yield out(0, field, hi, lo, row)
+            place = mix(hi.view(np.uint64), 9)
+            for i in np.argsort(place, kind="stable")[:keep]:
+                picked.append((int(place[i]), int(field[i]), int(hi[i]), int(lo[i]), int(row[i]), words[offsets[i] : offsets[i + 1]].view(np.int64)))
+            picked = sorted(picked, key=lambda x: x[:5])[:keep]
         used = np.flatnonzero(histogram)
         yield out(1, np.zeros(len(used), np.int8), used, histogram[used], np.zeros(len(used), np.int64))
-
-    return sets.mapInArrow(scan, "kind tinyint, field tinyint, hi bigint, lo bigint, row_id bigint")
+        if picked:
+            yield out(2, *(np.array([x[k] for x in picked], t) for k, t in ((1, np.int8), (2, np.int64), (3, np.int64), (4, np.int64))), [x[5] for x in picked])
+
+    return sets.mapInArrow(scan, "kind tinyint, field tinyint, hi bigint, lo bigint, row_id bigint, words array<bigint>")
+
+
+def pivots(sampled: list[tuple[int, np.ndarray]], plan: Plan) -> list[tuple[int, np.ndarray]]:
+    """(field, words) of sampled records at the centre of groups of near records that hold ``hot`` of the sample."""
+    out = []
+    for field in {f for f, _ in sampled}:
+        sets = [w for f, w in sampled if f == field]
+        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        n = np.array([len(w) for w in sets])
+        x = np.zeros((len(sets), len(words)), np.float32)
+        x[np.repeat(np.arange(len(sets)), n), inverse] = 1
+        common = x @ x.T
+        close = common >= plan.threshold * (n[:, None] + n[None, :] - common) - 1e-6
+        while (best := int(close.sum(axis=1).argmax())) >= 0 and close[best].sum() > max(3, plan.hot * len(sets)):
+            out.append((field, np.sort(sets[best])))
+            gone = close[best].copy()
+            close[gone] = False
+            close[:, gone] = False
+    return out
 
 
 def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(set, path) of all chosen paths of a batch; ``share`` is the frequency of each word."""
     limit = plan.bucket / max(records, 1)
-    weight = np.maximum(-np.log(np.minimum(share, 0.999)), 0.05) ** 3
+    weight = np.maximum(-np.log(np.minimum(share, 0.999)), 0.05) ** plan.power
+    weight[share * records < 1.5] = 1e-6  # a word of one text alone cannot be shared
     sizes = np.diff(offsets)
     who, where = [], []
     for width in np.unique(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)):
@@ -162,21 +202,27 @@ def odd_sketches(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 ENTRY = "path bigint, rec bigint, s1 bigint, s2 bigint, n int"
 
 
-def entries(sets: DataFrame, histogram: np.ndarray, records: int, plan: Plan) -> DataFrame:
+def entries(sets: DataFrame, histogram: np.ndarray, records: int, plan: Plan, centres: list[tuple[int, np.ndarray]] = []) -> DataFrame:
     """A row for each path that a record chose. A record is 2 * row_id + field, for up to 2 fields."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(1.0, histogram / max(records, 1)).astype(np.float32))
+    shared = sets.sparkSession.sparkContext.broadcast((np.minimum(1.0, histogram / max(records, 1)).astype(np.float32), centres))
+    far = max(0.0, 2 * plan.threshold - 1)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             words, offsets = flat(b.column("words"))
-            share = np.maximum(shared.value[(mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)].astype(np.float64), 1.0 / max(records, 1))
+            shares, centres = shared.value
+            share = np.maximum(shares[(mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)].astype(np.float64), 1.0 / max(records, 1))
             who, path = paths_of(words, offsets, share, records, plan)
             s1, s2 = odd_sketches(words, offsets)
             field = b.column("field").to_numpy().astype(np.int64)
             rec = b.column("row_id").to_numpy() * 2 + field
             path = mix(path + field[who].astype(np.uint64), 5)
+            for k, (f, centre) in enumerate(centres):
+                common = np.add.reduceat(np.isin(words, centre.view(np.uint64)).astype(np.int64), offsets[:-1])
+                ball = np.flatnonzero((field == f) & (common >= far * (np.diff(offsets) + len(centre) - common) - 1e-9))
+                who, path = np.r_[who, ball], np.r_[path, mix(np.full(len(ball), k, np.uint64), 13)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (path.view(np.int64), rec[who], s1[who].view(np.int64), s2[who].view(np.int64), np.diff(offsets)[who].astype(np.int32))], names=["path", "rec", "s1", "s2", "n"])
 
     return sets.mapInArrow(choose, ENTRY)
@@ -266,27 +312,29 @@ def block_pairs(over: DataFrame, plan: Plan) -> DataFrame:
     return compare(rows.repartition("path").sortWithinPartitions("path"), plan, None)
 
 
-def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
-    """Word sets; (rec, row_id, copies) of all rows; the word histogram; how many records there are."""
+def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int, list]:
+    """Word sets; (rec, row_id, copies) of all rows; the word histogram; how many texts there are; pivots."""
     sets = word_sets(rows, fields, plan.min_chars)
-    seen = cut(survey(sets))
+    seen = cut(survey(sets, plan))
+    few = seen.where("kind = 2").dropDuplicates(["field", "hi", "lo"]).orderBy(F.xxhash64("hi"), "lo", "field").limit(2 * plan.sample).select("field", "words").collect()
+    centres = pivots([(r["field"], np.array(r["words"], np.int64)) for r in few], plan)
     counts = seen.where("kind = 1").groupBy("hi").agg(F.sum("lo").alias("n")).toPandas()
     histogram = np.zeros(1 << HISTOGRAM_BITS, np.int64)
     histogram[counts["hi"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     texts = seen.where("kind = 0")
     groups = texts.groupBy("field", "hi", "lo").agg(F.min("row_id").alias("first"), F.count("*").alias("copies"))
     members = cut(texts.join(groups, ["field", "hi", "lo"]).select((F.col("first") * 2 + F.col("field")).alias("rec"), "row_id", "field", "copies"))
-    return sets, members, histogram, members.count()
+    return sets, members, histogram, members.count(), centres
 
 
 def record_pairs(rows: DataFrame, fields: tuple[str, ...], plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
     """(a, b) of near records, verified; and the members of all records."""
     if len(fields) > 2:
         raise ValueError("at most two fields at once")
-    sets, members, histogram, total = records(rows, fields, plan)
+    sets, members, histogram, total, centres = records(rows, fields, plan)
     firsts = members.where(F.col("rec") == F.col("row_id") * 2 + F.col("field")).select("row_id", "field")
     alone = join_dimension(sets, firsts, ["row_id", "field"], "left_semi", ID_ROWS)
-    chosen = entries(alone, histogram, total, plan).repartition("path").sortWithinPartitions("path")
+    chosen = entries(alone, histogram, total, plan, centres).repartition("path").sortWithinPartitions("path")
     out = cut(compare(chosen, plan, plan.cap))
     pairs, over = out.where("kind = 0").select("a", "b"), out.where("kind = 1")
     if over.limit(1).count():

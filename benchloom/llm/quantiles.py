@@ -49,7 +49,7 @@ class Layout:
     lo: float = 0.0
     hi: float = 100.0
     bits: int = 16
-    width: int = 512
+    width: int = 2048
     depth: int = 5
     seed: int = 20
 

@@ -399,7 +399,7 @@ def train(documents: DataFrame, corpus: Corpus) -> np.ndarray:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [r for t in pdf["text"] for r in labelled(t, shared.value)]
-            yield pd.DataFrame({"x": [r[0] for r in rows], "y": [r[1] for r in rows]}, columns=["x", "y"])
+            yield pd.DataFrame({"x": pd.Series([r[0] for r in rows], dtype=object), "y": pd.Series([r[1] for r in rows], dtype="int32")})
 
     rows = sample.mapInPandas(scan, "x array<int>, y int").limit(SAMPLE_ROWS).toPandas()
     return fit([list(r) for r in rows["x"]], rows["y"].to_numpy(float))
