@@ -6,7 +6,8 @@
    Marks inside open quotes or brackets are none.
 3. A maximum-entropy (logistic) classifier decides candidates by neighbouring tokens, case,
    length, digits, script and quoting.  It is trained on reliable boundaries of the corpus
-   itself: marks that end a unit are boundaries; marks before a lower-case letter or a comma are none;
+   itself: marks that end a unit are boundaries, and so are those between a token that often ends
+   units and a number; marks before a lower-case letter or a comma are none;
    nor are those after a token, or in a quoting pattern, that occurs often inside units and
    never at their end.
 
@@ -52,6 +53,8 @@ NUMBERED = regex.compile(r"\s*[(（]?(\d{1,3})[.)）、]\s*\S")
 RUN = regex.compile(rf"[{regex.escape(MARKS)}](?:\s?(?=…|\.\.)[{regex.escape(MARKS)}]+|[{regex.escape(MARKS)}]+)?")
 THAI_BLANK = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
 TOKEN = regex.compile(r"[^\s(（\[“”„«»‘「『《\"]+$")
+#: What precedes a sentence that follows a mark without a blank.
+GLUED = regex.compile(r"^.*\p{Ll}[.!?](?=\p{Lu})")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’.][\p{L}\p{N}]+)*")
 
 
@@ -209,12 +212,13 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
             continue
         left = text[max(start, m.start() - 40) : m.start()].rstrip()
         t = TOKEN.search(left)
-        token = t.group() if t else left[-1:]
+        token = GLUED.sub("", t.group()) if t else left[-1:]
         rest = left[: t.start()].rstrip() if t else ""
         b = TOKEN.search(rest)
         kind = "ell" if mark[0] == "…" or mark.startswith("..") or "…" in mark else "dot" if alone else mark[-1]
         inside = any(a < at - 1 < b for a, b in spans)
-        out.append(Candidate(at, nxt == "end", inside, kind, closers, opened, token, b.group() if b else "", gap, nxt, word))
+        before = GLUED.sub("", b.group()) if b else ""
+        out.append(Candidate(at, nxt == "end", inside, kind, closers, opened, token, before, gap, nxt, word))
     return out
 
 
@@ -306,8 +310,11 @@ def label(c: Candidate, corpus: Corpus) -> int | None:
         return 1
     if c.nxt in ("lower", "goes_on", "quote_low", "bracket_low"):
         return 0
-    if any(corpus.level(kind, key) == "none" for kind, key in patterns(c)):
+    levels = [corpus.level(kind, key) for kind, key in patterns(c)]
+    if "none" in levels:
         return 0
+    if c.nxt == "digit" and c.gap and set(levels) == {"many"}:
+        return 1
     return None
 
 
