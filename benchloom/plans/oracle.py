@@ -257,6 +257,19 @@ SQL["kernel_bilateral_symmetry"] = """WITH v AS (SELECT label::BIGINT AS video,
  d AS (SELECT video, frame, abs(p[i + 1] - p[i // 8 * 8 + 7 - i % 8 + 1]) AS a, abs(p[i + 1] - p[(7 - i // 8) * 8 + i % 8 + 1]) AS b, abs(p[i + 1] - p[i % 8 * 8 + i // 8 + 1]) AS c FROM v, i),
  s AS (SELECT video, frame, 1 - least(avg(a), avg(b), avg(c)) / 255 AS best FROM d GROUP BY 1, 2) SELECT video, frame, round(CASE WHEN best >= 0.25 THEN best ELSE 'nan'::DOUBLE END, 6) AS value FROM s"""
 
+SQL["lattice_score"] = "WITH e AS (SELECT event_id, least(event_id % 60, user_id % 70) AS l, event_id % 37 AS m, CASE WHEN event_id % 9 <> 0 THEN value / 100 END AS c FROM events) SELECT event_id, round(CASE WHEN l < 10 THEN 0.3::DOUBLE WHEN m < 5 THEN 0.1 WHEN m < 20 THEN 0.25 ELSE greatest(0.1, m::DOUBLE / l) END, 6) AS lattice, round(CASE WHEN c IS NULL THEN 0.1::DOUBLE ELSE greatest(0.1, 1 - c) END, 6) AS surface FROM e"
+SQL["geometry_route"] = """WITH s AS (SELECT row_id, CASE sub_topology WHEN '2d_planar' THEN 'spectral' WHEN '3d_spatial' THEN 'lattice' WHEN 'aerodynamic' THEN 'surface' WHEN 'rigid_housing' THEN 'lattice' WHEN 'articulated' THEN 'articulated' WHEN 'rotational' THEN 'rotary' WHEN 'cable_hose' THEN 'kinematic'
+ ELSE CASE primary_topology WHEN 'kinematic' THEN 'kinematic' WHEN 'flexible' THEN 'kinematic' WHEN 'lattice' THEN 'lattice' WHEN 'surface' THEN 'lattice' END END AS method FROM samples),
+ t AS (SELECT *, coalesce(CASE method WHEN 'spectral' THEN row_id * 3 % 101 / 100.0::DOUBLE WHEN 'lattice' THEN row_id * 5 % 101 / 100.0::DOUBLE WHEN 'surface' THEN row_id * 7 % 101 / 100.0::DOUBLE WHEN 'articulated' THEN 0.6 * (row_id * 11 % 101 / 100.0::DOUBLE) + 0.4 * (row_id * 13 % 101 / 100.0::DOUBLE) WHEN 'rotary' THEN CASE WHEN row_id % 2 = 0 THEN row_id * 17 % 101 / 100.0::DOUBLE END WHEN 'kinematic' THEN row_id * 11 % 101 / 100.0::DOUBLE END, 0) AS score FROM s)
+ SELECT row_id, method, round(score, 6) AS score, round(CASE WHEN method IN ('spectral', 'rotary') THEN 0 ELSE score END, 6) AS parity FROM t"""
+SQL["constraint_mean"] = "SELECT user_id AS video, round(greatest(0, least(1, avg(CASE WHEN event_id % 5 <> 0 THEN event_id % 13 / 10.0::DOUBLE ELSE 0 END))), 4) AS \"constraint\", count(*) AS checkers FROM events GROUP BY 1"
+SQL["viewpoint_motion"] = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS n, o_custkey % 40 / 10.0::DOUBLE AS flow FROM orders), p AS (SELECT *, CASE WHEN k % 3 <> 0 THEN k % 200 END AS s1, CASE WHEN k % 4 <> 0 THEN k % 90 END AS s2, CASE WHEN k % 7 <> 0 THEN k % 30 END AS s3, CASE WHEN k % 3 <> 0 THEN k % 360 - 180 END AS t1, CASE WHEN k % 5 <> 0 THEN k % 50 END AS t2, n < 2 OR flow < CASE WHEN k % 3 = 0 THEN 0.5 ELSE 0.8 END AS still FROM o)
+ SELECT k AS o_orderkey, CASE WHEN still THEN 'static_detected' WHEN k % 2 = 0 THEN CASE WHEN s1 IS NOT NULL THEN 'affine' WHEN s2 IS NOT NULL THEN 'phase' WHEN s3 IS NOT NULL THEN 'flow' ELSE 'uncalculable' END WHEN t1 IS NOT NULL THEN 'anchor_to_final' WHEN t2 IS NOT NULL THEN 'anchor_to_second_last' ELSE 'uncalculable' END AS method,
+ round(CASE WHEN still THEN 0 WHEN k % 2 = 0 THEN degrees(atan2(abs(coalesce(s1, s2, s3))::DOUBLE, 540 / tan(radians(30)))) ELSE abs(coalesce(t1, t2))::DOUBLE END, 6) AS value FROM p"""
+SQL["clip_scores"] = """WITH e AS (SELECT event_id, event_id % 4 AS n, event_id % 100 / 100.0::DOUBLE AS s, CASE WHEN event_id % 3 = 0 THEN (event_id % 90)::DOUBLE END AS j, (event_id % 21 - 10) / 10.0::DOUBLE AS h FROM events), f AS (SELECT *, 0.6 * (s * 100) + 0.4 * ((h + 1) / 2 * 100) AS cv FROM e)
+ SELECT event_id, round(CASE WHEN n >= 2 THEN round(CASE WHEN j IS NOT NULL THEN 0.4 * (s * 100) + 0.6 * j ELSE s * 100 END, 2) END, 1) AS temporal, round(CASE WHEN n >= 1 THEN round(greatest(0, least(100, CASE WHEN j IS NOT NULL THEN 0.5 * cv + 0.5 * j ELSE cv END)), 2) END, 1) AS fidelity FROM f"""
+SQL["judge_prompts"] = """WITH s AS (SELECT row_id, prompt, (constraint_annotations::JSON -> '$.hard_constraints')::VARCHAR[] AS hard FROM samples) SELECT row_id, md5('Rate from 0 to 100 how physically plausible the clip is: ' || prompt || chr(10) || CASE WHEN len(hard) > 0 THEN 'Each of these must hold throughout:' || chr(10) || array_to_string(list_transform(hard, lambda c: '- ' || c), chr(10)) || chr(10) ELSE '' END || 'Answer with one whole number, then a reason.') AS prompt FROM s"""
+SQL["token_totals"] = "SELECT event_type AS judge, sum(coalesce(CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END, 0) + event_id % 77)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY 1"
 
 def steady(sql: str) -> str:
     """``round(x, 5 or 6)`` with a billionth added, so that ties fall alike in both engines."""

@@ -14,6 +14,7 @@ from benchloom.functions import axes as A
 from benchloom.functions import text as T
 from benchloom.operators import aggregate as G
 from benchloom.operators import dataops as D
+from benchloom.operators import measures as M
 from benchloom.operators import qa as Q
 from benchloom.operators import scoring as S
 from benchloom.operators import series as X
@@ -503,3 +504,58 @@ def event_windows(spark, d):
     e = table(spark, d, "events")
     rows = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return rounded(rows.select(F.col("window.start").alias("window_start"), "event_type", "n", "mean_value"))
+
+
+@query
+def lattice_score(spark, d):
+    e = table(spark, d, "events")
+    a, b, m = F.col("event_id") % 60, F.col("user_id") % 70, F.col("event_id") % 37
+    return rounded(e.select("event_id", M.lattice_score(a, b, m).alias("lattice"), M.surface_score(F.when(F.col("event_id") % 9 != 0, F.col("value") / 100.0)).alias("surface")))
+
+
+@query
+def geometry_route(spark, d):
+    """The score a sample's topology calls for, as meant and as a faulty runner gives it."""
+    rows = table(spark, d, "samples")
+    value = lambda k: (F.col("row_id") * k % 101) / 100.0
+    m = {"spectral": value(3), "lattice": value(5), "surface": value(7), "articulated": A.kinematic_blend(value(11), value(13)), "rotary": F.when(F.col("row_id") % 2 == 0, value(17)), "kinematic": value(11)}
+    method, score = M.geometry_route(F.col("sub_topology"), F.col("primary_topology"), m)
+    parity = M.geometry_route(F.col("sub_topology"), F.col("primary_topology"), m, strict_parity=True)[1]
+    return rounded(rows.select("row_id", method.alias("method"), score.alias("score"), parity.alias("parity")))
+
+
+@query
+def constraint_mean(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("video"), F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 13) / 10.0).alias("score"))
+    return rounded(M.constraint_mean(e), 4)
+
+
+@query
+def viewpoint_motion(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "crane").otherwise("orbit").alias("motion"), (F.col("o_orderkey") % 5).alias("frames"), ((F.col("o_custkey") % 40) / 10.0).alias("flow"))
+    k = F.col("o_orderkey")
+    some = lambda n, c: F.when(k % n != 0, c)
+    shifts = [("affine", some(3, (k % 200).cast("double"))), ("phase", some(4, (k % 90).cast("double"))), ("flow", some(7, (k % 30).cast("double")))]
+    turns = [("anchor_to_final", some(3, (k % 360 - 180).cast("double"))), ("anchor_to_second_last", some(5, (k % 50).cast("double")))]
+    method, value = M.viewpoint_motion(F.col("motion"), F.col("frames"), F.col("flow"), k % 3 == 0, shifts, turns, F.lit(1080.0))
+    return rounded(o.select("o_orderkey", method.alias("method"), value.alias("value")))
+
+
+@query
+def clip_scores(spark, d):
+    """Temporal consistency and visual fidelity of clips with and without a judge."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    ssim, judged = (k % 100) / 100.0, F.when(k % 3 == 0, (k % 90).cast("double"))
+    return rounded(e.select("event_id", F.round(M.temporal_consistency(ssim, k % 4, judged), 1).alias("temporal"), F.round(M.visual_fidelity(ssim, (k % 21 - 10) / 10.0, k % 4, judged), 1).alias("fidelity")), 4)
+
+
+@query
+def judge_prompts(spark, d):
+    hard = F.from_json(F.get_json_object("constraint_annotations", "$.hard_constraints"), "array<string>")
+    return table(spark, d, "samples").select("row_id", F.md5(M.judge_prompt(F.col("prompt"), hard)).alias("prompt"))
+
+
+@query
+def token_totals(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("judge"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"))
+    return rounded(M.token_totals(e))
