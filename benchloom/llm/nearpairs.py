@@ -82,9 +82,9 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 def word_sets(rows: DataFrame, fields: tuple[str, ...], min_chars: int) -> DataFrame:
     """(row_id, field, words): hashes of the distinct words of each text that counts."""
     texts = [F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)]
-    rows = rows.select("row_id", F.explode(F.array(*texts)).alias("t")).select("row_id", "t.*").where(F.char_length("text") >= min_chars)
+    rows = rows.select("row_id", F.explode(F.array(*texts)).alias("t")).select("row_id", "t.*").where((F.char_length("text") >= min_chars) & F.lower("text").rlike("[a-z0-9]"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    return rows.select("row_id", "field", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
+    return rows.select("row_id", "field", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
