@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -81,9 +83,10 @@ def units(text: str) -> list[tuple[int, int, int]]:
     begin = 0
     for m in [*BLANK_LINE.finditer(text), None]:
         end = m.start() if m else len(text)
-        cuts, number = [begin], None
+        cuts, number, first = [begin], None, True
         for line in LINE.finditer(text, begin, end):
-            first = not text[begin : line.start()].strip()
+            if line.group().isspace():
+                continue
             n = NUMBERED.match(text, line.start(), end)
             value = int(n.group(1)) if n else None
             if n and (first or number is not None and value == number + 1):
@@ -92,6 +95,7 @@ def units(text: str) -> list[tuple[int, int, int]]:
             elif BULLET.match(text, line.start(), end):
                 number = None
                 cuts.append(line.start())
+            first = False
         cuts.append(end)
         for a, b in zip(cuts, cuts[1:]):
             piece = text[a:b]
@@ -158,8 +162,15 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
     spans: list[tuple[int, int]] = []
     closed_at: dict[int, tuple[str, int]] = {}
 
-    def close(at: int) -> None:
+    waiting: Counter[str] = Counter()  # closing marks that some open one waits for
+
+    def drop() -> tuple[str, int]:
         opener, since = stack.pop()
+        waiting.subtract(OPEN.get(opener, ""))
+        return opener, since
+
+    def close(at: int) -> None:
+        opener, since = drop()
         spans.append((since, at))
         closed_at[at] = opener, since
 
@@ -170,10 +181,12 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
             close(i)
         elif ch in OPEN or ch == '"' or ch == "'" and (i == start or not text[i - 1].isalnum()) and i + 1 < end and text[i + 1].isalnum():
             stack.append((ch, i))
-        elif ch in CLOSE and any(ch in OPEN.get(o, "") for o, _ in stack):
+            waiting.update(OPEN.get(ch, ""))
+        elif ch in CLOSE and waiting[ch] > 0:
             while ch not in OPEN.get(stack[-1][0], ""):
-                stack.pop()
+                drop()
             close(i)
+    begins, ends = sorted(a for a, _ in spans), sorted(b for _, b in spans)
     pos = start
     while m := RUN.search(text, pos, end):
         pos = at = m.end()
@@ -216,7 +229,7 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
         rest = left[: t.start()].rstrip() if t else ""
         b = TOKEN.search(rest)
         kind = "ell" if mark[0] == "…" or mark.startswith("..") or "…" in mark else "dot" if alone else mark[-1]
-        inside = any(a < at - 1 < b for a, b in spans)
+        inside = bisect_left(begins, at - 1) > bisect_right(ends, at - 1)
         before = GLUED.sub("", b.group()) if b else ""
         out.append(Candidate(at, nxt == "end", inside, kind, closers, opened, token, before, gap, nxt, word))
     return out
