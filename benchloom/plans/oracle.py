@@ -270,6 +270,9 @@ SQL["clip_scores"] = """WITH e AS (SELECT event_id, event_id % 4 AS n, event_id
  SELECT event_id, round(CASE WHEN n >= 2 THEN round(CASE WHEN j IS NOT NULL THEN 0.4 * (s * 100) + 0.6 * j ELSE s * 100 END, 2) END, 1) AS temporal, round(CASE WHEN n >= 1 THEN round(greatest(0, least(100, CASE WHEN j IS NOT NULL THEN 0.5 * cv + 0.5 * j ELSE cv END)), 2) END, 1) AS fidelity FROM f"""
 SQL["judge_prompts"] = """WITH s AS (SELECT row_id, prompt, (constraint_annotations::JSON -> '$.hard_constraints')::VARCHAR[] AS hard FROM samples) SELECT row_id, md5('Rate from 0 to 100 how physically plausible the clip is: ' || prompt || chr(10) || CASE WHEN len(hard) > 0 THEN 'Each of these must hold throughout:' || chr(10) || array_to_string(list_transform(hard, lambda c: '- ' || c), chr(10)) || chr(10) ELSE '' END || 'Answer with one whole number, then a reason.') AS prompt FROM s"""
 SQL["token_totals"] = "SELECT event_type AS judge, sum(coalesce(CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END, 0) + event_id % 77)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY 1"
+SQL["streaming_metrics"] = f"{SCORED} SELECT model_id, count(*) AS n, round(avg(weighted_score), 6) AS relax_score, round(avg(strict::INT::DOUBLE), 6) AS strict_pass_rate, round(avg(weighted_score * gate), 6) AS gated_score FROM scored {DONE} GROUP BY 1"
+SQL["user_sessions"] = "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), b AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS started, count(*) AS n FROM b GROUP BY user_id, k"
+
 
 def steady(sql: str) -> str:
     """``round(x, 5 or 6)`` with a billionth added, so that ties fall alike in both engines."""

@@ -6,6 +6,8 @@ answers, frame series, vectors) is derived from the star schema by arithmetic bo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from benchloom.operators import qa as Q
 from benchloom.operators import scoring as S
 from benchloom.operators import series as X
 from benchloom.operators import taxonomy
-from benchloom.session import table
+from benchloom.session import checkpoint_dir, table
+from benchloom.streaming import incremental
 
 QUERIES = {}
 
@@ -559,3 +562,21 @@ def judge_prompts(spark, d):
 def token_totals(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("judge"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"))
     return rounded(M.token_totals(e))
+
+
+@query
+def streaming_metrics(spark, d):
+    """Model metrics kept up over a stream of the results, read to its end; one row a model reaches the sink."""
+    path = f"{d}/sample_results.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    name = f"running_{uuid.uuid4().hex}"
+    incremental.start(incremental.running_metrics(stream), name, f"{checkpoint_dir(spark)}/{name}").awaitTermination()
+    return rounded(spark.table(name))
+
+
+@query
+def user_sessions(spark, d):
+    """Sessions of each user with gaps of at most 30 minutes."""
+    e = table(spark, d, "events")
+    rows = e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("session_window.start").alias("started"), "n")
