@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Nodes of a trie, and words with known ids, that a worker keeps at most.
-MAX_NODES, MAX_WORDS = 2_000_000, 500_000
+MAX_NODES, MAX_WORDS = 1_000_000, 500_000
 
 
 class TrieEncoder:
