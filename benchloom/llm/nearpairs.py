@@ -363,24 +363,35 @@ def found(rows: DataFrame, fields: tuple[str, ...] = ("prompt", "video_generatio
     return across.unionByName(within).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), named.alias("field_name"))
 
 
-def groups(rows: DataFrame, fields: tuple[str, ...] = ("prompt", "video_generation_prompt"), plan: Plan = Plan(), rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(a, label): the least record linked to each record of ``edges``, which hold every pair both ways.
+
+    Each round every record goes to the least of itself and its neighbours in an order drawn anew,
+    and from there once more; what went to one place is one record of the next round.  Half of the
+    records are left in expectation, whatever the links look like, and the one last in the order
+    never is, so the rounds end by themselves, after about the logarithm of the longest chain.
+    """
+    labels, rest, turn = cut(edges.select("a").distinct().withColumn("label", F.col("a"))), edges, 0
+    while rest.limit(1).count():
+        order = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("place"), F.col(c).alias("to"))
+        step = rest.groupBy("a").agg(F.min(order("b")).alias("least")).select("a", F.least(order("a"), "least")["to"].alias("to"))
+        step = cut(step)
+        step = cut(step.join(step.select(F.col("a").alias("to"), F.col("to").alias("further")), "to").select("a", F.col("further").alias("to")))
+        labels = cut(labels.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select("a", F.coalesce("to", "label").alias("label")))
+        ends = rest.join(step.select("a", F.col("to").alias("x")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        rest, turn = cut(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()), turn + 1
+    least = labels.groupBy("label").agg(F.min("a").alias("least"))
+    return labels.join(least, "label").select("a", F.col("least").alias("label"))
+
+
+def groups(rows: DataFrame, fields: tuple[str, ...] = ("prompt", "video_generation_prompt"), plan: Plan = Plan()) -> DataFrame:
     """(row_id, field_name, class_id, links): one row a text; its class is the least row of all linked to it.
 
-    Labels take the least label of a neighbour and then that label's own label, so
-    chains of links shorten by half a round; ``links`` counts near records with other words and
-    other copies.
+    ``links`` counts near records with other words and other copies.
     """
     pairs, members = record_pairs(rows, fields, plan)
     edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
-        least = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(least, "a").select("a", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
-        jump = step.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("a", "old", F.coalesce("further", "label").alias("label")))
-        labels = step.select("a", "label")
-        if not step.where("old <> label").limit(1).count():
-            break
+    labels = components(edges)
     degree = edges.groupBy("a").agg(F.count("*").alias("near"))
     out = members.join(labels.join(degree, "a").withColumnRenamed("a", "rec"), "rec", "left")
     named = F.element_at(F.array(*map(F.lit, fields)), (F.col("field") + 1).cast("int"))

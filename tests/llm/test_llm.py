@@ -243,6 +243,15 @@ def test_chains_form_one_class(spark):
     assert {r["class_id"] for r in got} == {0} and all(r["links"] >= 1 for r in got)
 
 
+def test_long_chains_form_one_class(spark):
+    """Chains of 400 texts, numbered at random and up from both ends: labels have hundreds of hops to go."""
+    text = lambda c, k: " ".join(f"chain{c}word{i}" for i in range(k, k + 40))
+    at_random, ends = np.random.default_rng(9).permutation(400), [2 * min(k, 399 - k) + (k >= 200) for k in range(400)]
+    rows = [(int(i), text(0, 5 * k), None, "") for k, i in enumerate(at_random)] + [(400 + i, text(1, 5 * k), None, "") for k, i in enumerate(ends)]
+    got = nearpairs.groups(spark.createDataFrame(rows, PAIRS)).collect()
+    assert len(got) == 800 and all(r["class_id"] == (0 if r["row_id"] < 400 else 400) for r in got)
+
+
 def test_pairs_dirt(spark):
     long = "a long prompt of many words " * 3
     rows = [(1, None, None, ""), (2, "", "", ""), (3, "short", long, ""), (4, "é " * 60, long, ""), (5, "!" * 80, long.upper(), ""), (6, "é " * 60, None, "")]
