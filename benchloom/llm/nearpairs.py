@@ -6,7 +6,9 @@ found in either.  Sets are never compared all with all:
 1. Texts with one set of words become one record (an order-free 128-bit hash of the set); the
    same pass counts words in a histogram of fixed size.
 2. Each run samples ``picks`` words of every record, rarer words more often, by exponential
-   clocks that all records share, so that near records sample much the same words.  From the
+   clocks that all records share, so that near records sample much the same words.  Words in
+   fewer than ``level`` of the records weigh alike: else words that edits brought in, rarer than
+   those a group of near copies shares, would take all picks.  From the
    sampled words each record branches into paths: a path takes one more word until the
    product of its words' frequencies falls below ``bucket / records`` (or ``depth`` words).
    Records that chose the same path form a bucket of a few records in expectation.
@@ -22,7 +24,8 @@ found in either.  Sets are never compared all with all:
 5. Candidates are verified on the sets themselves.
 
 Runs with fresh clocks repeat until the recall asked for: ``runs_for`` gives their number
-from the recall of one run.  Tests and the README hold measured recall against brute force.
+from the recall of one run, which ``one_run`` measures on pairs made of sampled records that are
+only just near and differ in rare words.  Tests and the README hold measured recall against brute force.
 
 Defined results.  Null texts and those under ``min_chars`` code points never count; texts
 without words have no partner.  Repeated deliveries count: all rows of one record are pairs of
@@ -33,7 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -56,7 +59,8 @@ class Plan:
 
     threshold: float = 0.7
     min_chars: int = 50
-    runs: int = 3
+    recall: float = 0.99
+    runs: int = 3  # at least
     picks: int = 5
     depth: int = 4
     bucket: int = 32
@@ -64,6 +68,7 @@ class Plan:
     sample: int = 512
     hot: float = 0.01
     power: float = 3.0
+    level: float = 0.02
 
 
 def runs_for(recall: float, one_run: float) -> int:
@@ -149,7 +154,7 @@ def pivots(sampled: list[tuple[int, np.ndarray]], plan: Plan) -> list[tuple[int,
 def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(set, path) of all chosen paths of a batch; ``share`` is the frequency of each word."""
     limit = plan.bucket / max(records, 1)
-    weight = np.maximum(-np.log(np.minimum(share, 0.999)), 0.05) ** plan.power
+    weight = np.maximum(-np.log(np.clip(share, plan.level, 0.999)), 0.05) ** plan.power
     weight[share * records < 1.5] = 1e-6  # a word of one text alone cannot be shared
     sizes = np.diff(offsets)
     who, where = [], []
@@ -191,6 +196,39 @@ def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records:
     return np.concatenate(who), np.concatenate(where)
 
 
+def shares_of(words: np.ndarray, shares: np.ndarray, records: int) -> np.ndarray:
+    """The frequency of each word, by the histogram's ``shares``."""
+    return np.maximum(shares[(mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)].astype(np.float64), 1.0 / max(records, 1))
+
+
+def one_run(sampled: list[np.ndarray], shares: np.ndarray, records: int, plan: Plan, trials: int = 8) -> float:
+    """Share of hard pairs that one run finds.
+
+    Two copies of each sampled set keep as few common words as ``threshold`` allows; all others
+    are replaced by words of two records each, the rarest that can mislead a path.
+    """
+    rng = np.random.default_rng(17)
+    rare = 2.0 / max(records, 1)
+    words, share = [], []
+    for w in sampled:
+        same = math.ceil(2 * len(w) * plan.threshold / (1 + plan.threshold) - 1e-9)
+        kept = rng.permutation(w.view(np.uint64))[:same]
+        for _ in range(2):
+            words.append(np.r_[kept, rng.integers(1 << 63, size=len(w) - same).astype(np.uint64)])
+            share.append(np.r_[np.maximum(shares_of(kept, shares, records), rare), np.full(len(w) - same, rare)])
+    if not words:
+        return 0.5
+    offsets, met = np.r_[0, np.cumsum([len(w) for w in words])], 0
+    words, share = np.concatenate(words), np.concatenate(share)
+    for k in range(trials):
+        who, path = paths_of(mix(words, 1_000 + k), offsets, share, records, replace(plan, runs=1))
+        pairs = np.unique(np.stack([who.astype(np.uint64), path], 1), axis=0)
+        pair, path = (pairs[:, 0] >> np.uint64(1)), pairs[:, 1]
+        both, times = np.unique(np.stack([pair, path], 1), axis=0, return_counts=True)
+        met += len(np.unique(both[times > 1, 0]))
+    return (met + 1) / (trials * len(sampled) + 2)
+
+
 def odd_sketches(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set: the parity of how many of its words fall on each."""
     h = mix(words, 7) >> np.uint64(57)
@@ -213,7 +251,7 @@ def entries(sets: DataFrame, histogram: np.ndarray, records: int, plan: Plan, ce
                 continue
             words, offsets = flat(b.column("words"))
             shares, centres = shared.value
-            share = np.maximum(shares[(mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)].astype(np.float64), 1.0 / max(records, 1))
+            share = shares_of(words, shares, records)
             who, path = paths_of(words, offsets, share, records, plan)
             s1, s2 = odd_sketches(words, offsets)
             field = b.column("field").to_numpy().astype(np.int64)
@@ -312,26 +350,31 @@ def block_pairs(over: DataFrame, plan: Plan) -> DataFrame:
     return compare(rows.repartition("path").sortWithinPartitions("path"), plan, None)
 
 
-def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int, list]:
-    """Word sets; (rec, row_id, copies) of all rows; the word histogram; how many texts there are; pivots."""
+def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int, list, int]:
+    """Word sets; (rec, row_id, copies) of all rows; the word histogram; how many texts there are; pivots; runs."""
     sets = word_sets(rows, fields, plan.min_chars)
     seen = cut(survey(sets, plan))
     few = seen.where("kind = 2").dropDuplicates(["field", "hi", "lo"]).orderBy(F.xxhash64("hi"), "lo", "field").limit(2 * plan.sample).select("field", "words").collect()
-    centres = pivots([(r["field"], np.array(r["words"], np.int64)) for r in few], plan)
+    sampled = [(r["field"], np.array(r["words"], np.int64)) for r in few]
+    centres = pivots(sampled, plan)
     counts = seen.where("kind = 1").groupBy("hi").agg(F.sum("lo").alias("n")).toPandas()
     histogram = np.zeros(1 << HISTOGRAM_BITS, np.int64)
     histogram[counts["hi"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     texts = seen.where("kind = 0")
     groups = texts.groupBy("field", "hi", "lo").agg(F.min("row_id").alias("first"), F.count("*").alias("copies"))
     members = cut(texts.join(groups, ["field", "hi", "lo"]).select((F.col("first") * 2 + F.col("field")).alias("rec"), "row_id", "field", "copies"))
-    return sets, members, histogram, members.count(), centres
+    total = members.count()
+    shares = np.minimum(1.0, histogram / max(total, 1))
+    runs = max(plan.runs, *(runs_for(plan.recall, one_run([w for f, w in sampled if f == field], shares, total, plan)) for field in range(len(fields))))
+    return sets, members, histogram, total, centres, runs
 
 
 def record_pairs(rows: DataFrame, fields: tuple[str, ...], plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
     """(a, b) of near records, verified; and the members of all records."""
     if len(fields) > 2:
         raise ValueError("at most two fields at once")
-    sets, members, histogram, total, centres = records(rows, fields, plan)
+    sets, members, histogram, total, centres, runs = records(rows, fields, plan)
+    plan = replace(plan, runs=runs)
     firsts = members.where(F.col("rec") == F.col("row_id") * 2 + F.col("field")).select("row_id", "field")
     alone = join_dimension(sets, firsts, ["row_id", "field"], "left_semi", ID_ROWS)
     chosen = entries(alone, histogram, total, plan, centres).repartition("path").sortWithinPartitions("path")

@@ -260,6 +260,23 @@ def test_pairs_dirt(spark):
     assert nearpairs.found(spark.createDataFrame([], PAIRS)).count() == 0
 
 
+def test_groups_edited_with_rare_words():
+    """Groups of 0.1 to 1 % of 200,000 texts whose edits bring in words rarer than all that is shared, against an exact join."""
+    rng, records, got, want = np.random.default_rng(4), 200_000, 0, 0
+    shares = np.repeat([0.2, 0.2, 0.2, 0.01], 1 << nearpairs.HISTOGRAM_BITS - 2)
+    base = [rng.integers(1 << 63, size=100).astype(np.uint64) for _ in range(200)]
+    runs = max(3, nearpairs.runs_for(0.99, nearpairs.one_run(base, shares, records, nearpairs.Plan())))
+    for g, size in enumerate((200, 600, 2000)):
+        kept = [rng.permutation(100)[:92] for _ in range(60)]
+        texts = [np.r_[base[g][k], rng.integers(1 << 63, size=8).astype(np.uint64)] for k in kept]
+        share = np.concatenate([np.r_[np.where(k < 70, 0.2, size / records), np.full(8, 5 / records)] for k in kept])
+        who, path = nearpairs.paths_of(np.concatenate(texts), np.arange(61) * 100, share, records, nearpairs.Plan(runs=runs))
+        chose = [set(path[who == i]) for i in range(60)]
+        near = [(i, j) for i in range(60) for j in range(i) if len(c := np.intersect1d(texts[i], texts[j])) >= 0.7 * (200 - len(c))]
+        want, got = want + len(near), got + sum(bool(chose[i] & chose[j]) for i, j in near)
+    assert want > 3000 and got >= 0.98 * want
+
+
 def test_runs():
     assert nearpairs.runs_for(0.999, 0.9) == 3 and nearpairs.runs_for(0.5, 0.9) == 1
 
