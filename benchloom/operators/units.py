@@ -3,8 +3,8 @@
 Every target becomes one number in the common unit of its kind of motion:
 degrees for angular motions, the ratio of end to start size for dollies.
 
-Method.  The distinct spellings of units (in targets, in the sources'
-declarations, beside the number in the prompt) are mapped to the lexicon through
+Method.  The distinct spellings of units (in targets, where the most of
+the words after the number that names a unit counts, in the sources' declarations, beside the number in the prompt) are mapped to the lexicon through
 an inverted index of character bigrams; every candidate is verified by a
 weighted edit distance.  The alias dictionary this yields is joined to all rows.
 Only the dictionary goes through Python; numbers are read and converted in
@@ -59,6 +59,8 @@ FILLERS = {"of", "the", "by", "about", "around", "roughly", "approximately", "ap
 
 #: Largest weighted edit distance, per character of the longer spelling, that still maps.
 MAX_DISTANCE = 0.25
+#: A spelling above this length maps to nothing: each character too many costs 0.3 at least.
+LONGEST = int(max(len(s) for _, _, spellings in LEXICON.values() for s in spellings) * 0.3 / (0.3 - MAX_DISTANCE)) + 1
 NUMBER = r"(?:\d+(?:\.\d+)?|\.\d+)"
 WRITTEN = r"(?:\d+(?:[\u00a0\u2009\u202f ]\d{3}(?!\d))*(?:[.,]\d+)*|[.,]\d+)"
 
@@ -224,7 +226,7 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     distance, then to the unit's name.
     """
     known = lexicon(spellings.sparkSession)
-    wanted = spellings.where(F.length("spelling").between(1, 40)).distinct()
+    wanted = spellings.where(F.length("spelling").between(1, LONGEST)).distinct()
     a = wanted.select("spelling", F.size(_grams(F.col("spelling"))).alias("na"), F.explode(_grams(F.col("spelling"))).alias("gram"))
     b = known.select("known", "unit", "kind", "factor", F.size(_grams(F.col("known"))).alias("nb"), F.explode(_grams(F.col("known"))).alias("gram"))
     pairs = a.join(F.broadcast(b), "gram").groupBy("spelling", "known", "unit", "kind", "factor").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -240,6 +242,21 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     return best.select("spelling", "b.*")
 
 
+def leading_words(spellings: DataFrame) -> DataFrame:
+    """(spelling, head): each distinct spelling with itself and with its first one, two, ... words."""
+    parts = F.substring(F.trim(F.regexp_replace("spelling", r"[\s.,;:()\[\]_-]+", " ")), 1, LONGEST + 1)
+    words = F.split(parts, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    return spellings.where(F.col("spelling").isNotNull()).distinct().select("spelling", F.explode(F.array_distinct(F.concat(F.array("spelling"), heads))).alias("head")).where(F.length("head").between(1, LONGEST))
+
+
+def target_dictionary(heads: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(spelling, unit, kind, factor): what the whole spelling maps to, else the most of its leading words."""
+    known = heads.join(aliases.withColumnRenamed("spelling", "head"), "head")
+    best = known.groupBy("spelling").agg(F.max_by(F.struct("unit", "kind", "factor"), F.struct(F.col("head") == F.col("spelling"), F.length("head"))).alias("b"))
+    return best.select("spelling", "b.*")
+
+
 def phrase_dictionary(phrases: DataFrame) -> DataFrame:
     """(phrase, p_value, p_unit) for distinct phrases that name a magnitude in words."""
 
@@ -259,14 +276,15 @@ def harmonise(samples: DataFrame, sources: DataFrame) -> DataFrame:
     """
     rows = cut(readings(samples, sources))
     words = cut(phrase_dictionary(rows.select("phrase")))
-    every = rows.select(F.explode(F.array_distinct(F.array("u_target", "u_source", "u_prompt"))).alias("spelling"))
-    every = every.unionByName(words.select(clean_spelling(F.col("p_unit")).alias("spelling"))).where(F.col("spelling").isNotNull())
-    aliases = cut(alias_dictionary(every))
+    heads = cut(leading_words(rows.select(F.col("u_target").alias("spelling")).unionByName(words.select(clean_spelling(F.col("p_unit")).alias("spelling")))))
+    every = rows.select(F.explode(F.array_distinct(F.array("u_source", "u_prompt"))).alias("spelling")).where(F.col("spelling").isNotNull())
+    aliases = cut(alias_dictionary(every.unionByName(heads.select(F.col("head").alias("spelling")))))
+    targets = cut(target_dictionary(heads, aliases))
     rows = join_dimension(rows, words, ["phrase"])
     rows = rows.withColumn("u_target", F.coalesce(clean_spelling(F.col("p_unit")), "u_target")).withColumn("value", F.coalesce("p_value", "value")).where(F.col("value").isNotNull())
-    small = aliases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    for where in ("target", "source", "prompt"):
-        named = aliases.select(F.col("spelling").alias(f"u_{where}"), *(F.col(c).alias(f"{where}_{c}") for c in ("unit", "kind", "factor")))
+    for where, dictionary in (("target", targets), ("source", aliases), ("prompt", aliases)):
+        small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        named = dictionary.select(F.col("spelling").alias(f"u_{where}"), *(F.col(c).alias(f"{where}_{c}") for c in ("unit", "kind", "factor")))
         rows = rows.join(F.broadcast(named) if small else named, f"u_{where}", "left")
     common = F.when(F.col("kind") == "dolly", F.lit("x")).otherwise(F.lit("deg"))
     pick = F.lit(None)

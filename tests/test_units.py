@@ -30,6 +30,15 @@ def test_forms(spark):
         assert got[i][0] == ("x" if m.startswith("dolly") else "deg")
 
 
+def test_words_after_the_unit(spark):
+    written = [
+        ("orbit", "0.5 rad, slowly, around the boom with the joints in view", 28648), ("pan", "30 minutes of arc to the left and back until the whole of the deck is in view", 500),
+        ("orbit", "quarter turn clockwise", 90000), ("dolly", "150 percent (towards the operator's cabin, then hold the shot until the end)", 1500), ("tilt", "3 wobbles of the boom", 1080000),
+    ]
+    got = run(spark, *((m, t, None, 4 if m == "tilt" else 1, None) for m, t, _ in written))
+    assert {i: r[1] for i, r in got.items()} == {i: milli for i, (_, _, milli) in enumerate(written)}
+
+
 def test_precedence(spark):
     clause = "Camera: circle the subject; target motion value 2.0{}. Then the crane 9 stops."
     got = run(
