@@ -411,9 +411,16 @@ def survey(documents: DataFrame) -> Corpus:
     return Corpus(mid, fin, max(0.02, 0.8 * ends / max(ends + inner, 1)))
 
 
+def sampled(documents: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
+    """The ``size`` distinct texts of the smallest hashes; only hashes are shuffled for all documents."""
+    texts = documents.select("text", F.xxhash64("text").alias("place")).where(F.col("text").isNotNull())
+    least = texts.select("place").distinct().orderBy("place").limit(size)
+    return texts.join(F.broadcast(least), "place", "left_semi").distinct().orderBy("place", "text").limit(size).select("text")
+
+
 def train(documents: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Weights from a bounded sample of documents."""
-    sample = documents.select("text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    """Weights from a bounded sample of distinct texts."""
+    sample = sampled(documents)
     shared = documents.sparkSession.sparkContext.broadcast(corpus)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -342,6 +342,14 @@ def test_sentences_of_nothing(spark, cutter):
     assert sentences.sentences(docs.limit(0)).count() == 0
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    """The text of the smallest hash holds most rows."""
+    docs = spark.range(40).select(F.concat(F.lit("text "), "id").alias("text"))
+    places = [r["text"] for r in docs.orderBy(F.xxhash64("text")).collect()]
+    rows = [(places[0],)] * 500 + [(t,) for t in places] + [(None,)]
+    assert [r["text"] for r in sentences.sampled(spark.createDataFrame(rows, "text string"), 20).collect()] == places[:20]
+
+
 def test_held_out_accuracy(spark):
     """Reliable boundaries of documents that were not in the sample are told apart."""
     docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
