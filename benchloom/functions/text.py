@@ -76,17 +76,32 @@ def cot_answer(line: Column) -> Column:
     return F.when(said.startswith("y"), "yes").when(said.startswith("n"), "no").when(low.contains("yes"), "yes").when(low.contains("no"), "no")
 
 
+# The headings of a prompt's sections and what ends the motion section.
+MOTION_SECTION = r"(?is)Motion requirement / viewpoint motion fidelity:\s*(.*?)(?:\.\s*Industrial logic|\.\s*No zoom\.)"
+SUBJECT_SECTION = r"(?i)Reference subject:\s*([^.]+)\."
+SCENARIO_SECTION = r"(?d)Core scenario:\s*(.*?)(?=\s+Reference subject:|$)"
+# End of fixed values.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def motion_clause(prompt: Column) -> Column:
-    return F.trim(F.regexp_extract(prompt, r"(?is)(?:motion requirement|camera|viewpoint)\s*:\s*(.*?)(?:[.;]\s+[A-Z]|[.;]?\s*$)", 1))
+    """What a prompt says between the motion heading and the next; empty where either is missing."""
+    return stripped(F.regexp_extract(prompt, MOTION_SECTION, 1))
 
 
 def reference_subject(prompt: Column) -> Column:
-    return F.trim(F.regexp_extract(prompt, r"(?is)reference subject\s*:\s*(.*?)(?:[.;]\s|[.;]?\s*$)", 1))
+    """The reference subject, up to the first full stop; empty without one."""
+    return stripped(F.regexp_extract(prompt, SUBJECT_SECTION, 1))
 
 
 def core_scenario(prompt: Column) -> Column:
-    text = F.regexp_extract(prompt, r"(?is)(?:core scenario|scene|setting)\s*:\s*(.*?)(?:\s+reference subject:|[.;]\s|$)", 1)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """The scenario up to the reference subject or the end of its line, blanks made single."""
+    return stripped(F.regexp_replace(F.regexp_extract(prompt, SCENARIO_SECTION, 1), r"\s+", " "))
 
 
 def tokens(text: Column) -> Column:

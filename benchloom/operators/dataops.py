@@ -37,7 +37,7 @@ def audit(samples: DataFrame) -> DataFrame:
     motion = A.tidy(F.col("motion_type"))
     rows = samples.select("row_id", "task_id", motion.alias("motion"), F.coalesce(T.motion_clause(F.col("prompt")), F.lit("")).alias("clause"), F.coalesce(T.reference_subject(F.col("prompt")), F.lit("")).alias("subject"), F.col("viewpoint_motion_target").alias("target"))
     issues, severity = T.motion_audit(F.col("motion"), F.col("clause"), F.col("subject"), F.col("target"))
-    return rows.select("row_id", "task_id", "motion", "clause", issues.alias("issues"), severity.alias("severity"))
+    return rows.select("row_id", "task_id", "motion", "clause", "subject", issues.alias("issues"), severity.alias("severity"))
 
 
 def issue_counts(audited: DataFrame) -> DataFrame:
@@ -50,9 +50,14 @@ def issue_counts(audited: DataFrame) -> DataFrame:
 
 
 def issue_index(audited: DataFrame) -> DataFrame:
-    """Where each issue occurs: how often, and between which rows (lists of ids would not stay bounded)."""
-    rows = audited.select("row_id", F.explode("issues").alias("issue"))
-    return rows.groupBy("issue").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    """(issue, row_id, task_id): the inverted index, one row an entry; an issue's entries may be any number."""
+    return audited.select(F.explode("issues").alias("issue"), "row_id", "task_id")
+
+
+def review_order(audited: DataFrame) -> DataFrame:
+    """Flagged rows with ``rank``, the place of their severity in the order of review; sort by rank, task_id, row_id."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
+    return audited.where(F.size("issues") > 0).withColumn("rank", rank)
 
 
 def variant_flags(samples: DataFrame) -> DataFrame:

@@ -152,8 +152,9 @@ def violation_rules() -> str:
     return " UNION ALL ".join(f"SELECT row_id, task_id, {text(p)} AS path, {text(r)} AS rule FROM samples WHERE {bad}" for p, r, bad in rows)
 
 
-CLAUSE = "trim(regexp_extract(prompt, '(?is)(?:motion requirement|camera|viewpoint)\\s*:\\s*(.*?)(?:[.;]\\s+[A-Z]|[.;]?\\s*$)', 1))"
-SUBJECT = "trim(regexp_extract(prompt, '(?is)reference subject\\s*:\\s*(.*?)(?:[.;]\\s|[.;]?\\s*$)', 1))"
+# The sections as the reference defines them: the motion section ends before "Industrial logic" or "No zoom.", the subject at the first full stop.
+CLAUSE = """trim(regexp_extract(prompt, '(?is)Motion requirement / viewpoint motion fidelity:\\s*(.*?)(\\.\\s*Industrial logic|\\.\\s*No zoom\\.)', 1), chr(32) || chr(9) || chr(10) || chr(13))"""
+SUBJECT = "trim(CASE WHEN contains(lower(prompt), 'reference subject:') THEN regexp_extract(prompt, '(?i)Reference subject:\\s*([^.]+)[.]', 1) ELSE '' END, chr(32) || chr(9) || chr(10) || chr(13))"
 MOVING = "mo IN ('orbit', 'pan', 'dolly')"
 HAS_UNIT = f"({any_of('cl', R.UNIT_MARKERS)} OR coalesce(mo = 'dolly' AND regexp_matches(cl, '\\b\\d+(\\.\\d+)?x\\b'), false) OR coalesce(mo IN ('orbit', 'pan') AND regexp_matches(cl, '\\b\\d+(\\.\\d+)?\\s*(°|deg|degree)'), false) OR {any_of('target', R.UNIT_MARKERS)})"
 AUDIT_RULES = (
@@ -166,17 +167,21 @@ AUDIT_RULES = (
     ("buried_verb", f"{MOVING} AND starts_with(cl, 'perform a controlled')", 1),
     ("pan_tied_to_leak", "mo = 'pan' AND contains(cl, 'follows the evolving leak')", 1),
 )
-AUDIT = f"""WITH a0 AS (SELECT row_id, task_id, {tidy('motion_type')} AS motion, coalesce({tidy('motion_type')}, '') AS mo, lower(coalesce({CLAUSE}, '')) AS cl, coalesce({SUBJECT}, '') AS subject, viewpoint_motion_target AS target FROM samples),
- a1 AS (SELECT row_id, motion, mo, CASE WHEN mo = 'static' THEN [] ELSE list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in AUDIT_RULES)}], lambda x: x IS NOT NULL) END AS issues,
+def audit(source: str) -> str:
+    return f"""WITH a0 AS (SELECT row_id, task_id, {tidy('motion_type')} AS motion, coalesce({tidy('motion_type')}, '') AS mo, lower(coalesce({CLAUSE}, '')) AS cl, coalesce({CLAUSE}, '') AS clause, coalesce({SUBJECT}, '') AS subject, viewpoint_motion_target AS target FROM {source}),
+ a1 AS (SELECT row_id, task_id, motion, mo, clause, subject, CASE WHEN mo = 'static' THEN [] ELSE list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in AUDIT_RULES)}], lambda x: x IS NOT NULL) END AS issues,
  greatest({', '.join(f'CASE WHEN {c} THEN {r} ELSE 1 END' for _, c, r in AUDIT_RULES)}) AS rank FROM a0), audit AS (SELECT *, CASE WHEN mo = 'static' THEN 'none' ELSE ['low', 'medium', 'high'][rank] END AS severity FROM a1)"""
 
+AUDIT = audit("samples")
+SECTIONED = audit("(SELECT * REPLACE (regexp_replace(regexp_replace(prompt, '(Motion requirement|Camera|Viewpoint): ', 'Motion requirement / viewpoint motion fidelity: ', 'g'), '; ([A-Z])', '. \\1', 'g') || ' No zoom.' AS prompt) FROM samples)")
+
 SQL: dict[str, str] = {
     "leaderboard": f"{RANKED} SELECT rank, model_id, model_name, {r6('overall', 'relax_score', 'strict_pass_rate', 'gated_score', *SHORT)}, motion_tier, num_samples_completed FROM ranked",
     "leaderboard_markdown": f"{RANKED} SELECT rank, '| ' || rank::VARCHAR || ' | ' || coalesce(model_name || ' | ', '') || {' || chr(32) || chr(124) || chr(32) || '.join(DEC1.format(c) for c in ('overall', 'relax_score', *SHORT))} || ' |' AS line FROM ranked",
     "sample_scores": f'{SCORED} SELECT result_id, {r6(*SHORT, "motion")}, round("constraint", 6) AS "constraint", num_axes::BIGINT AS num_axes, {r6("weighted_score", "rif", "rif_gated")}, strict, round(gate, 6) AS gate FROM scored',
     "axis_long_canonical": " UNION ALL ".join(f"SELECT result_id, {text(a)} AS axis, round(score, 6) AS score FROM (SELECT result_id, {clean(c)} AS score FROM sample_results) WHERE score IS NOT NULL" for a, c in [*((AXIS[s], c) for s, c in RAW.items()), (R.MOTION, "viewpoint_motion_score")]),
     "axis_floors": " UNION ALL ".join(f"SELECT result_id, {text(a)} AS axis, round(greatest(score, {R.FLOORS[a]}::DOUBLE), 6) AS score FROM (SELECT result_id, {clean(c)} AS score FROM sample_results) WHERE score IS NOT NULL" for a, c in [*((AXIS[s], c) for s, c in RAW.items()), (R.MOTION, "viewpoint_motion_score")]),
-    "axis_floor_nan": f"SELECT * FROM (SELECT result_id, round(CASE WHEN {RAW['geometry']} IS NULL THEN NULL WHEN isnan({RAW['geometry']}) THEN 8 ELSE greatest(8::DOUBLE, {RAW['geometry']}) END, 6) AS geometry, round(CASE WHEN {RAW['logic']} IS NULL THEN NULL WHEN isnan({RAW['logic']}) THEN 5 ELSE greatest(5::DOUBLE, {RAW['logic']}) END, 6) AS logic FROM sample_results) WHERE coalesce(geometry, 0) < 'inf'::DOUBLE AND coalesce(logic, 0) < 'inf'::DOUBLE",
+    "axis_floor_nan": "SELECT result_id, " + ", ".join(f"round(CASE WHEN {c} IS NULL OR {c} = 'inf'::DOUBLE THEN NULL WHEN isnan({c}) THEN {f} ELSE greatest({f}::DOUBLE, {c}) END, 6) AS {n}" for n, c, f in (("geometry", RAW["geometry"], 8), ("logic", RAW["logic"], 5))) + " FROM sample_results",
     "sanitize_nan": f"SELECT result_id, {', '.join(f'round(CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END, 6) AS {s}' for s, c in RAW.items())}, round(CASE WHEN isnan(scored.weighted_score) OR isinf(scored.weighted_score) THEN NULL ELSE scored.weighted_score END, 6) AS weighted FROM sample_results",
     "target_parse": "SELECT row_id, round(CASE WHEN regexp_matches(trim(viewpoint_motion_target), '^(orbit_cw|orbit_ccw|crane_up)_.*deg$') THEN try_cast(replace(split_part(trim(viewpoint_motion_target), '_', -1), 'deg', '') AS DOUBLE) ELSE try_cast(trim(viewpoint_motion_target) AS DOUBLE) END, 6) AS target FROM samples",
     "motion_fidelity": f"{CLIPS} SELECT o_orderkey, round(fidelity, 3) AS fidelity, {TIER.format('motion')} AS tier, round(degrees(atan2(abs(motion), 540 / tan(radians(30)))), 6) AS crane, motion < CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.8 END AS static FROM clips",
@@ -208,11 +213,14 @@ SQL: dict[str, str] = {
     "schema_violations": violation_rules(),
     "motion_audit": f"{AUDIT} SELECT row_id, motion, array_to_string(issues, ',') AS issues, severity FROM audit",
     "issue_counts": f"{AUDIT}, u AS (SELECT 'issue' AS kind, unnest(issues) AS name FROM audit WHERE severity <> 'none' UNION ALL SELECT 'severity', severity FROM audit WHERE severity <> 'none' AND len(issues) > 0 UNION ALL SELECT 'motion', coalesce(motion, 'none') FROM audit WHERE severity <> 'none' AND len(issues) > 0) SELECT kind, name, count(*) AS n FROM u GROUP BY 1, 2",
-    "issue_index": f"{AUDIT}, u AS (SELECT row_id, unnest(issues) AS issue FROM audit) SELECT issue, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM u GROUP BY 1",
+    "motion_audit_sections": f"{SECTIONED} SELECT row_id, motion, md5(clause) AS clause, md5(subject) AS subject, array_to_string(issues, ',') AS issues, severity FROM audit",
+    "issue_index": f"{SECTIONED} SELECT unnest(issues) AS issue, row_id, task_id FROM audit",
+    "review_order": f"{SECTIONED} SELECT row_id, severity, (CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END)::BIGINT AS rank FROM audit WHERE len(issues) > 0",
     "prompt_rules": f"""WITH n AS (SELECT *, {tidy('motion_type')} AS mo, regexp_extract(prompt, 'target motion value (\\d+(?:\\.\\d+)?)', 1) AS num, regexp_extract(prompt, 'target motion value (\\d+(?:\\.\\d+)?)([\\d.]*[\\dx°])?', 2) AS tail FROM samples),
  o AS (SELECT *, num <> '' AND tail = '' AS ok, coalesce(mo = 'dolly' OR (NOT coalesce(mo IN ('orbit', 'pan'), false) AND try_cast(num AS DOUBLE) < 10), false) AS ratio FROM n)
  SELECT row_id, md5(CASE WHEN video_generation_prompt LIKE '%No zoom.' THEN video_generation_prompt WHEN video_generation_prompt LIKE '%No zoom' THEN video_generation_prompt || '.' ELSE video_generation_prompt || ' No zoom.' END) AS closed,
- md5(CASE WHEN ok THEN replace(prompt, 'target motion value ' || num, 'target motion value ' || CASE WHEN ratio THEN num || 'x' ELSE regexp_replace(num, '\\.0+$', '') || '°' END) ELSE prompt END) AS completed, regexp_replace(regexp_extract(image_path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '') AS stem FROM o""",
+ md5(CASE WHEN ok THEN replace(prompt, 'target motion value ' || num, 'target motion value ' || CASE WHEN ratio THEN num || 'x' ELSE regexp_replace(num, '\\.0+$', '') || '°' END) ELSE prompt END) AS completed, regexp_replace(regexp_extract(image_path, '([^/\\\\]*)$', 1), '\\.[^.]*$', '') AS stem,
+ CASE WHEN {any_of(CLAUSE, R.STRUCTURE_MARKERS)} THEN 'pass_motion' WHEN mo = 'static' THEN 'fail_motion' ELSE 'weak_motion' END AS visibility FROM o""",
     "variant_flags": f"WITH s AS (SELECT row_id, {tidy('motion_type')} AS motion, video_generation_prompt AS t, sensitivity_variants AS vs FROM samples), u AS (SELECT row_id, motion, unnest(vs) AS v FROM s), f AS (SELECT 'missing_no_zoom_suffix' AS flag FROM s WHERE t NOT LIKE '%No zoom.' UNION ALL SELECT 'variant_' || coalesce(v.difficulty, 'any') || '_mentions_orbit_but_motion_is_' || motion FROM u WHERE contains(lower(v.prompt_delta), 'orbit') AND motion <> 'orbit') SELECT flag, count(*) AS n FROM f GROUP BY 1",
     "prompt_export": f"WITH {LATEST} SELECT task_id, domain, task_category, image_path, motion_type, viewpoint_motion_target, coalesce(video_generation_prompt, prompt) AS video_generation_prompt, prompt FROM latest",
     "prompt_headers": f"WITH {LATEST}, o AS (SELECT task_id, coalesce(domain, '') AS d, coalesce(task_category, '') AS c FROM latest) SELECT task_id, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY c, task_id) = 1 THEN '## ' || d END AS domain_header, CASE WHEN row_number() OVER (PARTITION BY d, c ORDER BY task_id) = 1 THEN '### ' || c END AS task_header FROM o",

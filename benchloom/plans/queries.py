@@ -109,8 +109,9 @@ def axis_floors(spark, d):
 
 @query
 def axis_floor_nan(spark, d):
-    rows = table(spark, d, "sample_results").select("result_id", A.floored(R.GEOMETRY, F.col("geometric_integrity_score")).alias("geometry"), A.floored(R.LOGIC, F.col(f"{R.LOGIC}_score")).alias("logic"))
-    return rounded(rows.where(~F.coalesce(F.col("geometry") == float("inf"), F.lit(False)) & ~F.coalesce(F.col("logic") == float("inf"), F.lit(False))))
+    """Floors over raw scores: NaN and minus infinity count as the floor, plus infinity is null."""
+    floored = lambda axis: A.sanitize(A.floored(axis, F.col(f"{axis}_score")))
+    return rounded(table(spark, d, "sample_results").select("result_id", floored(R.GEOMETRY).alias("geometry"), floored(R.LOGIC).alias("logic")))
 
 
 @query
@@ -291,9 +292,26 @@ def issue_counts(spark, d):
     return rounded(D.issue_counts(D.audit(table(spark, d, "samples"))))
 
 
+def _sectioned(spark: SparkSession, d: str) -> DataFrame:
+    """Samples whose prompts are put under the headings that the audit reads."""
+    heading = F.regexp_replace("prompt", r"(Motion requirement|Camera|Viewpoint): ", "Motion requirement / viewpoint motion fidelity: ")
+    return table(spark, d, "samples").withColumn("prompt", F.concat(F.regexp_replace(heading, r"; (?=[A-Z])", ". "), F.lit(" No zoom.")))
+
+
+@query
+def motion_audit_sections(spark, d):
+    rows = D.audit(_sectioned(spark, d))
+    return rows.select("row_id", "motion", F.md5("clause").alias("clause"), F.md5("subject").alias("subject"), F.array_join("issues", ",").alias("issues"), "severity")
+
+
 @query
 def issue_index(spark, d):
-    return rounded(D.issue_index(D.audit(table(spark, d, "samples"))))
+    return D.issue_index(D.audit(_sectioned(spark, d)))
+
+
+@query
+def review_order(spark, d):
+    return rounded(D.review_order(D.audit(_sectioned(spark, d))).select("row_id", "severity", "rank"))
 
 
 @query
@@ -301,7 +319,7 @@ def prompt_rules(spark, d):
     """Closing rule, units completed, visibility, and the names cut out of paths and prompts."""
     rows = table(spark, d, "samples")
     motion = A.tidy(F.col("motion_type"))
-    return rows.select("row_id", F.md5(T.no_zoom(F.col("video_generation_prompt"))).alias("closed"), F.md5(T.complete_unit(F.col("prompt"), motion)).alias("completed"), T.stem(F.col("image_path")).alias("stem"))
+    return rows.select("row_id", F.md5(T.no_zoom(F.col("video_generation_prompt"))).alias("closed"), F.md5(T.complete_unit(F.col("prompt"), motion)).alias("completed"), T.stem(F.col("image_path")).alias("stem"), T.visibility(motion, T.motion_clause(F.col("prompt"))).alias("visibility"))
 
 
 @query

@@ -58,6 +58,36 @@ def test_audit(spark):
     assert audit("orbit", "orbit the subject")[1] == "medium"
 
 
+PROMPT = (
+    "Task objective: one hoist, no cuts. Core scenario: slew ring turns  a\tcrate. Reference subject: Tower crane; unit 7. Motion requirement / viewpoint motion fidelity: "
+    "perform a controlled orbit around the jib; target motion value 45.0. Industrial logic and fact alignment check: keep the causal chain. Execution constraints: none."
+)
+
+
+@pytest.mark.parametrize(
+    ("prompt", "clause", "subject", "scenario"),
+    [
+        (PROMPT, "perform a controlled orbit around the jib; target motion value 45.0", "Tower crane; unit 7", "slew ring turns a crate."),
+        ("MOTION REQUIREMENT / VIEWPOINT MOTION FIDELITY:\n pan by 1.5\nto the left .\n no zoom. reference subject: a\nb.", "pan by 1.5\nto the left", "a\nb", ""),
+        ("Motion requirement: pan. No zoom.", "", "", ""),
+        ("Motion requirement / viewpoint motion fidelity: pan. Then stop.", "", "", ""),
+        ("Reference subject: .5 m arm. Core scenario: x\ny", "", "", ""),
+        ("Core scenario: last words", "", "", "last words"),
+        ("", "", "", ""),
+        (None, None, None, None),
+    ],
+)
+def test_sections(spark, prompt, clause, subject, scenario):
+    c = F.lit(prompt).cast("string")
+    assert (one(spark, T.motion_clause(c)), one(spark, T.reference_subject(c)), one(spark, T.core_scenario(c))) == (clause, subject, scenario)
+
+
+def test_audit_of_a_prompt(spark):
+    c = F.lit(PROMPT)
+    issues, severity = T.motion_audit(F.lit("orbit"), T.motion_clause(c), T.reference_subject(c), F.lit("45.0"))
+    assert one(spark, issues) == ["subject_names_crane", "no_unit", "buried_verb"] and one(spark, severity) == "high"
+
+
 def test_terms_are_whole_words(spark):
     assert one(spark, T.any_term(F.lit("a leak here"), ("leak",))) and not one(spark, T.any_term(F.lit("leakage"), ("leak",)))
 
