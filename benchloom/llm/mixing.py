@@ -100,5 +100,8 @@ def selection(documents: DataFrame, mixes: DataFrame, folder: str = TOKENIZERS)
 
 
 def found(documents: DataFrame, mixes: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """mix_id, source: sources that cannot give their weight, however often repeated as allowed."""
-    return budgets(sized(documents, folder), mixes).where("short").select("mix_id", "source")
+    """mix_id, source: sources that cannot give their weight, out of the report on what they give.
+
+    A source that is short is taken whole as often as allowed and still misses its target.
+    """
+    return report(documents, mixes, folder).where(F.col("short") & (F.col("reached") < F.col("target"))).select("mix_id", "source")

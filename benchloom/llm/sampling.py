@@ -7,16 +7,16 @@ categories until the plan is full.  A category that runs out leaves its seats to
 
 Nothing is sorted over a whole category: tasks are counted by hash bucket, running sums of
 the counts give the number at which each bucket begins, and only buckets that begin below
-the category's seats are numbered, each on its own, so a category with a third of all rows
-spreads over its buckets.  As priorities grow with r, the smallest ones are fixed by the
-counts of the cells alone; ``seats`` finds the cut by bisection on the table of cells, whose
-size is that of the plans.
-
-Defined results.  Null and repeated task_ids count never and once; a task belongs to every cell
-that any of its rows meets, and may be drawn for two cells of a plan only where these
-overlap.  Null in a plan's domain, category, axis or difficulty asks for nothing.  A null or missing
-value meets no cell that asks for it.  Null shares and counts are 0.  Ties of hashes are ordered by
-task_id.  Empty samples leave every cell with a requirement short.
+what a category can use are numbered, each on its own, so a category with a third of all rows
+spreads over its buckets.  As priorities grow with r, the smallest ones are fixed by how far
+the cells' numbers reach; ``seats`` finds the cut by bisection on the table of cells, whose
+size is that of the plans, and says which cells run out before their minimum or their share.
+
+Defined results.  Null and repeated task_ids count never and once; a task counts for every cell
+that any of its rows meets, but is drawn once a plan at most: for the cell that has the fewest tasks for
+what it needs, then the least cell_id.  Null in a plan's domain, category, axis or difficulty asks for
+nothing.  A null or missing value meets no cell that asks for it.  Null shares and counts are 0.  Ties of
+hashes are ordered by task_id.  Empty samples leave every cell with a requirement short.
 """
 
 from __future__ import annotations
@@ -54,8 +54,8 @@ def cells(plans: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def members(samples: DataFrame, wanted: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(plan_id, cell_id, task_id), distinct: which tasks each cell can draw on."""
-    shapes = {r["shape"] for r in wanted.select("shape").distinct().limit(16).collect()}
+    """(plan_id, task_id, cells): the cells of a plan that each task can be drawn for."""
+    shapes = {r["shape"] for r in wanted.select("shape").distinct().collect()}  # 16 at most
     rows = samples.select("task_id", "domain", "task_category", "difficulty_profile").where(F.col("task_id").isNotNull())
     for field in ("domain", "task_category"):
         rows = canonical(rows, aliases, field, field, f"k_{field}")
@@ -73,17 +73,25 @@ def members(samples: DataFrame, wanted: DataFrame, aliases: DataFrame) -> DataFr
         more = levels.select("task_id", F.explode(F.array(*keys)).alias("key"))
         found = more if found is None else found.unionByName(more)
     if found is None:
-        return wanted.select("plan_id", "cell_id", F.lit("").alias("task_id")).limit(0)
+        found = wanted.select(F.lit("").alias("task_id"), "key").limit(0)
     found = join_dimension(found.where(F.col("key").isNotNull()), wanted.select("key", "plan_id", "cell_id"), ["key"], "inner")
-    return found.select("plan_id", "cell_id", "task_id").distinct()
+    return found.groupBy("plan_id", "task_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
 
 
-def report(wanted: DataFrame, drawn_on: DataFrame) -> DataFrame:
-    """Each cell with the tasks it has and what it lacks."""
-    have = drawn_on.groupBy("plan_id", "cell_id").agg(F.count("*").alias("available"))
-    rows = join_dimension(wanted, have, ["plan_id", "cell_id"]).withColumn("available", F.coalesce("available", F.lit(0)))
-    need = F.greatest(F.col("min_count").cast("double"), F.round(F.col("target_share") * F.col("plan_size"), 6))
-    return rows.withColumn("needed", need).withColumn("short", F.col("available") < need)
+def each_cell(held: DataFrame) -> DataFrame:
+    """(plan_id, cell_id, task_id) of all that each cell can draw on."""
+    return held.select("plan_id", F.explode("cells").alias("cell_id"), "task_id")
+
+
+def one_cell(held: DataFrame, available: DataFrame) -> DataFrame:
+    """(plan_id, cell_id, task_id), each task of a plan once: in its scarcest cell."""
+    scarce = F.struct((F.col("available") / F.greatest(F.col("needed"), F.lit(1e-9))).alias("per_need"), "cell_id")
+    order = available.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(scarce)), lambda x: x["cell_id"]).alias("order"))
+    return join_dimension(held, order, ["plan_id"], "inner").select("plan_id", F.get(F.array_intersect("order", "cells"), F.lit(0)).alias("cell_id"), "task_id")
+
+
+def with_need(wanted: DataFrame) -> DataFrame:
+    return wanted.withColumn("needed", F.greatest(F.col("min_count").cast("double"), F.round(F.col("target_share") * F.col("plan_size"), 6)))
 
 
 def seats_of(size: int, target: np.ndarray, floor: np.ndarray, have: np.ndarray) -> np.ndarray:
@@ -113,55 +121,76 @@ def seats_of(size: int, target: np.ndarray, floor: np.ndarray, have: np.ndarray)
     return seats
 
 
-def seats(reported: DataFrame) -> DataFrame:
-    """(plan_id, cell_id, seats), out of the counts of the cells; a group is the cells of a plan."""
+def seats(reached: DataFrame) -> DataFrame:
+    """(plan_id, cell_id, seats, short), out of how far the numbers of each cell reach; a group is the cells of a plan.
+
+    ``own`` is how many tasks a cell has to itself.  A cell is short if its numbers (``available``) end
+    before the last one that its minimum, or its share of the plan, lays claim to.
+    """
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
-        got = seats_of(int(pdf["plan_size"].max()), pdf["target_share"].to_numpy(float), pdf["min_count"].to_numpy(np.int64), pdf["available"].to_numpy(np.int64))
-        return pdf[["plan_id", "cell_id"]].assign(seats=got)
+        size, target, floor = int(pdf["plan_size"].max()), pdf["target_share"].to_numpy(float), pdf["min_count"].to_numpy(np.int64)
+        got = seats_of(size, target, floor, pdf["own"].to_numpy(np.int64))
+        have = pdf["available"].to_numpy(np.int64)
+        return pdf[["plan_id", "cell_id"]].assign(seats=got, short=(have < floor) | (have < np.round(target * size, 6)))
 
-    types = {f.name: f.dataType.simpleString() for f in reported.schema}
-    return reported.groupBy("plan_id").applyInPandas(share, f"plan_id {types['plan_id']}, cell_id {types['cell_id']}, seats bigint")
+    types = {f.name: f.dataType.simpleString() for f in reached.schema}
+    return reached.groupBy("plan_id").applyInPandas(share, f"plan_id {types['plan_id']}, cell_id {types['cell_id']}, seats bigint, short boolean")
+
+
+def reach(numbered: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The cells with the last number that each of them reaches, 0 where it has none."""
+    last = numbered.groupBy("plan_id", "cell_id").agg(F.max("rank").alias(name))
+    return wanted.join(last, ["plan_id", "cell_id"], "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
 def draw(drawn_on: DataFrame, shares: DataFrame, seed: int = 3, bits: int = BUCKET_BITS) -> DataFrame:
-    """plan_id, cell_id, task_id, rank, priority order within each cell's seats."""
+    """plan_id, cell_id, task_id, rank: each cell's tasks in random order, as many as its ``seats``."""
     cell = ["plan_id", "cell_id"]
     rows = drawn_on.withColumn("place", F.xxhash64("task_id", F.lit(seed))).withColumn("bucket", F.expr(f"shiftrightunsigned(place, {64 - bits})"))
     counts = rows.groupBy(*cell, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    begins = join_dimension(begins, shares, cell, "inner").where(F.col("begin") < F.col("seats"))
-    rows = join_dimension(rows, begins.select(*cell, "bucket", "begin", "seats"), [*cell, "bucket"], "inner")
+    begins = cut(join_dimension(begins, shares, cell, "inner").where(F.col("begin") < F.col("seats")).select(*cell, "bucket", "begin", "seats"))
+    rows = join_dimension(rows, begins, [*cell, "bucket"], "inner")
     rank = F.col("begin") + F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("place", "task_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("seats")).select(*cell, "task_id", "rank")
 
 
-def prepared(samples: DataFrame, plans: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    wanted = cut(cells(plans, aliases))
-    return wanted, members(samples, wanted, aliases)
+def allotted(samples: DataFrame, plans: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells with needed, available, own, seats and short; and the tasks by the one cell they may be drawn for.
+
+    No cell can use more numbers than the plan has seats or its own need asks for, so numbering stops there.
+    """
+    wanted = cut(with_need(cells(plans, aliases)))
+    held = cut(members(samples, wanted, aliases))
+    most = wanted.select("plan_id", "cell_id", F.greatest(F.col("plan_size"), F.ceil("needed")).cast("bigint").alias("seats"))
+    available = cut(reach(draw(each_cell(held), most), wanted, "available"))
+    own = one_cell(held, available)
+    counts = own.groupBy("plan_id", "cell_id").agg(F.count("*").alias("own"))
+    reached = available.join(counts, ["plan_id", "cell_id"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return cut(reached.join(seats(reached), ["plan_id", "cell_id"])), own
 
 
 def sample(samples: DataFrame, plans: DataFrame, aliases: DataFrame) -> DataFrame:
     """The sample of every plan: plan_id, cell_id, task_id, rank, priority, by_minimum."""
-    wanted, drawn_on = prepared(samples, plans, aliases)
-    drawn_on = cut(drawn_on)
-    reported = cut(report(wanted, drawn_on))
-    rows = join_dimension(draw(drawn_on, cut(seats(reported))), wanted.select("plan_id", "cell_id", "target_share", "min_count"), ["plan_id", "cell_id"])
+    got, own = allotted(samples, plans, aliases)
+    rows = join_dimension(draw(own, got.select("plan_id", "cell_id", "seats")), got.select("plan_id", "cell_id", "target_share", "min_count"), ["plan_id", "cell_id"], "inner")
     priority = F.expr("try_divide(rank - 0.5D, target_share)")
     return rows.select("plan_id", "cell_id", "task_id", "rank", priority.alias("priority"), (F.col("rank") <= F.col("min_count")).alias("by_minimum"))
 
 
 def cell_report(samples: DataFrame, plans: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Every cell: tasks needed, available, seats given, share reached, and whether it falls short."""
-    wanted, drawn_on = prepared(samples, plans, aliases)
-    reported = cut(report(wanted, drawn_on))
-    rows = join_dimension(reported, seats(reported), ["plan_id", "cell_id"])
-    reached = F.expr("try_divide(cast(seats as double), sum(seats) over (partition by plan_id))")
-    return rows.select("plan_id", "cell_id", "target_share", "min_count", "needed", "available", "seats", reached.alias("share_reached"), "short")
+    """Every cell: tasks needed, within reach, seats given, share reached, and whether it falls short.
+
+    ``available`` stops at what the cell could use at all: the plan's size, or its need if that is more.
+    """
+    got, _ = allotted(samples, plans, aliases)
+    share = F.expr("try_divide(cast(seats as double), sum(seats) over (partition by plan_id))")
+    return got.select("plan_id", "cell_id", "target_share", "min_count", "needed", "available", "seats", share.alias("share_reached"), "short")
 
 
 def found(samples: DataFrame, plans: DataFrame, aliases: DataFrame) -> DataFrame:
-    """plan_id, cell_id: cells that cannot be met."""
-    return report(*prepared(samples, plans, aliases)).where("short").select("plan_id", "cell_id")
+    """plan_id, cell_id: cells that cannot be met, out of the report on their seats."""
+    return cell_report(samples, plans, aliases).where("short").select("plan_id", "cell_id")

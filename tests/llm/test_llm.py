@@ -174,6 +174,19 @@ def test_sample_meets_its_plan(spark):
     assert sampling.sample(empty, *args[1:]).count() == 0
 
 
+def test_overlapping_cells_share_no_task(spark):
+    """The wide cell leaves the tasks of the narrow one to it; both count all that meet them."""
+    tasks = [(i, f"t{i}", "visual_security", "x", {"ika": "hard" if i < 20 else "easy"}, "clash") for i in range(100)]
+    plans = spark.createDataFrame([(1, 60, 1, "visual security", None, None, None, 0.7, 0), (1, 60, 2, None, None, "industrial_logic_and_fact_alignment", "hard", 0.3, 18), (2, 50, 1, None, None, "ika", "hard", 0.4, 21)], "plan_id bigint, plan_size bigint, cell_id int, domain string, task_category string, difficulty_axis string, difficulty string, target_share double, min_count bigint")
+    args = spark.createDataFrame(tasks, SAMPLE), plans, table(spark, D, "category_aliases")
+    rows = [r for r in sampling.sample(*args).collect() if r["plan_id"] == 1]
+    assert len({r["task_id"] for r in rows}) == len(rows) == 60
+    assert sum(r["cell_id"] == 2 for r in rows) == 18 and all(int(r["task_id"][1:]) < 20 for r in rows if r["cell_id"] == 2)
+    report = {(r["plan_id"], r["cell_id"]): (r["available"], r["seats"], r["short"]) for r in sampling.cell_report(*args).collect()}
+    assert report == {(1, 1): (60, 42, False), (1, 2): (20, 18, False), (2, 1): (20, 20, True)}
+    assert {tuple(r) for r in sampling.found(*args).collect()} == {(2, 1)}
+
+
 def test_a_hot_category_is_numbered_in_buckets(spark):
     drawn = cut(spark.range(5000).select(F.lit(1).alias("plan_id"), F.lit(1).alias("cell_id"), F.col("id").cast("string").alias("task_id")))
     shares = spark.createDataFrame([(1, 1, 700)], "plan_id int, cell_id int, seats bigint")
