@@ -8,7 +8,8 @@ it (two neighbours are stable if merging their bytes gives them back); following
 backwards from a word's node reads off its ids.  The work on a word is linear in its length.
 
 A worker keeps trie and ids for the words it has met and starts anew beyond a stated size,
-so memory is bounded and no row leaves its partition: there is no shuffle.
+so memory is bounded and no row leaves its partition: there is no shuffle.  Words of more than
+``LONG`` bytes pass through the same states without becoming nodes, and are not kept.
 
 Defined results.  Null and empty texts give an empty list; blank texts are encoded like any
 other.  Strings of special tokens in a text are ordinary text.  Lone surrogates cannot occur in
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,10 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Nodes of a trie, and words with known ids, that a worker keeps at most.
-MAX_NODES, MAX_WORDS = 1_000_000, 500_000
+#: Nodes of a trie, words with known ids, and pairs of neighbours that a worker keeps at most.
+MAX_NODES, MAX_WORDS, MAX_PAIRS = 1_000_000, 500_000, 500_000
+#: Bytes of a word up to which it becomes nodes of the trie.
+LONG = 512
 
 
 class TrieEncoder:
@@ -43,7 +48,7 @@ class TrieEncoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.tails = {t[i:] for t in self.ranks for i in range(len(t))}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.split = regex.compile(PATTERN).findall
@@ -66,8 +71,10 @@ class TrieEncoder:
 
     def is_stable(self, a: int, b: int) -> bool:
         """Whether ``b`` can follow ``a`` in an encoding."""
-        if (known := self.stable.get((a, b))) is None:
-            known = self.stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if (known := self.stable.get(a << 32 | b)) is None:
+            if len(self.stable) >= MAX_PAIRS:
+                self.stable.clear()
+            known = self.stable[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def is_own(self, a: int) -> bool:
@@ -76,7 +83,7 @@ class TrieEncoder:
             known = self.own[a] = self.merge(self.bytes_of[a]) == [a]
         return known
 
-    def last_token(self, word: bytes, end: int, states: list[int]) -> int:
+    def last_token(self, word: bytes, end: int, states: array) -> int:
         """The last token of ``word[:end]``, given those of all shorter prefixes."""
         ends, n = [], 1
         while n <= end and (tail := word[end - n : end]) in self.tails:
@@ -89,38 +96,54 @@ class TrieEncoder:
         raise ValueError("a byte is missing from the vocabulary")
 
     def insert(self, word: str) -> list[int]:
-        """Adds a word to the trie and returns its ids."""
-        text, node, states, child, last = word.encode(), 0, [-1], self.child, self.last
-        for end, byte in enumerate(text, 1):
-            if (nxt := child.get(node << 8 | byte)) is None:
-                nxt = child[node << 8 | byte] = len(last)
-                last.append(self.last_token(text, end, states))
-            node = nxt
-            states.append(last[node])
+        """The ids of a word; its prefixes join the trie unless it is a long one."""
+        text, states = word.encode(), array("i", [-1])
+        if len(text) > LONG:
+            for end in range(1, len(text) + 1):
+                states.append(self.last_token(text, end, states))
+        else:
+            node, child, last = 0, self.child, self.last
+            for end, byte in enumerate(text, 1):
+                if (nxt := child.get(node << 8 | byte)) is None:
+                    nxt = child[node << 8 | byte] = len(last)
+                    last.append(self.last_token(text, end, states))
+                node = nxt
+                states.append(last[node])
         ids, end = [], len(text)
         while end:
             ids.append(states[end])
             end -= len(self.bytes_of[states[end]])
         return ids[::-1]
 
-    def learn(self, words: set[str]) -> None:
-        """Depth-first over new words: sorted order walks the trie that way."""
-        if len(self.last) > MAX_NODES or len(self.words) > MAX_WORDS:
-            self.clear()
-        for w in sorted(words - self.words.keys()):
-            self.words[w] = self.insert(w)
-
-    def encode_batch(self, texts: Iterator[str | None]) -> Iterator[list[int]]:
-        """Ids of each text."""
+    def cut(self, texts: Iterable[str | None]) -> Iterator[list[str]]:
+        """The words of each text, while ``self.words`` has the ids of all of them."""
+        words = self.words
         for text in texts:
-            if not text:
-                yield []
-                continue
-            cut = self.split(text)
-            self.learn(set(cut))
-            words = self.words
+            cut = self.split(text) if text else []
+            if new := {w for w in cut if w not in words}:
+                if len(self.last) > MAX_NODES or len(words) > MAX_WORDS:
+                    self.clear()
+                    new = set(cut)
+                # Depth-first over new words: sorted order walks the trie that way.
+                for w in sorted(new):
+                    words[w] = self.insert(w)
+            yield cut
+            for w in new:
+                if len(w) > LONG // 4:
+                    del words[w]
+
+    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        words = self.words
+        for cut in self.cut(texts):
             yield [i for w in cut for i in words[w]]
 
+    def count_batch(self, texts: Iterable[str | None]) -> Iterator[int]:
+        """How many ids each text has."""
+        words = self.words
+        for cut in self.cut(texts):
+            yield sum(map(len, map(words.__getitem__, cut)))
+
 
 _encoders: dict[str, TrieEncoder] = {}
 
@@ -136,11 +159,15 @@ def token_ids(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY) ->
     """array<int>: the ids of ``text``."""
     path = os.path.join(folder, name)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path)
         for texts in batches:
-            yield pd.Series(list(e.encode_batch(texts)), index=texts.index, dtype=object)
+            flat, sizes = array("i"), np.zeros(len(texts) + 1, np.int32)
+            for k, one in enumerate(e.encode_batch(texts.to_pylist()), 1):
+                flat.extend(one)
+                sizes[k] = len(one)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(flat, np.int32)))
 
     return ids(text)
 
@@ -149,11 +176,11 @@ def token_count(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY)
     """bigint: how many ids ``text`` has, without sending them back."""
     path = os.path.join(folder, name)
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path)
         for texts in batches:
-            yield pd.Series([len(x) for x in e.encode_batch(texts)], index=texts.index, dtype="int64")
+            yield pa.array(list(e.count_batch(texts.to_pylist())), pa.int64())
 
     return count(text)
 

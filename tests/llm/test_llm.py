@@ -59,6 +59,16 @@ def test_a_full_trie_starts_anew(monkeypatch, reference):
         assert next(e.encode_batch(iter([s]))) == reference(s)
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch, reference):
+    e = tokens.TrieEncoder(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    monkeypatch.setattr(tokens, "MAX_PAIRS", 50)
+    rng = np.random.default_rng(0)
+    long = "".join(rng.choice([*"abcdefgh"], 30_000)) + " " + "é" * 2000 + " one two"
+    assert list(e.encode_batch([long])) == [reference(long)]
+    assert len(e.last) < 100 and len(e.words) == 2 and len(e.stable) <= 50
+    assert list(e.count_batch(iter([long, None, "one two"]))) == [len(reference(long)), 0, 2]
+
+
 # -- 7: mixing --------------------------------------------------------------------------------
 
 
