@@ -30,7 +30,7 @@ from benchloom.llm.categories import canonical, key_of, names
 from benchloom.session import cut, join_dimension
 
 #: Bits of the hash that number a category's buckets.
-BUCKET_BITS = 12
+BUCKET_BITS = 10
 ANY = "*"
 
 
