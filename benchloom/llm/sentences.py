@@ -27,14 +27,16 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,10 @@ TOKEN = regex.compile(r"[^\s(（\[“”„«»‘「『《\"]+$")
 #: What precedes a sentence that follows a mark without a blank.
 GLUED = regex.compile(r"^.*\p{Ll}[.!?](?=\p{Lu})")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’.][\p{L}\p{N}]+)*")
+DIGITS = regex.compile(r"\p{N}+")
+MARK_SET, MARK_OR_CLOSE = frozenset(MARKS), frozenset(MARKS) | CLOSE
+#: Contexts whose decision a worker remembers.
+CONTEXTS = 200_000
 
 
 @lru_cache(4096)
@@ -69,7 +75,7 @@ def script(ch: str) -> str:
 @lru_cache(100_000)
 def shape(token: str) -> str:
     """A token as counted: lower case, digits as one 9, at most its last 16 characters."""
-    return regex.sub(r"\p{N}+", "9", token.lower())[-16:]
+    return DIGITS.sub("9", token.lower())[-16:]
 
 
 @lru_cache(200_000)
@@ -108,7 +114,7 @@ def units(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     """A place where a sentence may end, and what is around it."""
 
@@ -119,39 +125,59 @@ class Candidate:
     closers: str
     opened: str
     token: str
-    before: str
+    left: str
     gap: bool
     nxt: str
-    word: str
-    facts: tuple[str, ...] = field(default=())
+    at: int
+
+    @property
+    def before(self) -> str:
+        """The token before ``token``."""
+        return last_token(self.left)[0]
 
+    def word(self, text: str, end: int) -> str:
+        """The first word of what follows."""
+        for i in range(self.at, min(self.at + 3, end)):
+            if w := WORD.match(text, i, min(end, self.at + 40)):
+                return w.group().lower()
+        return ""
 
-def follows(text: str, at: int, end: int) -> tuple[bool, str, str]:
-    """Whether a blank follows, the class of what comes next, and its first word."""
+
+def last_token(left: str) -> tuple[str, str]:
+    """The last token of a text that ends in no blank, and what precedes it."""
+    head, _, token = left.rpartition(" ")
+    if not token.isalnum():
+        t = TOKEN.search(left)
+        if t is None:
+            return "", ""
+        head, token = left[: t.start()], t.group()
+        if "." in token or "!" in token or "?" in token:
+            token = GLUED.sub("", token)
+    return token, head.rstrip()
+
+
+def follows(text: str, at: int, end: int) -> tuple[int, str]:
+    """Where what follows begins, and its class."""
     i = at
     while i < end and text[i].isspace():
         i += 1
     if i >= end:
-        return i > at, "end", ""
-    ch, w = text[i], WORD.search(text, i, min(end, i + 40))
-    word = w.group().lower() if w and w.start() - i <= 2 else ""
+        return i, "end"
+    ch = text[i]
+    if ch.islower():
+        return i, "lower"
+    if ch.isupper() or ch.istitle():
+        return i, "upper"
     if ch in OPEN or ch in "\"'¿¡" and i + 1 < end and not text[i + 1].isspace():
         kind = "quote" if ch not in "(（[{" else "bracket"
-        if w and w.start() - i <= 2:
+        if w := WORD.match(text, i, min(end, i + 40)) or WORD.match(text, i + 1, min(end, i + 40)) or WORD.match(text, i + 2, min(end, i + 40)):
             kind += "_low" if w.group()[0].islower() else "_up"
-    elif ch.isupper() or ch.istitle():
-        kind = "upper"
-    elif ch.islower():
-        kind = "lower"
-    elif ch.isdecimal():
-        kind = "digit"
-    elif ch.isalpha() or unicodedata.category(ch).startswith("M"):
-        kind = script(ch)
-    elif ch in ",;:،؛、，；：–—-)/”’»":
-        kind = "goes_on"
-    else:
-        kind = "symbol"
-    return i > at, kind, word
+        return i, kind
+    if ch.isdecimal():
+        return i, "digit"
+    if ch.isalpha() or unicodedata.category(ch).startswith("M"):
+        return i, script(ch)
+    return i, "goes_on" if ch in ",;:،؛、，；：–—-)/”’»" else "symbol"
 
 
 def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
@@ -186,7 +212,7 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
             while ch not in OPEN.get(stack[-1][0], ""):
                 drop()
             close(i)
-    begins, ends = sorted(a for a, _ in spans), sorted(b for _, b in spans)
+    begins, ends = sorted([a for a, _ in spans]), sorted([b for _, b in spans])
     pos = start
     while m := RUN.search(text, pos, end):
         pos = at = m.end()
@@ -202,17 +228,18 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
                 b = a - 1
                 while b >= start and text[b].isspace():
                     b -= 1
-                opened = "start" if b < start or text[b] in MARKS or text[b] in CLOSE and b - 1 >= start and (text[b - 1] in MARKS or text[b - 2 : b - 1] in [*MARKS]) else "colon" if text[b] in ":：،,，" else "mid"
+                opened = "start" if b < start or text[b] in MARK_SET or text[b] in CLOSE and b - 1 >= start and (text[b - 1] in MARK_SET or text[b - 2 : b - 1] in MARK_SET) else "colon" if text[b] in ":：،,，" else "mid"
                 if opener in "([{（【〔［":
                     opened = "b" + opened
                 closers += text[j]
                 at = j + 1
-            elif text[j] in MARKS and closers:
+            elif closers and text[j] in MARK_SET:
                 at = j + 1
             else:
                 break
         pos = max(pos, at)
-        gap, nxt, word = follows(text, at, end)
+        i, nxt = follows(text, at, end)
+        gap = i > at
         mark = m.group()
         alone = mark == "."
         if nxt != "end" and not gap:
@@ -224,20 +251,13 @@ def candidates(text: str, start: int, end: int, skip: int) -> list[Candidate]:
         if m.start() > start and text[m.start() - 1].isspace() and alone and not gap and nxt == "digit":
             continue
         left = text[max(start, m.start() - 40) : m.start()].rstrip()
-        t = TOKEN.search(left)
-        token = GLUED.sub("", t.group()) if t else left[-1:]
-        rest = left[: t.start()].rstrip() if t else ""
-        b = TOKEN.search(rest)
-        kind = "ell" if mark[0] == "…" or mark.startswith("..") or "…" in mark else "dot" if alone else mark[-1]
-        inside = bisect_left(begins, at - 1) > bisect_right(ends, at - 1)
-        before = GLUED.sub("", b.group()) if b else ""
-        out.append(Candidate(at, nxt == "end", inside, kind, closers, opened, token, before, gap, nxt, word))
+        token, rest = last_token(left)
+        kind = "dot" if alone else "ell" if mark[0] == "…" or mark.startswith("..") or "…" in mark else mark[-1]
+        inside = bool(begins) and bisect_left(begins, at - 1) > bisect_right(ends, at - 1)
+        out.append(Candidate(at, nxt == "end", inside, kind, closers, opened, token or left[-1:], rest, gap, nxt, i))
     return out
 
 
-Counts = tuple[np.ndarray, np.ndarray]
-
-
 def patterns(c: Candidate) -> list[tuple[str, str]]:
     """The keys under which a candidate is counted."""
     last = script(c.token[-1:]) if c.token else "none"
@@ -245,28 +265,30 @@ def patterns(c: Candidate) -> list[tuple[str, str]]:
     keys = [("sig", f"{c.mark}|{c.closers}|{c.opened}|{last}")]
     if c.mark == "dot":
         keys.append(("tok", token + ("|" + c.closers if c.closers else "")))
-        if regex.fullmatch(r"\p{N}+", c.token) or len(token) <= 2:
+        if token == "9" and DIGITS.fullmatch(c.token) or len(token) <= 2:
             keys.append(("two", f"{shape(c.before)} {token}"))
     return keys
 
 
 def count(texts: Iterator[str], mid: np.ndarray, fin: np.ndarray) -> None:
     """Adds to the counters of what stands inside units and what ends (or, for words, begins) them."""
+    inner: Counter[str] = Counter()
     for text in texts:
         for start, end, skip in units(text):
             first = WORD.match(text, skip if skip != start else start, end) or WORD.search(text, start, min(end, start + 4))
-            words = [w.group().lower() for w in WORD.finditer(text, start, end)]
+            inner.update(map(str.lower, WORD.findall(text, start, end)[1:]))
             marked = False
             for c in candidates(text, start, end, skip):
                 if c.inside:
                     continue
+                counts = fin if c.final else mid
                 for kind, key in patterns(c):
-                    (fin if c.final else mid)[slot(kind, key)] += 1
+                    counts[slot(kind, key)] += 1
                 marked |= c.final
             if marked and first:
                 fin[slot("word", first.group().lower())] += 1
-            for w in words[1:]:
-                mid[slot("word", w)] += 1
+    for word, n in inner.items():
+        mid[slot("word", word)] += n
 
 
 def level(mid: int, fin: int, share: float) -> str:
@@ -301,11 +323,11 @@ class Corpus:
         return "never" if fin == 0 else "little" if r < 0.02 else "often" if r < 0.2 else "mostly"
 
 
-def facts(c: Candidate, corpus: Corpus) -> list[str]:
-    """The features of a candidate."""
+def facts(c: Candidate, word: str, corpus: Corpus) -> list[str]:
+    """The features of a candidate before ``word``."""
     found = {kind: corpus.level(kind, key) for kind, key in patterns(c)}
     sig, tok, two = found["sig"], found.get("tok", "-"), found.get("two", "-")
-    begins = corpus.begins(c.word) if c.word else "-"
+    begins = corpus.begins(word) if word else "-"
     token = c.token
     form = "digits" if token.isdecimal() else "single" if len(token) == 1 and token.isalpha() else "dotted" if "." in token else "caps" if token[:1].isupper() else "plain"
     length = min(len(token), 8)
@@ -313,7 +335,7 @@ def facts(c: Candidate, corpus: Corpus) -> list[str]:
     nxt = c.nxt if c.gap else "tight_" + c.nxt
     return [
         "bias", f"mark={c.mark}", f"next={nxt}", f"mark={c.mark},next={nxt}", f"sig={sig},next={nxt}", f"tok={tok}", f"tok={tok},next={nxt}", f"two={two}", f"two={two},tok={tok}",
-        f"begins={begins},mark={c.mark}", f"begins={begins},tok={tok}", f"begins={begins},two={two}", f"form={form},len={length},mark={c.mark}", f"form={form},tok={tok}", f"last={last},mark={c.mark}", f"sig={sig}", f"opened={c.opened},next={nxt}", f"word={c.word}", f"token={shape(token)}",
+        f"begins={begins},mark={c.mark}", f"begins={begins},tok={tok}", f"begins={begins},two={two}", f"form={form},len={length},mark={c.mark}", f"form={form},tok={tok}", f"last={last},mark={c.mark}", f"sig={sig}", f"opened={c.opened},next={nxt}", f"word={word}", f"token={shape(token)}",
     ]
 
 
@@ -347,11 +369,12 @@ def labelled(text: str, corpus: Corpus) -> list[tuple[list[int], int]]:
             if c.final:
                 if k + 1 == len(cut):
                     continue
-                _, c.nxt, c.word = follows(text, cut[k + 1][0], cut[k + 1][1])
+                end = cut[k + 1][1]
+                c.at, c.nxt = follows(text, cut[k + 1][0], end)
                 c.gap = script(c.token[-1:] or " ") not in ("Han", "Kana")
                 if c.nxt in ("lower", "goes_on", "symbol", "end"):
                     continue
-            out.append(([weight_of(f) for f in facts(c, corpus)], y))
+            out.append(([weight_of(f) for f in facts(c, c.word(text, end), corpus)], y))
     return out
 
 
@@ -369,15 +392,32 @@ def fit(rows: list[list[int]], labels: np.ndarray, rounds: int = 120, rate: floa
     return weights
 
 
-def split(text: str | None, corpus: Corpus, weights: np.ndarray) -> list[tuple[int, int]]:
+class Cutter:
+    """The classifier with the contexts it has decided, of which it remembers at most ``CONTEXTS``."""
+
+    def __init__(self, corpus: Corpus, weights: np.ndarray):
+        self.corpus, self.weights = corpus, weights.tolist()
+        self.known: dict[tuple, bool] = {}
+
+    def ends(self, c: Candidate, text: str, end: int) -> bool:
+        """Whether a sentence ends at a candidate."""
+        word = c.word(text, end)
+        context = c.token, c.left[-16:] if len(c.token) <= 2 or c.token.isnumeric() else "", word, c.mark, c.closers, c.opened, c.nxt, c.gap
+        if (known := self.known.get(context)) is None:
+            if len(self.known) >= CONTEXTS:
+                self.known.clear()
+            weights = self.weights
+            known = self.known[context] = sum([weights[weight_of(f)] for f in facts(c, word, self.corpus)]) > 0
+        return known
+
+
+def split(text: str | None, cutter: Cutter) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text."""
     out: list[tuple[int, int]] = []
     for start, end, skip in units(text or ""):
         ends = {end}
         for c in candidates(text, start, end, skip):
-            if c.final or c.inside or c.nxt in ("lower", "goes_on"):
-                continue
-            if weights[[weight_of(f) for f in facts(c, corpus)]].sum() > 0:
+            if not (c.final or c.inside or c.nxt == "lower" or c.nxt == "goes_on") and cutter.ends(c, text, end):
                 ends.add(c.end)
         ends |= {m.start() for m in THAI_BLANK.finditer(text, start, end)}
         at = start
@@ -438,11 +478,18 @@ def sentences(documents: DataFrame) -> DataFrame:
     weights = train(documents, corpus)
     shared = documents.sparkSession.sparkContext.broadcast((corpus, weights))
 
-    @F.pandas_udf("array<struct<start_pos:int,end_pos:int>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        corpus, weights = shared.value
+    @F.arrow_udf("array<struct<start_pos:int,end_pos:int>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cutter = Cutter(*shared.value)
         for texts in batches:
-            yield pd.Series([[{"start_pos": a, "end_pos": b} for a, b in split(t, corpus, weights)] for t in texts], index=texts.index, dtype=object)
+            flat, sizes = array("i"), np.zeros(len(texts) + 1, np.int32)
+            for k, text in enumerate(texts.to_pylist(), 1):
+                got = split(text, cutter)
+                sizes[k] = len(got)
+                for span in got:
+                    flat.extend(span)
+            spans = np.frombuffer(flat, np.int32).reshape(-1, 2)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start_pos", "end_pos"]))
 
     rows = documents.select("doc_id", F.explode(cut("text")).alias("s"))
     return rows.select("doc_id", "s.start_pos", "s.end_pos")

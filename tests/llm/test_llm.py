@@ -312,7 +312,8 @@ def cutter(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     corpus = sentences.survey(docs)
     weights = sentences.train(docs, corpus)
-    return lambda s: [s[a:b] for a, b in sentences.split(s, corpus, weights)]
+    cutter = sentences.Cutter(corpus, weights)
+    return lambda s: [s[a:b] for a, b in sentences.split(s, cutter)]
 
 
 @pytest.mark.parametrize(
@@ -387,6 +388,6 @@ def test_held_out_accuracy(spark):
 @given(st.text(alphabet="aB1 .!?\n\"'()“”。…é一", max_size=60))
 def test_sentences_cover_all_that_is_not_blank(text):
     corpus = sentences.Corpus(np.zeros(sentences.SLOTS, int), np.zeros(sentences.SLOTS, int), 0.3)
-    got = sentences.split(text, corpus, np.random.default_rng(0).normal(size=sentences.WEIGHTS))
+    got = sentences.split(text, sentences.Cutter(corpus, np.random.default_rng(0).normal(size=sentences.WEIGHTS)))
     assert "".join("".join(text[a:b].split()) for a, b in got) == "".join(text.split())
     assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in got)
