@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchloom.session import BROADCAST_ROWS, cut, join_dimension
+from benchloom.session import cut, join_dimension
 
 #: unit -> (kind, factor to the common unit, spellings).
 LEXICON: dict[str, tuple[str, float, tuple[str, ...]]] = {
@@ -59,7 +59,9 @@ FILLERS = {"of", "the", "by", "about", "around", "roughly", "approximately", "ap
 
 #: Largest weighted edit distance, per character of the longer spelling, that still maps.
 MAX_DISTANCE = 0.25
-#: A spelling above this length maps to nothing: each character too many costs 0.3 at least.
+#: Words that one spelling of a unit may have.
+RUN = 4
+#: The length above which no spelling can be within ``MAX_DISTANCE`` of the longest known one.
 LONGEST = int(max(len(s) for _, _, spellings in LEXICON.values() for s in spellings) * 0.3 / (0.3 - MAX_DISTANCE)) + 1
 NUMBER = r"(?:\d+(?:\.\d+)?|\.\d+)"
 WRITTEN = r"(?:\d+(?:[\u00a0\u2009\u202f ]\d{3}(?!\d))*(?:[.,]\d+)*|[.,]\d+)"
@@ -226,6 +228,7 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     distance, then to the unit's name.
     """
     known = lexicon(spellings.sparkSession)
+    # No pair further apart in length can be within MAX_DISTANCE: each character too many costs 0.3 at least.
     wanted = spellings.where(F.length("spelling").between(1, LONGEST)).distinct()
     a = wanted.select("spelling", F.size(_grams(F.col("spelling"))).alias("na"), F.explode(_grams(F.col("spelling"))).alias("gram"))
     b = known.select("known", "unit", "kind", "factor", F.size(_grams(F.col("known"))).alias("nb"), F.explode(_grams(F.col("known"))).alias("gram"))
@@ -242,19 +245,20 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
     return best.select("spelling", "b.*")
 
 
-def leading_words(spellings: DataFrame) -> DataFrame:
-    """(spelling, head): each distinct spelling with itself and with its first one, two, ... words."""
-    parts = F.substring(F.trim(F.regexp_replace("spelling", r"[\s.,;:()\[\]_-]+", " ")), 1, LONGEST + 1)
-    words = F.split(parts, " ")
-    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
-    return spellings.where(F.col("spelling").isNotNull()).distinct().select("spelling", F.explode(F.array_distinct(F.concat(F.array("spelling"), heads))).alias("head")).where(F.length("head").between(1, LONGEST))
+def unit_words(spellings: DataFrame) -> DataFrame:
+    """(spelling, at, head): each distinct spelling (at 0) and every run of up to ``RUN`` of its words, by the place of the first."""
+    words = F.split(F.trim(F.regexp_replace("spelling", r"[\s.,;:()\[\]_-]+", " ")), " ")
+    run = lambda i, k: F.struct(i.alias("at"), F.array_join(F.slice(words, i, k), " ").alias("head"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(words) - i + 1)), lambda k: run(i, k))))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("spelling").alias("head")))
+    return spellings.where(F.col("spelling").isNotNull()).distinct().select("spelling", F.inline(F.concat(whole, runs))).where(F.length("head") > 0)
 
 
 def target_dictionary(heads: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(spelling, unit, kind, factor): what the whole spelling maps to, else the most of its leading words."""
+    """(spelling, kind, unit, factor): what the whole spelling maps to, else the first and then longest of its words that map to a unit of the kind."""
     known = heads.join(aliases.withColumnRenamed("spelling", "head"), "head")
-    best = known.groupBy("spelling").agg(F.max_by(F.struct("unit", "kind", "factor"), F.struct(F.col("head") == F.col("spelling"), F.length("head"))).alias("b"))
-    return best.select("spelling", "b.*")
+    best = known.groupBy("spelling", "kind").agg(F.min_by(F.struct("unit", "factor"), F.struct("at", (-F.length("head")).alias("long"), "head")).alias("b"))
+    return best.select("spelling", "kind", "b.*")
 
 
 def phrase_dictionary(phrases: DataFrame) -> DataFrame:
@@ -272,28 +276,29 @@ def phrase_dictionary(phrases: DataFrame) -> DataFrame:
 def harmonise(samples: DataFrame, sources: DataFrame) -> DataFrame:
     """row_id, kind, target_unit, value (in the common unit), unit (as resolved), via, bare.
 
-    ``via`` says where the unit came from: target, source, prompt or default.
+    ``via`` says where the unit came from: target, source, prompt or default; unresolved is the
+    default too, but of a target in which something is written beside the number that names no unit.
     """
     rows = cut(readings(samples, sources))
     words = cut(phrase_dictionary(rows.select("phrase")))
-    heads = cut(leading_words(rows.select(F.col("u_target").alias("spelling")).unionByName(words.select(clean_spelling(F.col("p_unit")).alias("spelling")))))
+    heads = cut(unit_words(rows.select(F.col("u_target").alias("spelling")).unionByName(words.select(clean_spelling(F.col("p_unit")).alias("spelling")))))
     every = rows.select(F.explode(F.array_distinct(F.array("u_source", "u_prompt"))).alias("spelling")).where(F.col("spelling").isNotNull())
     aliases = cut(alias_dictionary(every.unionByName(heads.select(F.col("head").alias("spelling")))))
     targets = cut(target_dictionary(heads, aliases))
-    rows = join_dimension(rows, words, ["phrase"])
+    common = F.when(F.col("kind") == "dolly", F.lit("x")).otherwise(F.lit("deg"))
+    rows = join_dimension(rows.withColumn("common", common), words, ["phrase"])
     rows = rows.withColumn("u_target", F.coalesce(clean_spelling(F.col("p_unit")), "u_target")).withColumn("value", F.coalesce("p_value", "value")).where(F.col("value").isNotNull())
     for where, dictionary in (("target", targets), ("source", aliases), ("prompt", aliases)):
-        small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        named = dictionary.select(F.col("spelling").alias(f"u_{where}"), *(F.col(c).alias(f"{where}_{c}") for c in ("unit", "kind", "factor")))
-        rows = rows.join(F.broadcast(named) if small else named, f"u_{where}", "left")
-    common = F.when(F.col("kind") == "dolly", F.lit("x")).otherwise(F.lit("deg"))
+        named = dictionary.select(F.col("spelling").alias(f"u_{where}"), F.col("kind").alias("common"), *(F.col(c).alias(f"{where}_{c}") for c in ("unit", "factor")))
+        rows = join_dimension(rows, named, [f"u_{where}", "common"])
     pick = F.lit(None)
     for where in ("prompt", "source", "target"):
         found = F.struct(F.col(f"{where}_unit").alias("unit"), F.col(f"{where}_factor").alias("factor"), F.lit(where).alias("via"))
-        pick = F.when(F.col(f"{where}_kind") == common, found).otherwise(pick)
-    default = F.struct(F.when(common == "x", F.lit("ratio")).otherwise(F.lit("degree")).alias("unit"), F.lit(1.0).alias("factor"), F.lit("default").alias("via"))
+        pick = F.when(F.col(f"{where}_unit").isNotNull(), found).otherwise(pick)
+    via = F.when(F.col("u_target").isNotNull(), F.lit("unresolved")).otherwise(F.lit("default"))
+    default = F.struct(F.when(F.col("common") == "x", F.lit("ratio")).otherwise(F.lit("degree")).alias("unit"), F.lit(1.0).alias("factor"), via.alias("via"))
     rows = rows.withColumn("pick", F.coalesce(pick, default))
-    return rows.select("row_id", "kind", common.alias("target_unit"), (F.col("value") * F.col("pick.factor")).alias("value"), "pick.unit", "pick.via", "bare")
+    return rows.select("row_id", "kind", F.col("common").alias("target_unit"), (F.col("value") * F.col("pick.factor")).alias("value"), "pick.unit", "pick.via", "bare")
 
 
 def found(samples: DataFrame, sources: DataFrame) -> DataFrame:

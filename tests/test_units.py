@@ -39,6 +39,18 @@ def test_words_after_the_unit(spark):
     assert {i: r[1] for i, r in got.items()} == {i: milli for i, (_, _, milli) in enumerate(written)}
 
 
+def test_units_among_other_words(spark):
+    written = [
+        ("orbit", "1.5 radians cw", 85.943669, "target"), ("orbit", "1.5 radians clockwise", 85.943669, "target"), ("orbit", "1.5 rad left", 85.943669, "target"), ("pan", "1.5 clockwise radians", 85.943669, "target"),
+        ("orbit", "1.5 radians measured about the vertical centre axis", 85.943669, "target"), ("tilt", "5400 arcmin total", 90.0, "target"), ("pan", "2 " + "slow and steady " * 400 + "turns", 720.0, "target"),
+        ("dolly", "1.5 turns of the wheel, 3x", 1.5, "unresolved"), ("orbit", "30 paces", 30.0, "unresolved"), ("orbit", "30", 30.0, "default"),
+    ]
+    data = [(i, m, t, None, 3, None, "clash", "clash") for i, (m, t, _, _) in enumerate(written)]
+    src = spark.createDataFrame(SOURCES, "source_id int, angle_unit string, dolly_unit string")
+    got = {r["row_id"]: (round(r["value"], 6), r["via"]) for r in U.harmonise(spark.createDataFrame(data, SCHEMA), src).collect()}
+    assert got == {i: (value, via) for i, (_, _, value, via) in enumerate(written)}
+
+
 def test_precedence(spark):
     clause = "Camera: circle the subject; target motion value 2.0{}. Then the crane 9 stops."
     got = run(
