@@ -1,21 +1,24 @@
 """Schemas that drift between files (problem 5).
 
-1. ``file_schemas`` reads every line once and keeps, for each file, the tree of its
-   fields: name as written, canonical name, JSON kinds seen, children.
-2. ``edit_script`` compares the trees of a file and of the file before it in its stream by
-   a top-down (Selkow) tree edit distance: children are aligned by dynamic programming
-   over canonical names; deleting or inserting a field takes its subtree along; deleted and
-   inserted fields of one name in different places become moves where that is cheaper.
-3. ``consistent_table`` compiles what the trees say about names into one projection for
-   each file and applies it to all its lines in built-in expressions.
-
-Only names and kinds go through Python, first reduced to the distinct ones of a batch.
-The state for one file or stream position is its schema, never its lines, so a stream with
-a third of all lines puts no burden on one task.
-
-Defined results.  Null, empty, cut lines and lines that are not objects add no field (a file
+1. ``file_fields`` reads every line once, in built-in expressions: each top-level field with the
+   type of its value, which names the fields and kinds of everything nested in it, elements of
+   arrays included, at any depth.  Only distinct (file, field, type) go on.
+2. ``edit_script`` compares the tree of a file with that of the file before it in its stream.
+   Fields of an object have no order, so its children are aligned as sets: those of one
+   canonical name belong together; the others are paired by an assignment of minimum cost
+   between fields of equal kind whose names or subtrees are alike (a rename), and what is left is
+   deleted or inserted with its subtree.  Nodes of deleted and of inserted subtrees that bear one name are then
+   paired by assignments of minimum cost, larger subtrees first, where moving costs less.
+3. ``projections`` compiles the scripts of a stream: following its renames and moves back gives,
+   for every file, which column each field written there belongs to, and which nested places hold
+   columns that were moved there.  ``consistent_table`` applies a file's projection to its lines in built-in expressions.
+
+Only types and names go through Python.  The state for one file or stream position is its schema, never its
+lines, so a stream with a third of all lines puts no burden on one task.
+
+Defined results.  Null, empty, cut lines and lines that are not one JSON object add no field (a file
 with nothing else has an empty schema); they stay in the consistent table with
-``parsed = false``.  A null value adds the field without a kind.  Repeated lines change
+``parsed = false`` and their text in ``raw``.  A null value adds the field without a kind.  Repeated lines change
 nothing in a schema and stay in the table.  A name repeated within one object counts with
 its last value.  Ties in file_seq are ordered by file_id.  Empty tables give empty results;
 other columns of the inputs are ignored.
@@ -24,66 +27,46 @@ other columns of the inputs are ignored.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchloom.session import join_dimension
+from benchloom.session import cut, join_dimension
 
 #: Fields that identify a record; their changes are not reported.
 IDENTITY = ("task_id", "domain", "task_category")
-#: Canonical names of numeric and boolean result fields, typed in the consistent table.
+#: Canonical names of result fields that are numbers in the consistent table, and of those kept as JSON.
 NUMERIC = ("viewpoint_motion_score", "viewpoint_motion", "viewpoint_motion_target_degrees", "weighted_score", "frame_count_actual")
+DETAILS = ("industrial_constraint_details", "industrial_logic_and_fact_alignment_details")
 SEP = "\x1f"
 #: Costs of a tree edit script.
 DELETE, INSERT, RENAME, RETYPE, MOVE = 1.0, 1.0, 0.5, 0.5, 1.0
-#: Depth to which nested fields are compared; deeper ones count as part of their parent.
-MAX_DEPTH = 6
+#: Share of bigrams that two names must have in common to be one field renamed.
+ALIKE = 0.5
+#: Levels of nesting that a schema may have; the JSON reader takes 1,000.
+DEEP = 20_000
 
 
-def kind_of(value: object) -> str:
-    """number, string, boolean, object or array; "" for null."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, (int, float)):
-        return "number"
-    return {str: "string", dict: "object", list: "array"}[type(value)]
+def members(payload: Column) -> Column:
+    """map<string, variant> of a line that is one JSON object, else null."""
+    whole = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    one = F.try_variant_get(whole, "$[1]", "variant").isNull() & payload.rlike(r"\}\s*$")
+    return F.when(one, F.try_variant_get(whole, "$[0]", "map<string,variant>"))
 
 
-def walk(value: dict, path: tuple[str, ...], out: set[tuple[str, str]]) -> None:
-    """Adds (path, kind) of every field below ``value``."""
-    for name, child in value.items():
-        here = (*path, name)
-        out.add((SEP.join(here), kind_of(child)))
-        if isinstance(child, dict) and len(here) < MAX_DEPTH:
-            walk(child, here, out)
+def kind_of(kind: Column) -> Column:
+    """number, string, boolean, object or array of a variant's type; empty for null."""
+    number = kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(number, "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("")
 
 
 def file_fields(raw: DataFrame) -> DataFrame:
-    """(file_id, path, kind), distinct: each field of each file, path as written."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: set[tuple[int, str, str]] = set()
-            for file_id, payload in zip(pdf["file_id"], pdf["payload"]):
-                if payload is None:
-                    continue
-                try:
-                    record = json.loads(payload)
-                except (ValueError, RecursionError):
-                    continue
-                if isinstance(record, dict):
-                    fields: set[tuple[str, str]] = set()
-                    walk(record, (), fields)
-                    seen.update((file_id, p, k) for p, k in fields)
-            yield pd.DataFrame(list(seen), columns=["file_id", "path", "kind"]).astype({"file_id": "int64"})
-
-    rows = raw.select("file_id", "payload").where(F.col("file_id").isNotNull())
-    return rows.mapInPandas(read, "file_id bigint, path string, kind string").distinct()
+    """(file_id, written, kind, type), distinct: each top-level field of each file; ``type`` only where something is nested."""
+    rows = raw.where(F.col("file_id").isNotNull()).select("file_id", F.explode(F.transform_values(members(F.col("payload")), lambda _, v: F.schema_of_variant(v))).alias("written", "t"))
+    return rows.select("file_id", "written", kind_of(F.col("t")).alias("kind"), F.when(F.col("t").contains("<"), F.col("t")).alias("type")).distinct()
 
 
 def letters(c: Column) -> Column:
@@ -91,17 +74,16 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
 
 
-def canonical_names(paths: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Adds ``written`` (the top-level name) and ``canonical``.
+def canonical_names(fields: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Adds ``canonical``.
 
     A name equal to an alias or to a canonical name by letters and digits takes the canonical
     name; any other stays as written.
     """
     names = aliases.select(letters(F.col("alias")).alias("key"), "canonical").unionByName(aliases.select(letters(F.col("canonical")).alias("key"), "canonical"))
-    names = names.unionByName(paths.sparkSession.createDataFrame([(letters_py(n), n) for n in IDENTITY + NUMERIC + ("skipped",)], "key string, canonical string"))
+    names = names.unionByName(fields.sparkSession.createDataFrame([(letters_py(n), n) for n in IDENTITY + NUMERIC + ("skipped",)], "key string, canonical string"))
     names = names.where(F.col("key") != "").groupBy("key").agg(F.min("canonical").alias("canonical"))
-    paths = paths.withColumn("written", F.substring_index("path", SEP, 1)).withColumn("key", letters(F.col("written")))
-    return join_dimension(paths, names, ["key"]).withColumn("canonical", F.coalesce("canonical", "written")).drop("key")
+    return join_dimension(fields.withColumn("key", letters(F.col("written"))), names, ["key"]).withColumn("canonical", F.coalesce("canonical", "written")).drop("key")
 
 
 def letters_py(name: str) -> str:
@@ -119,15 +101,14 @@ def streams(files: DataFrame) -> DataFrame:
 def file_schemas(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """(file_id, stream_id, pos, fields): one row a file, also for files without readable lines.
 
-    ``fields``: array of (canonical, written names, kind, known kind, paths below), one for each top-level
+    ``fields``: array of (canonical, written names, kind, known kind, types), one for each top-level
     field; ``known`` is the last kind since the field was added, for files that have only nulls.
     """
     fields = canonical_names(file_fields(raw), aliases)
-    top = F.col("path") == F.col("written")
     fields = fields.groupBy("file_id", "canonical").agg(
         F.array_sort(F.collect_set("written")).alias("written"),
-        F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(top & (F.col("kind") != ""), F.col("kind")))), "|"), F.lit("")).alias("kind"),
-        F.array_sort(F.collect_set(F.when(~top, F.concat_ws(SEP, F.expr(f"substr(path, instr(path, '{SEP}') + 1)"), F.concat(F.lit(":"), "kind"))))).alias("below"),
+        F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif("kind", F.lit("")))), "|"), F.lit("")).alias("kind"),
+        F.array_sort(F.collect_set("type")).alias("types"),
     )
     placed = streams(files)
     rows = fields.join(placed, "file_id")
@@ -135,117 +116,257 @@ def file_schemas(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFr
     rows = rows.withColumn("run", F.col("pos") - F.row_number().over(by_field))
     since = Window.partitionBy("stream_id", "canonical", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("known", F.last("kind", ignorenulls=True).over(since))
-    trees = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("canonical", "written", "kind", "known", "below"))).alias("fields"))
+    trees = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("canonical", "written", "kind", "known", "types"))).alias("fields"))
     return placed.join(trees, "file_id", "left").withColumn("fields", F.coalesce("fields", F.array().cast(trees.schema["fields"].dataType)))
 
 
-# -- tree edit distance ---------------------------------------------------------------------
+# -- trees ------------------------------------------------------------------------------------
 
 
 class Node:
-    """A field of a schema tree."""
+    """A field of a schema tree; ``name`` is what it is compared by."""
 
-    __slots__ = ("children", "kind", "known", "name", "written")
+    __slots__ = ("children", "kind", "known", "name", "size", "written")
 
     def __init__(self, name: str, written: tuple[str, ...], kind: str | None, known: str | None, children: list[Node]):
-        self.name, self.written, self.kind, self.known, self.children = name, written, kind, known, children
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
-
+        self.name, self.written, self.kind, self.known = name, written, kind, known
+        self.children = sorted(children, key=lambda c: c.name)
+        self.size = 1 + sum(c.size for c in children)
 
-def tree_of(fields: list) -> Node:
-    """The schema tree of a file; children are sorted by canonical name."""
-
-    def nest(paths: list[tuple[tuple[str, ...], str]]) -> list[Node]:
-        by: dict[str, list[tuple[tuple[str, ...], str]]] = {}
-        for path, kind in paths:
-            by.setdefault(letters_py(path[0]) or path[0], []).append((path, kind))
-        out = []
-        for key in sorted(by):
-            own = sorted({k for p, k in by[key] if len(p) == 1 and k})
-            kind = "|".join(own) or None
-            out.append(Node(key, tuple(sorted({p[0] for p, _ in by[key]})), kind, kind, nest([(p[1:], k) for p, k in by[key] if len(p) > 1])))
-        return out
 
-    def split(entry: str) -> tuple[tuple[str, ...], str]:
-        *path, kind = entry.split(SEP)
-        return tuple(path), kind[1:]
+Type = tuple[str, list[tuple[str, "Type"]]]
 
-    top = [Node(f["canonical"], tuple(f["written"]), f["kind"], f["known"], nest([split(x) for x in f["below"]])) for f in fields]
-    return Node("", (), "object", "object", sorted(top, key=lambda n: n.name))
 
+def read_type(text: str) -> Type:
+    """(kind, children) of a variant's type: OBJECT<name: TYPE, ...>, ARRAY<TYPE> or a plain one.
 
-Op = tuple[str, str, str, str]
+    >>> read_type("OBJECT<a: BIGINT, `b c`: ARRAY<STRING>>")
+    ('object', [('a', ('number', [])), ('b c', ('array', [('[]', ('string', []))]))])
+    """
+    at = 0
+
+    def name() -> str:
+        nonlocal at
+        if text[at] != "`":
+            end = text.index(":", at)
+            out, at = text[at:end], end
+            return out
+        out, at = [], at + 1
+        while True:
+            end = text.index("`", at)
+            out.append(text[at:end])
+            at = end + 1
+            if text[at : at + 1] != "`":
+                return "`".join(out)
+            at += 1
+
+    def one() -> Type:
+        nonlocal at
+        if text.startswith("OBJECT<", at):
+            at, fields = at + 7, []
+            while text[at] != ">":
+                at += 2 if text[at] == "," else 0
+                key = name()
+                at += 2
+                fields.append((key, one()))
+            at += 1
+            return "object", fields
+        if text.startswith("ARRAY<", at):
+            at += 6
+            of = one()
+            at += 1
+            return "array", [("[]", of)] if of[0] else []
+        end = at
+        while end < len(text) and text[end] not in ",>" or text[at:end].startswith("DECIMAL(") and ")" not in text[at:end]:
+            end += 1
+        word, at = text[at:end], end
+        return {"STRING": "string", "BOOLEAN": "boolean", "VOID": "", "VARIANT": ""}.get(word, "number"), []
+
+    return one()
+
+
+def nest(types: list[Type]) -> list[Node]:
+    """The children of a field with these types, united by their names."""
+    by: dict[str, list[tuple[str, Type]]] = {}
+    for _, children in types:
+        for written, t in children:
+            by.setdefault(written if written == "[]" else letters_py(written) or written, []).append((written, t))
+    out = []
+    for key, found in by.items():
+        kind = "|".join(sorted({t[0] for _, t in found if t[0]})) or None
+        out.append(Node(key, tuple(sorted({w for w, _ in found})), kind, kind, nest([t for _, t in found])))
+    return out
 
 
-def align(a: Node, b: Node, path: str = "") -> tuple[float, list[Op]]:
-    """Cost and script (operation, path, before, after) that turn ``a``'s children into ``b``'s."""
-    xs, ys = a.children, b.children
-    same: dict[tuple[int, int], tuple[float, list[Op]]] = {}
-    where = {y.name: j for j, y in enumerate(ys)}
+def tree_of(fields: list) -> Node:
+    """The schema tree of a file."""
+    return Node("", (), "object", "object", [Node(f["canonical"], tuple(f["written"]), f["kind"], f["known"], nest([read_type(t) for t in f["types"]])) for f in fields])
+
+
+# -- tree edit distance -----------------------------------------------------------------------
+
+#: Operation, place before, place after (equal unless renamed to another name or moved), and names or kinds before and after.
+Op = tuple[str, str, str, str, str]
+
+
+def assign(profit: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """The pairs, each side used once at most, with the greatest sum of positive profits (Hungarian method)."""
+    left, right = sorted({i for i, _ in profit}), sorted({j for _, j in profit})
+    n, m = len(left), max(len(right), len(left))
+    cost = [[-max(0.0, profit.get((i, right[c]), 0.0)) if c < len(right) else 0.0 for c in range(m)] for i in left]
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for row in range(1, n + 1):
+        match[0], at = row, 0
+        least, way, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            done[at] = True
+            i, step, nxt = match[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    if (c := cost[i - 1][j - 1] - u[i] - v[j]) < least[j]:
+                        least[j], way[j] = c, at
+                    if least[j] < step:
+                        step, nxt = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[match[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+            if match[at] == 0:
+                break
+        while at:
+            match[at] = match[way[at]]
+            at = way[at]
+    pairs = [(left[match[j] - 1], right[j - 1]) for j in range(1, len(right) + 1) if match[j]]
+    return sorted(p for p in pairs if profit.get(p, 0.0) > 0)
+
+
+def bigrams(name: str) -> set[str]:
+    padded = f"^{letters_py(name) or name}$"
+    return {padded[i : i + 2] for i in range(len(padded) - 1)}
+
+
+def alike(x: Node, y: Node) -> bool:
+    """Whether two names may be one field renamed: equal kind, and like names or the same children."""
+    if x.kind != y.kind or "[]" in (x.name, y.name):
+        return False
+    if x.children and [c.name for c in x.children] == [c.name for c in y.children]:
+        return True
+    a, b = bigrams(x.name), bigrams(y.name)
+    return 2 * len(a & b) >= 2 * ALIKE * max(len(a), len(b))
+
+
+Gone = list[tuple[str, Node]]
+
+
+def place(path: str, node: Node) -> str:
+    return f"{path}{SEP}{node.name}" if path else node.name
+
+
+def match(x: Node, y: Node, before: str, after: str, gone: Gone, come: Gone) -> tuple[float, list[Op]]:
+    """Cost and script that turn one field into another, subtrees included."""
+    cost, ops, other = 0.0, [], before.rpartition(SEP)[2] != after.rpartition(SEP)[2]
+    if other or x.written != y.written:
+        cost, ops = RENAME, [("renamed", before, after, "|".join(x.written), "|".join(y.written))]
+    if y.kind and x.known and y.kind != x.known:
+        cost, ops = cost + RETYPE, [*ops, ("retyped", before, after, x.known, y.kind)]
+    below, more = align(x, y, before, after, gone, come)
+    return cost + below, ops + more
+
+
+def align(a: Node, b: Node, before: str, after: str, gone: Gone, come: Gone) -> tuple[float, list[Op]]:
+    """Cost and script that turn ``a``'s children into ``b``'s; what is deleted or inserted is added to ``gone`` and ``come``."""
+    cost, ops = 0.0, []
+    theirs = {y.name: y for y in b.children}
+    mine = {x.name for x in a.children}
+    for x in a.children:
+        if y := theirs.get(x.name):
+            c, more = match(x, y, place(before, x), place(after, y), gone, come)
+            cost, ops = cost + c, ops + more
+    xs, ys = [x for x in a.children if x.name not in theirs], [y for y in b.children if y.name not in mine]
+    profit = {}
     for i, x in enumerate(xs):
-        if (j := where.get(x.name)) is not None:
-            y, here = ys[j], f"{path}.{x.name}" if path else x.name
-            cost, ops = align(x, y, here)
-            if x.written != y.written:
-                cost, ops = cost + RENAME, [("renamed", here, "|".join(x.written), "|".join(y.written)), *ops]
-            if y.kind and x.known and y.kind != x.known:
-                cost, ops = cost + RETYPE, [("retyped", here, x.known, y.kind), *ops]
-            same[i, j] = cost, ops
-    n, m = len(xs), len(ys)
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n and j == m:
-                continue
-            options = []
-            if i < n:
-                options.append(best[i + 1][j] + DELETE * xs[i].size())
-            if j < m:
-                options.append(best[i][j + 1] + INSERT * ys[j].size())
-            if (i, j) in same:
-                options.append(best[i + 1][j + 1] + min(same[i, j][0], DELETE * xs[i].size() + INSERT * ys[j].size() - 1e-9))
-            best[i][j] = min(options)
-    ops, i, j = [], 0, 0
-    while i < n or j < m:
-        if (i, j) in same:
-            ops += same[i, j][1]
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i][j] == best[i + 1][j] + DELETE * xs[i].size()):
-            ops.append(("removed", f"{path}.{xs[i].name}" if path else xs[i].name, "|".join(xs[i].written), ""))
-            i += 1
-        else:
-            ops.append(("added", f"{path}.{ys[j].name}" if path else ys[j].name, "", "|".join(ys[j].written)))
-            j += 1
-    return best[0][0], ops
+        for j, y in enumerate(ys):
+            if alike(x, y):
+                c, _ = match(x, y, place(before, x), place(after, y), [], [])
+                profit[i, j] = DELETE * x.size + INSERT * y.size - c
+    pairs = assign(profit) if profit else []
+    for i, j in pairs:
+        c, more = match(xs[i], ys[j], place(before, xs[i]), place(after, ys[j]), gone, come)
+        cost, ops = cost + c, ops + more
+    left, right = {i for i, _ in pairs}, {j for _, j in pairs}
+    for i, x in enumerate(xs):
+        if i not in left:
+            cost += DELETE * x.size
+            gone.append((place(before, x), x))
+            ops.append(("removed", place(before, x), place(before, x), "|".join(x.written), ""))
+    for j, y in enumerate(ys):
+        if j not in right:
+            cost += INSERT * y.size
+            come.append((place(after, y), y))
+            ops.append(("added", place(after, y), place(after, y), "", "|".join(y.written)))
+    return cost, ops
+
+
+def spread(roots: Gone) -> Gone:
+    """All nodes of these subtrees with their places, but elements of arrays."""
+    out, todo = [], list(roots)
+    while todo:
+        path, node = todo.pop()
+        if node.name != "[]":
+            out.append((path, node))
+        todo += [(place(path, c), c) for c in node.children]
+    return out
+
+
+def within(path: str, taken: set[str]) -> bool:
+    """Whether a place, one above or one below it is among those taken."""
+    return any(path == t or path.startswith(t + SEP) or t.startswith(path + SEP) for t in taken)
 
 
 def edit_script(before: Node, after: Node) -> tuple[float, list[Op]]:
-    """The minimum-cost script; removals and additions of one name in two places become moves."""
-    cost, ops = align(before, after)
-    gone: dict[str, list[int]] = {}
-    leaf = lambda p: letters_py(p.rpartition(".")[2])
-    for k, op in enumerate(ops):
-        if op[0] == "removed":
-            gone.setdefault(leaf(op[1]), []).append(k)
-    drop: set[int] = set()
-    moves: list[Op] = []
-    for k, op in enumerate(ops):
-        if op[0] == "added" and (at := gone.get(leaf(op[1]))):
-            source = at.pop(0)
-            drop |= {k, source}
-            moves.append(("moved", ops[source][1], ops[source][1], op[1]))
-            cost += MOVE - DELETE - INSERT
-    return cost, [op for k, op in enumerate(ops) if k not in drop] + moves
+    """The minimum-cost script of deletions, insertions, renames, changes of kind, and moves."""
+    gone: Gone = []
+    come: Gone = []
+    cost, ops = align(before, after, "", "", gone, come)
+    names: dict[str, tuple[Gone, Gone]] = {}
+    for side, roots in enumerate((gone, come)):
+        for path, node in spread(roots):
+            names.setdefault(letters_py(node.written[0]) or node.written[0], ([], []))[side].append((path, node))
+    groups = [(old, new) for _, (old, new) in sorted(names.items()) if old and new]
+    left: set[str] = set()
+    right: set[str] = set()
+    for old, new in sorted(groups, key=lambda g: -max(n.size for _, n in g[0])):
+        profit = {}
+        for i, (p, x) in enumerate(old):
+            for j, (q, y) in enumerate(new):
+                if not within(p, left) and not within(q, right) and (x.kind == y.kind or not (x.kind and y.kind)):
+                    profit[i, j] = DELETE * x.size + INSERT * y.size - MOVE - align(x, y, p, q, [], [])[0] - (RENAME if x.written != y.written else 0)
+        for i, j in sorted(assign(profit), key=lambda k: -profit[k]) if profit else []:
+            (p, x), (q, y) = old[i], new[j]
+            if within(p, left) or within(q, right):
+                continue
+            cost -= profit[i, j]
+            left.add(p)
+            right.add(q)
+            ops = [op for op in ops if not (op[0] == "removed" and op[1] == p or op[0] == "added" and op[2] == q)]
+            ops.append(("moved", p, q, "|".join(x.written), "|".join(y.written)))
+            ops += align(x, y, p, q, [], [])[1]
+    return cost, ops
 
 
-def scripts(schemas: DataFrame) -> DataFrame:
-    """(file_id, stream_id, pos, cost, op, path, before, after): the script of each file against the one before it."""
+def placed_scripts(schemas: DataFrame) -> DataFrame:
+    """(file_id, stream_id, pos, cost, op, path, place, before, after): the script of each file against the one before it.
+
+    ``path`` and ``place`` are where a field was and is; steps are parted by ``SEP``.
+    """
     before = schemas.select("stream_id", (F.col("pos") + 1).alias("pos"), F.col("fields").alias("old"))
     pairs = schemas.join(before, ["stream_id", "pos"]).select("file_id", "stream_id", "pos", F.to_json("old").alias("old"), F.to_json("fields").alias("new"))
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(max(DEEP, sys.getrecursionlimit()))
         cache: dict[tuple[str, str], tuple[float, list[Op]]] = {}
         for pdf in batches:
             out = []
@@ -257,46 +378,119 @@ def scripts(schemas: DataFrame) -> DataFrame:
                     cache[key] = edit_script(load(old), load(new))
                 cost, ops = cache[key]
                 out += [(file_id, stream_id, pos, cost, *op) for op in ops]
-            yield pd.DataFrame(out, columns=["file_id", "stream_id", "pos", "cost", "op", "path", "before", "after"])
+            yield pd.DataFrame(out, columns=["file_id", "stream_id", "pos", "cost", "op", "path", "place", "before", "after"])
 
-    return pairs.mapInPandas(diff, "file_id bigint, stream_id bigint, pos int, cost double, op string, path string, before string, after string")
+    return pairs.mapInPandas(diff, "file_id bigint, stream_id bigint, pos int, cost double, op string, path string, place string, before string, after string")
+
+
+def scripts(schemas: DataFrame) -> DataFrame:
+    """``placed_scripts`` with places as dotted names."""
+    dotted = lambda c: F.replace(c, F.lit(SEP), F.lit(".")).alias(c)
+    return placed_scripts(schemas).select("file_id", "stream_id", "pos", "cost", "op", dotted("path"), dotted("place"), "before", "after")
 
 
 def found(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file_id, field_name, change_kind): changes of top-level fields, out of the edit scripts."""
-    rows = scripts(file_schemas(raw, files, aliases))
-    moved = F.explode(F.when(F.col("op") == "moved", F.array(F.struct(F.col("before").alias("path"), F.lit("removed").alias("op")), F.struct(F.col("after").alias("path"), F.lit("added").alias("op")))).otherwise(F.array(F.struct("path", "op"))))
-    rows = rows.select("file_id", moved.alias("c")).select("file_id", F.col("c.path").alias("field_name"), F.col("c.op").alias("change_kind"))
-    return rows.where(~F.col("field_name").contains(".") & ~F.col("field_name").isin(*IDENTITY)).distinct()
+    """(file_id, field_name, change_kind): changes of top-level fields, out of the edit scripts.
+
+    A field that was moved, or renamed to a name that no alias joins to its own, is removed under one name and added under the other.
+    """
+    one = lambda name, kind: F.struct(F.col(name).alias("field_name"), kind.alias("change_kind"))
+    apart = (F.col("path") != F.col("place")) & F.col("op").isin("moved", "renamed")
+    rows = placed_scripts(file_schemas(raw, files, aliases)).where((F.col("op") != "retyped") | (F.col("path") == F.col("place")))
+    changes = F.when(apart, F.array(one("path", F.lit("removed")), one("place", F.lit("added")))).otherwise(F.array(one("place", F.col("op"))))
+    rows = rows.select("file_id", F.inline(changes))
+    return rows.where(~F.col("field_name").contains(SEP) & ~F.col("field_name").isin(*IDENTITY)).distinct()
 
 
 # -- one consistent table -------------------------------------------------------------------
 
 
+def followed(steps: DataFrame) -> DataFrame:
+    """(stream_id, place, since, until, root): what each renamed or moved field was at first, for positions from ``since`` to before ``until``.
+
+    Each change is an arrow from a field to the one it was before; arrows are followed by doubling.
+    """
+    link = F.col("op").isin("renamed", "moved") & (F.col("path") != F.col("place"))
+    events = steps.where(link | (F.col("op") == "added")).select("stream_id", "pos", "place", F.when(link, F.col("path")).alias("path"))
+    by_place = Window.partitionBy("stream_id", "place").orderBy("pos")
+    events = cut(events.withColumn("until", F.lead("pos").over(by_place)))
+    arrows = events.where(F.col("path").isNotNull()).select("stream_id", "place", F.col("pos").alias("since"), "until", "path")
+    ends = arrows.select(F.col("stream_id").alias("s"), F.col("place").alias("from"), F.col("since").alias("start"), F.col("until").alias("stop"))
+    inside = (F.col("stream_id") == F.col("s")) & (F.col("path") == F.col("from")) & (F.col("since") > F.col("start")) & (F.col("since") <= F.coalesce("stop", F.col("since")))
+    state = cut(arrows.join(ends, inside, "left").select("stream_id", "place", "since", "until", F.col("path").alias("root"), F.col("from").alias("to"), F.col("start").alias("at")))
+    while state.where(F.col("to").isNotNull()).limit(1).count():
+        target = state.select("stream_id", F.col("place").alias("to"), F.col("since").alias("at"), F.col("root").alias("r"), F.col("to").alias("t"), F.col("at").alias("a"))
+        state = cut(state.join(target, ["stream_id", "to", "at"], "left").select("stream_id", "place", "since", "until", F.coalesce("r", "root").alias("root"), F.col("t").alias("to"), F.col("a").alias("at")))
+    return state.select("stream_id", "place", "since", "until", "root")
+
+
 def projections(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file_id, names): for each file the map from names as written to canonical names."""
-    schemas = file_schemas(raw, files, aliases)
-    pairs = schemas.select("file_id", F.explode("fields").alias("f")).select("file_id", F.col("f.canonical").alias("canonical"), F.explode("f.written").alias("written"))
-    return pairs.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("written", "canonical"))).alias("names"))
+    """(file_id, names, lifted), compiled from the scripts.
+
+    ``names``: from each name written at the top of a file to its column.  ``lifted``: from
+    columns to the places, as JSON paths, of nested fields that were moved there from the top.
+    """
+    schemas = cut(file_schemas(raw, files, aliases))
+    roots = followed(cut(placed_scripts(schemas))).withColumnRenamed("stream_id", "s")
+    now = (F.col("stream_id") == F.col("s")) & (F.col("pos") >= F.col("since")) & (F.col("pos") < F.coalesce("until", F.lit(1 << 31)))
+    pairs = schemas.select("file_id", "stream_id", "pos", F.explode("fields").alias("f")).select("file_id", "stream_id", "pos", F.col("f.canonical").alias("canonical"), F.explode("f.written").alias("written"))
+    flat = roots.where(~F.col("root").contains(SEP))
+    named = pairs.join(flat.where(~F.col("place").contains(SEP)), now & (F.col("canonical") == F.col("place")), "left")
+    names = named.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("written", F.coalesce("root", "canonical").alias("column")))).alias("names"))
+    json_path = F.concat(F.lit("$"), F.array_join(F.transform(F.split("place", SEP), lambda x: F.concat(F.lit("['"), x, F.lit("']"))), ""))
+    moved = schemas.select("file_id", "stream_id", "pos").join(flat.where(F.col("place").contains(SEP)), now)
+    lifted = moved.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", json_path))).alias("lifted"))
+    return names.join(lifted, "file_id", "left")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator that yields each once, so that no later expression computes their columns again."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def consistent_table(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Every line of every file under one schema: identity, typed results, details, and the rest as a map."""
-    names = projections(raw, files, aliases)
-    rows = raw.select("line_id", "file_id", "line_no", F.from_json("payload", "map<string,string>").alias("m"))
-    rows = join_dimension(rows, names, ["file_id"])
-    known = (*IDENTITY, *NUMERIC, "skipped", "industrial_constraint_details", "industrial_logic_and_fact_alignment_details")
-    rows = rows.withColumn("r", F.transform_keys("m", lambda k, _: F.coalesce(F.element_at("names", k), k)))
-    get = lambda f: F.col("r").getItem(f)
-    number = lambda f: F.coalesce(get(f).try_cast("double"), F.get_json_object(get(f), "$.value").try_cast("double"))
+    """Every line of every file under one schema: identity, typed results, details, and the rest as JSON.
+
+    Nothing is lost: ``other_fields`` has the fields of no column by their consistent names; ``rescued`` has, as written,
+    what a column does not hold as it is (values of other kinds, nulls, and what another name of the column
+    stands before); ``raw`` has lines that are no object.  Of several names of one column the first that is not null counts.
+    """
+    columns = (*IDENTITY, *NUMERIC, "skipped", *DETAILS)
+    rows = raw.select("line_id", "file_id", "line_no", "payload", members(F.col("payload")).alias("m"))
+    rows = settled(join_dimension(rows, projections(raw, files, aliases), ["file_id"]))
+    keys = F.transform(F.map_keys("m"), lambda k: F.struct(F.coalesce(F.try_element_at("names", k), k).alias("column"), F.is_variant_null(F.element_at("m", k)).alias("void"), k.alias("written")))
+    rows = settled(rows.withColumn("keys", F.array_sort(keys)))
+    first = F.filter("keys", lambda x, i: (i == 0) | (F.get("keys", i - 1)["column"] != x["column"]))
+    rows = settled(rows.withColumn("by", F.map_from_entries(F.transform(first, lambda x: F.struct(x["column"], x["written"])))))
+    value = lambda c: F.element_at("m", F.try_element_at("by", F.lit(c)))
+    kind = lambda v: kind_of(F.schema_of_variant(v))
+
+    def number(c: str) -> Column:
+        v = value(c)
+        own = F.when(kind(v).isin("number", "string"), F.try_variant_get(v, "$", "double"))
+        # The path of a moved field differs from file to file, so it is read from the text.
+        there = F.call_function("get_json_object", F.col("payload"), F.try_element_at("lifted", F.lit(c))).try_cast("double")
+        return F.coalesce(own, F.try_variant_get(v, "$.value", "double"), there)
+
+    text = lambda c: F.try_variant_get(value(c), "$", "string")
+    rows = rows.withColumns({f"c_{c}": text(c) for c in (*IDENTITY, *DETAILS)} | {f"c_{c}": number(c) for c in NUMERIC} | {"c_skipped": F.when(kind(value("skipped")) == "boolean", F.try_variant_get(value("skipped"), "$", "boolean"))})
+
+    def held(column: Column, written: Column) -> Column:
+        v = F.element_at("m", written)
+        exact = F.try_variant_get(v, "$", "double").cast("decimal(38,18)") == F.try_variant_get(v, "$", "decimal(38,18)")
+        fits = F.when(column.isin(*IDENTITY), kind(v) == "string").when(column.isin(*NUMERIC), (kind(v) == "number") & F.coalesce(exact, F.lit(False))).when(column == "skipped", kind(v) == "boolean").when(column.isin(*DETAILS), kind(v).isin("object", "array")).otherwise(True)
+        return (F.try_element_at("by", column) == written) & fits
+
+    rest = F.filter("keys", lambda x: ~held(x["column"], x["written"]))
+    pick = lambda xs, name: F.when(F.size(xs) > 0, F.to_json(F.map_from_entries(F.transform(xs, lambda x: F.struct(x[name], F.element_at("m", x["written"])))), {"ignoreNullFields": "false"}))
+    others = F.filter(first, lambda x: ~x["column"].isin(*columns))
     return rows.select(
         "line_id",
         "file_id",
         "line_no",
         F.col("m").isNotNull().alias("parsed"),
-        *(get(f).alias(f) for f in IDENTITY),
-        *(number(f).alias(f) for f in NUMERIC),
-        get("skipped").try_cast("boolean").alias("skipped"),
-        *(get(f).alias(f) for f in known[-2:]),
-        F.to_json(F.map_filter("r", lambda k, _: ~k.isin(*known))).alias("other_fields"),
+        *(F.col(f"c_{c}").alias(c) for c in columns),
+        pick(others, "column").alias("other_fields"),
+        pick(rest, "written").alias("rescued"),
+        F.when(F.col("m").isNull(), F.col("payload")).alias("raw"),
     )
