@@ -428,7 +428,7 @@ def projections(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFra
     """(file_id, names, lifted), compiled from the scripts.
 
     ``names``: from each name written at the top of a file to its column.  ``lifted``: from
-    columns to the places, as JSON paths, of nested fields that were moved there from the top.
+    columns to the places, as steps, of nested fields that were moved there from the top.
     """
     schemas = cut(file_schemas(raw, files, aliases))
     roots = followed(cut(placed_scripts(schemas))).withColumnRenamed("stream_id", "s")
@@ -437,9 +437,8 @@ def projections(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFra
     flat = roots.where(~F.col("root").contains(SEP))
     named = pairs.join(flat.where(~F.col("place").contains(SEP)), now & (F.col("canonical") == F.col("place")), "left")
     names = named.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("written", F.coalesce("root", "canonical").alias("column")))).alias("names"))
-    json_path = F.concat(F.lit("$"), F.array_join(F.transform(F.split("place", SEP), lambda x: F.concat(F.lit("['"), x, F.lit("']"))), ""))
     moved = schemas.select("file_id", "stream_id", "pos").join(flat.where(F.col("place").contains(SEP)), now)
-    lifted = moved.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", json_path))).alias("lifted"))
+    lifted = moved.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", F.split("place", SEP).alias("steps")))).alias("lifted"))
     return names.join(lifted, "file_id", "left")
 
 
@@ -465,12 +464,15 @@ def consistent_table(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> Da
     value = lambda c: F.element_at("m", F.try_element_at("by", F.lit(c)))
     kind = lambda v: kind_of(F.schema_of_variant(v))
 
+    def nested(steps: Column) -> Column:
+        """The value some steps down, names compared by letters and digits."""
+        down = lambda at, step: F.get(F.filter(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), lambda e: letters(e["key"]) == step), F.lit(0))["value"]
+        return F.aggregate(F.slice(steps, 2, F.size(steps)), F.element_at("m", F.try_element_at("by", F.get(steps, F.lit(0)))), down)
+
     def number(c: str) -> Column:
         v = value(c)
         own = F.when(kind(v).isin("number", "string"), F.try_variant_get(v, "$", "double"))
-        # The path of a moved field differs from file to file, so it is read from the text.
-        there = F.call_function("get_json_object", F.col("payload"), F.try_element_at("lifted", F.lit(c))).try_cast("double")
-        return F.coalesce(own, F.try_variant_get(v, "$.value", "double"), there)
+        return F.coalesce(own, F.try_variant_get(v, "$.value", "double"), F.try_variant_get(nested(F.try_element_at("lifted", F.lit(c))), "$", "double"))
 
     text = lambda c: F.try_variant_get(value(c), "$", "string")
     rows = rows.withColumns({f"c_{c}": text(c) for c in (*IDENTITY, *DETAILS)} | {f"c_{c}": number(c) for c in NUMERIC} | {"c_skipped": F.when(kind(value("skipped")) == "boolean", F.try_variant_get(value("skipped"), "$", "boolean"))})
