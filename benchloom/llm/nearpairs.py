@@ -5,27 +5,24 @@ found in either.  Sets are never compared all with all:
 
 1. Texts with one set of words become one record (an order-free 128-bit hash of the set); the
    same pass counts words in a histogram of fixed size.
-2. Each run samples ``picks`` words of every record, rarer words more often, by exponential
-   clocks that all records share, so that near records sample much the same words.  Words in
-   fewer than ``level`` of the records weigh alike: else words that edits brought in, rarer than
-   those a group of near copies shares, would take all picks.  From the
+2. Each run samples ``picks`` words of every record by exponential clocks that all records
+   share, so that near records sample much the same words.  In every other run rarer words
+   have faster clocks (but those in fewer than ``level`` of the records weigh alike); in the others all
+   words weigh alike, which finds groups whose shared words are more common than those that edits brought in.  From the
    sampled words each record branches into paths: a path takes one more word until the
    product of its words' frequencies falls below ``bucket / records`` (or ``depth`` words).
    Records that chose the same path form a bucket of a few records in expectation.
-3. Buckets are compared within, first by odd sketches: the bits in which two sketches differ
-   never exceed the words in which the sets differ, so this filter loses nothing.  Buckets
-   above ``cap`` are cut into blocks, and all pairs of blocks are compared, each as a task of
-   its own: slower, but complete.
-4. A group of near copies so large that all its shared words are common would slip through
-   rare words.  A bounded sample of records (``sample``) shows such groups: a record near at
-   least ``hot`` of the sample is a pivot, and every record within twice the distance of the
-   threshold from a pivot also chooses the pivot's path.  By the triangle inequality that
-   bucket holds every near pair one of whose records is near the pivot; it is compared in blocks.
+3. Buckets that turn out larger than ``cap`` are split again, ``levels`` times: each record goes on
+   to ``branch`` further words, drawn anew for every bucket.  A pair at the threshold of 0.7 stays together in
+   one child at least with a probability of 0.97, one that shares less than a third soon parts.
+4. Buckets are compared within, first by odd sketches: the bits in which two sketches differ
+   never exceed the words in which the sets differ, so this filter loses nothing.  Buckets still
+   above ``cap`` consist of records much alike; they are cut into blocks and every pair of blocks is
+   compared once, each as a task of its own: no pair in them is left out.
 5. Candidates are verified on the sets themselves.
-
-Runs with fresh clocks repeat until the recall asked for: ``runs_for`` gives their number
-from the recall of one run, which ``one_run`` measures on pairs made of sampled records that are
-only just near and differ in rare words.  Tests and the README hold measured recall against brute force.
+6. Runs repeat until the recall asked for.  How many near pairs are still unseen is estimated from
+   how many were found by one run only and by two (``unseen``, Chao's estimate), so the data
+   themselves say how hard their pairs are.
 
 Defined results.  Null texts and those under ``min_chars`` code points never count; texts
 without words have no partner.  Repeated deliveries count: all rows of one record are pairs of
@@ -34,9 +31,8 @@ each other.  Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -59,21 +55,22 @@ class Plan:
 
     threshold: float = 0.7
     min_chars: int = 50
-    recall: float = 0.99
-    runs: int = 3  # at least
+    recall: float = 0.999
+    runs: int = 3  # to begin with
+    more: int = 2  # at a time, while the recall is not reached
     picks: int = 5
     depth: int = 4
     bucket: int = 32
     cap: int = 1024
-    sample: int = 512
-    hot: float = 0.01
+    levels: int = 2
+    branch: int = 3
     power: float = 3.0
     level: float = 0.02
 
 
-def runs_for(recall: float, one_run: float) -> int:
-    """Runs after which a pair that one run finds with probability ``one_run`` is found with ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one_run)))
+def unseen(once: int, twice: int, runs: int) -> float:
+    """How many pairs no run has found, from those that one and that two of the ``runs`` have."""
+    return (runs - 1) / runs * once * (once - 1) / (2 * (twice + 1))
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -84,78 +81,118 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def texts_of(rows: DataFrame, fields: tuple[str, ...], min_chars: int) -> DataFrame:
+    """(row_id, field, text): each text that counts, in lower case."""
+    texts = [F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)]
+    rows = rows.select("row_id", F.explode(F.array(*texts)).alias("t")).select("row_id", "t.*").where(F.char_length("text") >= min_chars)
+    return rows.withColumn("text", F.lower("text")).where(F.col("text").rlike("[a-z0-9]"))
+
+
 def word_sets(rows: DataFrame, fields: tuple[str, ...], min_chars: int) -> DataFrame:
     """(row_id, field, words): hashes of the distinct words of each text that counts."""
-    texts = [F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f).alias("text")) for i, f in enumerate(fields)]
-    rows = rows.select("row_id", F.explode(F.array(*texts)).alias("t")).select("row_id", "t.*").where((F.char_length("text") >= min_chars) & F.lower("text").rlike("[a-z0-9]"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    return rows.select("row_id", "field", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))
+    return texts_of(rows, fields, min_chars).select("row_id", "field", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+LETTER = np.zeros(256, bool)
+LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
+#: Bytes of text that are hashed at once, and texts of one batch.
+STRETCH, BATCH = 1 << 22, 1 << 15
 
-def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the distinct words of up to ``BATCH`` lower-case texts, sorted within each, and where each text begins.
 
-def survey(sets: DataFrame, plan: Plan) -> DataFrame:
-    """One pass: (0, field, hi, lo, row_id) for each text, (1, -, bucket, count, -) of the histogram and (2, ..., words) of a sample."""
-    keep = math.ceil(8 * plan.sample / max(1, sets.rdd.getNumPartitions())) + 8
+    A word's hash is a polynomial in its bytes, read off running sums over all bytes: no loop over words.
+    """
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    letter = LETTER[data]
+    # An edge lies where letters begin or end, and wherever a text begins.
+    before = np.r_[False, letter[:-1]]
+    begins = at[:-1][at[:-1] < len(data)]
+    before[begins] = False
+    starts = np.flatnonzero(letter & ~before)
+    after = np.r_[letter[1:], False]
+    last = at[1:-1] - 1
+    after[last[last >= 0]] = False
+    ends = np.flatnonzero(letter & ~after) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        m = max(k + 1, int(np.searchsorted(ends, starts[k] + STRETCH, "right")))
+        lo, hi = int(starts[k]), int(ends[m - 1])
+        part = np.where(letter[lo:hi], data[lo:hi], 0).astype(np.uint64)
+        power = np.full(len(part), BASE, np.uint64)
+        power[0] = 1
+        total = np.r_[np.uint64(0), np.cumsum(part * np.multiply.accumulate(power))]
+        power[1:] = INVERSE
+        back = np.multiply.accumulate(power)
+        s, e = starts[k:m] - lo, ends[k:m] - lo
+        hashes[k:m] = (total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)
+        k = m
+    text = (np.searchsorted(at, starts, "right") - 1).astype(np.uint64)
+    both = np.sort(text << np.uint64(48) | mix(hashes, 23) >> np.uint64(16))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    return both & np.uint64((1 << 48) - 1), np.searchsorted(both >> np.uint64(48), np.arange(len(texts) + 1)).astype(np.int64)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of at most ``BATCH`` texts with their words and offsets."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, BATCH):
+            b = whole.slice(first, BATCH)
+            yield b, *distinct_words(b.column("text"))
+
+
+def survey(texts: DataFrame) -> DataFrame:
+    """One pass: (0, field, hi, lo, row_id) for each text and (1, -, bucket, count, -) of the histogram of words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         histogram = np.zeros(1 << HISTOGRAM_BITS, np.int64)
 
-        names = ["kind", "field", "hi", "lo", "row_id", "words"]
-        picked: list[tuple[int, int, int, int, int, np.ndarray]] = []
-
-        def out(kind: int, field: np.ndarray, hi: np.ndarray, lo: np.ndarray, row: np.ndarray, words: list | None = None) -> pa.RecordBatch:
-            lists = pa.array(words, pa.list_(pa.int64())) if words is not None else pa.nulls(len(hi), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), kind, np.int8)), pa.array(field, pa.int8()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(row, pa.int64()), lists], names=names)
+        def out(kind: int, field: np.ndarray, hi: np.ndarray, lo: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), kind, np.int8)), pa.array(field, pa.int8()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(row, pa.int64())], names=["kind", "field", "hi", "lo", "row_id"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, offsets = flat(b.column("words"))
-            histogram += np.bincount((mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64), minlength=1 << HISTOGRAM_BITS)
+        for b, words, offsets in pieces(batches):
+            histogram += np.bincount(bucket_of(words), minlength=1 << HISTOGRAM_BITS)
             hi, lo = np.add.reduceat(mix(words, 2), offsets[:-1]).view(np.int64), np.add.reduceat(mix(words, 3), offsets[:-1]).view(np.int64)
-            field, row = b.column("field").to_numpy(), b.column("row_id").to_numpy()
-            yield out(0, field, hi, lo, row)
-            place = mix(hi.view(np.uint64), 9)
-            for i in np.argsort(place, kind="stable")[:keep]:
-                picked.append((int(place[i]), int(field[i]), int(hi[i]), int(lo[i]), int(row[i]), words[offsets[i] : offsets[i + 1]].view(np.int64)))
-            picked = sorted(picked, key=lambda x: x[:5])[:keep]
+            yield out(0, b.column("field").to_numpy(), hi, lo, b.column("row_id").to_numpy())
         used = np.flatnonzero(histogram)
         yield out(1, np.zeros(len(used), np.int8), used, histogram[used], np.zeros(len(used), np.int64))
-        if picked:
-            yield out(2, *(np.array([x[k] for x in picked], t) for k, t in ((1, np.int8), (2, np.int64), (3, np.int64), (4, np.int64))), [x[5] for x in picked])
-
-    return sets.mapInArrow(scan, "kind tinyint, field tinyint, hi bigint, lo bigint, row_id bigint, words array<bigint>")
-
-
-def pivots(sampled: list[tuple[int, np.ndarray]], plan: Plan) -> list[tuple[int, np.ndarray]]:
-    """(field, words) of sampled records at the centre of groups of near records that hold ``hot`` of the sample."""
-    out = []
-    for field in {f for f, _ in sampled}:
-        sets = [w for f, w in sampled if f == field]
-        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        n = np.array([len(w) for w in sets])
-        x = np.zeros((len(sets), len(words)), np.float32)
-        x[np.repeat(np.arange(len(sets)), n), inverse] = 1
-        common = x @ x.T
-        close = common >= plan.threshold * (n[:, None] + n[None, :] - common) - 1e-6
-        while (best := int(close.sum(axis=1).argmax())) >= 0 and close[best].sum() > max(3, plan.hot * len(sets)):
-            out.append((field, np.sort(sets[best])))
-            gone = close[best].copy()
-            close[gone] = False
-            close[:, gone] = False
-    return out
-
-
-def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(set, path) of all chosen paths of a batch; ``share`` is the frequency of each word."""
+
+    return texts.mapInArrow(scan, "kind tinyint, field tinyint, hi bigint, lo bigint, row_id bigint")
+
+
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    """The counters of words in the histogram."""
+    return (mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)
+
+
+def shares_of(words: np.ndarray, shares: np.ndarray, records: int) -> np.ndarray:
+    """The frequency of each word, by the histogram's ``shares``."""
+    return np.maximum(shares[bucket_of(words)].astype(np.float64), 1.0 / max(records, 1))
+
+
+#: The run in which a path was chosen is kept in the last bits of its hash.
+RUN_BITS = 8
+
+
+def marked(path: np.ndarray, run: int | np.ndarray) -> np.ndarray:
+    """A path's hash with the run in its last bits."""
+    return path >> np.uint64(RUN_BITS) << np.uint64(RUN_BITS) | np.asarray(run).astype(np.uint64) & np.uint64((1 << RUN_BITS) - 1)
+
+
+def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records: int, plan: Plan, runs: range) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path) of all paths that a batch chose in some runs; ``share`` is the frequency of each word."""
     limit = plan.bucket / max(records, 1)
-    weight = np.maximum(-np.log(np.clip(share, plan.level, 0.999)), 0.05) ** plan.power
-    weight[share * records < 1.5] = 1e-6  # a word of one text alone cannot be shared
+    rare = np.maximum(-np.log(np.clip(share, plan.level, 0.999)), 0.05) ** plan.power
+    alone = share * records < 1.5  # a word of one text alone cannot be shared
+    rates = [np.where(alone, 1e-6, rare), np.where(alone, 1e-6, 1.0)]
     sizes = np.diff(offsets)
     who, where = [], []
     for width in np.unique(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)):
@@ -165,9 +202,10 @@ def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records:
             at = offsets[some][:, None] + np.arange(width)
             there = np.arange(width) < sizes[some][:, None]
             at = np.where(there, at, 0)
-            token, rate, p = words[at], weight[at], share[at]
+            token, p = words[at], share[at]
             k = min(plan.picks, int(width))
-            for run in range(plan.runs):
+            for run in runs:
+                rate = rates[run % 2][at]
                 u = (mix(token, 11 + run) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
                 clock = np.where(there, -np.log(u) / rate, np.inf)
                 pick = np.argpartition(clock, k - 1, axis=1)[:, :k]
@@ -188,7 +226,7 @@ def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records:
                         end = mine & (~full | last | (ok.sum(axis=1) == d))
                         if end.any():
                             who.append(some[end])
-                            where.append(mix(h[end][:, list(c)].sum(axis=1, dtype=np.uint64), run * 8 + d))
+                            where.append(marked(mix(h[end][:, list(c)].sum(axis=1, dtype=np.uint64), run * 8 + d), run))
                         still[c] = mine & full
                     open_ = still
     if not who:
@@ -196,39 +234,6 @@ def paths_of(words: np.ndarray, offsets: np.ndarray, share: np.ndarray, records:
     return np.concatenate(who), np.concatenate(where)
 
 
-def shares_of(words: np.ndarray, shares: np.ndarray, records: int) -> np.ndarray:
-    """The frequency of each word, by the histogram's ``shares``."""
-    return np.maximum(shares[(mix(words, 1) >> np.uint64(64 - HISTOGRAM_BITS)).astype(np.int64)].astype(np.float64), 1.0 / max(records, 1))
-
-
-def one_run(sampled: list[np.ndarray], shares: np.ndarray, records: int, plan: Plan, trials: int = 8) -> float:
-    """Share of hard pairs that one run finds.
-
-    Two copies of each sampled set keep as few common words as ``threshold`` allows; all others
-    are replaced by words of two records each, the rarest that can mislead a path.
-    """
-    rng = np.random.default_rng(17)
-    rare = 2.0 / max(records, 1)
-    words, share = [], []
-    for w in sampled:
-        same = math.ceil(2 * len(w) * plan.threshold / (1 + plan.threshold) - 1e-9)
-        kept = rng.permutation(w.view(np.uint64))[:same]
-        for _ in range(2):
-            words.append(np.r_[kept, rng.integers(1 << 63, size=len(w) - same).astype(np.uint64)])
-            share.append(np.r_[np.maximum(shares_of(kept, shares, records), rare), np.full(len(w) - same, rare)])
-    if not words:
-        return 0.5
-    offsets, met = np.r_[0, np.cumsum([len(w) for w in words])], 0
-    words, share = np.concatenate(words), np.concatenate(share)
-    for k in range(trials):
-        who, path = paths_of(mix(words, 1_000 + k), offsets, share, records, replace(plan, runs=1))
-        pairs = np.unique(np.stack([who.astype(np.uint64), path], 1), axis=0)
-        pair, path = (pairs[:, 0] >> np.uint64(1)), pairs[:, 1]
-        both, times = np.unique(np.stack([pair, path], 1), axis=0, return_counts=True)
-        met += len(np.unique(both[times > 1, 0]))
-    return (met + 1) / (trials * len(sampled) + 2)
-
-
 def odd_sketches(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set: the parity of how many of its words fall on each."""
     h = mix(words, 7) >> np.uint64(57)
@@ -237,33 +242,48 @@ def odd_sketches(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), offsets[:-1]), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), offsets[:-1])
 
 
-ENTRY = "path bigint, rec bigint, s1 bigint, s2 bigint, n int"
+ENTRY = "path bigint, rec bigint, s1 bigint, s2 bigint, n int, side tinyint"
+
 
+def entry(path: np.ndarray, rec: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [path.view(np.int64), rec, s1.view(np.int64), s2.view(np.int64), n.astype(np.int32), np.full(len(path), BOTH, np.int8)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["path", "rec", "s1", "s2", "n", "side"])
 
-def entries(sets: DataFrame, histogram: np.ndarray, records: int, plan: Plan, centres: list[tuple[int, np.ndarray]] = []) -> DataFrame:
+
+def entries(texts: DataFrame, histogram: np.ndarray, records: int, plan: Plan, runs: range) -> DataFrame:
     """A row for each path that a record chose. A record is 2 * row_id + field, for up to 2 fields."""
-    shared = sets.sparkSession.sparkContext.broadcast((np.minimum(1.0, histogram / max(records, 1)).astype(np.float32), centres))
-    far = max(0.0, 2 * plan.threshold - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(1.0, histogram / max(records, 1)).astype(np.float32))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, offsets = flat(b.column("words"))
-            shares, centres = shared.value
-            share = shares_of(words, shares, records)
-            who, path = paths_of(words, offsets, share, records, plan)
+        for b, words, offsets in pieces(batches):
+            who, path = paths_of(words, offsets, shares_of(words, shared.value, records), records, plan, runs)
             s1, s2 = odd_sketches(words, offsets)
             field = b.column("field").to_numpy().astype(np.int64)
-            rec = b.column("row_id").to_numpy() * 2 + field
-            path = mix(path + field[who].astype(np.uint64), 5)
-            for k, (f, centre) in enumerate(centres):
-                common = np.add.reduceat(np.isin(words, centre.view(np.uint64)).astype(np.int64), offsets[:-1])
-                ball = np.flatnonzero((field == f) & (common >= far * (np.diff(offsets) + len(centre) - common) - 1e-9))
-                who, path = np.r_[who, ball], np.r_[path, mix(np.full(len(ball), k, np.uint64), 13)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (path.view(np.int64), rec[who], s1[who].view(np.int64), s2[who].view(np.int64), np.diff(offsets)[who].astype(np.int32))], names=["path", "rec", "s1", "s2", "n"])
+            path = marked(mix(path + field[who].astype(np.uint64), 5), path)
+            yield entry(path, (b.column("row_id").to_numpy() * 2 + field)[who], s1[who], s2[who], np.diff(offsets)[who])
+
+    return texts.mapInArrow(choose, ENTRY)
 
-    return sets.mapInArrow(choose, ENTRY)
+
+def children(texts: DataFrame, over: DataFrame, plan: Plan) -> DataFrame:
+    """The entries of large buckets again, each in ``branch`` smaller buckets, by one more word drawn for its bucket."""
+    owned = over.groupBy("rec").agg(F.collect_list("path").alias("paths"))
+    named = texts.withColumn("rec", F.col("row_id") * 2 + F.col("field"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, words, offsets in pieces(batches):
+            s1, s2 = odd_sketches(words, offsets)
+            who, where = [], []
+            for i, paths in enumerate(b.column("paths").to_pylist()):
+                path = np.repeat(np.array(paths, np.int64).view(np.uint64), plan.branch)
+                seed = mix(path + np.tile(np.arange(plan.branch, dtype=np.uint64), len(paths)), 31)
+                clock = mix(words[offsets[i] : offsets[i + 1]][None, :] ^ seed[:, None], 37)
+                where.append(marked(mix(seed ^ clock.min(axis=1), 41), path))
+                who.append(np.full(len(path), i))
+            who, path = np.concatenate(who), np.concatenate(where)
+            yield entry(path, b.column("rec").to_numpy()[who], s1[who], s2[who], np.diff(offsets)[who])
+
+    return named.join(owned, "rec").select("rec", "text", "paths").mapInArrow(choose, ENTRY)
 
 
 def near(i: np.ndarray, j: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
@@ -274,40 +294,48 @@ def near(i: np.ndarray, j: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.nda
 
 
 OUT = "kind tinyint, a bigint, b bigint, s1 bigint, s2 bigint, n int"
+#: Sides of a bucket: records of different sides are compared, and those of this one with each other.
+BOTH = 2
 
 
 def compare(rows: DataFrame, plan: Plan, cap: int | None) -> DataFrame:
-    """Rows sorted by path within partitions -> (0, a, b) candidates, (1, rec, path, ...) of buckets above ``cap``.
+    """Rows sorted by path within partitions -> (0, a, b, run) candidates, (1, rec, path, ...) of buckets above ``cap``.
 
     A bucket is a run of equal paths; runs are compared by offsets 1, 2, ... all at once.
     """
     width = cap or 1 << 62
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 6
         big: int | None = None  # the path of a bucket that is being passed on
 
         def out(kind: int, a: np.ndarray, b: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-            rest = rest or (np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
             arrays = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(rest[0], pa.int64()), pa.array(rest[1], pa.int64()), pa.array(rest[2].astype(np.int32))]
             return pa.RecordBatch.from_arrays(arrays, names=["kind", "a", "b", "s1", "s2", "n"])
 
-        def pairs(path: np.ndarray, rec: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(path: np.ndarray, rec: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
             u1, u2, at, d = s1.view(np.uint64), s2.view(np.uint64), np.arange(len(path)), 1
             got: list[np.ndarray] = []
             while len(at):
                 at = at[at + d < len(path)]
                 at = at[path[at] == path[at + d]]
-                ok = at[near(at, at + d, u1, u2, n, plan.threshold) & (rec[at] != rec[at + d])]
+                ok = at[near(at, at + d, u1, u2, n, plan.threshold) & (rec[at] != rec[at + d]) & ((side[at] != side[at + d]) | (side[at] == BOTH))]
                 if len(ok):
-                    got.append(np.stack([np.minimum(rec[ok], rec[ok + d]), np.maximum(rec[ok], rec[ok + d])], 1))
+                    got.append(np.stack([np.minimum(rec[ok], rec[ok + d]), np.maximum(rec[ok], rec[ok + d]), path[ok] & ((1 << RUN_BITS) - 1)], 1))
                 d += 1
+                if sum(map(len, got)) > 1_000_000:
+                    yield from told(got)
+                    got = []
+            yield from told(got)
+
+        def told(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if got:
                 found = np.unique(np.concatenate(got), axis=0)
-                yield out(0, found[:, 0], found[:, 1])
+                none = np.zeros(len(found), np.int64)
+                yield out(0, found[:, 0], found[:, 1], found[:, 2], none, none)
 
         for b in batches:
-            new = [b.column(c).to_numpy() for c in ("path", "rec", "s1", "s2", "n")]
+            new = [b.column(c).to_numpy() for c in ("path", "rec", "s1", "s2", "n", "side")]
             held = [np.concatenate([x, y]) for x, y in zip(held, new)]
             path = held[0]
             if not len(path):
@@ -340,59 +368,90 @@ def compare(rows: DataFrame, plan: Plan, cap: int | None) -> DataFrame:
     return rows.mapInArrow(scan, OUT)
 
 
+def buckets_of(out: DataFrame) -> DataFrame:
+    """The entries of buckets that were passed on."""
+    return out.where("kind = 1").select(F.col("b").alias("path"), F.col("a").alias("rec"), "s1", "s2", "n", F.lit(BOTH).cast("tinyint").alias("side"))
+
+
+def by_path(rows: DataFrame) -> DataFrame:
+    return rows.repartition("path").sortWithinPartitions("path")
+
+
 def block_pairs(over: DataFrame, plan: Plan) -> DataFrame:
-    """All pairs of large buckets, by pairs of blocks of at most about ``cap`` records."""
-    over = over.select(F.col("b").alias("path"), F.col("a").alias("rec"), "s1", "s2", "n")
+    """All pairs of large buckets: every two blocks of about ``cap`` records are compared once, and each block within itself."""
     counts = over.groupBy("path").agg(F.ceil(F.count("*") / plan.cap).cast("int").alias("blocks"))
     rows = join_dimension(over, counts, ["path"]).withColumn("own", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rec", "s1", "s2", "n")
-    return compare(rows.repartition("path").sortWithinPartitions("path"), plan, None)
-
-
-def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int, list, int]:
-    """Word sets; (rec, row_id, copies) of all rows; the word histogram; how many texts there are; pivots; runs."""
-    sets = word_sets(rows, fields, plan.min_chars)
-    seen = cut(survey(sets, plan))
-    few = seen.where("kind = 2").dropDuplicates(["field", "hi", "lo"]).orderBy(F.xxhash64("hi"), "lo", "field").limit(2 * plan.sample).select("field", "words").collect()
-    sampled = [(r["field"], np.array(r["words"], np.int64)) for r in few]
-    centres = pivots(sampled, plan)
+    key = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
+    run = F.col("path").bitwiseAND((1 << RUN_BITS) - 1)
+    side = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    key = F.shiftleft(F.shiftright(key, RUN_BITS), RUN_BITS).bitwiseOR(run)
+    return compare(by_path(rows.select(key.alias("path"), "rec", "s1", "s2", "n", side.cast("tinyint").alias("side"))), plan, None)
+
+
+def candidates(texts: DataFrame, histogram: np.ndarray, records: int, plan: Plan, runs: range) -> DataFrame:
+    """(a, b, times): pairs that met in a bucket of some runs, and in how many."""
+    out = cut(compare(by_path(entries(texts, histogram, records, plan, runs)), plan, plan.cap))
+    pairs, over = out.where("kind = 0"), buckets_of(out)
+    for level in range(plan.levels + 1):
+        if not over.limit(1).count():
+            break
+        if level == plan.levels:
+            pairs = pairs.unionByName(block_pairs(over, plan))
+        else:
+            out = cut(compare(by_path(children(texts, over, plan)), plan, plan.cap))
+            pairs, over = pairs.unionByName(out.where("kind = 0")), buckets_of(out)
+    # The run of a candidate is in s1.
+    return pairs.groupBy("a", "b").agg(F.expr("cast(bit_count(bit_or(shiftleft(1L, cast(s1 % 64 as int)))) as bigint)").alias("times"))
+
+
+def records(rows: DataFrame, fields: tuple[str, ...], plan: Plan) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """Texts; (rec, row_id, field, copies) of all rows; the word histogram; how many texts there are."""
+    texts = texts_of(rows, fields, plan.min_chars)
+    seen = cut(survey(texts))
     counts = seen.where("kind = 1").groupBy("hi").agg(F.sum("lo").alias("n")).toPandas()
     histogram = np.zeros(1 << HISTOGRAM_BITS, np.int64)
     histogram[counts["hi"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    texts = seen.where("kind = 0")
-    groups = texts.groupBy("field", "hi", "lo").agg(F.min("row_id").alias("first"), F.count("*").alias("copies"))
-    members = cut(texts.join(groups, ["field", "hi", "lo"]).select((F.col("first") * 2 + F.col("field")).alias("rec"), "row_id", "field", "copies"))
-    total = members.count()
-    shares = np.minimum(1.0, histogram / max(total, 1))
-    runs = max(plan.runs, *(runs_for(plan.recall, one_run([w for f, w in sampled if f == field], shares, total, plan)) for field in range(len(fields))))
-    return sets, members, histogram, total, centres, runs
+    seen = seen.where("kind = 0")
+    groups = seen.groupBy("field", "hi", "lo").agg(F.min("row_id").alias("first"), F.count("*").alias("copies"))
+    members = cut(seen.join(groups, ["field", "hi", "lo"]).select((F.col("first") * 2 + F.col("field")).alias("rec"), "row_id", "field", "copies"))
+    return texts, members, histogram, members.count()
 
 
-def record_pairs(rows: DataFrame, fields: tuple[str, ...], plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of near records, verified; and the members of all records."""
-    if len(fields) > 2:
-        raise ValueError("at most two fields at once")
-    sets, members, histogram, total, centres, runs = records(rows, fields, plan)
-    plan = replace(plan, runs=runs)
-    firsts = members.where(F.col("rec") == F.col("row_id") * 2 + F.col("field")).select("row_id", "field")
-    alone = join_dimension(sets, firsts, ["row_id", "field"], "left_semi", ID_ROWS)
-    chosen = entries(alone, histogram, total, plan, centres).repartition("path").sortWithinPartitions("path")
-    out = cut(compare(chosen, plan, plan.cap))
-    pairs, over = out.where("kind = 0").select("a", "b"), out.where("kind = 1")
-    if over.limit(1).count():
-        pairs = pairs.unionByName(block_pairs(over, plan).where("kind = 0").select("a", "b"))
-    pairs = cut(pairs.distinct())
+def verified(rows: DataFrame, pairs: DataFrame, fields: tuple[str, ...], plan: Plan) -> DataFrame:
+    """The pairs of records that are near, by their words."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct().select(F.expr("shiftright(rec, 1)").alias("row_id"))
     texts = join_dimension(rows, ends.distinct(), ["row_id"], "left_semi", PAIR_ROWS)
     words = word_sets(texts, fields, plan.min_chars).select((F.col("row_id") * 2 + F.col("field")).alias("rec"), "words")
-    few = pairs.count() <= PAIR_ROWS
+    few = pairs.limit(PAIR_ROWS + 1).count() <= PAIR_ROWS
     side = lambda c: words.select(F.col("rec").alias(c), F.col("words").alias(f"w_{c}")).join(F.broadcast(pairs) if few else pairs, c)
-    both = side("a").join(side("b"), ["a", "b"])
+    both = side("a").join(side("b").drop("times"), ["a", "b"])
     common = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - common
-    share = round(plan.threshold * 1000)
-    return cut(both.where(common * 1000 >= union * share).select("a", "b")), members
+    return both.where(common * 1000 >= union * round(plan.threshold * 1000)).select("a", "b", "times")
+
+
+def record_pairs(rows: DataFrame, fields: tuple[str, ...], plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of near records, verified; and the members of all records."""
+    if len(fields) > 2:
+        raise ValueError("at most two fields at once")
+    texts, members, histogram, total = records(rows, fields, plan)
+    firsts = members.where(F.col("rec") == F.col("row_id") * 2 + F.col("field")).select("row_id", "field")
+    alone = join_dimension(texts, firsts, ["row_id", "field"], "left_semi", ID_ROWS)
+    pairs, done, batch = None, 0, plan.runs
+    while True:
+        met = cut(candidates(alone, histogram, total, plan, range(done, done + batch)))
+        if pairs is None:
+            pairs = cut(verified(rows, met, fields, plan))
+        else:
+            new = cut(verified(rows, met.join(pairs, ["a", "b"], "left_anti"), fields, plan))
+            again = pairs.join(met.withColumnRenamed("times", "more"), ["a", "b"], "left").select("a", "b", (F.col("times") + F.coalesce("more", F.lit(0))).alias("times"))
+            pairs = cut(again.unionByName(new))
+        done += batch
+        batch = plan.more
+        n, once, twice = pairs.agg(F.count("*"), F.count_if(F.col("times") == 1), F.count_if(F.col("times") == 2)).first()
+        if unseen(once, twice, done) <= (1 - plan.recall) * n:
+            return pairs.select("a", "b"), members
 
 
 def found(rows: DataFrame, fields: tuple[str, ...] = ("prompt", "video_generation_prompt"), plan: Plan = Plan()) -> DataFrame:
@@ -400,8 +459,12 @@ def found(rows: DataFrame, fields: tuple[str, ...] = ("prompt", "video_generatio
     pairs, members = record_pairs(rows, fields, plan)
     m = lambda rec, row: members.select(F.col("rec").alias(rec), F.col("row_id").alias(row))
     across = pairs.join(m("a", "x"), "a").join(m("b", "y"), "b").select(F.expr("a % 2").alias("field"), "x", "y")
-    copies = members.where("copies > 1")
-    within = copies.select("rec", "field", F.col("row_id").alias("x")).join(copies.select("rec", F.col("row_id").alias("y")), "rec").where("x < y").select("field", "x", "y")
+    # Copies meet by blocks, so that no task has all pairs of a text that many rows hold.
+    blocks = F.ceil(F.col("copies") / plan.cap).cast("int")
+    copies = members.where("copies > 1").withColumn("blocks", blocks)
+    left = copies.select("rec", "field", F.col("row_id").alias("x"), F.pmod(F.xxhash64("row_id"), "blocks").cast("int").alias("block"))
+    right = copies.select("rec", F.col("row_id").alias("y"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    within = left.join(right, ["rec", "block"]).where("x < y").select("field", "x", "y")
     named = F.element_at(F.array(*map(F.lit, fields)), (F.col("field") + 1).cast("int"))
     return across.unionByName(within).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), named.alias("field_name"))
 

@@ -284,24 +284,81 @@ def test_pairs_dirt(spark):
 
 
 def test_groups_edited_with_rare_words():
-    """Groups of 0.1 to 1 % of 200,000 texts whose edits bring in words rarer than all that is shared, against an exact join."""
-    rng, records, got, want = np.random.default_rng(4), 200_000, 0, 0
-    shares = np.repeat([0.2, 0.2, 0.2, 0.01], 1 << nearpairs.HISTOGRAM_BITS - 2)
-    base = [rng.integers(1 << 63, size=100).astype(np.uint64) for _ in range(200)]
-    runs = max(3, nearpairs.runs_for(0.99, nearpairs.one_run(base, shares, records, nearpairs.Plan())))
-    for g, size in enumerate((200, 600, 2000)):
+    """Groups of 0.1 to 30 % of 200,000 texts whose edits bring in words rarer than all that is shared: two runs of each kind see most pairs."""
+    rng, records, plan = np.random.default_rng(4), 200_000, nearpairs.Plan()
+    for size in (200, 2000, 60_000):
+        base = rng.integers(1 << 47, size=100).astype(np.uint64)
         kept = [rng.permutation(100)[:92] for _ in range(60)]
-        texts = [np.r_[base[g][k], rng.integers(1 << 63, size=8).astype(np.uint64)] for k in kept]
-        share = np.concatenate([np.r_[np.where(k < 70, 0.2, size / records), np.full(8, 5 / records)] for k in kept])
-        who, path = nearpairs.paths_of(np.concatenate(texts), np.arange(61) * 100, share, records, nearpairs.Plan(runs=runs))
-        chose = [set(path[who == i]) for i in range(60)]
+        texts = [np.r_[base[k], rng.integers(1 << 47, size=8).astype(np.uint64)] for k in kept]
+        share = np.concatenate([np.r_[np.where(k < 70, max(0.2, size / records), size / records), np.full(8, 5 / records)] for k in kept])
         near = [(i, j) for i in range(60) for j in range(i) if len(c := np.intersect1d(texts[i], texts[j])) >= 0.7 * (200 - len(c))]
-        want, got = want + len(near), got + sum(bool(chose[i] & chose[j]) for i, j in near)
-    assert want > 3000 and got >= 0.98 * want
+        who, path = nearpairs.paths_of(np.concatenate(texts), np.arange(61) * 100, share, records, plan, range(6))
+        chose = [set(path[who == i]) for i in range(60)]
+        assert len(near) > 1000 and sum(bool(chose[i] & chose[j]) for i, j in near) >= 0.97 * len(near)
+
+
+def test_unseen():
+    """Pairs of unequal chances over five runs: the estimate is near what was missed."""
+    rng = np.random.default_rng(2)
+    chance = rng.choice([0.9, 0.5, 0.2], 20_000)
+    times = (rng.random((20_000, 5)) < chance[:, None]).sum(axis=1)
+    got = nearpairs.unseen((times == 1).sum(), (times == 2).sum(), 5)
+    assert 0.6 * (times == 0).sum() < got < 1.2 * (times == 0).sum()
+    assert nearpairs.unseen(0, 0, 3) == nearpairs.unseen(1, 0, 3) == 0
+
+
+def test_runs_repeat_until_the_recall(spark, monkeypatch):
+    """With one word a record and a path of one word, a run misses many pairs, so more follow."""
+    seen = []
+    plain = nearpairs.candidates
+    monkeypatch.setattr(nearpairs, "candidates", lambda *args: seen.append(args[-1]) or plain(*args))
+    rows = edited(np.random.default_rng(8), 300)
+    got = {tuple(r) for r in nearpairs.found(spark.createDataFrame(rows, PAIRS), plan=nearpairs.Plan(picks=1, depth=1, runs=2, recall=0.98)).collect()}
+    want = brute_pairs(rows)
+    assert got <= want and len(got) >= 0.96 * len(want) and len(seen) > 1
+    assert [r.start for r in seen] == [0, *(2 + 2 * i for i in range(len(seen) - 1))]
 
 
-def test_runs():
-    assert nearpairs.runs_for(0.999, 0.9) == 3 and nearpairs.runs_for(0.5, 0.9) == 1
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab1Z é\u212a-", max_size=20), max_size=8), st.integers(0, 3))
+def test_words_are_hashed_alike(texts, skip):
+    import pyarrow as pa
+
+    lower = [t.lower() for t in texts]
+    words, offsets = nearpairs.distinct_words(pa.array(lower, pa.string())[skip:])
+    sets = [set(re.findall("[a-z0-9]+", t)) for t in lower[skip:]]
+    assert np.diff(offsets).tolist() == [len(x) for x in sets]
+    alone = {w: int(nearpairs.distinct_words(pa.array([w]))[0][0]) for x in sets for w in x}
+    assert len(set(alone.values())) == len(alone)
+    assert [set(words[a:b].tolist()) for a, b in zip(offsets, offsets[1:])] == [{alone[w] for w in x} for x in sets]
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(["abc", "x" * 300, "q7"] * 50)
+    whole = nearpairs.distinct_words(pa.array([text, "abc"]))
+    monkeypatch.setattr(nearpairs, "STRETCH", 64)
+    parts = nearpairs.distinct_words(pa.array([text, "abc"]))
+    assert len(whole[0]) == 4 and all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_large_buckets_split_before_they_are_compared(spark):
+    """Records that share a template but are not near part into small buckets; the work grows with the records, not their square."""
+    rng = np.random.default_rng(12)
+    template = " ".join(f"shared{i}" for i in range(12))
+    rows = [(i, template + " " + " ".join(f"own{w}" for w in rng.integers(1 << 40, size=30)), None, "") for i in range(600)]
+    rows += [(600 + i, rows[i][1] + " more", None, "") for i in range(40)]
+    df = spark.createDataFrame(rows, PAIRS)
+    texts = nearpairs.texts_of(df, ("prompt",), 50)
+    over = texts.select(F.lit(256).cast("bigint").alias("path"), (F.col("row_id") * 2).alias("rec"))
+    plan = nearpairs.Plan(cap=64)
+    sizes = lambda e: {r["path"]: r["count"] for r in e.groupBy("path").count().collect()}
+    first = nearpairs.children(texts, over, plan)
+    second = nearpairs.children(texts, first.join(first.groupBy("path").count().where("count > 64"), "path", "left_semi"), plan)
+    pairs = lambda s: sum(n * (n - 1) // 2 for n in s.values())
+    assert pairs(sizes(first)) + pairs(sizes(second)) < 0.6 * 640 * 639 // 2
+    assert {tuple(r)[:2] for r in nearpairs.found(df, plan=plan).collect()} == {(i, 600 + i) for i in range(40)}
 
 
 # -- 8: sentences -----------------------------------------------------------------------------
