@@ -7,11 +7,11 @@ def squash(c: str) -> str:
     return f"nullif(regexp_replace(lower(trim({c})), '[\\s_-]+', '', 'g'), '')"
 
 
-def canonical(field: str, c: str) -> str:
-    return f"coalesce((SELECT any_value(canon) FROM names WHERE names.field_name = '{field}' AND names.key = {squash(c)}), {squash(c)})"
+def canonical(field: str, c: str, name: str = "canon") -> str:
+    return f"coalesce((SELECT min({name}) FROM names WHERE names.field_name = '{field}' AND names.key = {squash(c)}), {squash(c)})"
 
 
-NAMES = f"names AS (SELECT DISTINCT field_name, {squash('alias')} AS key, {squash('canonical')} AS canon FROM category_aliases UNION SELECT DISTINCT field_name, {squash('canonical')}, {squash('canonical')} FROM category_aliases)"
+NAMES = f"names AS (SELECT DISTINCT field_name, {squash('alias')} AS key, {squash('canonical')} AS canon, canonical AS plain FROM category_aliases UNION SELECT DISTINCT field_name, {squash('canonical')}, {squash('canonical')}, canonical FROM category_aliases)"
 
 P3 = f"""WITH {NAMES}, s AS (SELECT row_id, task_id, {canonical('domain', 'domain')} AS d, {canonical('task_category', 'task_category')} AS c, difficulty_profile AS p FROM samples WHERE task_id IS NOT NULL),
  l AS (SELECT row_id, {canonical('axis', 'k')} AS a, {squash('v')} AS v FROM (SELECT row_id, unnest(map_keys(p)) AS k, unnest(map_values(p)) AS v FROM s)),
@@ -26,4 +26,8 @@ P4 = """WITH t AS (SELECT row_id, 'prompt' AS f, prompt AS x FROM samples UNION
  i AS (SELECT a.row_id AS row_a, b.row_id AS row_b, a.f AS field_name, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.f = b.f AND a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2, 3)
  SELECT row_a, row_b, field_name FROM i WHERE c * 10 >= 7 * (na + nb - c)"""
 
-SQL = {"p3_found": P3, "p4_found": P4}
+P2 = f"""WITH {NAMES}, v AS (SELECT *, scored.weighted_score AS value FROM sample_results WHERE scored.weighted_score IS NOT NULL AND NOT isnan(scored.weighted_score) AND NOT isinf(scored.weighted_score) AND scored.weighted_score <> -1),
+ one AS (SELECT *, row_number() OVER (PARTITION BY model_id, task_id, run_at, CASE WHEN model_id IS NULL OR task_id IS NULL OR run_at IS NULL THEN result_id END ORDER BY ingested_at DESC NULLS LAST, result_id DESC) AS nth FROM v)
+ SELECT {canonical('domain', 'domain', 'plain')} AS domain, {canonical('task_category', 'task_category', 'plain')} AS task_category, count(*) AS n, min(value) AS least, max(value) AS most FROM one WHERE nth = 1 GROUP BY 1, 2"""
+
+SQL = {"p2_totals": P2, "p3_found": P3, "p4_found": P4}

@@ -1,22 +1,25 @@
 """Percentiles of very large numeric columns from summaries that add up (problem 2).
 
-A value becomes an integer code of ``bits`` bits.  For each binary resolution there is one
+A value becomes an integer code of ``bits`` bits.  Three quarters of the codes part the expected range [lo, hi]
+evenly; the rest part all doubles below and above it by their leading bits, in steps that are a fixed
+share of the value (1.6 % at most with 20 bits), so every double has a code and none is clamped.
+For each binary resolution there is one
 summary of how many values lie in each of its intervals: plain counters where the intervals
 are no more than ``width``, else a signed Count-Sketch of ``depth`` rows of ``width``
 counters.  Summaries are arrays of integers: those of separate days, files or partitions are
 merged by addition, and values are deleted by subtraction.  A rank is inverted by descending
-the resolutions.
+the resolutions, for groups of every size.
 
 A worker holds the codes it has met, in all at most ``MAX_CODES``, and then passes on one
 summary for each group and day, so its memory is bounded whatever the distribution.  A summary
 of fewer values than a quarter of the counters travels as its list of codes, which is
-shorter and stands for the same counters.  Merging runs over salted days first, so a group with
-most rows costs its number of summaries, not rows.
+shorter and stands for the same counters; it is made counters before anything is read off.  Summaries are
+merged as a tree of at most ``FAN`` at a time, so a group with most rows costs its number of summaries, not rows.
 
 Error.  A sketched interval's count has variance of at most F2 / width (F2: sum of squared
 counts of its resolution, read off the sketch).  ``rank_error`` is three standard
-deviations of the sum over the sketched resolutions (0 for a list of codes); ``low`` and ``high`` are the values at the
-ranks that far away, widened by half a code.  Values beyond [lo, hi] are counted at the ends.
+deviations of the sum over the sketched resolutions; ``low`` and ``high`` are the values at the
+ranks that far away, widened to the ends of their codes.
 
 Defined results.  Null, NaN, infinite and -1 scores are not measured and never count; a run
 delivered again (equal model_id, task_id and run_at) counts once, with its latest measured
@@ -35,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.llm.categories import canonical
+from benchloom.session import cut
 
 PERCENTS = (5, 10, 25, 50, 75, 90, 95, 99)
-#: Codes a worker holds before it passes summaries on.
-MAX_CODES = 4_000_000
+#: Codes a worker holds before it passes summaries on, and summaries that are merged at a time.
+MAX_CODES, FAN = 4_000_000, 32
 SUMMARY = "domain string, task_category string, day date, n bigint, least double, most double, counts binary"
 
 
@@ -48,7 +52,7 @@ class Layout:
 
     lo: float = 0.0
     hi: float = 100.0
-    bits: int = 16
+    bits: int = 20
     width: int = 2048
     depth: int = 5
     seed: int = 20
@@ -68,12 +72,42 @@ class Layout:
             return (1 << level) - 2
         return (2 << self.plain) - 2 + (level - self.plain - 1) * self.depth * self.width
 
+    @property
+    def tail(self) -> int:
+        """Codes on either side of the expected range."""
+        return 1 << (self.bits - 3)
+
+    @property
+    def core(self) -> int:
+        return (1 << self.bits) - 2 * self.tail
+
+    def steps(self) -> tuple[int, int]:
+        """Bits that codes below and above the range leave out."""
+        below, above = ordered(self.lo) - ordered(-np.inf), ordered(np.inf) - ordered(self.hi)
+        return (max(0, int(x).bit_length() - self.bits + 3) for x in (below, above))
+
     def encode(self, values: np.ndarray) -> np.ndarray:
-        scaled = (values - self.lo) * ((1 << self.bits) / (self.hi - self.lo))
-        return np.clip(np.floor(scaled), 0, (1 << self.bits) - 1).astype(np.int64)
+        down, up = (np.uint64(x) for x in self.steps())
+        place = ordered(values)
+        with np.errstate(over="ignore", invalid="ignore"):
+            inside = self.tail + np.clip(np.floor((np.clip(values, self.lo, self.hi) - self.lo) * (self.core / (self.hi - self.lo))), 0, self.core - 1).astype(np.int64)
+            below = self.tail - 1 - ((ordered(self.lo) - np.uint64(1) - place) >> down).astype(np.int64)
+            above = self.tail + self.core + ((place - ordered(self.hi) - np.uint64(1)) >> up).astype(np.int64)
+        return np.where(values < self.lo, below, np.where(values > self.hi, above, inside))
 
     def decode(self, code: int, part: float = 0.5) -> float:
-        return self.lo + (code + part) * (self.hi - self.lo) / (1 << self.bits)
+        """The least value of a code (0), the greatest (1), or one between."""
+        down, up = self.steps()
+        k = code - self.tail
+        if 0 <= k < self.core:
+            return self.lo + (k + part) * (self.hi - self.lo) / self.core
+        if k < 0:
+            most = int(ordered(self.lo)) - 1 - ((-k - 1) << down)
+            least = most - (1 << down) + 1
+        else:
+            least = int(ordered(self.hi)) + 1 + ((k - self.core) << up)
+            most = least + (1 << up) - 1
+        return value_at(least) * (1 - part) + value_at(most) * part
 
     def cells(self, level: int, nodes: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Counter and sign of intervals in one row of a sketch."""
@@ -128,6 +162,18 @@ class Layout:
         return 3.0 * total**0.5
 
 
+def ordered(values: np.ndarray | float) -> np.ndarray:
+    """The bits of doubles as integers in the order of the values; -0 as 0."""
+    raw = (np.asarray(values, np.float64) + 0.0).view(np.uint64)
+    return np.where(raw >> np.uint64(63), ~raw, raw | np.uint64(1 << 63))
+
+
+def value_at(place: int) -> float:
+    """The double at a place of that order, within the finite ones."""
+    place = min(max(place, int(ordered(-np.finfo(float).max))), int(ordered(np.finfo(float).max)))
+    return float(np.array(place ^ (1 << 63) if place >> 63 else place ^ ((1 << 64) - 1), np.uint64).view(np.float64))
+
+
 def pack(numbers: np.ndarray, kind: int) -> bytes:
     """Counters (kind 0) or codes (kind 1) in 2, 4 or 8 bytes each, after a byte that says which."""
     top = int(np.abs(numbers).max(initial=0))
@@ -205,14 +251,22 @@ def summaries(values: DataFrame, layout: Layout = Layout()) -> DataFrame:
     return values.mapInPandas(fill, SUMMARY)
 
 
-def merge(parts: DataFrame, keys: list[str], layout: Layout = Layout(), salt: str | None = None, sign: str | None = None) -> DataFrame:
+def merge(parts: DataFrame, keys: list[str], layout: Layout = Layout(), sign: str | None = None) -> DataFrame:
     """One summary a group: counters are added, or subtracted where ``sign`` is -1.
 
-    ``salt`` names a column that splits large groups; merge again without it.  The least and
-    greatest value of a group from which values were deleted may be those of deleted values.
+    The least and greatest value of a group from which values were deleted may be those of deleted values.
     """
-    cols = [*keys, *([salt] if salt else [])]
-    parts = parts.select(*cols, "n", "least", "most", "counts", (F.col(sign) if sign else F.lit(1)).alias("sign"))
+    parts = parts.select(*keys, "n", "least", "most", "counts", (F.col(sign) if sign else F.lit(1)).alias("sign"), F.xxhash64(F.monotonically_increasing_id()).alias("part"))
+    parts = cut(parts)
+    most = parts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while most > FAN:
+        most = -(-most // FAN)
+        parts = cut(added(parts.withColumn("part", F.pmod("part", F.lit(most))), [*keys, "part"], layout).withColumns({"sign": F.lit(1), "part": F.xxhash64("part")}))
+    return added(parts.drop("part"), keys, layout)
+
+
+def added(parts: DataFrame, keys: list[str], layout: Layout) -> DataFrame:
+    """The sum of the summaries of each key, which are few."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         n, lists, total = int((pdf["n"] * pdf["sign"]).sum()), [], np.zeros(layout.size, np.int64)
@@ -222,14 +276,15 @@ def merge(parts: DataFrame, keys: list[str], layout: Layout = Layout(), salt: st
             if kind and sign == 1:
                 lists.append(numbers)
             else:
+                few = False
                 total += sign * dense(data, layout)
         codes = np.concatenate(lists) if lists else np.zeros(0, np.int64)
         counts = pack(np.sort(codes), 1) if few else pack(total + layout.counters(codes), 0)
-        row = {c: [pdf[c].iloc[0]] for c in cols} | {"n": [n], "least": [pdf["least"].min()], "most": [pdf["most"].max()], "counts": [counts]}
+        row = {c: [pdf[c].iloc[0]] for c in keys} | {"n": [n], "least": [pdf["least"].min()], "most": [pdf["most"].max()], "counts": [counts]}
         return pd.DataFrame(row)
 
     types = {f.name: f.dataType.simpleString() for f in parts.schema}
-    return parts.groupBy(*cols).applyInPandas(add, ", ".join(f"`{c}` {types[c]}" for c in cols) + ", n bigint, least double, most double, counts binary")
+    return parts.groupBy(*keys).applyInPandas(add, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", n bigint, least double, most double, counts binary")
 
 
 def read_off(merged: DataFrame, keys: list[str], layout: Layout = Layout(), percents: tuple[int, ...] = PERCENTS) -> DataFrame:
@@ -239,15 +294,14 @@ def read_off(merged: DataFrame, keys: list[str], layout: Layout = Layout(), perc
         for pdf in batches:
             out = []
             for rec in pdf.to_dict("records"):
-                numbers, few = unpack(rec["counts"])
                 summary, n = dense(rec["counts"], layout), int(rec["n"])
                 if n <= 0:
                     continue
-                error = 0.0 if few else layout.rank_error(summary)
+                error = layout.rank_error(summary)
                 for p in percents:
                     rank = max(1.0, np.ceil(p * n / 100))
                     clip = lambda v, rec=rec: min(max(v, rec["least"]), rec["most"])
-                    at = [int(numbers[int(r) - 1]) if few else layout.invert(summary, r) for r in (rank, max(1.0, rank - error), min(float(n), rank + error))]
+                    at = [layout.invert(summary, r) for r in (rank, max(1.0, rank - error), min(float(n), rank + error))]
                     out.append((*(rec[k] for k in keys), n, p, clip(layout.decode(at[0])), clip(layout.decode(at[1], 0)), clip(layout.decode(at[2], 1)), error, error / n))
             yield pd.DataFrame(out, columns=[*keys, "n", "percent", "value", "low", "high", "rank_error", "rank_error_share"])
 
@@ -260,8 +314,12 @@ def daily(results: DataFrame, aliases: DataFrame, layout: Layout = Layout()) ->
     return merge(summaries(runs(results, aliases), layout), ["domain", "task_category", "day"], layout)
 
 
+def totals(results: DataFrame, aliases: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """How many values each domain and task_category has, and the least and greatest of them, off the merged summaries."""
+    return merge(summaries(runs(results, aliases), layout), ["domain", "task_category"], layout).drop("counts")
+
+
 def percentiles(results: DataFrame, aliases: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Percentiles for every domain and task_category, from the summaries of days."""
     keys = ["domain", "task_category"]
-    days = summaries(runs(results, aliases), layout).withColumn("salt", F.pmod(F.xxhash64("day"), F.lit(16)).cast("int"))
-    return read_off(merge(merge(days, keys, layout, "salt"), keys, layout), keys, layout)
+    return read_off(merge(summaries(runs(results, aliases), layout), keys, layout), keys, layout)

@@ -17,6 +17,10 @@ def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.daily(table(spark, sf_dir, "sample_results"), table(spark, sf_dir, "category_aliases"))
 
 
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.totals(table(spark, sf_dir, "sample_results"), table(spark, sf_dir, "category_aliases"))
+
+
 def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, sf_dir, "samples"), table(spark, sf_dir, "sampling_plans"), table(spark, sf_dir, "category_aliases")
 
@@ -61,5 +65,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_totals, p3_found, p3_sample, p3_report, p4_found, p4_groups, p6_ids, p7_found, p7_report, p7_selection, p8_found)}
 ORACLE_SQL = oracle.SQL
