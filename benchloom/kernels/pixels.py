@@ -1,4 +1,4 @@
-"""Numpy kernels on grey frames (2-D arrays of 0..255); definitions as published, no codecs."""
+"""Numpy kernels on single frames and pairs of frames (arrays of 0..255, BGR or grey); definitions as published, no codecs."""
 
 from __future__ import annotations
 
@@ -8,21 +8,29 @@ FRAME = (1080, 1920)
 
 
 def grey(frame: np.ndarray) -> np.ndarray:
-    """Luma of a BGR frame; a 2-D frame is grey already."""
+    """Luma of a BGR frame in whole steps; a frame of one channel is grey already."""
     if frame.ndim == 2:
         return frame.astype(np.float64)
-    return frame[..., :3].astype(np.float64) @ np.array([0.114, 0.587, 0.299])
+    if frame.shape[2] == 1:
+        return frame[..., 0].astype(np.float64)
+    return np.rint(frame[..., :3].astype(np.float64) @ np.array([0.114, 0.587, 0.299]))
 
 
-def resize(frame: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of covered pixels when shrinking, bilinear when growing; equal sizes pass through."""
+def colour(frame: np.ndarray) -> np.ndarray:
+    """Three equal channels of a grey frame; others as they are."""
+    grey_ = frame[..., None] if frame.ndim == 2 else frame
+    return np.repeat(grey_, 3, axis=2) if grey_.shape[2] == 1 else grey_
+
+
+def resize(frame: np.ndarray, height: int, width: int, area: bool = True) -> np.ndarray:
+    """Bilinear, but the mean of covered pixels when shrinking with ``area``; equal sizes pass through."""
     h, w = frame.shape[:2]
     if (h, w) == (height, width):
         return frame
 
     def weights(n: int, m: int) -> np.ndarray:
         out = np.zeros((m, n))
-        if m < n:
+        if m < n and area:
             edges = np.linspace(0, n, m + 1)
             for i in range(m):
                 a, b = edges[i], edges[i + 1]
@@ -82,11 +90,12 @@ def ssim(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def histogram_correlation(a: np.ndarray, b: np.ndarray, bins: int = 64) -> float:
-    """Pearson correlation of length-normalised histograms."""
+    """Pearson correlation of the joint histograms of all channels, scaled to length 1 first."""
 
     def hist(f: np.ndarray) -> np.ndarray:
         channels = f.reshape(-1, f.shape[2]) if f.ndim == 3 else f.reshape(-1, 1)
-        h = np.histogramdd(channels, bins=[bins] * channels.shape[1], range=[(0, 256)] * channels.shape[1])[0].ravel()
+        place = np.clip(channels * bins / 256, 0, bins - 1).astype(np.int64) @ (bins ** np.arange(channels.shape[1]))
+        h = np.bincount(place, minlength=bins ** channels.shape[1]).astype(float)
         return h / max(np.linalg.norm(h), 1e-12)
 
     x, y = hist(a), hist(b)
@@ -96,11 +105,19 @@ def histogram_correlation(a: np.ndarray, b: np.ndarray, bins: int = 64) -> float
 
 
 def bilateral_symmetry(g: np.ndarray) -> float | None:
-    """Best of vertical, horizontal and diagonal mirror likeness; null below 0.25."""
-    n = min(g.shape)
-    square = g[:n, :n]
-    scores = [1 - np.abs(g - m).mean() / 255 for m in (g[:, ::-1], g[::-1, :])] + [1 - np.abs(square - square.T).mean() / 255]
-    best = float(max(scores))
+    """Best likeness of two halves mirrored left-right or top-bottom, or of the frame and its transpose; null below 0.25."""
+    h, w = g.shape
+    n = min(h, w)
+    likeness = lambda x, y: 1.0 - float(np.abs(x - y).mean()) / 255.0
+    scores = [0.0]
+    if w > 1:
+        scores.append(likeness(g[:, : w // 2], g[:, w - w // 2 :][:, ::-1]))
+    if h > 1:
+        scores.append(likeness(g[: h // 2], g[h - h // 2 :][::-1]))
+    if n > 10:
+        square = resize(g, n, n, area=False)
+        scores.append(likeness(square, square.T))
+    best = max(scores)
     return best if best >= 0.25 else None
 
 
@@ -145,15 +162,23 @@ def components(mask: np.ndarray, least: float = 0.0) -> int:
     return sum(v >= least * mask.size for v in area.values())
 
 
-def via_holes(g: np.ndarray) -> int:
-    """Dark blobs after inversion and Otsu's threshold."""
-    inverse = 255 - g
+Region = tuple[float, float, float, float]
+
+
+def region(g: np.ndarray, part: Region) -> np.ndarray:
+    """The part of a frame between shares of its height and width (top, bottom, left, right)."""
+    h, w = g.shape[:2]
+    return g[int(h * part[0]) : int(h * part[1]), int(w * part[2]) : int(w * part[3])]
+
+
+def via_holes(g: np.ndarray, part: Region = (0.1, 0.9, 0.1, 0.9)) -> int:
+    """Dark blobs: components above Otsu's threshold of the inverted frame."""
+    inverse = 255 - region(g, part)
     return components(inverse > otsu(inverse), 0.001)
 
 
-def merged_components(g: np.ndarray, roi: tuple[float, float, float, float] = (0.3, 0.7, 0.2, 0.8)) -> int:
-    h, w = g.shape
-    cut = g[int(h * roi[0]) : int(np.ceil(h * roi[1])), int(w * roi[2]) : int(np.ceil(w * roi[3]))]
+def merged_components(g: np.ndarray, part: Region = (0.3, 0.7, 0.2, 0.8)) -> int:
+    cut = region(g, part)
     return components(cut > otsu(cut), 0.002)
 
 
@@ -179,8 +204,9 @@ def edges(g: np.ndarray, low: float, high: float) -> np.ndarray:
         strong = grown
 
 
-def edge_components(g: np.ndarray) -> int:
-    e = edges(g, 50, 150)
+def edge_components(g: np.ndarray, part: Region = (0.2, 0.8, 0.1, 0.9)) -> int:
+    """Components of the closed edge map."""
+    e = edges(region(g, part), 50, 150)
     p = np.pad(e, 1)
     grown = np.any([p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
     p = np.pad(grown, 1, constant_values=True)
@@ -189,93 +215,122 @@ def edge_components(g: np.ndarray) -> int:
 
 
 def spectral_peaks(g: np.ndarray) -> float:
-    """Share of spectral energy above its 97th percentile, of the edge map."""
-    med = float(np.median(g))
-    e = edges(g, max(0.0, 0.66 * med), min(255.0, 1.33 * med)).astype(float)
-    f = np.abs(np.fft.fftshift(np.fft.fft2(e))) ** 2
-    total = f.sum()
-    return round(float(f[f >= np.percentile(f, 97)].sum() / total), 4) if total > 0 else 0.0
-
-
-def polar_peaks(g: np.ndarray, bins: int = 360, width: int = 13, gap: int = 18) -> int:
-    """Peaks of the edge pixels' angles about their centre."""
+    """Share of spectral energy of the edge map in what lies above the 97th percentile of magnitudes."""
+    middle = float(np.median(g))
+    e = edges(g, int(max(0.0, 0.66 * middle)), int(min(255.0, 1.33 * middle))) * 255.0
+    m = np.abs(np.fft.fft2(e))
+    energy = m**2
+    total = energy.sum()
+    return round(float(energy[m > np.percentile(m, 97.0)].sum() / total), 4) if total > 0 else 0.0
+
+
+def gap_groups(at: np.ndarray, gap: int) -> int:
+    """How many groups sorted positions form, a new one opening beyond ``gap`` from the last that opened one."""
+    groups, last = 0, None
+    for x in at.tolist():
+        if last is None or x - last > gap:
+            groups, last = groups + 1, x
+    return groups
+
+
+def polar_peaks(g: np.ndarray, bins: int = 360) -> int:
+    """Groups of angles about the centre with more edge pixels than the mean and half a standard deviation."""
+    h, w = g.shape
     y, x = np.nonzero(edges(g, 50, 150))
-    if len(y) < 10:
+    if len(x) < 10:
         return 0
-    a = (np.rad2deg(np.arctan2(y - g.shape[0] / 2, x - g.shape[1] / 2)) % 360).astype(int) % bins
-    h = np.convolve(np.bincount(a, minlength=bins), np.ones(width) / width, mode="same")
-    top = [i for i in range(bins) if h[i] > h.mean() and h[i] >= h[i - 1] and h[i] > h[(i + 1) % bins]]
-    kept: list[int] = []
-    for i in top:
-        if not kept or i - kept[-1] > gap:
-            kept.append(i)
-    return len(kept)
-
-
-def track_links(g: np.ndarray, least: float = 0.3, gap: int = 5) -> int:
-    """Repeats in the column sums of the edges, by autocorrelation."""
-    s = edges(g, 50, 150).sum(axis=0).astype(float)
-    s -= s.mean()
-    r = np.correlate(s, s, "full")[len(s) - 1 :]
-    if r[0] <= 0:
+    counts, _ = np.histogram(np.arctan2(y - h // 2, x - w // 2), bins=bins, range=(-np.pi, np.pi))
+    width = max(3, bins // 30) | 1
+    smooth = np.convolve(counts, np.ones(width) / width, mode="same")
+    return gap_groups(np.flatnonzero(smooth > smooth.mean() + 0.5 * smooth.std()), bins // 20)
+
+
+def track_links(g: np.ndarray, part: Region = (0.55, 0.88, 0.05, 0.95), least: float = 0.3, gap: int = 5) -> int:
+    """Groups of lags at which the column means of the edges correlate with themselves above ``least``."""
+    line = (edges(region(g, part), 50, 150) * 255.0).mean(axis=0)
+    if line.size == 0 or line.std() < 1e-6:
         return 0
-    r = r / r[0]
-    kept: list[int] = []
-    for i in range(1, len(r) - 1):
-        if r[i] > least and r[i] >= r[i - 1] and r[i] > r[i + 1] and (not kept or i - kept[-1] > gap):
-            kept.append(i)
-    return len(kept)
-
-
-def trace_period(g: np.ndarray) -> float | None:
-    """Dominant period, in pixels, of the rows' mean over the centre half."""
-    h = g.shape[0]
-    line = g[h // 4 : h - h // 4].mean(axis=0)
+    line = line - line.mean()
+    r = np.correlate(line, line, "full")[len(line) - 1 :]
+    return gap_groups(np.flatnonzero(r[1:] / (r[0] + 1e-8) > least), gap)
+
+
+def trace_period(g: np.ndarray) -> float:
+    """Dominant period, in pixels, of the column means over the centre half; 0 where there is none."""
+    line = region(g, (0.25, 0.75, 0.25, 0.75)).mean(axis=0)
+    if line.size < 2 or line.std() < 1e-6:
+        return 0.0
     f = np.abs(np.fft.rfft(line - line.mean()))
-    if len(f) < 2 or f[1:].max() < 1e-9:
-        return None
     return float(len(line) / (int(f[1:].argmax()) + 1))
 
 
-def top_frequencies(g: np.ndarray, k: int = 3, still: int = 5, around: int = 2) -> np.ndarray:
-    """The k strongest 2-D frequencies beyond the centre, each with its neighbourhood suppressed."""
+def top_frequencies(g: np.ndarray, k: int = 3, still: int = 5) -> np.ndarray:
+    """The k strongest frequencies (vertical, horizontal, as shares of the highest) but the lowest ones, each blanking its neighbourhood."""
     f = np.abs(np.fft.fftshift(np.fft.fft2(g)))
-    cy, cx = f.shape[0] // 2, f.shape[1] // 2
-    yy, xx = np.ogrid[: f.shape[0], : f.shape[1]]
-    f = np.where((yy - cy) ** 2 + (xx - cx) ** 2 <= min(still, min(f.shape) // 8) ** 2, 0, f)
-    out = []
+    h, w = f.shape
+    cy, cx, around = h // 2, w // 2, max(3, min(h, w) // 50)
+    yy, xx = np.ogrid[:h, :w]
+    f[(yy - cy) ** 2 + (xx - cx) ** 2 < still**2] = 0
+    out: list[float] = []
     for _ in range(k):
         i, j = np.unravel_index(int(f.argmax()), f.shape)
         if f[i, j] <= 0:
             break
-        out += [(i - cy) / f.shape[0], (j - cx) / f.shape[1]]
+        out += [(i - cy) / (h / 2.0), (j - cx) / (w / 2.0)]
         f[max(0, i - around) : i + around + 1, max(0, j - around) : j + around + 1] = 0
     return np.array(out)
 
 
-def blade_periodicity(g: np.ndarray, most: int = 6) -> float:
-    """Best share of a blade count's harmonic (2..most) in the ring profile, times 5, at most 1."""
+def blade_periodicity(g: np.ndarray) -> float:
+    """Best share of 2 to 6 equal sectors in the harmonics around the centre, all radii together, times 5, at most 1."""
     h, w = g.shape
+    cx, cy = w // 2, h // 2
+    most = min(cx, cy, w - cx, h - cy) - 1
+    if most < 10:
+        return 0.0
     t = np.linspace(0, 2 * np.pi, 360, endpoint=False)
-    rings = [g[np.clip((h / 2 + r * np.sin(t)).astype(int), 0, h - 1), np.clip((w / 2 + r * np.cos(t)).astype(int), 0, w - 1)] for r in np.linspace(0.2, 0.45, 8) * min(h, w)]
-    f = np.abs(np.fft.rfft(np.mean(rings, axis=0) - np.mean(rings)))
-    total = f[1:].sum()
-    return float(min(1.0, 5 * max(f[n] for n in range(2, most + 1)) / total)) if total > 0 else 0.0
+    r = np.arange(1, most)[:, None]
+    rings = g[(cy + r * np.sin(t)).astype(int), (cx + r * np.cos(t)).astype(int)]
+    harmonics = np.abs(np.fft.rfft(rings, axis=1))[:, 1:].sum(axis=0)
+    return float(min(1.0, 5.0 * harmonics[1:6].max() / (harmonics.sum() + 1e-8)))
 
 
-def phase_shift(a: np.ndarray, b: np.ndarray) -> float:
-    """Length of the translation between two frames, by phase correlation."""
-    f = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    r = np.abs(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)))
+def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """(dx, dy, length weighted by how clear the peak is) from one frame to the next, by phase correlation of windowed edge maps."""
+    x, y = edges(a, 50, 150) * 255.0, edges(b, 50, 150) * 255.0
+    if x.std() < 1e-6 or y.std() < 1e-6:
+        return 0.0, 0.0, 0.0
+    h, w = x.shape
+    window = np.outer(np.hanning(h), np.hanning(w))
+    f = np.fft.fft2(y * window) * np.conj(np.fft.fft2(x * window))
+    r = np.fft.fftshift(np.fft.ifft2(f / np.maximum(np.abs(f), 1e-12)).real)
     i, j = np.unravel_index(int(r.argmax()), r.shape)
-    dy, dx = (i if i <= r.shape[0] // 2 else i - r.shape[0]), (j if j <= r.shape[1] // 2 else j - r.shape[1])
-    return float(np.hypot(dy, dx))
+    rows, cols = np.arange(max(0, i - 2), min(h, i + 3)), np.arange(max(0, j - 2), min(w, j + 3))
+    near = r[np.ix_(rows, cols)]
+    clear = float(near.sum())
+    if abs(clear) < 1e-12:
+        return 0.0, 0.0, 0.0
+    dy, dx = float((near.sum(axis=1) @ rows) / clear - h // 2), float((near.sum(axis=0) @ cols) / clear - w // 2)
+    return dx, dy, abs(clear) * float(np.hypot(dx, dy))
+
+
+#: Regions in which a track chain may show, the default first.
+BANDS: tuple[Region, ...] = ((0.55, 0.88, 0.05, 0.95), (0.0, 0.3, 0.0, 1.0), (0.7, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.4), (0.0, 1.0, 0.6, 1.0))
 
 
-def rim_symmetry(g: np.ndarray, cy: float, cx: float, radius: float, samples: int = 36) -> float:
-    """Evenness of brightness along a circle's rim."""
+def band_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How alike two frames are in each of the bands."""
+    return np.array([roi_correlation(region(a, part), region(b, part)) for part in BANDS])
+
+
+def rim_symmetry(g: np.ndarray, cy: float, cx: float, radius: float, samples: int = 36) -> float | None:
+    """Evenness of brightness along a circle's rim; null with fewer than four samples inside the frame."""
     t = np.linspace(0, 2 * np.pi, samples, endpoint=False)
-    v = g[np.clip((cy + radius * np.sin(t)).astype(int), 0, g.shape[0] - 1), np.clip((cx + radius * np.cos(t)).astype(int), 0, g.shape[1] - 1)]
+    y, x = (cy + radius * np.sin(t)).astype(int), (cx + radius * np.cos(t)).astype(int)
+    inside = (y >= 0) & (y < g.shape[0]) & (x >= 0) & (x < g.shape[1])
+    if inside.sum() < 4:
+        return None
+    v = g[y[inside], x[inside]]
     return float(1 - min(v.std() / (v.mean() + 1e-6), 1))
 
 
@@ -288,9 +343,9 @@ def roi_correlation(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def contour_points(g: np.ndarray, most: int = 2000) -> np.ndarray:
-    """Edge pixels as points scaled to the frame, thinned evenly to ``most``."""
+    """Edge pixels of the blurred frame as points scaled to it, thinned evenly to ``most``."""
     y, x = np.nonzero(edges(blur(g, 5, 1.1), 50, 150))
-    p = np.stack([x / g.shape[1], y / g.shape[0]], 1)
+    p = np.stack([x / max(g.shape[1] - 1, 1), y / max(g.shape[0] - 1, 1)], 1)
     return p if len(p) <= most else p[np.linspace(0, len(p) - 1, most).astype(int)]
 
 

@@ -147,7 +147,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def pad(vector: Column, length: Column) -> Column:
     """Zeros appended up to a length."""
-    return F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), length - F.size(vector)))
+    return F.concat(vector, F.array_repeat(F.lit(0.0), length - F.size(vector)))
 
 
 def truncate(vector: Column, length: Column) -> Column:

@@ -261,10 +261,6 @@ SQL["sourcing_review"] = f"SELECT task_id, reuse, image_exists FROM ({SQL['sourc
 SQL["resolve_images"] = """WITH p AS (SELECT DISTINCT path FROM (SELECT CASE WHEN row_id % 2 = 0 THEN regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' ELSE image_path END AS path FROM samples) WHERE path IS NOT NULL),
  c AS (SELECT row_id, 1 AS k, regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' AS path FROM samples UNION ALL SELECT row_id, 2, replace(image_path, '/images/', '/images_hq/') FROM samples UNION ALL SELECT row_id, 3, image_path FROM samples),
  h AS (SELECT row_id, arg_min(path, k) AS resolved FROM c JOIN p USING (path) GROUP BY 1) SELECT row_id, image_path, resolved FROM samples LEFT JOIN h USING (row_id)"""
-SQL["kernel_bilateral_symmetry"] = """WITH v AS (SELECT label::BIGINT AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda x: greatest(0, least(255, round(x * 400 + 128)::INT))) AS p FROM embeddings), i AS (SELECT unnest(range(64)) AS i),
- d AS (SELECT video, frame, abs(p[i + 1] - p[i // 8 * 8 + 7 - i % 8 + 1]) AS a, abs(p[i + 1] - p[(7 - i // 8) * 8 + i % 8 + 1]) AS b, abs(p[i + 1] - p[i % 8 * 8 + i // 8 + 1]) AS c FROM v, i),
- s AS (SELECT video, frame, 1 - least(avg(a), avg(b), avg(c)) / 255 AS best FROM d GROUP BY 1, 2) SELECT video, frame, round(CASE WHEN best >= 0.25 THEN best ELSE 'nan'::DOUBLE END, 6) AS value FROM s"""
-
 SQL["lattice_score"] = "WITH e AS (SELECT event_id, least(event_id % 60, user_id % 70) AS l, event_id % 37 AS m, CASE WHEN event_id % 9 <> 0 THEN value / 100 END AS c FROM events) SELECT event_id, round(CASE WHEN l < 10 THEN 0.3::DOUBLE WHEN m < 5 THEN 0.1 WHEN m < 20 THEN 0.25 ELSE greatest(0.1, m::DOUBLE / l) END, 6) AS lattice, round(CASE WHEN c IS NULL THEN 0.1::DOUBLE ELSE greatest(0.1, 1 - c) END, 6) AS surface FROM e"
 SQL["geometry_route"] = """WITH s AS (SELECT row_id, CASE sub_topology WHEN '2d_planar' THEN 'spectral' WHEN '3d_spatial' THEN 'lattice' WHEN 'aerodynamic' THEN 'surface' WHEN 'rigid_housing' THEN 'lattice' WHEN 'articulated' THEN 'articulated' WHEN 'rotational' THEN 'rotary' WHEN 'cable_hose' THEN 'kinematic'
  ELSE CASE primary_topology WHEN 'kinematic' THEN 'kinematic' WHEN 'flexible' THEN 'kinematic' WHEN 'lattice' THEN 'lattice' WHEN 'surface' THEN 'lattice' END END AS method FROM samples),
@@ -302,3 +298,58 @@ def steady(sql: str) -> str:
 
 
 SQL = {name: steady(sql) for name, sql in SQL.items()}
+
+
+# -- kernels and checks of clips ------------------------------------------------------------
+
+PIXELS = VECTORS + """, px AS (SELECT video::BIGINT AS video, frame::BIGINT AS frame, list_transform(vector[1:60], lambda x: greatest(0, least(255, floor(x * 400 + 128.5)::INT))) AS b FROM v),
+ grey AS (SELECT video, frame, b, list_transform(range(0, 20), lambda i: round_even(0.114::DOUBLE * b[3 * i + 1] + 0.587::DOUBLE * b[3 * i + 2] + 0.299::DOUBLE * b[3 * i + 3], 0)) AS g FROM px),
+ two AS (SELECT *, lag(g) OVER (PARTITION BY video ORDER BY frame) AS g0, lag(b) OVER (PARTITION BY video ORDER BY frame) AS b0 FROM grey)"""
+
+
+def joint(b: str) -> str:
+    """Which of the 64 x 64 x 64 cells each pixel falls into."""
+    return f"list_transform(range(0, 20), lambda i: {b}[3 * i + 1] // 4 + 64 * ({b}[3 * i + 2] // 4) + 4096 * ({b}[3 * i + 3] // 4))"
+
+
+SQL["kernel_dark_background"] = f"{PIXELS} SELECT video, frame, (len(list_filter(g, lambda x: x < 30)) / 20.0::DOUBLE > 0.4)::INT::DOUBLE AS value FROM grey"
+SQL["kernel_roi_correlation"] = f"""{PIXELS}, u AS (SELECT video, frame, unnest(g) AS y, unnest(g0) AS x FROM two WHERE g0 IS NOT NULL)
+ SELECT video, frame, round(CASE WHEN stddev_pop(x) < 1e-6 OR stddev_pop(y) < 1e-6 THEN 0 ELSE greatest(0.0::DOUBLE, corr(x, y)) END, 6) AS value FROM u GROUP BY 1, 2"""
+# Counts of cells as sparse histograms; empty cells enter the correlation by their number.
+SQL["kernel_histogram_correlation"] = f"""{PIXELS}, k AS (SELECT video, frame, unnest({joint('b')}) AS cell, 1 AS now FROM two WHERE b0 IS NOT NULL UNION ALL SELECT video, frame, unnest({joint('b0')}), 0 FROM two WHERE b0 IS NOT NULL),
+ h AS (SELECT video, frame, cell, sum(1 - now)::DOUBLE AS x, sum(now)::DOUBLE AS y FROM k GROUP BY 1, 2, 3),
+ t AS (SELECT video, frame, sum(x * y) - 400.0 / 262144 AS xy, sum(x * x) - 400.0 / 262144 AS xx, sum(y * y) - 400.0 / 262144 AS yy FROM h GROUP BY 1, 2)
+ SELECT video, frame, round(xy / sqrt(xx * yy) + 1e-9, 6) AS value FROM t"""
+SQL["count_check"] = f"""{FRAMES}, m AS (SELECT video, greatest(1.0, round_even(median(n), 0)) AS nominal FROM fr GROUP BY 1),
+ s AS (SELECT video, avg(greatest(0.1::DOUBLE, 1 - 2 * abs(n - nominal) / nominal)) AS mean, max(n) AS most, min(n) AS least, string_agg(n::VARCHAR, ',' ORDER BY frame) AS counts FROM fr JOIN m USING (video) GROUP BY 1)
+ SELECT video, round(CASE WHEN most = 0 THEN 0.1 ELSE greatest(0.1::DOUBLE, least(1.0::DOUBLE, mean)) END, 4) AS score, most = least AND most > 0 AS stable, 0.9::DOUBLE AS weight, counts FROM s"""
+SQL["merge_check"] = f"{FRAMES}, s AS (SELECT video, avg((n < 2)::INT::DOUBLE) AS f FROM fr GROUP BY 1) SELECT video, round(1 - f, 4) AS score, round(f, 4) AS merge_fraction FROM s"
+SQL["trace_check"] = f"""{FRAMES}, p AS (SELECT video, CASE video % 4 WHEN 0 THEN 0 WHEN 1 THEN n ELSE 20 + n * (video % 7) END::DOUBLE AS p FROM fr), s AS (SELECT video, count(*) FILTER (WHERE p > 0) AS n, 100 * stddev_pop(p) FILTER (WHERE p > 0) / (avg(p) FILTER (WHERE p > 0) + 1e-8) AS off FROM p GROUP BY 1)
+ SELECT video, CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN 0.5 WHEN off <= 15 THEN 1 WHEN off <= 30 THEN 0.5 ELSE 0 END::DOUBLE AS score FROM s"""
+SQL["jacket_check"] = f"""{VECTORS}, q AS (SELECT video, frame, vector[1:2 + (frame % 3) * 2] AS a, lag(vector[1:2 + (frame % 3) * 2]) OVER (PARTITION BY video ORDER BY frame) AS b FROM v),
+ c AS (SELECT video, list_sum(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] * b[i])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x)))) AS c FROM q)
+ SELECT video, round(coalesce(avg(greatest(0.0::DOUBLE, c)) FILTER (WHERE c IS NOT NULL), 0), 4) AS score FROM c GROUP BY 1"""
+SQL["turbine_check"] = f"{FRAMES} SELECT video, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(CASE WHEN n <> 2 THEN value / 100.0::DOUBLE ELSE 0 END))), 4) AS score FROM fr GROUP BY 1"
+
+
+def coupled(score: str, off: str, rigid: str, enough: str) -> str:
+    return f"video, CASE WHEN {enough} THEN round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, {score})), 4) ELSE 0.1::DOUBLE END AS score, CASE WHEN {enough} THEN round({off}, 2) ELSE 100.0::DOUBLE END AS deviation, ({enough}) AND ({rigid}) AS rigid"
+
+
+SQL["scissor_check"] = f"""{FRAMES}, a AS (SELECT video, frame, CASE video % 5 WHEN 0 THEN CASE WHEN frame = 0 THEN value / 30.0::DOUBLE END WHEN 1 THEN frame * 0.1::DOUBLE WHEN 2 THEN frame * 0.1::DOUBLE + (frame % 2) * 0.008::DOUBLE WHEN 3 THEN 1.0::DOUBLE ELSE value / 30.0::DOUBLE END AS x FROM fr),
+ b AS (SELECT *, x - lag(x) OVER (PARTITION BY video ORDER BY frame) AS step FROM a WHERE x IS NOT NULL), c AS (SELECT video, count(*) AS n, bool_and(step >= 0) OR bool_and(step <= 0) AS one, avg(abs(step)) AS mean, stddev_pop(abs(step)) AS sd FROM b GROUP BY 1),
+ e AS (SELECT video, n, one, CASE WHEN mean > 1e-3 THEN 100 * sd / (mean + 1e-8) ELSE 0 END AS off FROM c)
+ SELECT {coupled("CASE WHEN one AND off < 10 THEN 1.0 WHEN one AND off < 25 THEN 0.5 + 0.4 * (1 - (off - 10) / 15) ELSE 0.1 + 0.4 * greatest(0.0, 1 - off / 100) END", "off", "one AND off < 25", "n >= 2")} FROM e"""
+SQL["conveyor_check"] = f"""{FRAMES}, a AS (SELECT video, frame, CASE video % 4 WHEN 0 THEN 3.0::DOUBLE + n * 0.1::DOUBLE WHEN 1 THEN -2.0::DOUBLE - n * 0.5::DOUBLE WHEN 2 THEN value - 20.0::DOUBLE ELSE CASE WHEN frame = 3 THEN -1.0::DOUBLE ELSE 2.0::DOUBLE END END AS x FROM fr),
+ b AS (SELECT *, (sign(x) <> sign(lag(x) OVER (PARTITION BY video ORDER BY frame)))::INT AS turn FROM a),
+ c AS (SELECT video, coalesce(min(x) >= 0 OR max(x) <= 0, false) OR coalesce(sum(turn), 0) <= 0.15::DOUBLE * count(*) AS steady, 100 * stddev_pop(abs(x)) / (avg(abs(x)) + 1e-8) AS off FROM b GROUP BY 1)
+ SELECT {coupled("CASE WHEN steady AND off < 20 THEN 1.0 WHEN steady AND off < 50 THEN 0.5 + 0.4 * (1 - (off - 20) / 30) ELSE 0.1 + 0.3 * greatest(0.0, 1 - off / 100) END", "off", "steady AND off < 50", "true")} FROM c"""
+SQL["arm_check"] = f"""{VECTORS}, a AS (SELECT video, frame, list_transform(vector[1:CASE WHEN frame % 4 = 3 THEN 6 WHEN frame % 9 = 8 THEN 1 ELSE 10 END], lambda x: 20.0::DOUBLE + x * (video % 3)) AS d FROM v),
+ b AS (SELECT * FROM a WHERE len(d) >= 3), m AS (SELECT video, min(len(d)) AS least, count(*) AS n FROM b GROUP BY 1), l AS (SELECT video, unnest(d) AS x, generate_subscripts(d, 1) AS link FROM b),
+ r AS (SELECT video, link, stddev_pop(x) / (avg(x) + 1e-8) AS off FROM l JOIN m USING (video) WHERE link <= least GROUP BY 1, 2), s AS (SELECT video, avg(off) AS off FROM r GROUP BY 1)
+ SELECT {coupled("1 - off * 5", "off * 100", "off * 100 < 5", "coalesce(n >= 2, false)")} FROM (SELECT DISTINCT video FROM a) LEFT JOIN m USING (video) LEFT JOIN s USING (video)"""
+SQL["chain_check"] = f"""{VECTORS}, a AS (SELECT video, {', '.join(f"avg(greatest(0.0::DOUBLE, vector[{i + 1}]" + (" + CASE WHEN video % 2 = 0 THEN 0.5 ELSE 0 END" if i == 0 else "") + f")) AS b{i}" for i in range(5))} FROM v GROUP BY 1),
+ c AS (SELECT *, greatest(b0, b1, b2, b3, b4) AS best FROM a)
+ SELECT video, round(CASE WHEN b0 >= 0.3 THEN b0 ELSE best END, 6) AS score, CASE WHEN b0 >= 0.3 OR b0 = best THEN 'default' WHEN b1 = best THEN 'top_30' WHEN b2 = best THEN 'bottom_30' WHEN b3 = best THEN 'left_40' ELSE 'right_40' END AS band FROM c"""
+SQL["kernel_bilateral_symmetry"] = f"""{PIXELS}, m AS (SELECT video, frame, 1 - list_avg(list_transform(range(0, 8), lambda i: abs(g[(i // 2) * 5 + i % 2 + 1] - g[(i // 2) * 5 + 5 - i % 2]))) / 255.0::DOUBLE AS v, 1 - list_avg(list_transform(range(0, 10), lambda i: abs(g[i + 1] - g[(3 - i // 5) * 5 + i % 5 + 1]))) / 255.0::DOUBLE AS h FROM grey)
+ SELECT video, frame, CASE WHEN greatest(v, h) >= 0.25 THEN round(greatest(v, h), 6) END AS value FROM m"""

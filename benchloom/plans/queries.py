@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from benchloom import registry as R
 from benchloom.functions import axes as A
 from benchloom.functions import text as T
+from benchloom.kernels import apply_kernel, kernels
+from benchloom.kernels import registry as KR
 from benchloom.operators import aggregate as G
+from benchloom.operators import clips as C
 from benchloom.operators import dataops as D
 from benchloom.operators import measures as M
 from benchloom.operators import qa as Q
@@ -498,27 +501,115 @@ def pairwise_dist(spark, d):
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as 8 x 8 grey frames, 0..255 around 128."""
+    """The first 60 numbers of a vector as a frame of 4 x 5 pixels in three channels, 0..255 around 128."""
     v = _vectors(spark, d)
-    byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 400 + 128, 0).cast("int")))
-    data = F.unhex(F.array_join(F.transform("vector", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), ""))
-    return v.select(F.col("video").cast("bigint").alias("video"), F.col("frame").cast("bigint").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("pixels"))
+    byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 400 + 128.5).cast("int")))
+    data = F.unhex(F.array_join(F.transform(F.slice("vector", 1, 60), lambda x: F.lpad(F.hex(byte(x.cast("double"))), 2, "0")), ""))
+    return v.select(F.col("video").cast("bigint").alias("video"), F.col("frame").cast("bigint").alias("frame"), F.lit(4).alias("height"), F.lit(5).alias("width"), F.lit(3).alias("channels"), data.alias("pixels"))
+
+
+#: Size to which the small frames are brought; kernels that SQL can express are compared on the frames as they are.
+SMALL = (40, 56)
+AS_THEY_ARE = ("dark_background", "bilateral_symmetry", "roi_correlation", "histogram_correlation")
 
 
 def _kernel(name: str):
     def run(spark, d):
-        from benchloom.kernels import apply_kernel
-
-        return rounded(apply_kernel(_pixels(spark, d), name))
+        got = apply_kernel(_pixels(spark, d), name, None if name in AS_THEY_ARE else SMALL)
+        if dict(got.dtypes)["value"] == "double":
+            return rounded(got)
+        return got.withColumn("value", F.transform("value", lambda x: F.round(x + 1e-9, 6)))
 
     run.__name__ = f"kernel_{name}"
     return query(run)
 
 
-for _name in ("dark_background", "bilateral_symmetry", "via_holes", "merged_components", "edge_components", "spectral_peaks", "polar_peaks", "track_links", "trace_period", "blade_periodicity", "ssim", "histogram_correlation", "phase_shift", "roi_correlation", "contour_chamfer"):
+for _name in kernels():
     _kernel(_name)
 
 
+@query
+def camera_motion(spark, d):
+    """Motion of each clip's camera; every third clip is a crane."""
+    clips = _pixels(spark, d)
+    motions = clips.select("video").distinct().withColumn("motion", F.when(F.col("video") % 3 == 0, "crane").otherwise("orbit"))
+    return rounded(KR.camera_motion(clips, motions, SMALL))
+
+
+@query
+def static_camera(spark, d):
+    return rounded(C.static_camera(KR.static_flows(_pixels(spark, d), SMALL)))
+
+
+@query
+def clip_constraints(spark, d):
+    """All checks that a clip calls for, by its domain and topology or by its category."""
+    frames = _pixels(spark, d)
+    k = F.col("video").cast("int")
+    pick = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), k % len(names) + 1)
+    clips = frames.select("video").distinct().select("video", pick("robotics", "mining", "energy_renewable", "manufacturing", "electronics", "nowhere").alias("domain"), pick("kinematic", "kinematic", "kinematic", "kinematic", "lattice").alias("topology"), pick("topology_mutation_and_failure", "none").alias("task_category"))
+    got = C.constraints(frames, clips, SMALL)
+    return rounded(got.select("video", "constraint", F.size("violations").alias("violations"), F.array_join("invariants", ",").alias("invariants")))
+
+
+def _series(spark: SparkSession, d: str, value: Column) -> DataFrame:
+    return _frames(spark, d).select("video", "frame", value.alias("value"))
+
+
+@query
+def count_check(spark, d):
+    got = C.count_check(_series(spark, d, F.col("n").cast("double")), 0.9)
+    return rounded(got.select("video", "score", "stable", "weight", F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts")))
+
+
+@query
+def merge_check(spark, d):
+    return rounded(C.merge_check(_series(spark, d, F.col("n").cast("double")), 3))
+
+
+@query
+def trace_check(spark, d):
+    return rounded(C.trace_check(_series(spark, d, F.when(F.col("video") % 4 == 0, 0.0).when(F.col("video") % 4 == 1, F.col("n").cast("double")).otherwise(20.0 + (F.col("n") * (F.col("video") % 7)).cast("double")))))
+
+
+@query
+def jacket_check(spark, d):
+    rows = _vectors(spark, d).select("video", "frame", F.transform(F.slice("vector", F.lit(1), F.lit(2) + (F.col("frame") % 3) * 2), lambda x: x.cast("double")).alias("value"))
+    return rounded(C.jacket_check(rows), 4)
+
+
+@query
+def turbine_check(spark, d):
+    return rounded(C.turbine_check(_series(spark, d, F.when(F.col("n") != 2, F.col("value") / 100.0))), 4)
+
+
+@query
+def scissor_check(spark, d):
+    k = F.col("video") % 5
+    angle = F.when((k == 0) & (F.col("frame") > 0), None).when(k == 1, F.col("frame") * 0.1).when(k == 2, F.col("frame") * 0.1 + (F.col("frame") % 2) * 0.008).when(k == 3, 1.0).otherwise(F.col("value") / 30.0)
+    return rounded(C.scissor_check(_series(spark, d, angle.cast("double"))), 4)
+
+
+@query
+def conveyor_check(spark, d):
+    k = F.col("video") % 4
+    flow = F.when(k == 0, 3.0 + F.col("n") * 0.1).when(k == 1, F.lit(-2.0) - F.col("n") * 0.5).when(k == 2, F.col("value") - 20.0).otherwise(F.when(F.col("frame") == 3, -1.0).otherwise(2.0))
+    return rounded(C.conveyor_check(_series(spark, d, flow)), 4)
+
+
+@query
+def arm_check(spark, d):
+    size = F.when(F.col("frame") % 4 == 3, F.lit(6)).when(F.col("frame") % 9 == 8, F.lit(1)).otherwise(F.lit(10))
+    rows = _vectors(spark, d).select("video", "frame", F.transform(F.slice("vector", F.lit(1), size), lambda x: 20.0 + x.cast("double") * (F.col("video") % 3)).alias("value"))
+    return rounded(C.arm_check(rows), 4)
+
+
+@query
+def chain_check(spark, d):
+    rows = _vectors(spark, d).select("video", "frame", F.transform(F.slice("vector", 1, 5), lambda x, i: F.greatest(F.lit(0.0), x.cast("double") + F.when((i == 0) & (F.col("video") % 2 == 0), 0.5).otherwise(0.0))).alias("value"))
+    return rounded(C.chain_check(rows))
+
+
 @query
 def event_windows(spark, d):
     """The streaming window aggregate, run as a batch over the same table."""
