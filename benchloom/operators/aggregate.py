@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from benchloom import registry as R
 from benchloom.functions import axes as A
-from benchloom.operators.scoring import SHORT, completed, long_form
+from benchloom.operators.dataops import latest
+from benchloom.operators.order import medians
+from benchloom.operators.scoring import SHORT, completed, counted, long_form
 
 NO_ROWS = "no_completed_samples"
 
@@ -18,7 +20,7 @@ def rate(condition: Column) -> Column:
 
 
 def _metrics() -> list[Column]:
-    done = ~F.col("skipped")
+    done = counted()
     pick = lambda c: F.when(done, c)
     return [
         F.count("*").alias("num_samples_total"),
@@ -27,7 +29,7 @@ def _metrics() -> list[Column]:
         F.avg(pick(F.col("weighted_score"))).alias("relax_score"),
         F.avg(pick(F.col("strict").cast("int").cast("double"))).alias("strict_pass_rate"),
         F.avg(pick(F.col("weighted_score") * F.col("gate"))).alias("gated_score"),
-        F.avg(pick(F.col("motion"))).alias("mean_motion"),
+        F.avg(pick(F.col("angle"))).alias("mean_motion"),
         *(F.avg(pick(F.col(s))).alias(s) for s in SHORT),
     ]
 
@@ -95,28 +97,34 @@ def leaderboard_markdown(ranked: DataFrame) -> DataFrame:
 
 def axis_statistics(scored: DataFrame) -> DataFrame:
     rows = long_form(completed(scored), "result_id")
-    return rows.groupBy("axis").agg(F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("min"), F.max("score").alias("max"), F.count("*").alias("n"), rate(F.col("score") < R.LOW).alias("low_rate"))
+    stats = rows.groupBy("axis").agg(F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.count("*").alias("n"), rate(F.col("score") < R.LOW).alias("low_rate"))
+    return stats.join(medians(rows, ["axis"], "score"), "axis")
 
 
-def group_scores(scored: DataFrame) -> DataFrame:
-    """Scores by each of four properties, in one pass; groups without name are dropped."""
-    props = ("domain", "task_category", "motion_type", "profile_level")
-    rows = completed(scored).withColumn("profile_level", F.when(F.col("num_axes") == 5, "full").otherwise("partial"))
+def group_scores(scored: DataFrame, samples: DataFrame) -> DataFrame:
+    """Scores by domain, primary and sub topology, and kind of motion, in one pass; groups without name are dropped.
+
+    A result's topologies are those of the last delivery of its sample.
+    """
+    shapes = latest(samples).select("task_id", F.coalesce(F.nullif("primary_topology", F.lit("")), F.nullif("topology_type", F.lit("")), F.lit("kinematic")).alias("primary_topology"), F.coalesce("sub_topology", F.lit("")).alias("sub_topology"))
+    props = ("domain", "primary_topology", "sub_topology", "motion_type")
+    rows = completed(scored).where("has_score").join(shapes, "task_id", "left")
     rows = rows.select("weighted_score", F.inline(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).alias("value")) for p in props)))).where(F.col("value").isNotNull())
     return rows.groupBy("property", "value").agg(F.count("*").alias("n"), F.avg("weighted_score").alias("mean_weighted_score"), rate(F.col("weighted_score") < R.LOW).alias("low_rate"))
 
 
 def motion_diagnostics(clips: DataFrame) -> DataFrame:
-    """Over clips with motion, target and score: errors, static and low ones, uncalculable ones."""
-    error = F.abs(F.col("motion") - F.col("target"))
-    return clips.agg(
-        F.count(error).alias("targeted"),
-        F.avg(error).alias("mean_abs_error"),
-        F.median(error).alias("median_abs_error"),
-        F.count_if(F.col("motion").isNull()).alias("uncalculable"),
+    """Over clips that ran, with motion, target and fidelity: errors, static and low ones, and those whose motion could not be calculated."""
+    ran = clips.where(~F.coalesce("skipped", F.lit(False))).withColumn("error", F.abs(F.col("motion") - F.col("target")))
+    stats = ran.agg(
+        F.count("error").alias("targeted"),
+        F.avg("error").alias("mean_abs_error"),
+        F.count_if(F.col("uncalculable")).alias("uncalculable"),
         F.count_if(F.col("motion") < R.STATIC).alias("static"),
         F.count_if(F.col("fidelity") < R.LOW).alias("low"),
     )
+    middle = medians(ran.withColumn("all", F.lit(1)), ["all"], "error").select(F.col("median").alias("median_abs_error"))
+    return stats.join(middle, how="left")
 
 
 def constraint_counts(scored: DataFrame) -> DataFrame:
@@ -170,8 +178,7 @@ def worst_per_axis(scored: DataFrame, k: int = 8) -> DataFrame:
 def calibration(scored: DataFrame, samples: DataFrame, axis: str = "overall") -> DataFrame:
     """Mean score by difficulty against its target; buckets without results have mean 0."""
     profile = F.col("difficulty_profile")
-    latest = Window.partitionBy("task_id").orderBy(F.desc("ingested_at"), F.desc("row_id"))
-    tasks = samples.where(F.col("task_id").isNotNull()).withColumn("rn", F.row_number().over(latest)).where("rn = 1").where(F.size(profile) > 0)
+    tasks = latest(samples).where(F.size(profile) > 0)
     bucket = A.worst_bucket(profile) if axis == "overall" else A.axis_bucket(profile, R.AXES[SHORT.index(axis)])
     score = "weighted_score" if axis == "overall" else axis
     rows = completed(scored).join(tasks.select("task_id", bucket.alias("bucket")), "task_id").groupBy("bucket").agg(F.avg(score).alias("mean"), F.count(score).alias("n"))

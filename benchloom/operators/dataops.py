@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from benchloom import registry as R
 from benchloom.functions import axes as A
 from benchloom.functions import text as T
+from benchloom.session import join_dimension
 
 #: Required fields of a sample.
 REQUIRED = ("task_id", "domain", "topology_type", "image_path", "prompt", "video_generation_prompt", "motion_type", "viewpoint_motion_target", "difficulty_profile", "constraint_annotations", "industrial_logic_questions", "sensitivity_variants")
@@ -82,12 +83,16 @@ def export_rows(samples: DataFrame) -> DataFrame:
 
 
 def export_headers(samples: DataFrame) -> DataFrame:
-    """Tasks in reading order with the headings at which domain or category change."""
-    rows = export_rows(samples).withColumns({"d": F.coalesce("domain", F.lit("")), "c": F.coalesce("task_category", F.lit(""))})
-    first_d = Window.partitionBy("d").orderBy("c", "task_id")
-    first_c = Window.partitionBy("d", "c").orderBy("task_id")
-    one = F.row_number().over(first_d) == 1
-    return rows.select("task_id", F.when(one, F.concat(F.lit("## "), "d")).alias("domain_header"), F.when(F.row_number().over(first_c) == 1, F.concat(F.lit("### "), "c")).alias("task_header"))
+    """Tasks in reading order with the headings at which domain or category change.
+
+    Only the first task of each domain and of each category in it matters, so these are aggregates joined back.
+    """
+    rows = export_rows(samples).withColumns({"d": F.coalesce("domain", F.lit("")), "c": F.coalesce("task_category", F.lit(""))}).select("d", "c", "task_id")
+    first_c = rows.groupBy("d", "c").agg(F.min("task_id").alias("first_c"))
+    first_d = first_c.groupBy("d").agg(F.min(F.struct("c", "first_c")).alias("first_d"))
+    heads = join_dimension(first_c, first_d, ["d"], "inner").select("d", "c", "first_c", F.col("first_d.first_c").alias("first_d"))
+    rows = join_dimension(rows, heads, ["d", "c"])
+    return rows.select("task_id", F.when(F.col("task_id") == F.col("first_d"), F.concat(F.lit("## "), "d")).alias("domain_header"), F.when(F.col("task_id") == F.col("first_c"), F.concat(F.lit("### "), "c")).alias("task_header"))
 
 
 def keep_first(rows: DataFrame, text: str, key: str) -> DataFrame:
@@ -103,30 +108,59 @@ def keep_first(rows: DataFrame, text: str, key: str) -> DataFrame:
 def candidates(queries: DataFrame, items: DataFrame, k: int = 5, bonus: int = 3) -> DataFrame:
     """The k items that share most tokens with each query; the item a query names gets a bonus.
 
-    An equi-join on tokens: queries (query, words, current), items (item, words).  ``items`` is an
-    inventory with few items a token, so no token meets more than those.
+    An equi-join on tokens: queries (query, words, current), items (item, words).  The tokens of an inventory of
+    bounded size are broadcast, so that a token all queries share goes to no single task; those of a
+    larger one are shuffled and adaptive execution splits the common ones.
     """
     q = queries.select("query", F.explode(F.array_distinct("words")).alias("token"))
     i = items.select("item", F.explode(F.array_distinct("words")).alias("token"))
-    shared = q.join(i, "token").groupBy("query", "item").agg(F.count("*").alias("score"))
+    shared = join_dimension(q, i, ["token"], "inner").groupBy("query", "item").agg(F.count("*").alias("score"))
     named = queries.join(items.select(F.col("item").alias("current")), "current").select("query", F.col("current").alias("item"), F.lit(bonus).cast("bigint").alias("score"))
     scores = shared.unionByName(named).groupBy("query", "item").agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
     return scores.withColumn("position", rank).where(F.col("position") <= k)
 
 
+def inventory(paths: DataFrame) -> DataFrame:
+    """(item, words) of image paths (path): the words of the last three parts of each, without its extension."""
+    kind = F.lower("path").rlike(r"\.(jpg|jpeg|png|webp)$")
+    last = F.array_join(F.slice(F.reverse(F.split(F.regexp_replace("path", r"\.[^.]*$", ""), "/")), 1, 3), " ")
+    return paths.where(kind).select(F.col("path").alias("item"), T.tokens(last).alias("words")).distinct()
+
+
 def sourcing_plan(samples: DataFrame, present: DataFrame) -> DataFrame:
-    """Each task's image, whether it is there, how often it is reused, and a search query."""
+    """Each task's image, whether it is there, how often it is reused, what it must show, a search query and the five nearest images there are."""
+    there = present.select("image_path").where(F.col("image_path").isNotNull()).distinct()
     counts = samples.where(F.col("image_path").isNotNull()).groupBy("image_path").agg(F.count("*").alias("reuse"))
-    there = present.select(F.col("image_path"), F.lit("yes").alias("image_exists")).distinct()
-    rows = latest(samples).join(counts, "image_path", "left").join(there, "image_path", "left")
-    words = F.concat_ws(" ", F.nullif(T.core_scenario(F.col("prompt")), F.lit("")), F.replace(F.col("task_category"), F.lit("_"), F.lit(" ")), F.lit("real industrial photo high resolution"))
-    return rows.select("task_id", "image_path", F.coalesce("reuse", F.lit(0)).alias("reuse"), F.coalesce("image_exists", F.lit("no")).alias("image_exists"), words.alias("search_query"))
+    known = lambda values, key: F.coalesce(F.try_element_at(R.literal_map(values), F.col(key)), F.lit(""))
+    rows = latest(samples).select("task_id", "domain", "task_category", "image_path", "video_generation_prompt", F.coalesce(T.core_scenario(F.col("prompt")), F.lit("")).alias("core_scenario"))
+    rows = rows.withColumns({"requirement": known(R.IMAGE_REQUIREMENTS, "task_category"), "search": known(R.SEARCH_WORDS, "domain"), "category": F.coalesce("task_category", F.lit(""))})
+    query = F.trim(F.concat_ws(" ", "core_scenario", "search", F.replace("category", F.lit("_"), F.lit(" ")), F.lit("real industrial photo high resolution")))
+    # Tasks that ask for the same are matched once.
+    words = T.tokens(F.concat_ws(" ", F.coalesce("domain", F.lit("")), "category", "core_scenario", "search"))
+    rows = rows.withColumns({"query_text": query, "words": F.array_sort(words)}).withColumn("query", F.xxhash64("words", "image_path"))
+    asked = rows.select("query", "words", F.col("image_path").alias("current")).dropDuplicates(["query"])
+    near = candidates(asked, inventory(there.withColumnRenamed("image_path", "path")))
+    near = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("near"))
+    rows = rows.join(near, "query", "left").join(counts, "image_path", "left").join(there.withColumn("image_exists", F.lit("yes")), "image_path", "left")
+    return rows.select(
+        "task_id",
+        "domain",
+        "task_category",
+        "core_scenario",
+        F.col("image_path").alias("current_image_path"),
+        F.coalesce("image_exists", F.lit("no")).alias("image_exists"),
+        F.coalesce("reuse", F.lit(0)).alias("current_image_reuse_count"),
+        F.col("requirement").alias("image_requirement"),
+        F.col("query_text").alias("recommended_search_query"),
+        F.coalesce(F.array_join(F.transform("near", lambda x: x["item"]), " | "), F.lit("")).alias("local_candidate_images"),
+        "video_generation_prompt",
+    )
 
 
 def to_review(plan: DataFrame) -> DataFrame:
     """Plan rows with a missing or reused image."""
-    return plan.where((F.col("reuse") > 1) | (F.col("image_exists") == "no"))
+    return plan.where((F.col("current_image_reuse_count") > 1) | (F.col("image_exists") == "no"))
 
 
 def integrity(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:

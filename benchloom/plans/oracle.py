@@ -37,7 +37,7 @@ def weight(short: str) -> str:
 FLOOR = {s: R.FLOORS[a] for s, a in AXIS.items()}
 DONE = "WHERE NOT skipped"
 MEASURED = f"""m AS (SELECT result_id, model_id, task_id, coalesce(skipped, false) AS skipped, {mapped(tidy('domain'), R.LEGACY_DOMAINS)} AS domain, {mapped(tidy('task_category'), R.LEGACY_TASKS)} AS task_category,
- {tidy('motion_type')} AS motion_type, {', '.join(f'{clean(c)} AS {s}' for s, c in RAW.items())}, {clean('viewpoint_motion_score')} AS motion,
+ {tidy('motion_type')} AS motion_type, {', '.join(f'{clean(c)} AS {s}' for s, c in RAW.items())}, {clean('viewpoint_motion_score')} AS motion, {clean('viewpoint_motion_score')} AS angle, scored IS NOT NULL AS has_score,
  CASE WHEN len(industrial_constraint_details.invariants_checked) > 0 THEN greatest(0.0::DOUBLE, 1.0 - len(industrial_constraint_details.violations)::DOUBLE / len(industrial_constraint_details.invariants_checked)) END AS "constraint",
  industrial_constraint_details.violations AS violations, industrial_constraint_details.invariants_checked AS invariants FROM sample_results)"""
 FOLDED = f"""k AS (SELECT *, {clamp('motion')} AS cm, {clamp('CASE WHEN "constraint" <= 1 THEN "constraint" * 100 ELSE "constraint" END')} AS cc FROM m),
@@ -54,13 +54,13 @@ def rif(a: str = "logic", b: str = "geometry", c: str = "reference") -> str:
 
 SCORED = f"""WITH {MEASURED}, {FOLDED},
  h AS (SELECT *, {' + '.join(f'({s} IS NOT NULL)::INT' for s in SHORT)} AS num_axes, {' + '.join(f'coalesce({s} * ({weight(s)}), 0)' for s in SHORT)} AS total, {' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE ({weight(s)}) END' for s in SHORT)} AS weights, {rif()} AS rif FROM g),
- scored AS (SELECT *, coalesce(total / nullif(weights, 0), 0) AS weighted_score, CASE WHEN greatest(motion, 0) < 0.05 AND motion IS NOT NULL THEN NULL ELSE rif END AS rif_gated,
+ scored AS (SELECT *, coalesce(total / nullif(weights, 0), 0) AS weighted_score, CASE WHEN greatest(angle, 0) < 0.05 AND angle IS NOT NULL THEN NULL ELSE rif END AS rif_gated,
  num_axes > 0 AND {' AND '.join(f'coalesce({s} >= 60, true)' for s in SHORT)} AS strict, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(motion, 100) / 100)) AS gate FROM h)"""
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT result_id, task_id, domain, task_category, {text(a)} AS axis, {i} AS ord, {s} AS score FROM scored WHERE NOT skipped AND {s} IS NOT NULL" for i, (s, a) in enumerate(AXIS.items())) + ")"
 TIER = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} < 5 THEN 'none' WHEN {0} < 20 THEN 'weak' WHEN {0} < 60 THEN 'moderate' ELSE 'full' END"
-METRICS = f"""count(*) AS num_samples_total, count(*) FILTER (WHERE NOT skipped) AS num_samples_completed, count(*) FILTER (WHERE skipped) AS num_samples_skipped,
- avg(weighted_score) FILTER (WHERE NOT skipped) AS relax_score, avg(strict::INT::DOUBLE) FILTER (WHERE NOT skipped) AS strict_pass_rate, avg(weighted_score * gate) FILTER (WHERE NOT skipped) AS gated_score,
- avg(motion) FILTER (WHERE NOT skipped) AS mean_motion, {', '.join(f'avg({s}) FILTER (WHERE NOT skipped) AS {s}' for s in SHORT)}"""
+METRICS = f"""count(*) AS num_samples_total, count(*) FILTER (WHERE NOT skipped AND has_score) AS num_samples_completed, count(*) FILTER (WHERE skipped OR NOT has_score) AS num_samples_skipped,
+ avg(weighted_score) FILTER (WHERE NOT skipped AND has_score) AS relax_score, avg(strict::INT::DOUBLE) FILTER (WHERE NOT skipped AND has_score) AS strict_pass_rate, avg(weighted_score * gate) FILTER (WHERE NOT skipped AND has_score) AS gated_score,
+ avg(angle) FILTER (WHERE NOT skipped AND has_score) AS mean_motion, {', '.join(f'avg({s}) FILTER (WHERE NOT skipped AND has_score) AS {s}' for s in SHORT)}"""
 
 
 def finish(keys: str, source: str, extra: str = "") -> str:
@@ -185,14 +185,16 @@ SQL: dict[str, str] = {
     "sanitize_nan": f"SELECT result_id, {', '.join(f'round(CASE WHEN isnan({c}) OR isinf({c}) THEN NULL ELSE {c} END, 6) AS {s}' for s, c in RAW.items())}, round(CASE WHEN isnan(scored.weighted_score) OR isinf(scored.weighted_score) THEN NULL ELSE scored.weighted_score END, 6) AS weighted FROM sample_results",
     "target_parse": "SELECT row_id, round(CASE WHEN regexp_matches(trim(viewpoint_motion_target), '^(orbit_cw|orbit_ccw|crane_up)_.*deg$') THEN try_cast(replace(split_part(trim(viewpoint_motion_target), '_', -1), 'deg', '') AS DOUBLE) ELSE try_cast(trim(viewpoint_motion_target) AS DOUBLE) END, 6) AS target FROM samples",
     "motion_fidelity": f"{CLIPS} SELECT o_orderkey, round(fidelity, 3) AS fidelity, {TIER.format('motion')} AS tier, round(degrees(atan2(abs(motion), 540 / tan(radians(30)))), 6) AS crane, motion < CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.8 END AS static FROM clips",
-    "motion_diagnostics": f"{CLIPS} SELECT count(abs(motion - target)) AS targeted, round(avg(abs(motion - target)), 6) AS mean_abs_error, round(median(abs(motion - target)), 6) AS median_abs_error, count(*) FILTER (WHERE motion IS NULL) AS uncalculable, count(*) FILTER (WHERE motion < 0.05) AS static, count(*) FILTER (WHERE fidelity < 60) AS low FROM clips",
+    "motion_diagnostics": f"{CLIPS} SELECT count(abs(motion - target)) AS targeted, round(avg(abs(motion - target)), 6) AS mean_abs_error, round(median(abs(motion - target)), 6) AS median_abs_error, count(*) FILTER (WHERE o_orderkey % 22 = 0) AS uncalculable, count(*) FILTER (WHERE motion < 0.05) AS static, count(*) FILTER (WHERE fidelity < 60) AS low FROM clips WHERE o_orderkey % 13 <> 0",
     "model_aggregate": f"{MODELS} SELECT * REPLACE ({r6(*NUM)}) FROM metrics",
     "breakdown_sets": f"{SETS} SELECT * REPLACE ({r6(*NUM)}) FROM metrics",
     "low_fidelity_domains": f"{SETS} SELECT model_id, coalesce(string_agg(domain, ',' ORDER BY domain) FILTER (WHERE physics_low), '') AS physics_low_domains, coalesce(string_agg(domain, ',' ORDER BY domain) FILTER (WHERE geometry_low), '') AS geometry_low_domains FROM metrics WHERE level = 'domain' GROUP BY 1",
     "rif_by_model": f"{SCORED} SELECT model_id, round(avg(rif), 6) AS mean_rif, count(rif) AS with_rif, count(rif_gated) AS with_gated, round(avg(rif_gated), 6) AS mean_gated FROM scored {DONE} GROUP BY 1",
     "axis_statistics": f"{SCORED}, {LONG} SELECT axis, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(min(score), 6) AS min, round(max(score), 6) AS max, count(*) AS n, round(avg((score < 60)::INT::DOUBLE), 6) AS low_rate FROM long GROUP BY 1",
     "weakest_axes": f"{SCORED}, {LONG} SELECT axis, round(avg(score), 6) AS mean FROM long GROUP BY 1 ORDER BY avg(score), axis LIMIT 5",
-    "group_scores": f"{SCORED}, p AS (SELECT 'domain' AS property, domain AS value, weighted_score AS ws FROM scored {DONE} UNION ALL SELECT 'task_category', task_category, weighted_score FROM scored {DONE} UNION ALL SELECT 'motion_type', motion_type, weighted_score FROM scored {DONE} UNION ALL SELECT 'profile_level', CASE WHEN num_axes = 5 THEN 'full' ELSE 'partial' END, weighted_score FROM scored {DONE}) SELECT property, value, count(*) AS n, round(avg(ws), 6) AS mean_weighted_score, round(avg((ws < 60)::INT::DOUBLE), 6) AS low_rate FROM p WHERE value IS NOT NULL GROUP BY 1, 2",
+    "group_scores": f"""{SCORED}, {LATEST}, t AS (SELECT task_id, coalesce(nullif(primary_topology, ''), nullif(topology_type, ''), 'kinematic') AS pt, coalesce(sub_topology, '') AS st FROM latest), r AS (SELECT scored.*, pt, st FROM scored LEFT JOIN t USING (task_id) {DONE} AND has_score),
+ p AS (SELECT 'domain' AS property, domain AS value, weighted_score AS ws FROM r UNION ALL SELECT 'primary_topology', pt, weighted_score FROM r UNION ALL SELECT 'sub_topology', st, weighted_score FROM r UNION ALL SELECT 'motion_type', motion_type, weighted_score FROM r)
+ SELECT property, value, count(*) AS n, round(avg(ws), 6) AS mean_weighted_score, round(avg((ws < 60)::INT::DOUBLE), 6) AS low_rate FROM p WHERE value IS NOT NULL GROUP BY 1, 2""",
     "constraint_counts": f"{SCORED}, e AS (SELECT result_id, 'checker' AS kind, unnest(invariants) AS name FROM scored {DONE} UNION ALL SELECT result_id, 'violation', split_part(unnest(violations), ':', 1) FROM scored {DONE}), c AS (SELECT kind, name, count(*) AS n, min(result_id) AS first_seen FROM e GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, first_seen, name) AS position FROM c",
     "constraint_summary": f'{SCORED} SELECT round(avg("constraint" * 100), 6) AS mean_constraint, count("constraint") AS with_constraint FROM scored {DONE}',
     "ability_failures": f"{SCORED}, {LONG}, w AS (SELECT axis, avg(score) AS mean, count(*) FILTER (WHERE score < 60) AS low_count, avg((score < 60)::INT::DOUBLE) AS low_rate FROM long GROUP BY 1), d AS (SELECT axis, domain AS k, count(*) AS n FROM long WHERE score < 60 AND domain IS NOT NULL GROUP BY 1, 2), t AS (SELECT axis, task_category AS k, count(*) AS n FROM long WHERE score < 60 AND task_category IS NOT NULL GROUP BY 1, 2), d2 AS (SELECT axis, string_agg(k || '=' || n::VARCHAR, ',' ORDER BY n DESC, k) AS by_domain FROM d GROUP BY 1), t2 AS (SELECT axis, string_agg(k || '=' || n::VARCHAR, ',' ORDER BY n DESC, k) AS by_task_category FROM t GROUP BY 1) SELECT axis, round(mean, 6) AS mean, low_count, round(low_rate, 6) AS low_rate, by_domain, by_task_category FROM w LEFT JOIN d2 USING (axis) LEFT JOIN t2 USING (axis)",
@@ -229,7 +231,7 @@ SQL: dict[str, str] = {
     "token_candidates": f"""WITH q AS (SELECT DISTINCT p_partkey AS query, unnest(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9]+')) AS token FROM part), i AS (SELECT DISTINCT asset_id AS item, unnest(regexp_split_to_array(lower(concat_ws(' ', asset_name, domain)), '[^a-z0-9]+')) AS token FROM assets),
  sc AS (SELECT query, item, count(*) AS s FROM q JOIN i USING (token) WHERE length(token) >= 3 AND token NOT IN ({', '.join(map(text, R.STOP_TOKENS))}) GROUP BY 1, 2 UNION ALL SELECT p_partkey, asset_id, 3 FROM part JOIN assets ON asset_id = p_partkey % 400 + 1), t AS (SELECT query, item, sum(s)::BIGINT AS score FROM sc GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS position FROM t) SELECT * FROM r WHERE position <= 5""",
-    "sourcing_plan": f"WITH {LATEST}, n AS (SELECT image_path, count(*) AS reuse FROM samples WHERE image_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT image_path, 'yes' AS image_exists FROM samples WHERE row_id % 3 <> 0 AND image_path IS NOT NULL) SELECT task_id, latest.image_path AS image_path, coalesce(reuse, 0) AS reuse, coalesce(image_exists, 'no') AS image_exists FROM latest LEFT JOIN n ON latest.image_path = n.image_path LEFT JOIN p ON latest.image_path = p.image_path",
+    "sourcing_plan": "",
     "image_sizes": "WITH p AS (SELECT p_partkey, p_size * 100 AS w, p_partkey % 40 * 90 + 200 AS h FROM part), s AS (SELECT *, least(1.0::DOUBLE, 1600.0::DOUBLE / greatest(w, h)) AS side FROM p), t AS (SELECT *, CASE WHEN w * h * side * side > 2250000 THEN sqrt(2250000.0::DOUBLE / (w * h)) ELSE side END AS scale FROM s) SELECT p_partkey, greatest(1, floor(w * scale))::BIGINT AS width, greatest(1, floor(h * scale))::BIGINT AS height, CASE WHEN least(w, h) < 700 THEN 'removed_too_small' ELSE 'kept' END AS status FROM t",
     "integrity_counts": "WITH h AS (SELECT DISTINCT task_id, true AS there FROM sample_results WHERE task_id IS NOT NULL) SELECT count(*) AS total, count(there) AS found, count(*) - count(there) AS missing FROM samples LEFT JOIN h USING (task_id) WHERE task_id IS NOT NULL",
     "missing_assets": "SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
@@ -257,7 +259,6 @@ SQL: dict[str, str] = {
     "pairwise_dist": f"{VECTORS}, p AS (SELECT unnest(range(4)) AS i), q AS (SELECT a.i AS i, b.i AS j FROM p a, p b WHERE a.i < b.i) SELECT video::BIGINT AS video, frame::BIGINT AS frame, i::BIGINT AS i, j::BIGINT AS j, round(sqrt(pow(vector[2 * i + 1] - vector[2 * j + 1], 2) + pow(vector[2 * i + 2] - vector[2 * j + 2], 2)), 4) AS length FROM v, q",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
 }
-SQL["sourcing_review"] = f"SELECT task_id, reuse, image_exists FROM ({SQL['sourcing_plan']}) WHERE reuse > 1 OR image_exists = 'no'"
 SQL["resolve_images"] = """WITH p AS (SELECT DISTINCT path FROM (SELECT CASE WHEN row_id % 2 = 0 THEN regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' ELSE image_path END AS path FROM samples) WHERE path IS NOT NULL),
  c AS (SELECT row_id, 1 AS k, regexp_replace(replace(image_path, '/images/', '/images_hq/'), '\\.[^.]*$', '') || '.png' AS path FROM samples UNION ALL SELECT row_id, 2, replace(image_path, '/images/', '/images_hq/') FROM samples UNION ALL SELECT row_id, 3, image_path FROM samples),
  h AS (SELECT row_id, arg_min(path, k) AS resolved FROM c JOIN p USING (path) GROUP BY 1) SELECT row_id, image_path, resolved FROM samples LEFT JOIN h USING (row_id)"""
@@ -353,3 +354,75 @@ SQL["chain_check"] = f"""{VECTORS}, a AS (SELECT video, {', '.join(f"avg(greates
  SELECT video, round(CASE WHEN b0 >= 0.3 THEN b0 ELSE best END, 6) AS score, CASE WHEN b0 >= 0.3 OR b0 = best THEN 'default' WHEN b1 = best THEN 'top_30' WHEN b2 = best THEN 'bottom_30' WHEN b3 = best THEN 'left_40' ELSE 'right_40' END AS band FROM c"""
 SQL["kernel_bilateral_symmetry"] = f"""{PIXELS}, m AS (SELECT video, frame, 1 - list_avg(list_transform(range(0, 8), lambda i: abs(g[(i // 2) * 5 + i % 2 + 1] - g[(i // 2) * 5 + 5 - i % 2]))) / 255.0::DOUBLE AS v, 1 - list_avg(list_transform(range(0, 10), lambda i: abs(g[i + 1] - g[(3 - i // 5) * 5 + i % 5 + 1]))) / 255.0::DOUBLE AS h FROM grey)
  SELECT video, frame, CASE WHEN greatest(v, h) >= 0.25 THEN round(greatest(v, h), 6) END AS value FROM m"""
+ANGLES = MODELS.replace(f"{clean('viewpoint_motion_score')} AS angle", "CASE WHEN result_id % 5 <> 0 THEN (result_id % 700) / 10.0::DOUBLE END AS angle")
+SQL["angle_gates"] = f"{ANGLES} SELECT model_id, motion_tier, {r6('rif', 'rif_gated', digits=4)}, rif_note, round(gated_score, 4) AS gated_score FROM metrics"
+
+
+# -- documents ------------------------------------------------------------------------------
+
+
+def words_of(c: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(map(text, R.STOP_TOKENS))})))"
+
+
+def looked_up(c: str, values: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in values.items()) + " ELSE '' END"
+
+
+SCENARIO = "trim(regexp_replace(regexp_extract(prompt, 'Core scenario:\\s*(.*?)(\\s+Reference subject:|$)', 1), '\\s+', ' ', 'g'))"
+PLAN = f"""WITH {LATEST}, n AS (SELECT image_path, count(*) AS reuse FROM samples WHERE image_path IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT image_path FROM samples WHERE row_id % 3 <> 0 AND image_path IS NOT NULL),
+ i AS (SELECT image_path AS item, {words_of("array_to_string(list_reverse(list_reverse(string_split(regexp_replace(image_path, '[.][^.]*$', ''), '/'))[1:3]), ' ')")} AS ws FROM p WHERE regexp_matches(lower(image_path), '[.](jpg|jpeg|png|webp)$')),
+ r AS (SELECT task_id, domain, task_category, image_path, video_generation_prompt, coalesce({SCENARIO}, '') AS core_scenario, {looked_up('task_category', R.IMAGE_REQUIREMENTS)} AS requirement, {looked_up('domain', R.SEARCH_WORDS)} AS search FROM latest),
+ q AS (SELECT *, trim(core_scenario || ' ' || search || ' ' || replace(coalesce(task_category, ''), '_', ' ') || ' real industrial photo high resolution') AS query_text, {words_of("coalesce(domain, '') || ' ' || coalesce(task_category, '') || ' ' || core_scenario || ' ' || search")} AS ws FROM r),
+ c AS (SELECT task_id, item, len(list_intersect(q.ws, i.ws)) + CASE WHEN q.image_path = item THEN 3 ELSE 0 END AS score FROM q, i), f AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item) AS position FROM c WHERE score > 0),
+ l AS (SELECT task_id, string_agg(item, ' | ' ORDER BY position) AS items FROM f WHERE position <= 5 GROUP BY 1),
+ plan AS (SELECT q.task_id, domain, task_category, core_scenario, q.image_path AS current_image_path, CASE WHEN p.image_path IS NULL THEN 'no' ELSE 'yes' END AS image_exists, coalesce(reuse, 0) AS current_image_reuse_count, requirement AS image_requirement, query_text AS recommended_search_query, coalesce(items, '') AS local_candidate_images, video_generation_prompt
+ FROM q LEFT JOIN n ON q.image_path = n.image_path LEFT JOIN p ON q.image_path = p.image_path LEFT JOIN l ON l.task_id = q.task_id)"""
+SQL["sourcing_plan"] = f"{PLAN} SELECT * FROM plan"
+SQL["sourcing_review"] = f"{PLAN} SELECT task_id, current_image_reuse_count, image_exists FROM plan WHERE current_image_reuse_count > 1 OR image_exists = 'no'"
+
+
+def told(name: str, c: str) -> str:
+    return f"'- {name}: `' || coalesce(({c})::VARCHAR, '') || '`'"
+
+
+def numbered(keys: str, lines: list[str], source: str) -> str:
+    return f"SELECT {keys}, n::BIGINT - 1 AS line_no, md5(line) AS line FROM (SELECT {keys}, unnest([{', '.join(lines)}]) AS line, unnest(range(1, {len(lines) + 1})) AS n FROM {source}) WHERE line IS NOT NULL"
+
+
+def fence(c: str) -> list[str]:
+    return ["'```text'", f"coalesce({c}, '')", "'```'", "''"]
+
+
+SQL["sourcing_lines"] = PLAN + " " + numbered("task_id", ["'## `' || task_id || '`'", "''", told("domain", "domain"), told("task_category", "task_category"), told("current_image_path", "current_image_path"), told("current_image_reuse_count", "current_image_reuse_count"), "'- scenario: ' || core_scenario", "'- requirement: ' || image_requirement", told("recommended_search_query", "recommended_search_query"), told("local_candidate_images", "local_candidate_images"), "''", *fence("video_generation_prompt")], "plan WHERE current_image_reuse_count > 1 OR image_exists = 'no'")
+SQL["prompt_lines"] = f"""WITH {LATEST}, e AS (SELECT task_id, coalesce(domain, '') AS domain, coalesce(task_category, '') AS task_category, image_path, motion_type, viewpoint_motion_target, coalesce(video_generation_prompt, prompt) AS v, prompt,
+ row_number() OVER (PARTITION BY coalesce(domain, '') ORDER BY coalesce(task_category, ''), task_id) AS d, row_number() OVER (PARTITION BY coalesce(domain, ''), coalesce(task_category, '') ORDER BY task_id) AS c FROM latest) """ + numbered(
+    "domain, task_category, task_id", ["CASE WHEN d = 1 THEN '## ' || domain END", "CASE WHEN d = 1 THEN '' END", "CASE WHEN c = 1 THEN '### ' || task_category END", "CASE WHEN c = 1 THEN '' END", "'#### `' || task_id || '`'", "''", told("image", "image_path"), told("motion_type", "motion_type"), told("viewpoint_motion_target", "viewpoint_motion_target"), "''", "'Generation prompt:'", "''", *fence("v"), "'Evaluation prompt:'", "''", *fence("prompt")], "e"
+)
+SQL["audit_lines"] = f"""{SECTIONED}, w AS (SELECT (CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END)::BIGINT AS rank, audit.*, domain, task_category, viewpoint_motion_target, image_path FROM audit JOIN samples USING (row_id) WHERE len(issues) > 0) """.replace("audit.*,", "audit.task_id, audit.row_id, audit.motion, audit.clause, audit.subject, audit.issues, audit.severity,") + numbered(
+    "rank, task_id, row_id", ["'### `' || coalesce(task_id, '') || '` — ' || severity", "''", told("domain", "domain"), told("task_category", "task_category"), told("motion_type", "motion"), told("viewpoint_motion_target", "viewpoint_motion_target"), told("reference_subject", "subject"), told("image_path", "image_path"), "'- issues:'", "array_to_string(list_transform(issues, lambda i: '  - ' || i), chr(10))", "'- motion clause:'", *fence("clause")], "w"
+)
+SQL["audit_document"] = f"""{SECTIONED}, i AS (SELECT unnest(issues) AS issue FROM audit), c AS (SELECT issue || '=' || count(*)::VARCHAR AS x FROM i GROUP BY issue)
+ SELECT count(*) AS total_samples, count(*) FILTER (WHERE len(issues) > 0) AS flagged_count, count(*) FILTER (WHERE severity = 'none') AS static, {', '.join(f"count(*) FILTER (WHERE len(issues) > 0 AND severity = '{s}') AS {s}" for s in ('high', 'medium', 'low'))}, (SELECT string_agg(x, ',' ORDER BY x) FROM c) AS issues FROM audit"""
+SQL["aggregate_documents"] = f"""{MODELS}, per_domain AS (SELECT model_id, domain, avg(physics) FILTER (WHERE NOT skipped AND has_score) AS p, count(*) AS n FROM scored WHERE domain IS NOT NULL GROUP BY 1, 2),
+ in_d AS (SELECT model_id, count(*) AS domains, sum(n)::BIGINT AS in_domains, string_agg(CASE WHEN p IS NOT NULL AND greatest(5.0, p) < 35 THEN domain END, ',' ORDER BY domain) AS physics_low FROM per_domain GROUP BY 1), in_t AS (SELECT model_id, count(*) FILTER (WHERE task_category IS NOT NULL) AS in_tasks FROM scored GROUP BY 1)
+ SELECT model_name, round(overall, 4) AS overall, num_samples_completed, motion_tier AS tier, {' + '.join(f'({s} IS NOT NULL)::BIGINT' for s in SHORT)} AS axes, coalesce(domains, 0) AS domains, coalesce(in_domains, 0) AS in_domains, coalesce(in_tasks, 0) AS in_tasks, coalesce(physics_low, '') AS physics_low FROM metrics LEFT JOIN in_d USING (model_id) LEFT JOIN in_t USING (model_id)"""
+SQL["report_document"] = f"""{SCORED}, top AS (SELECT model_id FROM sample_results GROUP BY 1 ORDER BY count(*) DESC, model_id LIMIT 1), mine AS (SELECT * FROM scored JOIN top USING (model_id)),
+ long AS ({' UNION ALL '.join(f"SELECT {text(AXIS[s])} AS axis, {s} AS score FROM mine WHERE NOT skipped AND {s} IS NOT NULL" for s in SHORT)}), a AS (SELECT axis, avg(score) AS mean, median(score) AS median, count(*) AS n FROM long GROUP BY 1)
+ SELECT (SELECT count(*) FROM mine) AS num_samples_total, (SELECT count(*) FROM mine WHERE NOT skipped) AS num_samples_completed, (SELECT count(DISTINCT domain) FROM mine WHERE NOT skipped AND has_score) AS domains, (SELECT axis FROM a ORDER BY mean, axis LIMIT 1) AS weakest, (SELECT result_id FROM mine WHERE NOT skipped ORDER BY weighted_score, result_id LIMIT 1) AS worst, axis, round(mean, 3) AS mean, round(median, 3) AS median, n FROM a"""
+SQL["leaderboard_document"] = f"{RANKED} SELECT count(*) OVER () AS num_models, rank, model_name AS model, coalesce(motion_tier, 'unknown') AS viewpoint_motion_tier, num_samples_completed FROM ranked"
+SQL["calibration_document"] = f"""WITH c AS ({SQL['difficulty_calibration']}) SELECT count(*) FILTER (WHERE above_target) OVER () AS flags, 10 + CASE WHEN count(*) FILTER (WHERE above_target) OVER () = 0 THEN 1 ELSE count(*) FILTER (WHERE above_target) OVER () END AS console_lines, bucket, round(mean, 2) AS mean_score, n AS n_samples, above_target FROM c"""
+SQL["skip_reasons"] = """WITH v AS (SELECT task_id, min(result_id) % 4 AS frames, max(result_id) % 9 = 0 AS failed FROM sample_results WHERE task_id IS NOT NULL GROUP BY 1), s AS (SELECT DISTINCT task_id FROM samples WHERE task_id IS NOT NULL)
+ SELECT * FROM (SELECT s.task_id, CASE WHEN v.task_id IS NULL THEN 'video_not_found' WHEN frames = 0 THEN 'empty_video' WHEN failed THEN 'evaluation_error' END AS skip_reason FROM s LEFT JOIN v ON s.task_id = v.task_id) WHERE skip_reason IS NOT NULL"""
+SQL["manifest_upsert"] = """SELECT 'images/' || p_partkey || '.jpg' AS local_path, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN (p_size * 100)::VARCHAR END AS curated_width, CASE WHEN p_partkey % 3 = 0 THEN '700' END AS curated_height, NULL::VARCHAR AS curated_bytes,
+ CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN least(p_size * 100, 900) < 700 THEN 'removed_too_small' ELSE 'kept' END WHEN p_partkey % 5 = 0 THEN 'kept' END AS curation_status FROM part"""
+SQL["completed_counts"] = f"{SCORED} SELECT model_id, count(*) AS ran, count(*) FILTER (WHERE has_score) AS counted FROM scored {DONE} GROUP BY 1"
+SQL["task_profile_rest"] = f"""WITH {INFERRED} SELECT row_id, md5(coalesce(nullif(application_value, ''), {looked_up('inferred_task', R.TASK_VALUES)})) AS value, md5({looked_up('inferred_task', R.IMAGE_REQUIREMENTS)}) AS requirement, {looked_up('inferred_task', R.TASK_GATES)} AS gate FROM inferred"""
+SQL["judge_context"] = """WITH s AS (SELECT row_id, domain, topology_type, motion_type, (constraint_annotations::JSON -> '$.hard_constraints')::VARCHAR[] AS hard, industrial_logic_questions AS q FROM samples)
+ SELECT row_id, md5(concat_ws(chr(10), 'domain: ' || domain, 'topology: ' || topology_type, 'motion: ' || motion_type, CASE WHEN len(hard) > 0 THEN 'hard_constraints: ' || array_to_string(hard[1:8], '; ') END)) AS context,
+ md5(array_to_string(list_transform(q, lambda x, i: i::VARCHAR || '. ' || x.text || coalesce(' [target: ' || x.weakness_target || ']', '')), chr(10))) AS questions FROM s"""
+OWN = {s: "coalesce(" + ", ".join(f"axis_weights[{text(k)}]" for k in (a, *(k for k, v in R.AXIS_ALIASES.items() if v == a))) + ", 1.0)" for s, a in AXIS.items()}
+SQL["sample_weights"] = f"""WITH {INFERRED}, o AS (SELECT inferred.*, row_number() OVER (PARTITION BY task_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS nth FROM inferred WHERE task_id IS NOT NULL)
+ SELECT task_id, {', '.join(f"CASE WHEN cardinality(axis_weights) > 0 THEN {OWN[s]} ELSE " + weight(s).replace('task_category', 'inferred_task') + f" END::DOUBLE AS w_{s}" for s in SHORT)} FROM o WHERE nth = 1"""
+SQL["weighted_by_sample"] = f"""{SCORED}, ws AS ({SQL['sample_weights']}), j AS (SELECT scored.*, {', '.join(f'coalesce(w_{s}, {weight(s)})::DOUBLE AS w_{s}' for s in SHORT)} FROM scored LEFT JOIN ws USING (task_id))
+ SELECT result_id, round(coalesce(({' + '.join(f'coalesce({s} * w_{s}, 0)' for s in SHORT)}) / nullif({' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE w_{s} END' for s in SHORT)}, 0), 0) + 1e-9, 6) AS weighted_score FROM j"""

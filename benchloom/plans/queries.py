@@ -19,6 +19,7 @@ from benchloom.kernels import registry as KR
 from benchloom.operators import aggregate as G
 from benchloom.operators import clips as C
 from benchloom.operators import dataops as D
+from benchloom.operators import documents as O
 from benchloom.operators import measures as M
 from benchloom.operators import qa as Q
 from benchloom.operators import scoring as S
@@ -48,7 +49,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 def _clips(spark: SparkSession, d: str) -> DataFrame:
     """Motion measured and asked for, out of orders."""
     o = table(spark, d, "orders")
-    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") % 900) / 10.0).alias("motion"), F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 120).cast("double")).alias("target"))
+    rows = o.select("o_orderkey", (F.col("o_orderkey") % 13 == 0).alias("skipped"), (F.col("o_orderkey") % 22 == 0).alias("uncalculable"), F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") % 900) / 10.0).alias("motion"), F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 120).cast("double")).alias("target"))
     return rows.withColumn("fidelity", A.motion_fidelity(F.col("motion"), F.col("target")))
 
 
@@ -155,6 +156,14 @@ def low_fidelity_domains(spark, d):
     return G.low_fidelity(G.breakdowns(_scored(spark, d)))
 
 
+@query
+def angle_gates(spark, d):
+    """Scores of results that also have the motion itself, in degrees: gates and tiers go by it, not by its fidelity."""
+    angle = F.when(F.col("result_id") % 5 != 0, (F.col("result_id") % 700) / 10.0)
+    rows = S.scored(table(spark, d, "sample_results").withColumn("viewpoint_motion", angle))
+    return rounded(G.model_metrics(rows, table(spark, d, "models")).select("model_id", "motion_tier", "rif", "rif_gated", "rif_note", "gated_score"), 4)
+
+
 @query
 def rif_by_model(spark, d):
     """RIF of samples on average and as product, beside the RIF of the means."""
@@ -174,7 +183,7 @@ def weakest_axes(spark, d):
 
 @query
 def group_scores(spark, d):
-    return rounded(G.group_scores(_scored(spark, d)))
+    return rounded(G.group_scores(_scored(spark, d), table(spark, d, "samples")))
 
 
 @query
@@ -362,18 +371,114 @@ def token_candidates(spark, d):
     return rounded(D.candidates(parts, assets))
 
 
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "samples")
+    return D.sourcing_plan(samples, samples.where(F.col("row_id") % 3 != 0).select("image_path"))
+
+
 @query
 def sourcing_plan(spark, d):
-    samples = table(spark, d, "samples")
-    present = samples.where(F.col("row_id") % 3 != 0).select("image_path").where(F.col("image_path").isNotNull())
-    return D.sourcing_plan(samples, present).select("task_id", "image_path", "reuse", "image_exists")
+    return rounded(_plan(spark, d))
 
 
 @query
 def sourcing_review(spark, d):
-    samples = table(spark, d, "samples")
-    present = samples.where(F.col("row_id") % 3 != 0).select("image_path").where(F.col("image_path").isNotNull())
-    return D.to_review(D.sourcing_plan(samples, present)).select("task_id", "reuse", "image_exists")
+    return rounded(D.to_review(_plan(spark, d)).select("task_id", "current_image_reuse_count", "image_exists"))
+
+
+@query
+def sourcing_lines(spark, d):
+    got = O.sourcing_lines(_plan(spark, d))
+    return rounded(got.select("task_id", "line_no", F.md5("line").alias("line")))
+
+
+@query
+def prompt_lines(spark, d):
+    got = O.prompt_lines(table(spark, d, "samples"))
+    return rounded(got.select("domain", "task_category", "task_id", "line_no", F.md5("line").alias("line")))
+
+
+@query
+def audit_lines(spark, d):
+    samples = _sectioned(spark, d)
+    got = O.audit_lines(D.audit(samples), samples)
+    return rounded(got.select("rank", "task_id", "row_id", "line_no", F.md5("line").alias("line")))
+
+
+@query
+def audit_document(spark, d):
+    """Counts of the audit, read back out of its JSON document (the time it bears is left out)."""
+    samples = _sectioned(spark, d)
+    doc = F.from_json("document", "total_samples bigint, flagged_count bigint, static_excluded_from_verb_check bigint, severity_counts struct<high:bigint,medium:bigint,low:bigint>, issue_counts map<string,struct<n:bigint>>")
+    rows = O.audit_document(D.audit(samples), samples).select(doc.alias("x")).select("x.*")
+    return rows.select("total_samples", "flagged_count", F.col("static_excluded_from_verb_check").alias("static"), "severity_counts.high", "severity_counts.medium", "severity_counts.low", F.array_join(F.array_sort(F.transform(F.map_entries("issue_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["n"].cast("string")))), ",").alias("issues"))
+
+
+@query
+def aggregate_documents(spark, d):
+    """What the aggregate document of each model holds, read back out of its JSON."""
+    scored = _scored(spark, d)
+    docs = O.aggregate_documents(G.model_metrics(scored, table(spark, d, "models")), G.breakdowns(scored))
+    part = "struct<overall:double,num_samples:bigint>"
+    doc = F.from_json("document", f"overall double, relax_score double, num_samples_completed bigint, viewpoint_motion_tier string, axis_scores map<string,double>, domain_breakdown map<string,{part}>, task_breakdown map<string,{part}>, low_fidelity_summary struct<domains_physical_low:array<string>,domains_geometric_low:array<string>>")
+    rows = docs.select("model_name", doc.alias("x")).select("model_name", "x.*")
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda s, v: s + v["num_samples"])
+    return rows.select("model_name", F.round("overall", 4).alias("overall"), "num_samples_completed", F.col("viewpoint_motion_tier").alias("tier"), F.size(F.coalesce("axis_scores", F.create_map().cast("map<string,double>"))).cast("bigint").alias("axes"), F.coalesce(F.size("domain_breakdown"), F.lit(0)).cast("bigint").alias("domains"), F.coalesce(total("domain_breakdown"), F.lit(0)).alias("in_domains"), F.coalesce(total("task_breakdown"), F.lit(0)).alias("in_tasks"), F.coalesce(F.array_join("low_fidelity_summary.domains_physical_low", ","), F.lit("")).alias("physics_low"))
+
+
+@query
+def report_document(spark, d):
+    """Figures of the diagnostic report of the model with most results, read back out of its JSON."""
+    results = table(spark, d, "sample_results")
+    top = results.groupBy("model_id").count().orderBy(F.desc("count"), "model_id").limit(1).select("model_id")
+    scored = S.scored(results.join(F.broadcast(top), "model_id", "left_semi"))
+    stat = "struct<mean:double,median:double,n:bigint>"
+    doc = F.from_json("document", f"model string, summary struct<num_samples_total:bigint,num_samples_completed:bigint>, axis_statistics map<string,{stat}>, weakest_axes array<struct<axis:string>>, worst_samples array<struct<result_id:bigint>>, by_domain map<string,struct<n:bigint>>")
+    rows = O.report_document(scored, table(spark, d, "samples"), "top").select(doc.alias("x")).select("x.*")
+    stats = rows.select("summary.num_samples_total", "summary.num_samples_completed", F.size("by_domain").cast("bigint").alias("domains"), F.col("weakest_axes")[0]["axis"].alias("weakest"), F.col("worst_samples")[0]["result_id"].alias("worst"), F.explode("axis_statistics").alias("axis", "s"))
+    return stats.select("num_samples_total", "num_samples_completed", "domains", "weakest", "worst", "axis", F.round("s.mean", 3).alias("mean"), F.round("s.median", 3).alias("median"), F.col("s.n").alias("n"))
+
+
+@query
+def leaderboard_document(spark, d):
+    ranked = G.leaderboard(G.model_metrics(_scored(spark, d), table(spark, d, "models")))
+    doc = F.from_json("document", "models array<struct<rank:bigint,model:string,viewpoint_motion_tier:string,num_samples_completed:bigint>>, num_models bigint")
+    return O.leaderboard_document(ranked).select(doc.alias("x")).select(F.col("x.num_models").alias("num_models"), F.inline("x.models"))
+
+
+@query
+def calibration_document(spark, d):
+    got = O.calibration_document(G.calibration(_scored(spark, d), table(spark, d, "samples")), "all")
+    doc = F.from_json("document", "buckets map<string,struct<mean_score:double,n_samples:bigint,above_target:boolean>>, flags array<string>")
+    return got.select(doc.alias("x"), F.size(F.split("console", "\n")).cast("bigint").alias("console_lines")).select(F.size("x.flags").cast("bigint").alias("flags"), "console_lines", F.explode("x.buckets").alias("bucket", "b")).select("flags", "console_lines", "bucket", "b.mean_score", "b.n_samples", "b.above_target")
+
+
+@query
+def skip_reasons(spark, d):
+    """Tasks whose video is missing, empty or failed, by arithmetic on the results."""
+    videos = table(spark, d, "sample_results").where(F.col("task_id").isNotNull()).groupBy("task_id").agg((F.min("result_id") % 4).alias("frames"), (F.max("result_id") % 9 == 0).alias("failed"))
+    return O.skipped(table(spark, d, "samples"), videos)
+
+
+@query
+def manifest_upsert(spark, d):
+    p = table(spark, d, "part")
+    manifest = p.select(F.concat(F.lit("images/"), "p_partkey", F.lit(".jpg")).alias("local_path"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 5 == 0, "kept").alias("curation_status"))
+    curated = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("images/"), "p_partkey", F.lit(".jpg")).alias("local_path"), (F.col("p_size") * 100).alias("curated_width"), F.lit(700).alias("curated_height"), F.lit(None).alias("curated_bytes"), A.curation_status(F.col("p_size") * 100, F.lit(900)).alias("curation_status"))
+    return O.upsert_manifest(manifest, curated)
+
+
+@query
+def completed_counts(spark, d):
+    return rounded(O.completed_counts(_scored(spark, d)))
+
+
+@query
+def task_profile_rest(spark, d):
+    """What a sample's category is good for and what its image must show, by its inferred category."""
+    rows = taxonomy.infer_task_category(table(spark, d, "samples"))
+    value = F.coalesce(F.nullif("application_value", F.lit("")), F.try_element_at(R.literal_map(R.TASK_VALUES), F.col("inferred_task")))
+    return rows.select("row_id", F.md5(value).alias("value"), F.md5(F.try_element_at(R.literal_map(R.IMAGE_REQUIREMENTS), F.col("inferred_task"))).alias("requirement"), F.try_element_at(R.literal_map(R.TASK_GATES), F.col("inferred_task")).alias("gate"))
 
 
 @query
@@ -610,12 +715,24 @@ def chain_check(spark, d):
     return rounded(C.chain_check(rows))
 
 
+def _kept(spark: SparkSession, stream: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """A stream read to its end into a table in the shared folder, and the state of that table."""
+    place = f"{checkpoint_dir(spark)}/stream_{uuid.uuid4().hex}"
+    incremental.start(stream, f"{place}/table", f"{place}/checkpoint", mode).awaitTermination()
+    return incremental.current(spark, f"{place}/table", *keys)
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    path = f"{d}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
 @query
 def event_windows(spark, d):
-    """The streaming window aggregate, run as a batch over the same table."""
-    e = table(spark, d, "events")
-    rows = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
-    return rounded(rows.select(F.col("window.start").alias("window_start"), "event_type", "n", "mean_value"))
+    """Windows of an event stream, late rows within the watermark included."""
+    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = _kept(spark, incremental.windowed_events(events), "update", "window_start", "event_type")
+    return rounded(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
 @query
@@ -675,17 +792,25 @@ def token_totals(spark, d):
 
 @query
 def streaming_metrics(spark, d):
-    """Model metrics kept up over a stream of the results, read to its end; one row a model reaches the sink."""
-    path = f"{d}/sample_results.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    name = f"running_{uuid.uuid4().hex}"
-    incremental.start(incremental.running_metrics(stream), name, f"{checkpoint_dir(spark)}/{name}").awaitTermination()
-    return rounded(spark.table(name))
+    """Model metrics kept up over a stream of the results, read to its end; one row a model and batch is written."""
+    return rounded(_kept(spark, incremental.running_metrics(_stream(spark, d, "sample_results")), "update", "model_id"))
 
 
 @query
 def user_sessions(spark, d):
-    """Sessions of each user with gaps of at most 30 minutes."""
-    e = table(spark, d, "events")
-    rows = e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return rows.select("user_id", F.col("session_window.start").alias("started"), "n")
+    """Sessions of each user with gaps of at most 30 minutes, over a stream."""
+    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = _kept(spark, incremental.sessions(events), "complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query
+def sample_weights(spark, d):
+    return S.sample_weights(table(spark, d, "samples"))
+
+
+@query
+def weighted_by_sample(spark, d):
+    """Scores by the weights of the samples themselves."""
+    rows = S.score_samples(S.measurements(table(spark, d, "sample_results")), S.sample_weights(table(spark, d, "samples")))
+    return rounded(rows.select("result_id", "weighted_score"))

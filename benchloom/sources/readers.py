@@ -12,13 +12,13 @@ VARIANT = "struct<id:string,difficulty:string,prompt_delta:string,viewpoint_moti
 SAMPLE = (
     "task_id string, domain string, topology_type string, primary_topology string, sub_topology string, image_path string, prompt string, video_generation_prompt string, motion_type string, "
     "viewpoint_motion_target variant, difficulty_profile map<string,string>, constraint_annotations variant, task_category string, application_value string, axis_weights map<string,double>, "
-    f"axis_rubric map<string,string>, failure_target string, industrial_logic_questions array<{QUESTION}>, sensitivity_variants array<{VARIANT}>"
+    f"axis_rubric map<string,string>, failure_target string, industrial_logic_questions array<{QUESTION}>, ika_questions array<{QUESTION}>, questions array<{QUESTION}>, vfa_target variant, sensitivity_variants array<{VARIANT}>"
 )
 #: A per-sample result as a runner writes it; old names are kept beside new ones.
 RESULT = (
     "task_id string, domain string, task_category string, motion_type string, skipped boolean, skip_reason string, viewpoint_motion double, vfa double, viewpoint_motion_target_degrees double, "
     "vfa_target_degrees double, viewpoint_motion_score double, vfa_score double, industrial_constraint_details struct<violations:array<string>,invariants_checked:array<string>>, "
-    "ic_details struct<violations:array<string>,invariants_checked:array<string>>, scored struct<weighted_score:double,axis_scores:map<string,double>,num_axes:int,rif:double,rif_gated:double>, weighted_score double, axis_scores map<string,double>"
+    "ic_details struct<violations:array<string>,invariants_checked:array<string>>, scored struct<weighted_score:double,axis_scores:map<string,double>,num_axes:int,rif:double,rif_gated:double,viewpoint_motion_score:double,vfa_score:double>, weighted_score double, axis_scores map<string,double>"
 )
 AGGREGATE = "overall double, relax_score double, strict_pass_rate double, gated_score double, viewpoint_motion_tier string, rif double, rif_gated double, num_samples_total bigint, num_samples_completed bigint, axis_scores map<string,double>"
 #: Files in a results folder that are not results.
@@ -28,12 +28,15 @@ REPORTS = ("eval_report.json", "calibration_report.json", "per_sample.json", "ag
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """Annotation records of JSON files that hold {"samples": [...]} or a bare list.
 
-    A field that is absent and one that is null read alike. The order of records is kept in ``seq``.
+    A field that is absent and one that is null read alike; old names of the question list and of the target
+    stand in for missing new ones. The order of records is kept in ``seq``: the file's record, then the place in it.
     """
     raw = spark.read.schema(f"{SAMPLE}, samples array<struct<{_fields(SAMPLE)}>>").option("multiLine", True).json(path)
     own = F.struct(*(F.col(f) for f in _names(SAMPLE)))
     rows = raw.select(F.posexplode(F.coalesce("samples", F.array(own))).alias("at", "s"), F.monotonically_increasing_id().alias("record"))
-    return rows.select("s.*", (F.col("record") * 1_000_000 + F.col("at")).alias("seq"))
+    rows = rows.select("s.*", F.struct("record", "at").alias("seq"))
+    rows = rows.withColumns({"industrial_logic_questions": F.coalesce("industrial_logic_questions", "ika_questions", "questions"), "viewpoint_motion_target": F.coalesce("viewpoint_motion_target", "vfa_target")})
+    return rows.drop("ika_questions", "questions", "vfa_target")
 
 
 def _names(ddl: str) -> list[str]:
@@ -84,6 +87,9 @@ def results(spark: SparkSession, path: str) -> DataFrame:
         either("industrial_constraint_details", "ic_details"),
         F.coalesce("scored.weighted_score", "weighted_score").alias("weighted_score"),
         F.coalesce("scored.axis_scores", "axis_scores").alias("axis_scores"),
+        F.coalesce(
+            "scored.viewpoint_motion_score", "viewpoint_motion_score", "scored.vfa_score", "vfa_score", *(F.try_element_at("scored.axis_scores", F.lit(k)) for k in ("viewpoint_motion_fidelity", "vfa"))
+        ).alias("gate_score"),
     )
 
 

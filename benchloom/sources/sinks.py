@@ -43,6 +43,16 @@ def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def documents(df: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
+    """JSON documents (column ``document``) as text, in one folder for each value of ``by``."""
+    df.select(*by, F.col("document").alias("value")).write.mode(mode).partitionBy(*by).text(path) if by else df.select(F.col("document").alias("value")).write.mode(mode).text(path)
+
+
+def lines(df: DataFrame, path: str, *order: str, mode: str = "overwrite") -> None:
+    """Lines of a report (column ``line``) in order, by range partitioning: files in name order are the order."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.mode(mode).text(path)
+
+
 def superlative_log(df: DataFrame, path: str) -> None:
     """Appends what would be logged of superlative passes."""
     df.write.mode("append").json(path)

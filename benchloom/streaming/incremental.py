@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,6 +27,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return rows.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def start(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """A query into an in-memory table, for dashboards and tests, that ends when its input is read."""
-    return df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Keeps what changes (``update``) or the whole result (``complete``) of each batch as a part of a table, and ends when its input is read.
+
+    Parts are written by the executors; a batch that is run again replaces its part.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The state of a kept table: the last version of each key, or without keys the last batch."""
+    rows = spark.read.parquet(path)
+    if not keys:
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return kept.select(*keys, "v.*")

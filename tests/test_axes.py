@@ -10,12 +10,12 @@ from benchloom.functions import axes as A
 from benchloom.operators import aggregate as G
 from benchloom.operators import scoring as S
 
-SCHEMA = "result_id bigint, model_id bigint, task_id string, skipped boolean, domain string, task_category string, motion_type string, logic double, geometry double, physics double, temporal double, reference double, motion double, constraint double, violations array<string>, invariants array<string>"
+SCHEMA = "result_id bigint, model_id bigint, task_id string, skipped boolean, domain string, task_category string, motion_type string, logic double, geometry double, physics double, temporal double, reference double, motion double, angle double, has_score boolean, constraint double, violations array<string>, invariants array<string>"
 
 
 def rows(spark, *cases, **common):
     base = {"skipped": False, "model_id": 1, "task_id": "t", "domain": "d", "task_category": "spatial_exploration_and_viewpoint", "motion_type": "orbit", "violations": [], "invariants": []}
-    data = [base | {"result_id": i} | common | c for i, c in enumerate(cases)]
+    data = [r | {"angle": r.get("angle", r.get("motion")), "has_score": True} for r in (base | {"result_id": i} | common | c for i, c in enumerate(cases))]
     return spark.createDataFrame([[r.get(f.split()[0]) for f in SCHEMA.split(", ")] for r in data], SCHEMA)
 
 
@@ -57,10 +57,11 @@ def test_unknown_motion_does_not_gate(spark):
 
 def test_relaxed_strict_and_gated(spark):
     axes = dict.fromkeys(S.SHORT, 80.0)
-    scored = spark.createDataFrame([(1, False, 80.0, True, 1.0, 100.0, *axes.values()), (1, False, 70.0, True, 0.0, 0.0, *axes.values())], "model_id bigint, skipped boolean, weighted_score double, strict boolean, gate double, motion double, " + ", ".join(f"{s} double" for s in S.SHORT))
+    scored = spark.createDataFrame([(1, False, True, 80.0, True, 1.0, 100.0, *axes.values()), (1, False, True, 70.0, True, 0.0, 0.0, *axes.values()), (1, False, False, 0.0, False, 1.0, None, *axes.values())], "model_id bigint, skipped boolean, has_score boolean, weighted_score double, strict boolean, gate double, angle double, " + ", ".join(f"{s} double" for s in S.SHORT))
     models = spark.createDataFrame([(1, "a"), (2, "b")], "model_id bigint, model_name string")
     got = {r["model_id"]: r for r in G.model_metrics(scored, models).collect()}
     assert (got[1]["relax_score"], got[1]["strict_pass_rate"], got[1]["gated_score"], got[1]["overall"]) == (75.0, 1.0, 40.0, 40.0)
+    assert (got[1]["num_samples_total"], got[1]["num_samples_completed"], got[1]["num_samples_skipped"]) == (3, 2, 1)
     assert got[2]["note"] == "no_completed_samples" and got[2]["overall"] == 0.0 and got[2]["num_samples_total"] == 0
 
 

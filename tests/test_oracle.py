@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("SMOKE_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,8 @@ def test_matches(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(entry.queries().keys() - entry.oracle_sql().keys()))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, DATA).columns
+    df = entry.queries()[name](spark, DATA)
+    assert df.columns and df.count() >= 0
 
 
 def test_entry(spark):

@@ -2,11 +2,19 @@
 
 import json
 import math
+import struct
+import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from benchloom.operators import aggregate as G
 from benchloom.operators import dataops as D
+from benchloom.operators import documents as O
 from benchloom.operators import qa as Q
+from benchloom.operators import scoring as S
 from benchloom.session import table
-from benchloom.sources import readers, sinks
+from benchloom.sources import media, readers, sinks
 from benchloom.streaming import incremental
 
 SAMPLE = {"task_id": "vsec_001", "domain": "visual_security", "viewpoint_motion_target": 45.0, "prompt": "p" * 60, "industrial_logic_questions": [{"id": "q1", "text": "t", "answer": "yes"}]}
@@ -72,9 +80,101 @@ def test_streams_equal_batches(spark, tmp_path):
     table(spark, d, "sample_results").write.mode("overwrite").parquet(str(tmp_path / "in"))
     batch = incremental.running_metrics(spark.read.parquet(str(tmp_path / "in")))
     stream = incremental.running_metrics(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in")))
-    incremental.start(stream, "running", str(tmp_path / "c")).awaitTermination()
     rounded = lambda rows: {(r["model_id"], r["n"], round(r["gated_score"], 6)) for r in rows}
-    assert rounded(spark.table("running").collect()) == rounded(batch.collect())
+    place, checkpoint = str(tmp_path / "table"), str(tmp_path / "c")
+    incremental.start(stream, place, checkpoint).awaitTermination()
+    assert rounded(incremental.current(spark, place, "model_id").collect()) == rounded(batch.collect())
+    # More input: only what changes is added, and the state is that of all input.
+    table(spark, d, "sample_results").limit(30).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.start(stream, place, checkpoint).awaitTermination()
+    now = incremental.running_metrics(spark.read.parquet(str(tmp_path / "in")))
+    assert rounded(incremental.current(spark, place, "model_id").collect()) == rounded(now.collect())
+    assert spark.read.parquet(place).where("batch = 1").count() < spark.read.parquet(place).where("batch = 0").count() + 30
+
+
+def test_sessions_and_windows_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t = datetime(2026, 1, 1)
+    rows = [(u, t + timedelta(minutes=m), "a", 1.0) for u, ms in ((1, (0, 10, 45, 200)), (2, (5,))) for m in ms]
+    spark.createDataFrame(rows, "user_id bigint, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id bigint, ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    incremental.start(incremental.sessions(stream), str(tmp_path / "s"), str(tmp_path / "cs"), "complete").awaitTermination()
+    assert sorted(r["n"] for r in incremental.current(spark, str(tmp_path / "s")).where("user_id = 1").collect()) == [1, 1, 2]
+    incremental.start(incremental.windowed_events(stream), str(tmp_path / "w"), str(tmp_path / "cw")).awaitTermination()
+    assert sorted(r["n"] for r in incremental.current(spark, str(tmp_path / "w"), "window_start", "event_type").collect()) == [1, 4]
+
+
+def test_documents_are_written_whole(spark, tmp_path):
+    docs = spark.createDataFrame([("m/1", '{"a":1}'), ("m2", '{"a":null}')], "model_name string, document string")
+    sinks.documents(docs, str(tmp_path / "d"), "model_name")
+    back = {r["model_name"]: json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "d")).collect()}
+    assert back == {"m/1": {"a": 1}, "m2": {"a": None}}
+    rows = spark.createDataFrame([("b", 1, "two"), ("a", 0, "zero"), ("b", 0, "one\nmore")], "key string, line_no int, line string")
+    sinks.lines(rows, str(tmp_path / "l"), "key", "line_no")
+    assert "\n".join(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == "zero\none\nmore\ntwo"
+
+
+def test_calibration_text(spark):
+    rows = spark.createDataFrame([("easy", 85.0, 90.25, 4, True), ("hard", 45.0, 0.0, 0, False)], "bucket string, target double, mean double, n bigint, above_target boolean")
+    got = O.calibration_document(rows, "m").first()
+    doc = json.loads(got["document"])
+    assert doc["buckets"]["easy"] == {"bucket": "easy", "mean_score": 90.25, "target": 85.0, "n_samples": 4, "above_target": True} and len(doc["flags"]) == 1
+    assert got["console"].splitlines()[5:7] == ["hard               0.00       45     0         OK", "easy              90.25       85     4       FAIL"]
+
+
+def test_a_report_of_nothing(spark):
+    d = "/root/testdata/sf0.001"
+    empty = S.scored(table(spark, d, "sample_results").limit(0))
+    doc = json.loads(O.report_document(empty, table(spark, d, "samples"), "m").first()["document"])
+    assert doc["model"] == "m" and doc["summary"]["num_samples_total"] == 0 and doc["axis_statistics"] == {} and doc["worst_samples"] == []
+    assert json.loads(O.leaderboard_document(G.leaderboard(G.model_metrics(empty, table(spark, d, "models").limit(0)))).first()["document"]) == {"models": [], "num_models": 0}
+
+
+def test_old_names_of_fields(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([{"task_id": "a", "ika_questions": [{"id": "q", "text": "x"}]}, {"task_id": "b", "questions": [{"id": "r"}], "vfa_target": 30.0}]))
+    got = {r["task_id"]: r for r in readers.samples(spark, str(tmp_path / "s.json")).collect()}
+    assert got["a"]["industrial_logic_questions"][0]["id"] == "q" and got["b"]["industrial_logic_questions"][0]["id"] == "r"
+    assert len({r["seq"] for r in got.values()}) == 2
+    (tmp_path / "m").mkdir()
+    for name, body in {"1": {"scored": {"viewpoint_motion_score": 40.0}, "vfa_score": 90.0}, "2": {"vfa_score": 50.0}, "3": {"scored": {"axis_scores": {"vfa": 60.0}}}, "4": {}}.items():
+        (tmp_path / "m" / f"{name}.json").write_text(json.dumps({"task_id": name} | body))
+    assert {r["task_id"]: r["gate_score"] for r in readers.results(spark, str(tmp_path / "m")).collect()} == {"1": 40.0, "2": 50.0, "3": 60.0, "4": None}
+
+
+def test_images_that_can_be_read(spark, tmp_path):
+    def png(pixels):
+        h, w, c = pixels.shape
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        raw = b"".join(bytes([0]) + pixels[y].tobytes() for y in range(h))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8), rng.integers(0, 256, (4, 6, 1), dtype=np.uint8)
+    (tmp_path / "a.png").write_bytes(png(a))
+    (tmp_path / "b.png").write_bytes(png(b))
+    (tmp_path / "c.png").write_bytes(png(a)[:60])
+    (tmp_path / "d.ppm").write_bytes(b"P6\n# note\n7 5\n255\n" + a.tobytes())
+    (tmp_path / "e.jpg").write_bytes(b"\xff\xd8 no decoder")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in media.images(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.png", "b.png", "d.ppm"}
+    assert np.array_equal(np.frombuffer(got["a.png"]["pixels"], np.uint8).reshape(5, 7, 3)[..., ::-1], a) and got["b.png"]["channels"] == 1
+    assert bytes(got["d.ppm"]["pixels"]) == bytes(got["a.png"]["pixels"])
+    wanted = spark.createDataFrame([(1, ["c.png", "e.jpg", "a.png", "b.png"]), (2, ["e.jpg"])], "row_id bigint, candidates array<string>")
+    names = media.images(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    assert {r["row_id"]: r["path"] for r in media.first_readable(wanted, names).collect()} == {1: "a.png", 2: None}
+
+
+def test_raw_video(spark, tmp_path):
+    y = np.arange(24, dtype=np.uint8).reshape(4, 6) * 10
+    frame = b"FRAME\n" + y.tobytes() + bytes([128] * 12)
+    (tmp_path / "t1.y4m").write_bytes(b"YUV4MPEG2 W6 H4 F25:1 Ip C420jpeg\n" + frame * 3)
+    (tmp_path / "cut.y4m").write_bytes(b"YUV4MPEG2 W6 H4 F25:1 C420jpeg\n" + frame * 2 + frame[:20])
+    (tmp_path / "none.y4m").write_bytes(b"")
+    got = media.video_frames(spark, str(tmp_path)).orderBy("name", "frame").collect()
+    assert [(r["name"], r["frame"]) for r in got] == [("cut", 0), ("cut", 1), ("t1", 0), ("t1", 1), ("t1", 2)]
+    grey = np.frombuffer(got[0]["pixels"], np.uint8).reshape(4, 6, 3)
+    assert np.abs(grey.astype(int) - y[..., None]).max() <= 1
 
 
 def test_questions_and_lines(spark):
