@@ -89,8 +89,12 @@ def apply_kernel(frames: DataFrame, name: str, size: Size = P.FRAME) -> DataFram
     """
     if name in NEEDS_LIBRARY:
         raise NotImplementedError(f"{name} needs a library that is not installed; register a kernel of your own under this name")
+    return measured(beside_last(frames) if KERNELS[name].pair else frames, name, size)
+
+
+def measured(rows: DataFrame, name: str, size: Size = P.FRAME) -> DataFrame:
+    """What a kernel gives for every row; a pair kernel compares it with the frame in its ``last_...`` columns."""
     kernel = KERNELS[name]
-    rows = beside_last(frames) if kernel.pair else frames
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

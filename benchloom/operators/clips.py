@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchloom.functions import axes as A
 from benchloom.kernels import pixels as P
 from benchloom.kernels import registry as K
+from benchloom.operators import measures as M
 from benchloom.operators import scoring as S
 from benchloom.operators import series as X
 
@@ -131,6 +133,65 @@ def chain_check(bands: DataFrame) -> DataFrame:
     return means.select("video", within(F.when(plain, F.col("b0")).otherwise(best), digits=None).alias("score"), F.when(plain, BAND_NAMES[0]).otherwise(first).alias("band"))
 
 
+# -- scores of whole clips --------------------------------------------------------------------
+
+
+def temporal(frames: DataFrame, size: K.Size = P.FRAME) -> DataFrame:
+    """(video, temporal): likeness of neighbouring frames of a sample of each clip, 0..100; null for a single frame."""
+    count = Window.partitionBy("video")
+    rows = X.stride_sample(frames.withColumn("frames", F.count("*").over(count)))
+    likeness = K.apply_kernel(rows, "ssim", size).groupBy("video").agg(F.avg("value").alias("ssim"))
+    lengths = frames.groupBy("video").agg(F.count("*").alias("frames"))
+    return lengths.join(likeness, "video", "left").select("video", M.temporal_consistency(F.col("ssim"), F.col("frames"), F.lit(None).cast("double")).alias("temporal"))
+
+
+def fidelity(frames: DataFrame, references: DataFrame, size: K.Size = P.FRAME) -> DataFrame:
+    """(video, fidelity): likeness of a clip's first, middle and last frame to its reference image (video, height, width, channels, pixels), 0..100."""
+    count = Window.partitionBy("video")
+    rows = X.first_middle_last(frames.withColumn("frames", F.count("*").over(count)))
+    rows = rows.join(references.select("video", *(F.col(c).alias(f"last_{c}") for c in K.WHOLE)), "video")
+    mean = lambda name: K.measured(rows, name, size).groupBy("video").agg(F.avg("value").alias(name))
+    got = rows.groupBy("video").agg(F.first("frames").alias("frames")).join(mean("ssim"), "video").join(mean("histogram_correlation"), "video")
+    return got.select("video", M.visual_fidelity(F.col("ssim"), F.col("histogram_correlation"), F.col("frames"), F.lit(None).cast("double")).alias("fidelity"))
+
+
+def geometry(frames: DataFrame, clips: DataFrame, size: K.Size = P.FRAME) -> DataFrame:
+    """(video, method, geometry) of clips (video, sub, topology): the score that a clip's topology calls for, 0..1.
+
+    Each measure reads only the clips that call for it.
+    """
+    method, _ = M.geometry_route(F.col("sub"), F.col("topology"), {})
+    wanted = clips.select("video", "sub", "topology", method.alias("method"))
+    only = lambda *names: frames.join(wanted.where(F.col("method").isin(*names)).select("video"), "video", "left_semi")
+
+    def ends(*names: str) -> DataFrame:
+        rows = only(*names)
+        whole = F.struct("frame", *K.WHOLE)
+        both = rows.groupBy("video").agg(F.min_by(whole, "frame").alias("first"), F.max_by(whole, "frame").alias("last"))
+        return both.select("video", "last.frame", *(F.col(f"last.{c}").alias(c) for c in K.WHOLE), *(F.col(f"first.{c}").alias(f"last_{c}") for c in K.WHOLE))
+
+    def firsts(*names: str) -> DataFrame:
+        return only(*names).groupBy("video").agg(F.min_by(F.struct("frame", *K.WHOLE), "frame").alias("f")).select("video", "f.*")
+
+    number = lambda i: F.get("value", F.lit(i))
+    still = static_camera(K.static_flows(only("kinematic", "articulated"), size)).select("video", F.col("kinematic").alias("kinematic"))
+    even = K.apply_kernel(only("articulated"), "bilateral_symmetry", size).groupBy("video").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("even"))
+    parts = [
+        K.apply_kernel(firsts("spectral"), "spectral_peaks", size).select("video", F.col("value").alias("spectral")),
+        K.apply_kernel(firsts("rotary"), "circle_rim", size).select("video", F.col("value").alias("rotary")),
+        K.measured(ends("lattice"), "lattice_match", size).select("video", M.lattice_score(number(0), number(1), number(2)).alias("lattice")),
+        K.measured(ends("surface"), "contour_chamfer", size).select("video", M.surface_score(F.col("value")).alias("surface")),
+        still, even,
+    ]
+    rows = wanted
+    for part in parts:
+        rows = rows.join(part, "video", "left")
+    # A clip of one frame has no flow and counts as still.
+    rows = rows.withColumn("kinematic", F.coalesce("kinematic", F.lit(1.0)))
+    measures = {c: F.col(c) for c in ("spectral", "lattice", "surface", "rotary", "kinematic")} | {"articulated": A.kinematic_blend(F.col("kinematic"), F.coalesce("even", F.lit(0.0)))}
+    return rows.select("video", "method", M.geometry_route(F.col("sub"), F.col("topology"), measures)[1].alias("geometry"))
+
+
 # -- all checks a clip calls for ------------------------------------------------------------
 
 

@@ -20,6 +20,11 @@ def rules() -> list[tuple[str, str, Column]]:
     out = [(f, "required", c(f).isNull()) for f in REQUIRED]
     out += [(f, "enum", ~c(f).isin(*values)) for f, values in R.ENUMS.items()]
     out += [("difficulty_profile", "enum", F.exists(F.map_values("difficulty_profile"), lambda v: ~v.isin(*R.BUCKET_TARGETS)))]
+    target = c("viewpoint_motion_target")
+    out += [("viewpoint_motion_target", "oneOf", target.try_cast("double").isNull() & ~target.rlike(r"^(orbit_(cw|ccw)_[0-9]+deg|crane_up_[0-9]+deg|horizontal_pan_lr|dolly_in_[0-9]+x)$"))]
+    lacks = lambda x, *names: F.greatest(*(x[n].isNull() for n in names))
+    out += [("industrial_logic_questions.items", "required", F.exists("industrial_logic_questions", lambda q: lacks(q, "id", "text", "answer")))]
+    out += [("sensitivity_variants.items", "required", F.exists("sensitivity_variants", lambda v: lacks(v, "id", "difficulty", "prompt_delta", "viewpoint_motion_target_delta")))]
     out += [("task_id", "pattern", ~c("task_id").rlike(r"^[a-z]{2,8}(_[a-z]+){0,2}_[0-9]{3}$|^S[A-Z][0-9]{2}$")), ("image_path", "pattern", ~c("image_path").rlike(r"^dataset[\\/]images(_hq)?[\\/]"))]
     out += [(f, "minLength", F.char_length(f) < n) for f, n in (("prompt", 50), ("video_generation_prompt", 50), ("application_value", 20))]
     out += [("axis_weights", "minimum", F.exists(F.map_values("axis_weights"), lambda v: v < 0)), ("industrial_logic_questions", "minItems", F.size("industrial_logic_questions") < 3)]
@@ -33,6 +38,12 @@ def violations(samples: DataFrame) -> DataFrame:
     return samples.select("row_id", "task_id", F.inline(broken))
 
 
+def unknown_fields(records: DataFrame, known: tuple[str, ...] | list[str]) -> DataFrame:
+    """(record, path) of fields that the schema does not have, of JSON records (record, json)."""
+    fields = F.map_keys(F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>"))
+    return records.select("record", F.explode(F.array_except(fields, F.array(*map(F.lit, known)))).alias("path"))
+
+
 def audit(samples: DataFrame) -> DataFrame:
     """Each sample's motion clause, the issues found in it and their severity."""
     motion = A.tidy(F.col("motion_type"))

@@ -408,9 +408,14 @@ def found(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
 def followed(steps: DataFrame) -> DataFrame:
     """(stream_id, place, since, until, root): what each renamed or moved field was at first, for positions from ``since`` to before ``until``.
 
-    Each change is an arrow from a field to the one it was before; arrows are followed by doubling.
+    A field that was moved below another counts only if that one is new, a wrapper put around it: in an object that was
+    there before, a field of the same name may well be another.  Each change is an arrow from a field to the one it was before; arrows are followed by doubling.
     """
-    link = F.col("op").isin("renamed", "moved") & (F.col("path") != F.col("place"))
+    added = steps.where("op = 'added'").select(F.col("stream_id").alias("s"), F.col("pos").alias("p"), F.col("place").alias("wrapper")).distinct()
+    above = F.array_join(F.slice(F.split("place", SEP), 1, F.size(F.split("place", SEP)) - 1), SEP)
+    steps = steps.join(added, (F.col("op") == "moved") & (F.col("stream_id") == F.col("s")) & (F.col("pos") == F.col("p")) & (above == F.col("wrapper")), "left")
+    below = F.col("place").contains(SEP) & (F.col("op") == "moved")
+    link = F.col("op").isin("renamed", "moved") & (F.col("path") != F.col("place")) & (~below | F.col("wrapper").isNotNull())
     events = steps.where(link | (F.col("op") == "added")).select("stream_id", "pos", "place", F.when(link, F.col("path")).alias("path"))
     by_place = Window.partitionBy("stream_id", "place").orderBy("pos")
     events = cut(events.withColumn("until", F.lead("pos").over(by_place)))

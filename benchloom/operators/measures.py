@@ -16,8 +16,10 @@ BY_TOPOLOGY = {"kinematic": "kinematic", "flexible": "kinematic", "lattice": "la
 #: Routes that yield nothing where a runner's faults are kept.
 FAULTY = ("spectral", "rotary")
 
-PROMPT = "Rate from {low} to {high} how physically plausible the clip is: {content}\nAnswer with one whole number, then a reason."
-CONSTRAINED = "Rate from {low} to {high} how physically plausible the clip is: {content}\nEach of these must hold throughout:\n{constraints}\nAnswer with one whole number, then a reason."
+#: What a score means, for judges.
+BANDS = "90-100: nothing physically impossible. 70-89: small approximations only. 50-69: one clear, local fault. 25-49: a known law is broken. 0-24: several grave faults. In doubt take the lower band, and look at the last frames for faults that add up."
+PROMPT = "Rate from {low} to {high} how physically plausible the clip is: {content}\n{bands}\nAnswer with one whole number, then a reason."
+CONSTRAINED = "Rate from {low} to {high} how physically plausible the clip is: {content}\nEach of these must hold throughout:\n{constraints}\n{bands}\nAnswer with one whole number, then a reason."
 
 
 def lattice_score(points_a: Column, points_b: Column, matches: Column) -> Column:
@@ -85,7 +87,7 @@ def visual_fidelity(ssim: Column, histogram: Column, frames: Column, judged: Col
 
 def judge_prompt(content: Column, constraints: Column, low: int = 0, high: int = 100) -> Column:
     """The question put to a judge; it lists the constraints of a sample that has any."""
-    fill = lambda t: F.replace(F.lit(t.replace("{low}", str(low)).replace("{high}", str(high))), F.lit("{content}"), content)
+    fill = lambda t: F.replace(F.lit(t.replace("{low}", str(low)).replace("{high}", str(high)).replace("{bands}", BANDS)), F.lit("{content}"), content)
     bullets = F.array_join(F.transform(constraints, lambda c: F.concat(F.lit("- "), c)), "\n")
     return F.when(F.size(constraints) > 0, F.replace(fill(CONSTRAINED), F.lit("{constraints}"), bullets)).otherwise(fill(PROMPT))
 

@@ -147,6 +147,8 @@ def violation_rules() -> str:
     rows += [("difficulty_profile", "enum", f"len(list_filter(map_values(difficulty_profile), lambda v: v NOT IN ({', '.join(map(text, R.BUCKET_TARGETS))}))) > 0")]
     rows += [("task_id", "pattern", "NOT regexp_matches(task_id, '^[a-z]{2,8}(_[a-z]+){0,2}_[0-9]{3}$|^S[A-Z][0-9]{2}$')"), ("image_path", "pattern", "NOT regexp_matches(image_path, '^dataset[\\\\/]images(_hq)?[\\\\/]')")]
     rows += [(f, "minLength", f"length({f}) < {n}") for f, n in (("prompt", 50), ("video_generation_prompt", 50), ("application_value", 20))]
+    rows += [("viewpoint_motion_target", "oneOf", "try_cast(trim(viewpoint_motion_target) AS DOUBLE) IS NULL AND NOT regexp_matches(viewpoint_motion_target, '^(orbit_(cw|ccw)_[0-9]+deg|crane_up_[0-9]+deg|horizontal_pan_lr|dolly_in_[0-9]+x)$')")]
+    rows += [("industrial_logic_questions.items", "required", "len(list_filter(industrial_logic_questions, lambda q: q.id IS NULL OR q.text IS NULL OR q.answer IS NULL)) > 0"), ("sensitivity_variants.items", "required", "len(list_filter(sensitivity_variants, lambda v: v.id IS NULL OR v.difficulty IS NULL OR v.prompt_delta IS NULL OR v.viewpoint_motion_target_delta IS NULL)) > 0")]
     rows += [("axis_weights", "minimum", "list_min(map_values(axis_weights)) < 0"), ("industrial_logic_questions", "minItems", "len(industrial_logic_questions) < 3")]
     rows += [("industrial_logic_questions.answer", "enum", "len(list_filter(industrial_logic_questions, lambda q: q.answer NOT IN ('yes', 'no'))) > 0"), ("industrial_logic_questions.weakness_target", "pattern", "len(list_filter(industrial_logic_questions, lambda q: NOT regexp_matches(q.weakness_target, '^W[2-7]$'))) > 0")]
     return " UNION ALL ".join(f"SELECT row_id, task_id, {text(p)} AS path, {text(r)} AS rule FROM samples WHERE {bad}" for p, r, bad in rows)
@@ -273,7 +275,7 @@ SQL["viewpoint_motion"] = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 A
  round(CASE WHEN still THEN 0 WHEN k % 2 = 0 THEN degrees(atan2(abs(coalesce(s1, s2, s3))::DOUBLE, 540 / tan(radians(30)))) ELSE abs(coalesce(t1, t2))::DOUBLE END, 6) AS value FROM p"""
 SQL["clip_scores"] = """WITH e AS (SELECT event_id, event_id % 4 AS n, event_id % 100 / 100.0::DOUBLE AS s, CASE WHEN event_id % 3 = 0 THEN (event_id % 90)::DOUBLE END AS j, (event_id % 21 - 10) / 10.0::DOUBLE AS h FROM events), f AS (SELECT *, 0.6 * (s * 100) + 0.4 * ((h + 1) / 2 * 100) AS cv FROM e)
  SELECT event_id, round(CASE WHEN n >= 2 THEN round(CASE WHEN j IS NOT NULL THEN 0.4 * (s * 100) + 0.6 * j ELSE s * 100 END, 2) END, 1) AS temporal, round(CASE WHEN n >= 1 THEN round(greatest(0, least(100, CASE WHEN j IS NOT NULL THEN 0.5 * cv + 0.5 * j ELSE cv END)), 2) END, 1) AS fidelity FROM f"""
-SQL["judge_prompts"] = """WITH s AS (SELECT row_id, prompt, (constraint_annotations::JSON -> '$.hard_constraints')::VARCHAR[] AS hard FROM samples) SELECT row_id, md5('Rate from 0 to 100 how physically plausible the clip is: ' || prompt || chr(10) || CASE WHEN len(hard) > 0 THEN 'Each of these must hold throughout:' || chr(10) || array_to_string(list_transform(hard, lambda c: '- ' || c), chr(10)) || chr(10) ELSE '' END || 'Answer with one whole number, then a reason.') AS prompt FROM s"""
+SQL["judge_prompts"] = """WITH s AS (SELECT row_id, prompt, (constraint_annotations::JSON -> '$.hard_constraints')::VARCHAR[] AS hard FROM samples) SELECT row_id, md5('Rate from 0 to 100 how physically plausible the clip is: ' || prompt || chr(10) || CASE WHEN len(hard) > 0 THEN 'Each of these must hold throughout:' || chr(10) || array_to_string(list_transform(hard, lambda c: '- ' || c), chr(10)) || chr(10) ELSE '' END || '90-100: nothing physically impossible. 70-89: small approximations only. 50-69: one clear, local fault. 25-49: a known law is broken. 0-24: several grave faults. In doubt take the lower band, and look at the last frames for faults that add up.' || chr(10) || 'Answer with one whole number, then a reason.') AS prompt FROM s"""
 SQL["token_totals"] = "SELECT event_type AS judge, sum(coalesce(CASE WHEN event_id % 4 <> 0 THEN event_id % 1000 END, 0) + event_id % 77)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY 1"
 SQL["streaming_metrics"] = f"{SCORED} SELECT model_id, count(*) AS n, round(avg(weighted_score), 6) AS relax_score, round(avg(strict::INT::DOUBLE), 6) AS strict_pass_rate, round(avg(weighted_score * gate), 6) AS gated_score FROM scored {DONE} GROUP BY 1"
 SQL["user_sessions"] = "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), b AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS started, count(*) AS n FROM b GROUP BY user_id, k"
@@ -426,3 +428,4 @@ SQL["sample_weights"] = f"""WITH {INFERRED}, o AS (SELECT inferred.*, row_number
  SELECT task_id, {', '.join(f"CASE WHEN cardinality(axis_weights) > 0 THEN {OWN[s]} ELSE " + weight(s).replace('task_category', 'inferred_task') + f" END::DOUBLE AS w_{s}" for s in SHORT)} FROM o WHERE nth = 1"""
 SQL["weighted_by_sample"] = f"""{SCORED}, ws AS ({SQL['sample_weights']}), j AS (SELECT scored.*, {', '.join(f'coalesce(w_{s}, {weight(s)})::DOUBLE AS w_{s}' for s in SHORT)} FROM scored LEFT JOIN ws USING (task_id))
  SELECT result_id, round(coalesce(({' + '.join(f'coalesce({s} * w_{s}, 0)' for s in SHORT)}) / nullif({' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE w_{s} END' for s in SHORT)}, 0), 0) + 1e-9, 6) AS weighted_score FROM j"""
+SQL["unknown_fields"] = "SELECT line_id AS record, unnest(list_filter(json_keys(payload), lambda k: k NOT IN ('task_id', 'domain', 'task_category', 'skipped'))) AS path FROM raw_results WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'"

@@ -657,6 +657,35 @@ def clip_constraints(spark, d):
     return rounded(got.select("video", "constraint", F.size("violations").alias("violations"), F.array_join("invariants", ",").alias("invariants")))
 
 
+@query
+def clip_temporal(spark, d):
+    return rounded(C.temporal(_pixels(spark, d), SMALL))
+
+
+@query
+def clip_fidelity(spark, d):
+    """Clips against a reference image each: the first frame of the clip with the next number."""
+    frames = _pixels(spark, d)
+    images = frames.where("frame = 0").withColumn("video", (F.col("video") + 9) % 10)
+    return rounded(C.fidelity(frames, images, SMALL))
+
+
+@query
+def clip_geometry(spark, d):
+    """The geometry score that each clip's topology calls for."""
+    frames = _pixels(spark, d)
+    k = F.col("video").cast("int")
+    pick = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), k % len(names) + 1)
+    clips = frames.select("video").distinct().select("video", pick("2d_planar", "3d_spatial", "aerodynamic", "articulated", "rotational", "cable_hose", "").alias("sub"), pick("kinematic", "lattice", "unknown").alias("topology"))
+    return rounded(C.geometry(frames, clips, SMALL))
+
+
+@query
+def unknown_fields(spark, d):
+    rows = table(spark, d, "raw_results").select(F.col("line_id").alias("record"), F.col("payload").alias("json"))
+    return D.unknown_fields(rows, ("task_id", "domain", "task_category", "skipped"))
+
+
 def _series(spark: SparkSession, d: str, value: Column) -> DataFrame:
     return _frames(spark, d).select("video", "frame", value.alias("value"))
 

@@ -274,3 +274,23 @@ def test_checks_without_enough_frames(spark):
     assert C.scissor_check(one.limit(0)).count() == C.conveyor_check(one.limit(0)).count() == 0
     some = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0])], "video bigint, frame bigint, value array<double>")
     assert C.arm_check(some).first()["score"] == 0.1 and C.jacket_check(some).first()["score"] == 0.0
+
+
+def test_scores_of_whole_clips(spark):
+    g = scene(90, 120)
+    clips = {1: [g] * 5, 2: [g, 255 - g, g], 3: [g]}
+    f = frames_of(spark, clips, 3)
+    got = {r["video"]: r["temporal"] for r in C.temporal(f, (90, 120)).collect()}
+    assert got[1] == 100.0 and got[2] < 60 and got[3] is None
+    images = frames_of(spark, {1: [g], 2: [g], 3: [255 - g]}, 3).drop("frame")
+    got = {r["video"]: r["fidelity"] for r in C.fidelity(f, images, (90, 120)).collect()}
+    assert got[1] == 100.0 and got[3] < got[2] < 100
+
+
+def test_geometry_by_topology(spark):
+    g = scene(90, 120)
+    kinds = [(1, "2d_planar", None), (2, "3d_spatial", "surface"), (3, "aerodynamic", None), (4, "articulated", None), (5, "rotational", None), (6, None, "kinematic"), (7, "odd", "odd")]
+    f = frames_of(spark, {k[0]: [g] * 3 for k in kinds})
+    got = {r["video"]: (r["method"], r["geometry"]) for r in C.geometry(f, spark.createDataFrame(kinds, "video bigint, sub string, topology string"), (90, 120)).collect()}
+    assert got[2] == ("lattice", pytest.approx(1.0, abs=0.1)) and got[3] == ("surface", 1.0) and got[6] == ("kinematic", 1.0) and got[7] == (None, 0.0)
+    assert got[4][1] == pytest.approx(0.6 + 0.4 * P.bilateral_symmetry(np.rint(g)), abs=0.01) and 0 < got[1][1] <= 1 and got[5] == ("rotary", 0.0)
