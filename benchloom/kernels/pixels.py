@@ -51,8 +51,9 @@ def resize(frame: np.ndarray, height: int, width: int, area: bool = True) -> np.
     return np.stack([rows @ frame[..., c] @ cols.T for c in range(frame.shape[2])], axis=2)
 
 
-def normalise_frame(frame: np.ndarray) -> np.ndarray:
-    return resize(frame, *FRAME)
+def normalise_frame(frame: np.ndarray, size: tuple[int, int] = FRAME) -> np.ndarray:
+    """A frame at the size at which everything is measured."""
+    return resize(frame, *size)
 
 
 def dark_background(g: np.ndarray, threshold: float = 30.0, share: float = 0.40) -> bool:

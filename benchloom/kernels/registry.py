@@ -66,7 +66,7 @@ def decode(height: int, width: int, channels: int, data: bytes, size: Size, colo
     frame = P.colour(frame).astype(float) if colour else frame
     if size is None:
         return frame if colour else P.grey(frame)
-    return P.resize(frame, *size) if colour else P.grey(np.rint(P.resize(frame.astype(float), *size)))
+    return P.normalise_frame(frame, size) if colour else P.grey(np.rint(P.normalise_frame(frame.astype(float), size)))
 
 
 def beside_last(frames: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def arm_check(lengths: DataFrame) -> DataFrame:
     """(video, score, deviation, rigid): links keep their lengths; as many are compared as every frame with three points or more has."""
     rows = lengths.where(F.size("value") >= 3)
     least = rows.groupBy("video").agg(F.min(F.size("value")).alias("least"), F.count("*").alias("n"))
-    links = rows.select("video", F.posexplode("value").alias("link", "length")).join(least, "video").where(F.col("link") < F.col("least"))
+    links = rows.join(least, "video").select("video", F.posexplode(X.truncate(F.col("value"), F.col("least"))).alias("link", "length"))
     links = links.groupBy("video", "link").agg((F.stddev_pop("length") / (F.avg("length") + 1e-8)).alias("off"))
     off = links.groupBy("video").agg(F.avg("off").alias("off"))
     stats = lengths.select("video").distinct().join(least, "video", "left").join(off, "video", "left")

@@ -429,3 +429,4 @@ SQL["sample_weights"] = f"""WITH {INFERRED}, o AS (SELECT inferred.*, row_number
 SQL["weighted_by_sample"] = f"""{SCORED}, ws AS ({SQL['sample_weights']}), j AS (SELECT scored.*, {', '.join(f'coalesce(w_{s}, {weight(s)})::DOUBLE AS w_{s}' for s in SHORT)} FROM scored LEFT JOIN ws USING (task_id))
  SELECT result_id, round(coalesce(({' + '.join(f'coalesce({s} * w_{s}, 0)' for s in SHORT)}) / nullif({' + '.join(f'CASE WHEN {s} IS NULL THEN 0 ELSE w_{s} END' for s in SHORT)}, 0), 0) + 1e-9, 6) AS weighted_score FROM j"""
 SQL["unknown_fields"] = "SELECT line_id AS record, unnest(list_filter(json_keys(payload), lambda k: k NOT IN ('task_id', 'domain', 'task_category', 'skipped'))) AS path FROM raw_results WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'"
+SQL["count_aggregate"] = f"WITH c AS ({SQL['count_check']}), w AS (SELECT score, [0.6, 0.9, 0.95, 0.7][video % 4 + 1]::DOUBLE AS weight FROM c) SELECT round(greatest(0.1::DOUBLE, sum(score * weight) / sum(weight)), 4) AS score FROM w"

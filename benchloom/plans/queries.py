@@ -696,6 +696,17 @@ def count_check(spark, d):
     return rounded(got.select("video", "score", "stable", "weight", F.array_join(F.transform("counts", lambda n: n.cast("string")), ",").alias("counts")))
 
 
+@query
+def count_aggregate(spark, d):
+    """All count checks of a domain's clips as one score, the harder elements weighing more."""
+    counts = _series(spark, d, F.col("n").cast("double"))
+    checks = [C.count_check(counts.where(F.col("video") % 4 == i), weight) for i, (_, weight) in enumerate(C.ELEMENTS.values())]
+    rows = checks[0]
+    for more in checks[1:]:
+        rows = rows.unionByName(more)
+    return rounded(X.weighted_count_score(rows), 4)
+
+
 @query
 def merge_check(spark, d):
     return rounded(C.merge_check(_series(spark, d, F.col("n").cast("double")), 3))
