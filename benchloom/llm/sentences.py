@@ -452,10 +452,10 @@ def survey(documents: DataFrame) -> Corpus:
 
 
 def sampled(documents: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
-    """The ``size`` distinct texts of the smallest hashes; only hashes are shuffled for all documents."""
+    """The ``size`` distinct texts of the smallest hashes; only hashes are shuffled for all documents, and no task gets all texts of the sample."""
     texts = documents.select("text", F.xxhash64("text").alias("place")).where(F.col("text").isNotNull())
     least = texts.select("place").distinct().orderBy("place").limit(size)
-    return texts.join(F.broadcast(least), "place", "left_semi").distinct().orderBy("place", "text").limit(size).select("text")
+    return texts.join(F.broadcast(least), "place", "left_semi").groupBy("place").agg(F.min("text").alias("text")).select("text")
 
 
 def train(documents: DataFrame, corpus: Corpus) -> np.ndarray:
@@ -468,7 +468,7 @@ def train(documents: DataFrame, corpus: Corpus) -> np.ndarray:
             rows = [r for t in pdf["text"] for r in labelled(t, shared.value)]
             yield pd.DataFrame({"x": pd.Series([r[0] for r in rows], dtype=object), "y": pd.Series([r[1] for r in rows], dtype="int32")})
 
-    rows = sample.mapInPandas(scan, "x array<int>, y int").limit(SAMPLE_ROWS).toPandas()
+    rows = sample.mapInPandas(scan, "x array<int>, y int").orderBy(F.xxhash64("x"), "y").limit(SAMPLE_ROWS).toPandas()
     return fit([list(r) for r in rows["x"]], rows["y"].to_numpy(float))
 
 

@@ -458,7 +458,7 @@ def test_copies_take_one_place_of_the_sample(spark):
     docs = spark.range(40).select(F.concat(F.lit("text "), "id").alias("text"))
     places = [r["text"] for r in docs.orderBy(F.xxhash64("text")).collect()]
     rows = [(places[0],)] * 500 + [(t,) for t in places] + [(None,)]
-    assert [r["text"] for r in sentences.sampled(spark.createDataFrame(rows, "text string"), 20).collect()] == places[:20]
+    assert sorted(r["text"] for r in sentences.sampled(spark.createDataFrame(rows, "text string"), 20).collect()) == sorted(places[:20])
 
 
 def test_held_out_accuracy(spark):
