@@ -10,6 +10,7 @@ from benchloom.functions import axes as A
 from benchloom.operators.dataops import latest
 from benchloom.operators.order import medians
 from benchloom.operators.scoring import SHORT, completed, counted, long_form
+from benchloom.session import cut
 
 NO_ROWS = "no_completed_samples"
 
@@ -96,9 +97,9 @@ def leaderboard_markdown(ranked: DataFrame) -> DataFrame:
 
 
 def axis_statistics(scored: DataFrame) -> DataFrame:
-    rows = long_form(completed(scored), "result_id")
+    rows = cut(long_form(completed(scored)).select("axis", "score"))
     stats = rows.groupBy("axis").agg(F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"), F.count("*").alias("n"), rate(F.col("score") < R.LOW).alias("low_rate"))
-    return stats.join(medians(rows, ["axis"], "score"), "axis")
+    return stats.join(medians(rows, ["axis"], "score", written=True), "axis")
 
 
 def group_scores(scored: DataFrame, samples: DataFrame) -> DataFrame:

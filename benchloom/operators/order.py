@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from benchloom.session import cut, join_dimension
 
 #: Values of a group that one task may sort, and buckets of a round.
-SORTED, BUCKETS = 1_000_000, 4_096
+SORTED, BUCKETS = 50_000, 4_096
 
 
-def medians(rows: DataFrame, keys: list[str], value: str, most: int = SORTED) -> DataFrame:
+def medians(rows: DataFrame, keys: list[str], value: str, most: int = SORTED, written: bool = False) -> DataFrame:
     """(keys, median): the mean of the two middle values of each group; nulls do not count.
 
     The two middle ranks are narrowed down: values between the ends of a rank's range are counted in
