@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -111,8 +112,7 @@ class Layout:
 
     def cells(self, level: int, nodes: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Counter and sign of intervals in one row of a sketch."""
-        rng = np.random.RandomState((self.seed * 64 + level) * 64 + row)
-        a, b = (rng.randint(0, 1 << 32, 2, dtype=np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, 2, dtype=np.uint64) | np.uint64(1)
+        a, b = factors(self.seed, level, row)
         h = nodes.astype(np.uint64) * a
         h = (h ^ (h >> np.uint64(31))) * b
         counter = (h >> np.uint64(64 - self.plain)).astype(np.int64)
@@ -133,26 +133,23 @@ class Layout:
                     out[at : at + self.width] = np.bincount(cell - at, weights=sign, minlength=self.width).astype(np.int64)
         return out
 
-    def count(self, summary: np.ndarray, level: int, node: int) -> float:
-        """How many values lie in an interval, by the median of the rows where it is sketched."""
+    def count(self, summary: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
+        """How many values lie in some intervals, by the median of the rows where they are sketched."""
         if level <= self.plain:
-            return float(summary[self.start(level) + node])
-        got = []
-        for row in range(self.depth):
-            cell, sign = self.cells(level, np.array([node]), row)
-            got.append(summary[cell[0]] * sign[0])
-        return float(np.median(got))
-
-    def invert(self, summary: np.ndarray, rank: float) -> int:
-        """The code of the value at a rank (1 is the least)."""
-        node, before = 0, 0.0
+            return summary[self.start(level) + nodes].astype(float)
+        rows = (self.cells(level, nodes, row) for row in range(self.depth))
+        return np.median([summary[cell] * sign for cell, sign in rows], axis=0)
+
+    def invert(self, summary: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """The codes of the values at some ranks (1 is the least)."""
+        nodes, before = np.zeros(len(ranks), np.int64), np.zeros(len(ranks))
         for level in range(1, self.bits + 1):
-            node *= 2
-            left = max(0.0, self.count(summary, level, node))
-            if before + left < rank:
-                before += left
-                node += 1
-        return node
+            nodes = nodes * 2
+            left = np.maximum(0.0, self.count(summary, level, nodes))
+            right = before + left < ranks
+            before += np.where(right, left, 0.0)
+            nodes += right
+        return nodes
 
     def rank_error(self, summary: np.ndarray) -> float:
         total = 0.0
@@ -162,6 +159,14 @@ class Layout:
         return 3.0 * total**0.5
 
 
+@lru_cache(4096)
+def factors(seed: int, level: int, row: int) -> tuple[np.uint64, np.uint64]:
+    """The odd multipliers of one row of a resolution's sketch."""
+    rng = np.random.RandomState((seed * 64 + level) * 64 + row)
+    a, b = (rng.randint(0, 1 << 32, 2, dtype=np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, 2, dtype=np.uint64) | np.uint64(1)
+    return a, b
+
+
 def ordered(values: np.ndarray | float) -> np.ndarray:
     """The bits of doubles as integers in the order of the values; -0 as 0."""
     raw = (np.asarray(values, np.float64) + 0.0).view(np.uint64)
@@ -298,10 +303,10 @@ def read_off(merged: DataFrame, keys: list[str], layout: Layout = Layout(), perc
                 if n <= 0:
                     continue
                 error = layout.rank_error(summary)
-                for p in percents:
-                    rank = max(1.0, np.ceil(p * n / 100))
-                    clip = lambda v, rec=rec: min(max(v, rec["least"]), rec["most"])
-                    at = [layout.invert(summary, r) for r in (rank, max(1.0, rank - error), min(float(n), rank + error))]
+                ranks = np.maximum(1.0, np.ceil(np.array(percents) * n / 100))
+                codes = layout.invert(summary, np.concatenate([ranks, np.maximum(1.0, ranks - error), np.minimum(float(n), ranks + error)])).reshape(3, -1).tolist()
+                clip = lambda v, rec=rec: min(max(v, rec["least"]), rec["most"])
+                for p, *at in zip(percents, *codes):
                     out.append((*(rec[k] for k in keys), n, p, clip(layout.decode(at[0])), clip(layout.decode(at[1], 0)), clip(layout.decode(at[2], 1)), error, error / n))
             yield pd.DataFrame(out, columns=[*keys, "n", "percent", "value", "low", "high", "rank_error", "rank_error_share"])
 
