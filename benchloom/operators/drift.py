@@ -462,33 +462,37 @@ def consistent_table(raw: DataFrame, files: DataFrame, aliases: DataFrame) -> Da
     columns = (*IDENTITY, *NUMERIC, "skipped", *DETAILS)
     rows = raw.select("line_id", "file_id", "line_no", "payload", members(F.col("payload")).alias("m"))
     rows = settled(join_dimension(rows, projections(raw, files, aliases), ["file_id"]))
-    keys = F.transform(F.map_keys("m"), lambda k: F.struct(F.coalesce(F.try_element_at("names", k), k).alias("column"), F.is_variant_null(F.element_at("m", k)).alias("void"), k.alias("written")))
+    # The kind of each value is worked out once; null has none and comes last among the names of a column.
+    told = F.map_entries(F.transform_values("m", lambda _, v: kind_of(F.schema_of_variant(v))))
+    keys = F.transform(told, lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("column"), (e["value"] == "").alias("void"), e["key"].alias("written"), e["value"].alias("kind")))
     rows = settled(rows.withColumn("keys", F.array_sort(keys)))
     first = F.filter("keys", lambda x, i: (i == 0) | (F.get("keys", i - 1)["column"] != x["column"]))
-    rows = settled(rows.withColumn("by", F.map_from_entries(F.transform(first, lambda x: F.struct(x["column"], x["written"])))))
-    value = lambda c: F.element_at("m", F.try_element_at("by", F.lit(c)))
-    kind = lambda v: kind_of(F.schema_of_variant(v))
+    rows = settled(rows.withColumn("by", F.map_from_entries(F.transform(first, lambda x: F.struct(x["column"], x)))))
+    held = lambda c: F.try_element_at("by", F.lit(c))
+    value = lambda c: F.element_at("m", held(c)["written"])
 
     def nested(steps: Column) -> Column:
         """The value some steps down, names compared by letters and digits."""
         down = lambda at, step: F.get(F.filter(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), lambda e: letters(e["key"]) == step), F.lit(0))["value"]
-        return F.aggregate(F.slice(steps, 2, F.size(steps)), F.element_at("m", F.try_element_at("by", F.get(steps, F.lit(0)))), down)
+        return F.aggregate(F.slice(steps, 2, F.size(steps)), F.element_at("m", F.try_element_at("by", F.get(steps, F.lit(0)))["written"]), down)
 
     def number(c: str) -> Column:
-        v = value(c)
-        own = F.when(kind(v).isin("number", "string"), F.try_variant_get(v, "$", "double"))
-        return F.coalesce(own, F.try_variant_get(v, "$.value", "double"), F.try_variant_get(nested(F.try_element_at("lifted", F.lit(c))), "$", "double"))
+        own = F.when(held(c)["kind"].isin("number", "string"), F.try_variant_get(value(c), "$", "double")).when(held(c)["kind"] == "object", F.try_variant_get(value(c), "$.value", "double"))
+        lifted = F.try_element_at("lifted", F.lit(c))
+        return F.coalesce(own, F.when(lifted.isNotNull(), F.try_variant_get(nested(lifted), "$", "double")))
 
     text = lambda c: F.try_variant_get(value(c), "$", "string")
-    rows = rows.withColumns({f"c_{c}": text(c) for c in (*IDENTITY, *DETAILS)} | {f"c_{c}": number(c) for c in NUMERIC} | {"c_skipped": F.when(kind(value("skipped")) == "boolean", F.try_variant_get(value("skipped"), "$", "boolean"))})
+    rows = rows.withColumns({f"c_{c}": text(c) for c in (*IDENTITY, *DETAILS)} | {f"c_{c}": number(c) for c in NUMERIC} | {"c_skipped": F.when(held("skipped")["kind"] == "boolean", F.try_variant_get(value("skipped"), "$", "boolean"))})
 
-    def held(column: Column, written: Column) -> Column:
-        v = F.element_at("m", written)
-        exact = F.try_variant_get(v, "$", "double").cast("decimal(38,18)") == F.try_variant_get(v, "$", "decimal(38,18)")
-        fits = F.when(column.isin(*IDENTITY), kind(v) == "string").when(column.isin(*NUMERIC), (kind(v) == "number") & F.coalesce(exact, F.lit(False))).when(column == "skipped", kind(v) == "boolean").when(column.isin(*DETAILS), kind(v).isin("object", "array")).otherwise(True)
-        return (F.try_element_at("by", column) == written) & fits
+    def fits(x: Column) -> Column:
+        """Whether a column holds a value just as it is."""
+        v = F.element_at("m", x["written"])
+        exact = F.coalesce(F.try_variant_get(v, "$", "double").cast("decimal(38,18)") == F.try_variant_get(v, "$", "decimal(38,18)"), F.lit(False))
+        column, kind = x["column"], x["kind"]
+        typed = F.when(column.isin(*NUMERIC), F.when(kind == "number", exact).otherwise(False)).when(column.isin(*IDENTITY), kind == "string").when(column == "skipped", kind == "boolean").when(column.isin(*DETAILS), kind.isin("object", "array")).otherwise(True)
+        return (F.try_element_at("by", column)["written"] == x["written"]) & typed
 
-    rest = F.filter("keys", lambda x: ~held(x["column"], x["written"]))
+    rest = F.filter("keys", lambda x: ~fits(x))
     pick = lambda xs, name: F.when(F.size(xs) > 0, F.to_json(F.map_from_entries(F.transform(xs, lambda x: F.struct(x[name], F.element_at("m", x["written"])))), {"ignoreNullFields": "false"}))
     others = F.filter(first, lambda x: ~x["column"].isin(*columns))
     return rows.select(
